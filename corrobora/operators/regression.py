@@ -17,7 +17,7 @@ from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, Stru
 from ..functions.scalars import hash_order
 from ..functions.tails import chi2_pvalue, t_sf2
 from .moments import attach_fit, coefficient_table, fit_linear, gram, predicted, solve
-from .scan import lagged, with_halo, with_row_index
+from .scan import lagged, previous, with_halo, with_row_index
 
 FIT_COLUMNS = ("r2", "adj_r2", "sse", "sigma2", "df_resid", "f", "f_p", "condition")
 
@@ -160,7 +160,8 @@ def _ordered_residuals(df: DataFrame, xs: Sequence[str], y: str, order: Sequence
 
 def durbin_watson(df: DataFrame, xs: Sequence[str], y: str, order: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """(by..., n, dw): near 2 without serial correlation, near 0 with strong positive one."""
-    e = lagged(_ordered_residuals(df, xs, y, order, by), {"_prev": ("resid", 1)}, by=by)
+    rows = residuals(df.select(*dict.fromkeys([*by, *order, *xs, y])), xs, y, by)
+    e = previous(rows.drop("_fit"), {"_prev": "resid"}, order, by)
     step = F.col("resid") - F.col("_prev")
     return e.groupBy(*by).agg(
         F.count("*").alias("n"), (F.sum(step * step) / F.sum(F.col("resid") * F.col("resid"))).alias("dw")
@@ -238,10 +239,10 @@ def newey_west(
 
 def differences(df: DataFrame, columns: Sequence[str], order: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """First differences ``d_<c>``; the first row of each series is left out."""
-    placed = with_row_index(df.select(*dict.fromkeys([*by, *order, *columns])), order, by)
-    prev = lagged(placed, {f"_p_{c}": (c, 1) for c in columns}, by=by)
-    out = prev.filter(F.col("_idx") > 0).withColumns({f"d_{c}": F.col(c) - F.col(f"_p_{c}") for c in columns})
-    return out.drop(*[f"_p_{c}" for c in columns])
+    rows = df.select(*dict.fromkeys([*by, *order, *columns])).withColumn("_any", F.lit(True))
+    prev = previous(rows, {"_seen": "_any", **{f"_p_{c}": c for c in columns}}, order, by)
+    out = prev.filter(F.col("_seen")).withColumns({f"d_{c}": F.col(c) - F.col(f"_p_{c}") for c in columns})
+    return out.drop("_any", "_seen", *[f"_p_{c}" for c in columns])
 
 
 def difference_regression(df: DataFrame, x: str, y: str, order: Sequence[str]) -> DataFrame:

@@ -36,24 +36,42 @@ def sortable(df: DataFrame, order: str) -> Column:
     return F.col(order).cast("double")
 
 
-def range_buckets(df: DataFrame, order: str, n_buckets: int | None = None, out: str = BUCKET) -> DataFrame:
-    """Add an integer bucket that never decreases along ``order``; equal values share a bucket.
+def range_buckets(
+    df: DataFrame, order: str, n_buckets: int | None = None, out: str = BUCKET, then: str | None = None
+) -> DataFrame:
+    """Add a bucket that never decreases along ``order``; equal values share a bucket.
 
     The bounds come from one approximate-quantile pass over the one column; at most
-    ``n_buckets`` numbers reach the driver.
+    ``n_buckets`` numbers reach the driver. A value that fills whole buckets by itself (it shows up
+    as several bounds) would still land in one task: with ``then``, the next order column, its
+    rows are split by the quantiles of that column, so the order (order, then) is kept.
     """
     n = n_buckets or parallelism(df.sparkSession)
     keyed = df.withColumn("_sortable", sortable(df, order))
     bounds: list[float] = []
+    hot: list[float] = []
     if n > 1:
         found = keyed.approxQuantile("_sortable", [i / n for i in range(1, n)], 1.0 / (4 * n))
-        bounds = sorted({b for b in found if b is not None and math.isfinite(b)})
+        found = [b for b in found if b is not None and math.isfinite(b)]
+        bounds = sorted(set(found))
+        hot = sorted({b for b in bounds if found.count(b) > 1})
     if not bounds:
         return keyed.drop("_sortable").withColumn(out, F.lit(0))
-    cut = Bucketizer(
-        splits=[-math.inf, *bounds, math.inf], inputCol="_sortable", outputCol=out, handleInvalid="keep"
-    )
-    return cut.transform(keyed).withColumn(out, F.col(out).cast("int")).drop("_sortable")
+    bucketed = _cut(keyed, "_sortable", bounds, out)
+    if hot and then is not None and dict(df.dtypes)[then] != "string":
+        # a hot value is the lower bound of its bucket, so its parts come before the rest of it
+        bucketed = bucketed.withColumn("_then", sortable(df, then))
+        is_hot = F.col("_sortable").isin(hot)
+        parts = bucketed.filter(is_hot).approxQuantile("_then", [i / n for i in range(1, n)], 1.0 / (4 * n))
+        bucketed = _cut(bucketed, "_then", sorted(set(parts)), "_part")
+        part = F.when(is_hot, F.col("_part")).otherwise(F.lit(n))
+        bucketed = bucketed.withColumn(out, F.col(out) * (n + 1) + part).drop("_then", "_part")
+    return bucketed.drop("_sortable")
+
+
+def _cut(df: DataFrame, column: str, bounds: Sequence[float], out: str) -> DataFrame:
+    cut = Bucketizer(splits=[-math.inf, *bounds, math.inf], inputCol=column, outputCol=out, handleInvalid="keep")
+    return cut.transform(df).withColumn(out, F.col(out).cast("int"))
 
 
 def prefix_sums(
@@ -94,7 +112,7 @@ def with_row_index(
     df: DataFrame, order: Sequence[str], by: Sequence[str] = (), out: str = "_idx", n_buckets: int | None = None
 ) -> DataFrame:
     """Dense 0-based position along ``order`` (whose last column must make it unique) within ``by``."""
-    bucketed = range_buckets(df, order[0], n_buckets)
+    bucketed = range_buckets(df, order[0], n_buckets, then=order[1] if len(order) > 1 else None)
     placed = prefix_sums(bucketed, order, {out: F.lit(1)}, by)
     return placed.withColumn(out, (F.col(out) - 1).cast("bigint")).drop(BUCKET)
 
@@ -135,6 +153,26 @@ def lagged(
     return with_lags.filter(~F.col("_halo")).drop("_chunk", "_halo")
 
 
+def previous(
+    df: DataFrame, columns: Mapping[str, str], order: Sequence[str], by: Sequence[str] = (), n_buckets: int | None = None
+) -> DataFrame:
+    """Add ``{out: column of the preceding row}`` along ``order`` within ``by``; NULL on the first row.
+
+    The lag runs inside (by, bucket); the first row of a bucket takes the last row of the key's
+    previous bucket from an edge table of one row per (key, bucket). A key that holds most of the
+    table is thereby spread over the buckets.
+    """
+    by = list(by)
+    rows = range_buckets(df, order[0], n_buckets, then=order[1] if len(order) > 1 else None)
+    value = F.struct(*[F.col(c).alias(o) for o, c in columns.items()])
+    edge = rows.groupBy(*by, BUCKET).agg(F.max_by(value, F.struct(*order)).alias("_edge"))
+    edge = edge.withColumn("_edge", F.lag("_edge").over(Window.partitionBy(*by).orderBy(BUCKET)))
+    local = Window.partitionBy(*by, BUCKET).orderBy(*order)
+    joined = rows.join(edge, [*by, BUCKET])
+    joined = joined.withColumn("_prev", F.coalesce(F.lag(value).over(local), F.col("_edge")))
+    return joined.withColumns({o: F.col(f"_prev.{o}") for o in columns}).drop("_prev", "_edge", BUCKET)
+
+
 def mid_ranks(df: DataFrame, value: str, group: str, n_buckets: int | None = None) -> DataFrame:
     """One row per (value, group): its count, the mid-rank of the value and the size of its tie.
 
