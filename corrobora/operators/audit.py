@@ -38,17 +38,17 @@ def join_loss_audit(fact: DataFrame, dim: DataFrame, key: str, measure: str) ->
 
 
 def left_report(
-    fact: DataFrame, period: Column, measure: Column, domain: Sequence, threshold: float = 0.9
+    fact: DataFrame, period: Column, measure: Column, domain: Sequence, threshold: float = 0.9, orphan: Column | None = None
 ) -> DataFrame:
-    """(period, total, share_of_mean, underperforming) over a fixed list of periods.
+    """(period, total, orphan_rows, share_of_mean, underperforming) over a fixed list of periods.
 
     Periods without rows count as 0, and the mean is over the whole list.
     """
-    spark = fact.sparkSession
-    sums = fact.groupBy(period.alias("period")).agg(F.sum(measure).alias("total"))
-    frame = spark.createDataFrame([(d,) for d in domain], "period string").join(sums, "period", "left")
-    frame = frame.withColumn("total", F.coalesce(F.col("total"), F.lit(0.0)))
-    mean = F.avg("total").over(Window.partitionBy())
+    orphan = F.lit(False) if orphan is None else orphan
+    sums = fact.groupBy(period.alias("period")).agg(F.sum(measure).alias("total"), F.count_if(orphan).alias("orphan_rows"))
+    frame = fact.sparkSession.createDataFrame([(d,) for d in domain], "period string").join(sums, "period", "left")
+    frame = frame.fillna({"total": 0.0, "orphan_rows": 0})
+    mean = F.avg("total").over(Window.partitionBy())  # one row per listed period
     return frame.withColumn("share_of_mean", F.col("total") / mean).withColumn(
         "underperforming", F.col("share_of_mean") < threshold
     )
