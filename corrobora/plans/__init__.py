@@ -1,4 +1,4 @@
 """Named queries over the standard tables."""
 
-from . import relational  # noqa: F401
+from . import inference, relational  # noqa: F401
 from .registry import ORACLE, QUERIES  # noqa: F401
