@@ -151,3 +151,15 @@ def attach_fit(df: DataFrame, fits: DataFrame, by: Sequence[str] = (), name: str
     if not by:
         return df.withColumn(name, fits.select("fit").scalar())
     return df.join(fits.select(*by, F.col("fit").alias(name)), list(by))
+
+
+def beside(left: DataFrame, right: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Summary rows of the same groups next to each other.
+
+    Without groups both sides are one row and meet on a constant key. (A scalar subquery would do
+    for plain expressions, but must not become the input of a Python function.)
+    """
+    if by:
+        return left.join(right, list(by))
+    key = F.lit(1).alias("_one")
+    return left.select("*", key).join(right.select("*", key), "_one").drop("_one")

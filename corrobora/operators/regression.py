@@ -16,7 +16,7 @@ from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, Stru
 
 from ..functions.scalars import hash_order
 from ..functions.tails import chi2_pvalue, t_sf2
-from .moments import attach_fit, coefficient_table, fit_linear, gram, predicted, solve
+from .moments import attach_fit, beside, coefficient_table, fit_linear, gram, predicted, solve
 from .scan import lagged, previous, with_halo, with_row_index
 
 FIT_COLUMNS = ("r2", "adj_r2", "sse", "sigma2", "df_resid", "f", "f_p", "condition")
@@ -227,7 +227,7 @@ def newey_west(
     meat = lagsum.groupBy(*by).agg(
         F.array(*[cells[min(i, j), max(i, j)] for i in range(size) for j in range(size)]).alias("meat")
     )
-    joined = attach_fit(meat, fits, by)
+    joined = beside(meat, fits.select(*by, F.col("fit").alias("_fit")), by)
     solved = joined.withColumn("_h", _sandwich("meat", "_fit"))
     names = F.array(*[F.lit(x) for x in ["const", *xs]])
     cols = [f.name for f in _HAC_TYPE.fields]
@@ -345,22 +345,22 @@ def adf(
     first = F.when(F.col("_idx") <= max_lag, F.struct("_idx", "_x"))
     head = shifted.groupBy(*by).agg(F.sort_array(F.collect_list(first)).alias("_head"))
     head = head.withColumn("head", F.transform("_head", lambda h: h["_x"])).drop("_head")
-    both = stats.join(head, list(by)) if by else stats.withColumn("head", head.scalar())
+    both = beside(stats, head, by)
     out = both.withColumn("_a", _adf(F.col("n").cast("double"), "means", "sscp", "head"))
     return out.select(*by, *[F.col(f"_a.{f.name}").alias(f.name) for f in _ADF_TYPE.fields])
 
 
 def stationarity_report(df: DataFrame, columns: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """Unit-root test of each column in levels and in first differences."""
-    diffs = differences(df, columns, order)
-    parts = []
-    for c in columns:
-        parts.append(adf(df, c, order).withColumns({"series": F.lit(c), "form": F.lit("level")}))
-        parts.append(adf(diffs, f"d_{c}", order).withColumns({"series": F.lit(c), "form": F.lit("difference")}))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.select("series", "form", "statistic", "p", "used_lag", "n_obs")
+    """Unit-root test of each column in levels and in first differences.
+
+    The columns become series of one long table, so all of them share the passes of one test.
+    """
+    cells = F.array(*[F.struct(F.lit(c).alias("series"), F.col(c).cast("double").alias("x")) for c in columns])
+    long = df.select(*order, F.explode(cells).alias("c")).select(*order, "c.series", "c.x")
+    levels = adf(long, "x", order, ["series"]).withColumn("form", F.lit("level"))
+    changes = adf(differences(long, ["x"], order, ["series"]), "d_x", order, ["series"])
+    both = levels.unionByName(changes.withColumn("form", F.lit("difference")))
+    return both.select("series", "form", "statistic", "p", "used_lag", "n_obs")
 
 
 # ---- resampling ---------------------------------------------------------------------------

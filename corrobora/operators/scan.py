@@ -169,8 +169,8 @@ def previous(
     edge = edge.withColumn("_edge", F.lag("_edge").over(Window.partitionBy(*by).orderBy(BUCKET)))
     local = Window.partitionBy(*by, BUCKET).orderBy(*order)
     joined = rows.join(edge, [*by, BUCKET])
-    joined = joined.withColumn("_prev", F.coalesce(F.lag(value).over(local), F.col("_edge")))
-    return joined.withColumns({o: F.col(f"_prev.{o}") for o in columns}).drop("_prev", "_edge", BUCKET)
+    joined = joined.withColumn("_preceding", F.coalesce(F.lag(value).over(local), F.col("_edge")))
+    return joined.withColumns({o: F.col(f"_preceding.{o}") for o in columns}).drop("_preceding", "_edge", BUCKET)
 
 
 def mid_ranks(df: DataFrame, value: str, group: str, n_buckets: int | None = None) -> DataFrame:
