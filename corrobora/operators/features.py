@@ -6,8 +6,10 @@ column expression or an equi-join.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.scalars import clip, hash_unit
@@ -64,16 +66,30 @@ def target_encode(df: DataFrame, category: str, target: str, row_id: Sequence[st
     return rows.join(table, [category, "fold"], "left")
 
 
+def training_quantiles(train: DataFrame, column: str, probs: Sequence[float]) -> list[float]:
+    """Exact quantiles as numbers: what a fitted transformer keeps, one value per probability."""
+    found = {r["prob"]: r["quantile"] for r in exact_quantiles(train, column, probs).select("prob", "quantile").collect()}
+    return [found[float(p)] for p in probs] if found else []
+
+
+def _position(df: DataFrame, column: str, knots: Sequence[float], out: str) -> DataFrame:
+    """Number of (distinct, ascending) knots at or below the value, by binary search in the JVM."""
+    source = df.withColumn("_x", F.col(column).cast("double"))
+    cut = Bucketizer(splits=[-math.inf, *knots, math.inf], inputCol="_x", outputCol=out, handleInvalid="keep")
+    placed = cut.transform(source).withColumn(out, F.when(F.col("_x").isNotNull(), F.col(out).cast("int")))
+    return placed.drop("_x")
+
+
 def quantile_bins(df: DataFrame, train: DataFrame, column: str, bins: int = 10, out: str | None = None) -> DataFrame:
-    """Bin number 0 .. bins-1 by the training quantiles; values outside fall into the end bins."""
-    probs = [i / bins for i in range(1, bins)]
-    q = exact_quantiles(train, column, probs)
-    cuts = q.agg(F.sort_array(F.collect_list(F.struct("prob", "quantile"))).alias("c")).scalar()
-    rows = df.withColumn("_cuts", cuts)
-    number = F.lit(0)
-    for i in range(bins - 1):
-        number = number + F.coalesce((F.col(column) >= F.col("_cuts")[i]["quantile"]).cast("int"), F.lit(0))
-    return rows.withColumn(out or f"{column}_bin", F.when(F.col(column).isNotNull(), number)).drop("_cuts")
+    """Bin number by the training quantiles; values outside fall into the end bins.
+
+    Equal quantiles (a value that fills whole bins) collapse to one cut, so the numbers stay dense.
+    """
+    cuts = sorted(set(training_quantiles(train, column, [i / bins for i in range(1, bins)])))
+    name = out or f"{column}_bin"
+    if not cuts:
+        return df.withColumn(name, F.when(F.col(column).isNotNull(), F.lit(0)))
+    return _position(df, column, cuts, name)
 
 
 # Wichura (1988) rational approximation of the normal quantile; fixed values, constant term first.
@@ -113,29 +129,27 @@ def normal_score(p: Column) -> Column:
 def quantile_to_normal(df: DataFrame, train: DataFrame, column: str, n_quantiles: int = 100, out: str | None = None) -> DataFrame:
     """Map a column to normal scores through the interpolated training distribution.
 
-    Knots are exact training quantiles (one scalar array); rows outside the training range sit at
-    the clipped ends, p in [1e-7, 1 - 1e-7].
+    Knots are exact training quantiles; a value that spans several knots takes the middle of its
+    span, and rows outside the training range sit at the clipped ends, p in [1e-7, 1 - 1e-7].
     """
     probs = [i / (n_quantiles - 1) for i in range(n_quantiles)]
-    q = exact_quantiles(train, column, probs)
-    knots = q.agg(F.sort_array(F.collect_list(F.struct("prob", "quantile"))).alias("k")).scalar()
-    rows = df.withColumn("_k", F.transform(knots, lambda s: s["quantile"]))
+    spans: dict[float, list[float]] = {}
+    for p, q in zip(probs, training_quantiles(train, column, probs)):
+        spans.setdefault(q, []).append(p)
+    knots = sorted(spans)
+    table = F.array(
+        *[F.struct(F.lit(k).alias("x"), F.lit(spans[k][0]).alias("first"), F.lit(spans[k][-1]).alias("last")) for k in knots]
+    )
+    rows = _position(df, column, knots, "_i")
     x = F.col(column).cast("double")
-    # last knot not above x, and for runs of equal knots the mean of both ends
-    below = F.size(F.filter("_k", lambda k: k <= x))
-    rows = rows.withColumns({"_hi": below, "_lo": F.size(F.filter("_k", lambda k: k < x))})
-    last = n_quantiles - 1
-
-    def forward(count: Column) -> Column:
-        i = F.greatest(F.least(count, F.lit(last)), F.lit(1))
-        left, right = F.element_at("_k", i), F.element_at("_k", i + 1)
-        frac = F.when(right > left, (x - left) / (right - left)).otherwise(F.lit(0.0))
-        return (i - 1 + F.greatest(F.least(frac, F.lit(1.0)), F.lit(0.0))) / last
-
-    p = (forward(F.col("_hi")) + forward(F.col("_lo"))) / 2
-    p = F.when(x <= F.col("_k")[0], F.lit(0.0)).when(x >= F.col("_k")[last], F.lit(1.0)).otherwise(p)
+    left, right = F.try_element_at(table, F.col("_i")), F.try_element_at(table, F.col("_i") + 1)
+    between = left["last"] + (x - left["x"]) / (right["x"] - left["x"]) * (right["first"] - left["last"])
+    p = (
+        F.when(x <= knots[0], F.lit(0.0)).when(x >= knots[-1], F.lit(1.0))
+        .when(x == left["x"], (left["first"] + left["last"]) / 2).otherwise(between)
+    )
     rows = rows.withColumn("_p", F.greatest(F.least(p, F.lit(1 - 1e-7)), F.lit(1e-7)))
-    return rows.withColumn(out or f"{column}_normal", normal_score(F.col("_p"))).drop("_k", "_hi", "_lo", "_p")
+    return rows.withColumn(out or f"{column}_normal", F.when(x.isNotNull(), normal_score(F.col("_p")))).drop("_i", "_p")
 
 
 def mutual_information(df: DataFrame, features: Sequence[str], target: str) -> DataFrame:

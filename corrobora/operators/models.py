@@ -46,7 +46,7 @@ def logistic(
     data = class_weights(train, label) if balanced else train.withColumn("weight", F.lit(1.0))
     model = LogisticRegression(
         featuresCol="features", labelCol=label, weightCol="weight", maxIter=max_iter,
-        regParam=1.0 / max(n, 1), elasticNetParam=0.0, standardization=False, tol=1e-8,
+        regParam=1.0 / max(n, 1), elasticNetParam=0.0, standardization=False, tol=1e-6,
     )
     return fit_on(data, [*feature_stages(numeric, nominal), model])
 

@@ -81,11 +81,11 @@ def step_counts(trajectories: DataFrame, key: Sequence[str], steps: str = "steps
     )
 
 
-def tool_usage(trajectories: DataFrame, steps: str = "steps") -> DataFrame:
+def tool_usage(trajectories: DataFrame, key: Sequence[str], steps: str = "steps") -> DataFrame:
     """(function_name, calls, trajectories)."""
-    flat = trajectories.select(F.monotonically_increasing_id().alias("_t"), F.explode(steps).alias("s"))
-    calls = flat.select("_t", F.explode("s.tool_calls").alias("c"))
-    per = calls.groupBy(F.col("c.function_name").alias("function_name"), "_t").agg(F.count("*").alias("n"))
+    flat = trajectories.select(*key, F.explode(steps).alias("s"))
+    calls = flat.select(*key, F.explode("s.tool_calls").alias("c"))
+    per = calls.groupBy(F.col("c.function_name").alias("function_name"), *key).agg(F.count("*").alias("n"))
     return per.groupBy("function_name").agg(F.sum("n").alias("calls"), F.count("*").alias("trajectories"))
 
 

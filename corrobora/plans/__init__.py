@@ -1,4 +1,4 @@
 """Named queries over the standard tables."""
 
-from . import inference, modelling, relational  # noqa: F401
+from . import inference, learning, modelling, quality, relational, series  # noqa: F401
 from .registry import ORACLE, QUERIES  # noqa: F401
