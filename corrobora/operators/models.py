@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
@@ -12,6 +11,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame, functions as F
 
+from ..session import staged
 from .features import class_weights
 
 
@@ -30,25 +30,22 @@ def feature_stages(numeric: Sequence[str], nominal: Sequence[str] = (), drop_las
 
 
 def fit_on(train: DataFrame, stages: list) -> PipelineModel:
-    """Fit with the training rows kept for the iterations (spilling to disk; lost blocks are recomputed)."""
-    kept = train.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        return Pipeline(stages=stages).fit(kept)
-    finally:
-        kept.unpersist()
+    """Fit on the training rows as a staged table: iterations read files, not the plan behind them."""
+    return Pipeline(stages=stages).fit(staged(train))
 
 
 def logistic(
-    train: DataFrame, label: str, numeric: Sequence[str], nominal: Sequence[str] = (), balanced: bool = False, max_iter: int = 100
+    train: DataFrame, label: str, numeric: Sequence[str], nominal: Sequence[str] = (), balanced: bool = False, max_iter: int = 100, tol: float = 1e-5
 ) -> PipelineModel:
     """L2-regularised logistic regression with unit penalty on the summed loss (1/n on the mean loss)."""
-    n = train.count()
-    data = class_weights(train, label) if balanced else train.withColumn("weight", F.lit(1.0))
+    rows = staged(train)
+    n = rows.count()
+    data = class_weights(rows, label) if balanced else rows.withColumn("weight", F.lit(1.0))
     model = LogisticRegression(
         featuresCol="features", labelCol=label, weightCol="weight", maxIter=max_iter,
-        regParam=1.0 / max(n, 1), elasticNetParam=0.0, standardization=False, tol=1e-6,
+        regParam=1.0 / max(n, 1), elasticNetParam=0.0, standardization=False, tol=tol,
     )
-    return fit_on(data, [*feature_stages(numeric, nominal), model])
+    return Pipeline(stages=[*feature_stages(numeric, nominal), model]).fit(data)
 
 
 def random_forest(train: DataFrame, label: str, numeric: Sequence[str], nominal: Sequence[str] = (), trees: int = 200, depth: int = 8, seed: int = 42) -> PipelineModel:

@@ -44,20 +44,18 @@ def gram(df: DataFrame, xs: Sequence[str], y: str, by: Sequence[str] = ()) -> Da
     """(by..., n, means[p+1], sscp[(p+1)^2]) of xs + [y], centred, over complete rows."""
     cols = [*xs, y]
     data = df.select(*by, *[F.col(c).cast("double").alias(c) for c in cols]).dropna(subset=cols)
-    pairs = {
-        (i, j): F.covar_pop(cols[i], cols[j]) * F.count("*") for i in range(len(cols)) for j in range(i, len(cols))
-    }
-    size = len(cols)
-    cells = [pairs[min(i, j), max(i, j)] for i in range(size) for j in range(size)]
+    q = [f"`{c}`" for c in cols]
+    # one expression text: the upper triangle is computed once, the lower refers to the same aggregate
+    cells = [f"covar_pop({q[min(i, j)]}, {q[max(i, j)]}) * count(1)" for i in range(len(q)) for j in range(len(q))]
     return data.groupBy(*by).agg(
         F.count("*").alias("n"),
-        F.array(*[F.avg(c) for c in cols]).alias("means"),
-        F.array(*cells).alias("sscp"),
+        F.expr(f"array({', '.join(f'avg({c})' for c in q)})").alias("means"),
+        F.expr(f"array({', '.join(cells)})").alias("sscp"),
     )
 
 
-_ARRAYS = ("coef", "se", "t", "p", "xtx_inv")
-_NUMBERS = ("r2", "adj_r2", "sse", "sigma2", "df_resid", "f", "f_p", "condition")
+_ARRAYS = ("coef", "se", "t", "p", "xtx_inv", "centre")
+_NUMBERS = ("rows", "r2", "adj_r2", "sse", "sigma2", "df_resid", "f", "f_p", "condition")
 FIT_TYPE = StructType(
     [StructField(name, ArrayType(DoubleType())) for name in _ARRAYS]
     + [StructField(name, DoubleType()) for name in _NUMBERS]
@@ -98,7 +96,7 @@ def _solve_one(n: float, means: np.ndarray, sscp: np.ndarray, ridge: float) -> d
     return {
         "coef": coef, "se": se, "t": t, "p": t_sf2(t, float(df)), "r2": r2, "adj_r2": adj, "sse": sse,
         "sigma2": sigma2, "df_resid": float(df), "f": f, "f_p": float(f_sf(f, p, df)) if np.isfinite(f) else np.nan,
-        "xtx_inv": xtx_inv.ravel(), "condition": float(np.linalg.cond(corr)) if p else 1.0,
+        "xtx_inv": xtx_inv.ravel(), "centre": mx, "rows": float(n), "condition": float(np.linalg.cond(corr)) if p else 1.0,
     }
 
 

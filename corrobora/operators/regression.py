@@ -16,6 +16,7 @@ from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, Stru
 
 from ..functions.scalars import hash_order
 from ..functions.tails import chi2_pvalue, t_sf2
+from ..session import parallelism
 from .moments import attach_fit, beside, coefficient_table, fit_linear, gram, predicted, solve
 from .scan import lagged, previous, with_halo, with_row_index
 
@@ -123,18 +124,18 @@ def cooks_distance(df: DataFrame, xs: Sequence[str], y: str) -> DataFrame:
     """Rows with leverage and Cook's distance, evaluated as row expressions."""
     size = len(xs) + 1
     fits = fit_linear(df, xs, y)
-    rows = df.dropna(subset=[*xs, y]).withColumn("_m", fits.select(F.struct("n", "fit")).scalar())
-    resid = F.col(y) - predicted(xs, F.col("_m.fit.coef"))
-    z: list[Column] = [F.lit(1.0), *[F.col(x).cast("double") for x in xs]]
-    inv = F.col("_m.fit.xtx_inv")
-    leverage = F.lit(0.0)
-    for i in range(size):
-        for j in range(i, size):
-            leverage = leverage + (1 if i == j else 2) * inv[i * size + j] * z[i] * z[j]
+    rows = df.dropna(subset=[*xs, y]).withColumn("_m", fits.select("fit").scalar())
+    resid = F.col(y) - predicted(xs, F.col("_m.coef"))
+    z: list[Column] = [F.col(x).cast("double") - F.col("_m.centre")[i] for i, x in enumerate(xs)]
+    inv = F.col("_m.xtx_inv")
+    leverage = 1 / F.col("_m.rows")
+    for i in range(len(xs)):
+        for j in range(i, len(xs)):
+            leverage = leverage + (1 if i == j else 2) * inv[(i + 1) * size + j + 1] * z[i] * z[j]
     rows = rows.withColumns({"resid": resid, "leverage": leverage})
     open_part = 1 - F.col("leverage")
-    d = F.col("resid") * F.col("resid") / (size * F.col("_m.fit.sigma2")) * F.col("leverage") / (open_part * open_part)
-    return rows.withColumns({"cooks_d": d, "_n": F.col("_m.n")}).drop("_m")
+    d = F.col("resid") * F.col("resid") / (size * F.col("_m.sigma2")) * F.col("leverage") / (open_part * open_part)
+    return rows.withColumns({"cooks_d": d, "_n": F.col("_m.rows")}).drop("_m")
 
 
 def influence_refit(df: DataFrame, xs: Sequence[str], y: str) -> DataFrame:
@@ -151,17 +152,21 @@ def influence_refit(df: DataFrame, xs: Sequence[str], y: str) -> DataFrame:
 
 # ---- ordered residuals --------------------------------------------------------------------
 
-def _ordered_residuals(df: DataFrame, xs: Sequence[str], y: str, order: Sequence[str], by: Sequence[str]) -> DataFrame:
+def _ordered_residuals(
+    df: DataFrame, xs: Sequence[str], y: str, order: Sequence[str], by: Sequence[str], n_buckets: int | None
+) -> DataFrame:
     rows = df.select(*dict.fromkeys([*by, *order, *xs, y])).dropna(subset=[*xs, y])
     fits = fit_linear(rows, xs, y, by)
-    placed = with_row_index(rows, order, by)
+    placed = with_row_index(rows, order, by, n_buckets=n_buckets)
     return residuals(placed, xs, y, by, fits)
 
 
-def durbin_watson(df: DataFrame, xs: Sequence[str], y: str, order: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+def durbin_watson(
+    df: DataFrame, xs: Sequence[str], y: str, order: Sequence[str], by: Sequence[str] = (), n_buckets: int | None = None
+) -> DataFrame:
     """(by..., n, dw): near 2 without serial correlation, near 0 with strong positive one."""
     rows = residuals(df.select(*dict.fromkeys([*by, *order, *xs, y])), xs, y, by)
-    e = previous(rows.drop("_fit"), {"_prev": "resid"}, order, by)
+    e = previous(rows.drop("_fit"), {"_prev": "resid"}, order, by, n_buckets)
     step = F.col("resid") - F.col("_prev")
     return e.groupBy(*by).agg(
         F.count("*").alias("n"), (F.sum(step * step) / F.sum(F.col("resid") * F.col("resid"))).alias("dw")
@@ -180,8 +185,13 @@ def _sandwich(meat: pd.Series, fit: pd.DataFrame) -> pd.DataFrame:
         f = fit.iloc[i]
         coef = np.asarray(f["coef"], float)
         k = len(coef)
-        bread = np.asarray(f["xtx_inv"], float).reshape(k, k)
-        cov = bread @ np.asarray(meat.iloc[i], float).reshape(k, k) @ bread
+        # scores are centred, so the bread is block-diagonal; the last step restores the intercept
+        bread = np.asarray(f["xtx_inv"], float).reshape(k, k).copy()
+        bread[0, :] = bread[:, 0] = 0.0
+        bread[0, 0] = 1.0 / f["rows"]
+        back = np.eye(k)
+        back[0, 1:] = -np.asarray(f["centre"], float)
+        cov = back @ bread @ np.asarray(meat.iloc[i], float).reshape(k, k) @ bread @ back.T
         se = np.sqrt(np.diag(cov))
         t = coef / se
         out.append((coef, f["se"], f["p"], se, t, t_sf2(t, f["df_resid"])))
@@ -196,6 +206,7 @@ def newey_west(
     by: Sequence[str] = (),
     max_lags: int | None = None,
     chunk_rows: int = 1 << 20,
+    n_buckets: int | None = None,
 ) -> DataFrame:
     """Coefficients with plain and autocorrelation-robust errors (Bartlett kernel, L = ceil(n^(1/4))).
 
@@ -207,12 +218,14 @@ def newey_west(
         # a single count decides the frame size; with several series the longest decides
         longest = df.dropna(subset=[*xs, y]).groupBy(*by).count().agg(F.max("count")).first()[0]
         max_lags = math.ceil((longest or 1) ** 0.25)
-    rows = _ordered_residuals(df, xs, y, order, by)
+    rows = _ordered_residuals(df, xs, y, order, by, n_buckets)
     fits = fit_linear(df, xs, y, by)
     placed = with_halo(rows, "_idx", before=max_lags, chunk_rows=max(chunk_rows, max_lags))
     # position inside the chunk keeps the weights exact far into a long series
     pos = (F.col("_idx") - F.col("_chunk") * max(chunk_rows, max_lags)).cast("double")
-    scores = {f"_u{i}": (F.lit(1.0) if i == 0 else F.col(xs[i - 1]).cast("double")) * F.col("resid") for i in range(size)}
+    scores = {"_u0": F.col("resid")}
+    for i, x in enumerate(xs):
+        scores[f"_u{i + 1}"] = (F.col(x).cast("double") - F.col("_fit.centre")[i]) * F.col("resid")
     placed = placed.withColumn("_pos", pos).withColumns(scores)
     frame = Window.partitionBy(*by, "_chunk").orderBy("_idx").rowsBetween(-max_lags, -1)
     moving = {}
@@ -237,18 +250,20 @@ def newey_west(
     )
 
 
-def differences(df: DataFrame, columns: Sequence[str], order: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+def differences(
+    df: DataFrame, columns: Sequence[str], order: Sequence[str], by: Sequence[str] = (), n_buckets: int | None = None
+) -> DataFrame:
     """First differences ``d_<c>``; the first row of each series is left out."""
     rows = df.select(*dict.fromkeys([*by, *order, *columns])).withColumn("_any", F.lit(True))
-    prev = previous(rows, {"_seen": "_any", **{f"_p_{c}": c for c in columns}}, order, by)
+    prev = previous(rows, {"_seen": "_any", **{f"_p_{c}": c for c in columns}}, order, by, n_buckets)
     out = prev.filter(F.col("_seen")).withColumns({f"d_{c}": F.col(c) - F.col(f"_p_{c}") for c in columns})
     return out.drop("_any", "_seen", *[f"_p_{c}" for c in columns])
 
 
-def difference_regression(df: DataFrame, x: str, y: str, order: Sequence[str]) -> DataFrame:
+def difference_regression(df: DataFrame, x: str, y: str, order: Sequence[str], n_buckets: int | None = None) -> DataFrame:
     """The same regression on levels and on first differences."""
     levels = fit_linear(df, [x], y).withColumn("model", F.lit("levels"))
-    changes = fit_linear(differences(df, [x, y], order), [f"d_{x}"], f"d_{y}").withColumn("model", F.lit("differences"))
+    changes = fit_linear(differences(df, [x, y], order, (), n_buckets), [f"d_{x}"], f"d_{y}").withColumn("model", F.lit("differences"))
     both = levels.unionByName(changes)
     return both.select(
         "model", "n", F.col("fit.coef")[1].alias("coef"), F.col("fit.se")[1].alias("se"),
@@ -325,7 +340,12 @@ def _adf(n: pd.Series, means: pd.Series, sscp: pd.Series, head: pd.Series) -> pd
 
 
 def adf(
-    df: DataFrame, value: str, order: Sequence[str], by: Sequence[str] = (), max_lag: int | None = None
+    df: DataFrame,
+    value: str,
+    order: Sequence[str],
+    by: Sequence[str] = (),
+    max_lag: int | None = None,
+    n_buckets: int | None = None,
 ) -> DataFrame:
     """Unit-root test with a constant; lag order by AIC up to ceil(12 (n/100)^(1/4)).
 
@@ -336,7 +356,7 @@ def adf(
     if max_lag is None:
         longest = rows.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
         max_lag = max(0, min(math.ceil(12 * (longest / 100) ** 0.25), longest // 2 - 2))
-    placed = with_row_index(rows, order, by).withColumn("_x", F.col(value).cast("double"))
+    placed = with_row_index(rows, order, by, n_buckets=n_buckets).withColumn("_x", F.col(value).cast("double"))
     shifted = lagged(placed, {f"_l{k}": ("_x", k) for k in range(1, max_lag + 2)}, by=by)
     level = lambda k: F.col("_x") if k == 0 else F.col(f"_l{k}")
     shifted = shifted.withColumns({f"_d{k}": level(k) - level(k + 1) for k in range(0, max_lag + 1)})
@@ -350,15 +370,17 @@ def adf(
     return out.select(*by, *[F.col(f"_a.{f.name}").alias(f.name) for f in _ADF_TYPE.fields])
 
 
-def stationarity_report(df: DataFrame, columns: Sequence[str], order: Sequence[str]) -> DataFrame:
+def stationarity_report(
+    df: DataFrame, columns: Sequence[str], order: Sequence[str], n_buckets: int | None = None
+) -> DataFrame:
     """Unit-root test of each column in levels and in first differences.
 
     The columns become series of one long table, so all of them share the passes of one test.
     """
     cells = F.array(*[F.struct(F.lit(c).alias("series"), F.col(c).cast("double").alias("x")) for c in columns])
     long = df.select(*order, F.explode(cells).alias("c")).select(*order, "c.series", "c.x")
-    levels = adf(long, "x", order, ["series"]).withColumn("form", F.lit("level"))
-    changes = adf(differences(long, ["x"], order, ["series"]), "d_x", order, ["series"])
+    levels = adf(long, "x", order, ["series"], n_buckets=n_buckets).withColumn("form", F.lit("level"))
+    changes = adf(differences(long, ["x"], order, ["series"], n_buckets), "d_x", order, ["series"], n_buckets=n_buckets)
     both = levels.unionByName(changes.withColumn("form", F.lit("difference")))
     return both.select("series", "form", "statistic", "p", "used_lag", "n_obs")
 
@@ -414,6 +436,10 @@ def bootstrap_ridge(
         for i, c in enumerate(cols)
     }
     centred = centred.withColumns(z).drop("_b")
+    cores = parallelism(df.sparkSession)
+    if centred.rdd.getNumPartitions() < cores:
+        # each row is about to be drawn ``replicates`` times: a table with few splits is spread first
+        centred = centred.repartition(cores)
     drawn = poisson_weights(centred, row_id, replicates, seed)
     w = F.col("w")
     pairs = {(i, j): F.sum(w * F.col(cols[i]) * F.col(cols[j])) for i in range(size) for j in range(i, size)}

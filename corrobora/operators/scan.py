@@ -42,7 +42,8 @@ def range_buckets(
     """Add a bucket that never decreases along ``order``; equal values share a bucket.
 
     The bounds come from one approximate-quantile pass over the one column; at most
-    ``n_buckets`` numbers reach the driver. A value that fills whole buckets by itself (it shows up
+    ``n_buckets`` numbers reach the driver. They only balance the work: any bounds give the same
+    result. ``n_buckets=1`` skips the pass, for tables already collapsed to calendar periods. A value that fills whole buckets by itself (it shows up
     as several bounds) would still land in one task: with ``then``, the next order column, its
     rows are split by the quantiles of that column, so the order (order, then) is kept.
     """
@@ -51,8 +52,7 @@ def range_buckets(
     bounds: list[float] = []
     hot: list[float] = []
     if n > 1:
-        found = keyed.approxQuantile("_sortable", [i / n for i in range(1, n)], 1.0 / (4 * n))
-        found = [b for b in found if b is not None and math.isfinite(b)]
+        found = _balanced_bounds(keyed, "_sortable", n)
         bounds = sorted(set(found))
         hot = sorted({b for b in bounds if found.count(b) > 1})
     if not bounds:
@@ -62,13 +62,28 @@ def range_buckets(
         # a hot value is the lower bound of its bucket, so its parts come before the rest of it
         bucketed = bucketed.withColumn("_then", sortable(df, then))
         is_hot = F.col("_sortable").isin(hot)
-        parts = bucketed.filter(is_hot).approxQuantile("_then", [i / n for i in range(1, n)], 1.0 / (4 * n))
+        parts = _balanced_bounds(bucketed.filter(is_hot), "_then", n)
         bucketed = _cut(bucketed, "_then", sorted(set(parts)), "_part")
         part = F.when(is_hot, F.col("_part")).otherwise(F.lit(n))
         bucketed = bucketed.withColumn(out, F.col(out) * (n + 1) + part).drop("_then", "_part")
     return bucketed.drop("_sortable")
 
 
+_SKETCH_GROUPS = 64
+
+
+def _balanced_bounds(df: DataFrame, column: str, n: int) -> list[float]:
+    """n - 1 approximate quantiles, merged in two levels so that no reducer meets all sketches."""
+    probs = [i / n for i in range(1, n)]
+    fine = [i / (2 * n) for i in range(2 * n + 1)]
+    rows = df.select(F.col(column)).filter(F.col(column).isNotNull() & ~F.isnan(column))
+    groups = rows.groupBy((F.spark_partition_id() % _SKETCH_GROUPS).alias("g")).agg(
+        F.percentile_approx(column, fine, 4 * n).alias("q")
+    )
+    merged = groups.select(F.explode("q").alias("q")).agg(F.percentile_approx("q", probs, 4 * n).alias("b")).first()
+    return [b for b in (merged["b"] or []) if math.isfinite(b)]
+
+
 def _cut(df: DataFrame, column: str, bounds: Sequence[float], out: str) -> DataFrame:
     cut = Bucketizer(splits=[-math.inf, *bounds, math.inf], inputCol=column, outputCol=out, handleInvalid="keep")
     return cut.transform(df).withColumn(out, F.col(out).cast("int"))

@@ -34,10 +34,12 @@ def resample(df: DataFrame, ts: str, value: str, unit: str = "month", by: Sequen
 
 # ---- change point -------------------------------------------------------------------------
 
-def break_scores(df: DataFrame, order: Sequence[str], value: str, min_size: int, by: Sequence[str] = ()) -> DataFrame:
+def break_scores(
+    df: DataFrame, order: Sequence[str], value: str, min_size: int, by: Sequence[str] = (), n_buckets: int | None = None
+) -> DataFrame:
     """Per admissible split position: means left and right of it and their distance."""
     rows = df.select(*dict.fromkeys([*by, *order, value])).filter(F.col(value).isNotNull())
-    cells = range_buckets(rows, order[0])
+    cells = range_buckets(rows, order[0], n_buckets, then=order[1] if len(order) > 1 else None)
     run = prefix_sums(cells, order, {"_n": F.lit(1), "_s": F.col(value).cast("double")}, by)
     total = rows.groupBy(*by).agg(F.count("*").alias("n"), F.sum(F.col(value).cast("double")).alias("_total"))
     if by:
@@ -56,9 +58,11 @@ def break_scores(df: DataFrame, order: Sequence[str], value: str, min_size: int,
     )
 
 
-def change_point(df: DataFrame, order: Sequence[str], value: str, min_size: int = 60, by: Sequence[str] = ()) -> DataFrame:
+def change_point(
+    df: DataFrame, order: Sequence[str], value: str, min_size: int = 60, by: Sequence[str] = (), n_buckets: int | None = None
+) -> DataFrame:
     """Split with the largest mean shift; the first one wins a tie, the middle when none is admissible."""
-    scored = break_scores(df, order, value, min_size, by)
+    scored = break_scores(df, order, value, min_size, by, n_buckets)
     best = scored.groupBy(*by).agg(
         F.max_by(
             F.struct("break_idx", F.col(order[0]).alias("break_at"), "left_mean", "right_mean", "score"),
@@ -77,10 +81,12 @@ def change_point(df: DataFrame, order: Sequence[str], value: str, min_size: int
     )
 
 
-def after_break(df: DataFrame, order: Sequence[str], value: str, min_size: int = 60) -> DataFrame:
+def after_break(
+    df: DataFrame, order: Sequence[str], value: str, min_size: int = 60, n_buckets: int | None = None
+) -> DataFrame:
     """Rows from the break on."""
-    at = change_point(df, order, value, min_size).select("break_idx").scalar()
-    placed = with_row_index(df, order)
+    at = change_point(df, order, value, min_size, (), n_buckets).select("break_idx").scalar()
+    placed = with_row_index(df, order, n_buckets=n_buckets)
     return placed.filter(F.col("_idx") >= at).drop("_idx")
 
 

@@ -26,7 +26,7 @@ bk AS MATERIALIZED (SELECT * FROM sc ORDER BY score DESC, i LIMIT 1)"""
     f"WITH {BREAK} SELECT n, i AS break_idx, date AS break_at, round(lm, 2) AS left_mean, round(rm, 2) AS right_mean, round(score, 2) AS score FROM bk",
 )
 def change_point(spark, d):
-    out = T.change_point(daily_orders(spark, d), ["date"], "sales", min_size=120)
+    out = T.change_point(daily_orders(spark, d), ["date"], "sales", min_size=120, n_buckets=1)
     return rounded(out, "left_mean", "right_mean", "score", digits=2)
 
 
@@ -39,7 +39,7 @@ def change_point(spark, d):
 )
 def change_point_by_series(spark, d):
     daily = table(spark, d, "events").groupBy("event_type", F.to_date("ts").alias("date")).agg(F.avg("value").alias("v"))
-    out = T.change_point(daily, ["date"], "v", min_size=5, by=["event_type"])
+    out = T.change_point(daily, ["date"], "v", min_size=5, by=["event_type"], n_buckets=1)
     return rounded(out.select("event_type", "n", "break_idx", "score"), "score")
 
 
@@ -66,7 +66,7 @@ def dow_month_effects(spark, d):
 def dow_month_forecast(spark, d):
     """Forecast of the days after the last one from the segment after the structural break."""
     daily = daily_orders(spark, d)
-    return T.calendar_forecast(T.after_break(daily, ["date"], "sales", 120), "date", "sales", 30)
+    return T.calendar_forecast(T.after_break(daily, ["date"], "sales", 120, n_buckets=1), "date", "sales", 30)
 
 
 @query(
