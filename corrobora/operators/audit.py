@@ -20,15 +20,18 @@ def orphans(fact: DataFrame, dim: DataFrame, key: str) -> DataFrame:
 def join_loss_audit(fact: DataFrame, dim: DataFrame, key: str, measure: str) -> DataFrame:
     """What an inner join would lose against the left join: rows, keys and the measure.
 
-    The dimension is reduced to its distinct keys, so duplicates there cannot inflate the totals.
+    The dimension is reduced to its distinct keys, so duplicates there cannot inflate the totals;
+    the fact table is summed per key before the join, so a hot key (or a third of the rows without
+    one) crosses the network as a single row per task.
     """
     keys = dim.select(key).distinct().withColumn("_hit", F.lit(True))
-    tagged = fact.select(key, measure).join(keys, key, "left")
+    per_key = fact.groupBy(key).agg(F.count("*").alias("_n"), F.sum(measure).alias("_m"))
+    tagged = per_key.join(keys, key, "left")
     hit = F.col("_hit").isNotNull()
+    part = lambda c, cond: F.coalesce(F.sum(F.when(cond, F.col(c))), F.lit(0))
     return tagged.agg(
-        F.count("*").alias("rows_left"), F.count_if(hit).alias("rows_inner"),
-        F.count_if(~hit).alias("rows_lost"), F.sum(measure).alias("measure_left"),
-        F.coalesce(F.sum(F.when(hit, F.col(measure))), F.lit(0)).alias("measure_inner"),
+        F.sum("_n").alias("rows_left"), part("_n", hit).alias("rows_inner"), part("_n", ~hit).alias("rows_lost"),
+        F.sum("_m").alias("measure_left"), part("_m", hit).alias("measure_inner"),
     ).withColumns(
         {
             "measure_lost": F.col("measure_left") - F.col("measure_inner"),
@@ -197,13 +200,13 @@ def drop_outliers_of_class(df: DataFrame, columns: Sequence[str], target: str, r
 def integer_categoricals(df: DataFrame, columns: Sequence[str] | None = None, max_levels: int = 50) -> DataFrame:
     """(column, distinct_values, categorical): integer columns with few distinct values are codes.
 
-    Column types come from the schema; distinct counts are the approximate sketch unless the
-    sketch is near the limit, so no column is expanded into an exact distinct set.
+    Column types come from the schema. The sketch is exact for the few levels that matter and
+    stays small for a key column, which an exact distinct count would have to shuffle.
     """
     whole = (IntegerType, LongType, ShortType)
     names = [f.name for f in df.schema.fields if isinstance(f.dataType, whole) and (columns is None or f.name in columns)]
     row = df.agg(
-        F.array(*[F.struct(F.lit(c).alias("column"), F.approx_count_distinct(c, 0.01).alias("distinct_values")) for c in names]).alias("r")
+        F.array(*[F.struct(F.lit(c).alias("column"), F.hll_sketch_estimate(F.hll_sketch_agg(F.col(c).cast("bigint"), F.lit(12))).alias("distinct_values")) for c in names]).alias("r")
     )
     return row.select(F.explode("r").alias("r")).select("r.*").withColumn("categorical", F.col("distinct_values") <= max_levels)
 
@@ -267,7 +270,7 @@ def profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         stats.append(
             F.struct(
                 F.lit(c).alias("column"), F.count("*").alias("rows"), F.avg(F.col(c).isNull().cast("double")).alias("missing_rate"),
-                F.approx_count_distinct(c, 0.02).alias("distinct_sketch"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std_sample"),
+                F.approx_count_distinct(c).alias("distinct_sketch"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std_sample"),
                 F.stddev_pop(v).alias("std_population"), F.min(v).alias("min"), F.max(v).alias("max"),
             )
         )

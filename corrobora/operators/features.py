@@ -13,6 +13,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.scalars import clip, hash_unit
+from ..session import small_side
 from .moments import attach_fit, fit_linear, predicted
 from .order_stats import exact_quantiles
 
@@ -42,7 +43,7 @@ def ordinal(column: Column | str, order: Sequence[str]) -> Column:
 def pool_rare(df: DataFrame, train: DataFrame, column: str, min_count: int = 10, out: str | None = None) -> DataFrame:
     """Category if frequent in training, 'infrequent' if seen there but rare, NULL if unseen."""
     counts = train.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("_n"))
-    joined = df.join(counts, column, "left")
+    joined = df.join(small_side(counts), column, "left")
     kept = F.when(F.col("_n") >= min_count, F.col(column)).when(F.col("_n").isNotNull(), F.lit("infrequent"))
     return joined.withColumn(out or f"{column}_pooled", kept).drop("_n")
 
@@ -197,4 +198,4 @@ def class_weights(df: DataFrame, target: str, out: str = "weight") -> DataFrame:
     counts = df.groupBy(target).agg(F.count("*").alias("_c"))
     total = counts.agg(F.struct(F.sum("_c").alias("n"), F.count("*").alias("k"))).scalar()
     table = counts.withColumn("_t", total).select(target, (F.col("_t.n") / (F.col("_t.k") * F.col("_c"))).alias(out))
-    return df.join(table, target, "left")
+    return df.join(small_side(table), target, "left")

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from ..functions.tails import chi2_pvalue, f_pvalue, normal_pvalue, t_pvalue
+from ..session import small_side
 from .moments import group_moments
 from .order_stats import exact_median
 from .scan import mid_ranks, prefix_sums, range_buckets
@@ -134,7 +135,7 @@ def welch_anova(df: DataFrame, value: str, group: str, by: Sequence[str] = ()) -
 def levene(df: DataFrame, value: str, group: str, n_buckets: int | None = None) -> DataFrame:
     """Equal-variance test on absolute deviations from the exact group median."""
     medians = exact_median(df, value, [group], n_buckets).select(group, "median")
-    dev = df.select(group, value).join(medians, group).withColumn("_dev", F.abs(F.col(value) - F.col("median")))
+    dev = df.select(group, value).join(small_side(medians), group).withColumn("_dev", F.abs(F.col(value) - F.col("median")))
     return anova(dev, "_dev", group)
 
 
@@ -409,7 +410,7 @@ def normality(df: DataFrame, value: str, group: str, limit: int = SHAPIRO_LIMIT)
     schema = StructType(
         [key, StructField("n", LongType()), StructField("statistic", DoubleType()), StructField("p", DoubleType())]
     )
-    exact = rows.join(small, group, "left_semi").groupBy(group).applyInPandas(one, schema)
+    exact = rows.join(small_side(small), group, "left_semi").groupBy(group).applyInPandas(one, schema)
     exact = exact.withColumn("test", F.lit("shapiro-wilk"))
     large = jb.filter(F.col("n") > limit).select(
         group, "n", F.col("jb").alias("statistic"), "p", F.lit("jarque-bera").alias("test")

@@ -15,6 +15,7 @@ from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from ..functions.scalars import as_col
 from ..functions.tails import f_sf, t_sf2
+from ..session import small_side
 
 
 def group_moments(df: DataFrame, value: Column | str, by: Sequence[str] = ()) -> DataFrame:
@@ -148,7 +149,7 @@ def attach_fit(df: DataFrame, fits: DataFrame, by: Sequence[str] = (), name: str
     """Fit of each row's group next to the row: a scalar subquery, or an equi-join when grouped."""
     if not by:
         return df.withColumn(name, fits.select("fit").scalar())
-    return df.join(fits.select(*by, F.col("fit").alias(name)), list(by))
+    return df.join(small_side(fits.select(*by, F.col("fit").alias(name))), list(by))
 
 
 def beside(left: DataFrame, right: DataFrame, by: Sequence[str] = ()) -> DataFrame:

@@ -191,35 +191,34 @@ def keyword_hits(spark, d):
 
 
 def trajectories(spark, d):
-    """Events as nested trajectories: one document per user with an ordered array of steps."""
+    """Events as nested trajectories: 64 consecutive events make one document, so none grows with the table."""
     e = table(spark, d, "events")
     calls = F.when(F.col("event_type") == "click", F.array(F.struct(F.col("event_id").cast("string").alias("tool_call_id"), F.concat(F.lit("f"), F.get_json_object("props", "$.k")).alias("function_name"))))
     step = F.struct(
         F.col("event_id").alias("step_id"), F.when(F.col("event_type") == "error", F.lit("user")).otherwise(F.lit("agent")).alias("source"),
         F.col("event_type").alias("message"), calls.alias("tool_calls"),
     )
-    # one document per user and day: a trajectory is bounded by what one session can do
-    return e.groupBy("user_id", F.to_date("ts").alias("day")).agg(F.array_sort(F.collect_list(step)).alias("steps"))
+    return e.groupBy(F.floor(F.col("event_id") / 64).alias("doc")).agg(F.array_sort(F.collect_list(step)).alias("steps"))
 
 
 @query(
     "nested_steps",
-    """SELECT user_id, ts::DATE AS day, count(*)::INT AS steps, (count(*) FILTER (WHERE event_type <> 'error'))::INT AS agent_steps, (count(*) FILTER (WHERE event_type = 'click'))::INT AS tool_calls,
+    """SELECT event_id // 64 AS doc, count(*)::INT AS steps, (count(*) FILTER (WHERE event_type <> 'error'))::INT AS agent_steps, (count(*) FILTER (WHERE event_type = 'click'))::INT AS tool_calls,
     arg_max(event_type, event_id) FILTER (WHERE event_type <> 'error') AS last_said FROM events GROUP BY ALL""",
 )
 def nested_steps(spark, d):
     t = trajectories(spark, d)
-    counts = L.step_counts(t.withColumn("last_said", L.last_message_of("steps", "agent")), ["user_id", "day", "last_said"])
+    counts = L.step_counts(t.withColumn("last_said", L.last_message_of("steps", "agent")), ["doc", "last_said"])
     return counts
 
 
 @query(
     "tool_usage",
-    """WITH c AS (SELECT 'f' || json_extract_string(props, '$.k') AS f, user_id, ts::DATE AS day FROM events WHERE event_type = 'click')
-    SELECT f AS function_name, count(*) AS calls, count(DISTINCT (user_id, day)) AS trajectories FROM c GROUP BY 1""",
+    """WITH c AS (SELECT 'f' || json_extract_string(props, '$.k') AS f, event_id // 64 AS doc FROM events WHERE event_type = 'click')
+    SELECT f AS function_name, count(*) AS calls, count(DISTINCT doc) AS trajectories FROM c GROUP BY 1""",
 )
 def tool_usage(spark, d):
-    return L.tool_usage(trajectories(spark, d), ["user_id", "day"])
+    return L.tool_usage(trajectories(spark, d), ["doc"])
 
 
 @query(
@@ -238,13 +237,15 @@ def usage_totals(spark, d):
 
 @query(
     "reward_distribution",
-    f"""WITH {TRIALS} SELECT task AS job, reward, count(*) AS trials FROM tr GROUP BY ALL""",
+    f"""WITH {TRIALS} SELECT 'job' || (trial // 60) AS job, reward, count(*) AS trials FROM tr GROUP BY ALL""",
 )
 def reward_distribution(spark, d):
     rows, _ = trials(spark, d)
     scored = L.with_missing_trials(rows.filter("reward IS NOT NULL"), rows)
-    lists = scored.groupBy("task", "reward").agg(F.collect_list(F.col("trial").cast("string")).alias("names"))
-    jobs = lists.groupBy(F.col("task").alias("job")).agg(F.map_from_entries(F.collect_list(F.struct("reward", "names"))).alias("reward"))
+    # a job document lists at most 60 trials
+    job = F.concat(F.lit("job"), F.floor(F.col("trial") / 60))
+    lists = scored.groupBy(job.alias("job"), "reward").agg(F.collect_list(F.col("trial").cast("string")).alias("names"))
+    jobs = lists.groupBy("job").agg(F.map_from_entries(F.collect_list(F.struct("reward", "names"))).alias("reward"))
     return L.reward_distribution(jobs)
 
 

@@ -61,5 +61,16 @@ def staged(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_side(df: DataFrame, limit: int = 10_000) -> DataFrame:
+    """A summary table as local rows if it has at most ``limit`` of them, else unchanged.
+
+    The planner knows the size of local rows, so a join with them needs no shuffle of the large
+    side; a summary that outgrew the limit joins the ordinary way. At most ``limit`` + 1 rows are
+    fetched to find out.
+    """
+    rows = df.limit(limit + 1).collect()
+    return df if len(rows) > limit else df.sparkSession.createDataFrame(rows, df.schema)
+
+
 def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
