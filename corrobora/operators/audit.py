@@ -49,7 +49,8 @@ def left_report(
     """
     orphan = F.lit(False) if orphan is None else orphan
     sums = fact.groupBy(period.alias("period")).agg(F.sum(measure).alias("total"), F.count_if(orphan).alias("orphan_rows"))
-    frame = fact.sparkSession.createDataFrame([(d,) for d in domain], "period string").join(sums, "period", "left")
+    listed = fact.sparkSession.range(1).select(F.explode(F.array(*[F.lit(d) for d in domain])).alias("period"))
+    frame = listed.join(sums, "period", "left")
     frame = frame.fillna({"total": 0.0, "orphan_rows": 0})
     mean = F.avg("total").over(Window.partitionBy())  # one row per listed period
     return frame.withColumn("share_of_mean", F.col("total") / mean).withColumn(

@@ -15,7 +15,7 @@ from ..functions.tails import chi2_pvalue, f_pvalue, normal_pvalue, t_pvalue
 from ..session import small_side
 from .moments import group_moments
 from .order_stats import exact_median
-from .scan import mid_ranks, prefix_sums, range_buckets
+from .scan import collapsed_buckets, mid_ranks, prefix_sums
 
 
 # ---- two samples -------------------------------------------------------------------------
@@ -176,7 +176,7 @@ def pairwise_mann_whitney(
         .agg(*[F.count_if(F.col(group) == g).alias(f"c{i}") for i, g in enumerate(groups)])
     )
     cells = prefix_sums(
-        range_buckets(wide, value, n_buckets), [value], {f"u{i}": F.col(f"c{i}") for i in range(k)}
+        collapsed_buckets(wide, value, n_buckets), [value], {f"u{i}": F.col(f"c{i}") for i in range(k)}
     )
     pairs = [(i, j) for i in range(k) for j in range(i + 1, k)]
     c = lambda i: F.col(f"c{i}").cast("double")

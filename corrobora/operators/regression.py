@@ -16,7 +16,7 @@ from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, Stru
 
 from ..functions.scalars import hash_order
 from ..functions.tails import chi2_pvalue, t_sf2
-from ..session import parallelism
+from ..session import parallelism, small_side
 from .moments import attach_fit, beside, coefficient_table, fit_linear, gram, predicted, solve
 from .scan import lagged, previous, with_halo, with_row_index
 
@@ -113,17 +113,17 @@ def residuals(df: DataFrame, xs: Sequence[str], y: str, by: Sequence[str] = (),
 
 def breusch_pagan(df: DataFrame, xs: Sequence[str], y: str, ridge_alpha: float = 0.0) -> DataFrame:
     """Lagrange-multiplier test of constant residual variance."""
-    fits = fit_linear(df, xs, y, ridge=ridge_alpha)
+    fits = small_side(fit_linear(df, xs, y, ridge=ridge_alpha))
     rows = residuals(df, xs, y, fits=fits).withColumn("_e2", F.col("resid") * F.col("resid"))
     aux = fit_linear(rows, xs, "_e2")
     out = aux.select("n", (F.col("n") * F.col("fit.r2")).alias("lm"), F.col("fit.f").alias("f"), F.col("fit.f_p").alias("f_p"))
     return out.withColumn("p", chi2_pvalue(F.col("lm"), len(xs)))
 
 
-def cooks_distance(df: DataFrame, xs: Sequence[str], y: str) -> DataFrame:
+def cooks_distance(df: DataFrame, xs: Sequence[str], y: str, fits: DataFrame | None = None) -> DataFrame:
     """Rows with leverage and Cook's distance, evaluated as row expressions."""
     size = len(xs) + 1
-    fits = fit_linear(df, xs, y)
+    fits = fits if fits is not None else fit_linear(df, xs, y)
     rows = df.dropna(subset=[*xs, y]).withColumn("_m", fits.select("fit").scalar())
     resid = F.col(y) - predicted(xs, F.col("_m.coef"))
     z: list[Column] = [F.col(x).cast("double") - F.col("_m.centre")[i] for i, x in enumerate(xs)]
@@ -140,23 +140,22 @@ def cooks_distance(df: DataFrame, xs: Sequence[str], y: str) -> DataFrame:
 
 def influence_refit(df: DataFrame, xs: Sequence[str], y: str) -> DataFrame:
     """Coefficients on all rows and without rows of Cook's distance above 4/n."""
-    rows = cooks_distance(df, xs, y)
-    kept = rows.filter(F.col("cooks_d") <= 4 / F.col("_n"))
+    first = small_side(fit_linear(df, xs, y))
+    kept = cooks_distance(df, xs, y, first).filter(F.col("cooks_d") <= 4 / F.col("_n"))
+    second = fit_linear(kept, xs, y)
 
-    def table(data: DataFrame, label: str) -> DataFrame:
-        fits = fit_linear(data, xs, y)
+    def table(fits: DataFrame, label: str) -> DataFrame:
         return coefficient_table(fits, xs, ["n"]).withColumn("model", F.lit(label))
 
-    return table(df, "all").unionByName(table(kept, "without_influential"))
+    return table(first, "all").unionByName(table(second, "without_influential"))
 
 
 # ---- ordered residuals --------------------------------------------------------------------
 
 def _ordered_residuals(
-    df: DataFrame, xs: Sequence[str], y: str, order: Sequence[str], by: Sequence[str], n_buckets: int | None
+    df: DataFrame, fits: DataFrame, xs: Sequence[str], y: str, order: Sequence[str], by: Sequence[str], n_buckets: int | None
 ) -> DataFrame:
     rows = df.select(*dict.fromkeys([*by, *order, *xs, y])).dropna(subset=[*xs, y])
-    fits = fit_linear(rows, xs, y, by)
     placed = with_row_index(rows, order, by, n_buckets=n_buckets)
     return residuals(placed, xs, y, by, fits)
 
@@ -165,7 +164,7 @@ def durbin_watson(
     df: DataFrame, xs: Sequence[str], y: str, order: Sequence[str], by: Sequence[str] = (), n_buckets: int | None = None
 ) -> DataFrame:
     """(by..., n, dw): near 2 without serial correlation, near 0 with strong positive one."""
-    rows = residuals(df.select(*dict.fromkeys([*by, *order, *xs, y])), xs, y, by)
+    rows = residuals(df.select(*dict.fromkeys([*by, *order, *xs, y])), xs, y, by, small_side(fit_linear(df, xs, y, by)))
     e = previous(rows.drop("_fit"), {"_prev": "resid"}, order, by, n_buckets)
     step = F.col("resid") - F.col("_prev")
     return e.groupBy(*by).agg(
@@ -214,12 +213,12 @@ def newey_west(
     the number of columns does not grow with the number of lags.
     """
     size = len(xs) + 1
+    fits = small_side(fit_linear(df, xs, y, by))
     if max_lags is None:
-        # a single count decides the frame size; with several series the longest decides
-        longest = df.dropna(subset=[*xs, y]).groupBy(*by).count().agg(F.max("count")).first()[0]
+        # the series length decides the frame size; with several series the longest decides
+        longest = fits.agg(F.max("fit.rows")).first()[0]
         max_lags = math.ceil((longest or 1) ** 0.25)
-    rows = _ordered_residuals(df, xs, y, order, by, n_buckets)
-    fits = fit_linear(df, xs, y, by)
+    rows = _ordered_residuals(df, fits, xs, y, order, by, n_buckets)
     placed = with_halo(rows, "_idx", before=max_lags, chunk_rows=max(chunk_rows, max_lags))
     # position inside the chunk keeps the weights exact far into a long series
     pos = (F.col("_idx") - F.col("_chunk") * max(chunk_rows, max_lags)).cast("double")
@@ -387,7 +386,8 @@ def stationarity_report(
 
 # ---- resampling ---------------------------------------------------------------------------
 
-# Cumulative Poisson(1) probabilities P(W <= k), k = 0, 1, 2 ...
+# Cumulative Poisson(1) probabilities P(W <= k), k = 0, 1, 2 ...; a draw of 32 bits is compared in
+# hexadecimal, where text of equal length sorts like the number
 _POISSON_CDF = [sum(math.exp(-1) / math.factorial(i) for i in range(k + 1)) for k in range(9)]
 
 
@@ -404,16 +404,18 @@ def poisson_weights(df: DataFrame, row_id: Sequence[str], replicates: int, seed:
         *[
             F.struct(
                 (F.col("_block") * 4 + i).alias("rep"),
-                F.conv(F.substring("_h", 1 + 8 * i, 8), 16, 10).cast("double").alias("bits"),
+                F.substring("_h", 1 + 8 * i, 8).alias("u"),
             )
             for i in range(4)
         ]
     )
-    flat = spread.withColumn("_r", F.explode(draws)).withColumns({"rep": F.col("_r.rep"), "_u": F.col("_r.bits") / 4294967296.0})
-    weight = F.lit(0)
-    for c in _POISSON_CDF:
-        weight = weight + (F.col("_u") >= c).cast("int")
-    return flat.withColumn("w", weight).filter((F.col("w") > 0) & (F.col("rep") < replicates)).drop("_block", "_h", "_r", "_u")
+    flat = spread.withColumn("_r", F.explode(draws)).withColumns({"rep": F.col("_r.rep"), "_u": F.col("_r.u")})
+    steps = [f"{math.ceil(c * 2**32):08x}" for c in _POISSON_CDF if c * 2**32 <= 2**32 - 1]
+    drawn = flat.filter((F.col("_u") >= steps[0]) & (F.col("rep") < replicates))
+    weight = F.lit(1)
+    for s in steps[1:]:
+        weight = weight + (F.col("_u") >= s).cast("int")
+    return drawn.withColumn("w", weight).drop("_block", "_h", "_r", "_u")
 
 
 def bootstrap_ridge(

@@ -21,7 +21,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.scalars import as_col
-from ..session import parallelism
+from ..session import parallelism, staged
 
 BUCKET = "_bucket"
 
@@ -69,6 +69,21 @@ def range_buckets(
     return bucketed.drop("_sortable")
 
 
+_ROWS_PER_BUCKET = 50_000
+
+
+def collapsed_buckets(counts: DataFrame, order: str, n_buckets: int | None = None) -> DataFrame:
+    """Buckets of a table already grouped to one row per value.
+
+    The grouping is the pass over the raw rows; its result is staged so that the bounds, the bucket
+    totals and the windows read the small table and not the raw rows again. As many buckets as its
+    size calls for, one (and no bounds pass) when it is small.
+    """
+    table = staged(counts)
+    n = n_buckets or min(parallelism(counts.sparkSession), math.ceil(table.count() / _ROWS_PER_BUCKET) or 1)
+    return range_buckets(table, order, n)
+
+
 _SKETCH_GROUPS = 64
 
 
@@ -194,7 +209,7 @@ def mid_ranks(df: DataFrame, value: str, group: str, n_buckets: int | None = Non
     The table is collapsed to counts per value before anything is ordered.
     """
     counts = df.filter(F.col(value).isNotNull()).groupBy(value, group).agg(F.count("*").alias("cnt"))
-    cells = range_buckets(counts, value, n_buckets)
+    cells = collapsed_buckets(counts, value, n_buckets)
     # the join on (bucket) and this frame share the bucket partitioning
     cum = prefix_sums(cells, [value], {"_upto": F.col("cnt")}, ties="range")
     tie = F.sum("cnt").over(Window.partitionBy(BUCKET, value))

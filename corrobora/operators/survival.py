@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.tails import chi2_pvalue
 from .hypothesis import two_sample
 from .order_stats import exact_median
-from .scan import prefix_sums, range_buckets
+from .scan import collapsed_buckets, prefix_sums
 
 
 def event_flag(status: Column | str, code) -> Column:
@@ -22,7 +22,7 @@ def life_table(df: DataFrame, time: str, event: str, arm: str, n_buckets: int |
         F.sum(F.col(event).cast("bigint")).alias("events"), F.count("*").alias("_n")
     )
     risk = prefix_sums(
-        range_buckets(counts, time, n_buckets), [time], {"at_risk": F.col("_n")}, by=[arm], reverse=True
+        collapsed_buckets(counts, time, n_buckets), [time], {"at_risk": F.col("_n")}, by=[arm], reverse=True
     )
     return risk.withColumn("censored", F.col("_n") - F.col("events")).drop("_n")
 
@@ -58,7 +58,7 @@ def logrank(df: DataFrame, time: str, event: str, arm: str, a, b, n_buckets: int
         F.count("*").alias("c"), F.count_if(in_arm).alias("c_a"),
     )
     risk = prefix_sums(
-        range_buckets(counts, time, n_buckets), [time], {"n": F.col("c"), "n_a": F.col("c_a")}, reverse=True
+        collapsed_buckets(counts, time, n_buckets), [time], {"n": F.col("c"), "n_a": F.col("c_a")}, reverse=True
     )
     n, na, dd = (F.col(c).cast("double") for c in ("n", "n_a", "d"))
     share = na / n

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..operators import expectations as E
 from ..operators import runlogs as L
+from ..session import staged
 from ..sources.readers import table
 from ..sources.sinks import keyed_map, markdown_table, report_json
 from .inference import rounded
@@ -19,7 +20,7 @@ _COLS = [*MERGE_COLUMNS, "source", "source_tz"]
 
 def merge_report(spark, d):
     """All checks of the merged transactions in one report."""
-    merged = merged_orders(spark, d)
+    merged = staged(merged_orders(spark, d))  # checks look at a written output
     orders = table(spark, d, "orders")
     keys = orders.select(F.col("o_orderkey").alias("transaction_id"))
     expected = keys.distinct().agg(F.count("*"))

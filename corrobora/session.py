@@ -52,11 +52,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def staged(df: DataFrame) -> DataFrame:
     """The same rows as a written table in the shared folder.
 
-    For inputs of iterative work: every pass reads files instead of recomputing (and shipping) the
-    whole plan, and a lost executor costs one re-read.
+    For inputs of iterative work and for collapsed tables that several passes read: every pass
+    reads files instead of recomputing (and shipping) the whole plan, and a lost executor costs one
+    re-read. Files lie under ``staged/<application id>`` and can go when the application is over.
     """
     spark = df.sparkSession
-    path = os.path.join(shared_dir(spark), "staged", uuid.uuid4().hex)
+    path = os.path.join(shared_dir(spark), "staged", spark.sparkContext.applicationId, uuid.uuid4().hex)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -68,8 +69,8 @@ def small_side(df: DataFrame, limit: int = 10_000) -> DataFrame:
     side; a summary that outgrew the limit joins the ordinary way. At most ``limit`` + 1 rows are
     fetched to find out.
     """
-    rows = df.limit(limit + 1).collect()
-    return df if len(rows) > limit else df.sparkSession.createDataFrame(rows, df.schema)
+    rows = df.limit(limit + 1).toArrow()
+    return df if rows.num_rows > limit else df.sparkSession.createDataFrame(rows, df.schema)
 
 
 def parallelism(spark: SparkSession) -> int:
