@@ -29,9 +29,12 @@ def feature_stages(numeric: Sequence[str], nominal: Sequence[str] = (), drop_las
     return stages
 
 
-def fit_on(train: DataFrame, stages: list) -> PipelineModel:
-    """Fit on the training rows as a staged table: iterations read files, not the plan behind them."""
-    return Pipeline(stages=stages).fit(staged(train))
+def fit_on(train: DataFrame, stages: list, row_id: Sequence[str] = ()) -> PipelineModel:
+    """Fit on the training rows as a staged table: iterations read files, not the plan behind them.
+
+    With ``row_id`` the rows get a fixed place, so that seeded bagging draws the same rows each run.
+    """
+    return Pipeline(stages=stages).fit(staged(train, row_id))
 
 
 def logistic(
@@ -48,14 +51,14 @@ def logistic(
     return Pipeline(stages=[*feature_stages(numeric, nominal), model]).fit(data)
 
 
-def random_forest(train: DataFrame, label: str, numeric: Sequence[str], nominal: Sequence[str] = (), trees: int = 200, depth: int = 8, seed: int = 42) -> PipelineModel:
+def random_forest(train: DataFrame, label: str, numeric: Sequence[str], nominal: Sequence[str] = (), trees: int = 200, depth: int = 8, seed: int = 42, row_id: Sequence[str] = ()) -> PipelineModel:
     model = RandomForestClassifier(featuresCol="features", labelCol=label, numTrees=trees, maxDepth=depth, seed=seed)
-    return fit_on(train, [*feature_stages(numeric, nominal), model])
+    return fit_on(train, [*feature_stages(numeric, nominal), model], row_id)
 
 
-def boosted_trees(train: DataFrame, label: str, numeric: Sequence[str], nominal: Sequence[str] = (), rounds: int = 100, depth: int = 3, step: float = 0.1, seed: int = 42) -> PipelineModel:
+def boosted_trees(train: DataFrame, label: str, numeric: Sequence[str], nominal: Sequence[str] = (), rounds: int = 100, depth: int = 3, step: float = 0.1, seed: int = 42, row_id: Sequence[str] = ()) -> PipelineModel:
     model = GBTClassifier(featuresCol="features", labelCol=label, maxIter=rounds, maxDepth=depth, stepSize=step, seed=seed)
-    return fit_on(train, [*feature_stages(numeric, nominal), model])
+    return fit_on(train, [*feature_stages(numeric, nominal), model], row_id)
 
 
 def linear(train: DataFrame, target: str, numeric: Sequence[str], nominal: Sequence[str] = ()) -> PipelineModel:

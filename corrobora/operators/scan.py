@@ -56,7 +56,8 @@ def range_buckets(
         bounds = sorted(set(found))
         hot = sorted({b for b in bounds if found.count(b) > 1})
     if not bounds:
-        return keyed.drop("_sortable").withColumn(out, F.lit(0))
+        # one bucket; computed from the row so that joins on it stay equi-joins
+        return keyed.withColumn(out, F.pmod(F.hash("_sortable"), F.lit(1))).drop("_sortable")
     bucketed = _cut(keyed, "_sortable", bounds, out)
     if hot and then is not None and dict(df.dtypes)[then] != "string":
         # a hot value is the lower bound of its bucket, so its parts come before the rest of it

@@ -223,14 +223,14 @@ def class_predictions(spark, d):
 @query("rf_importance")
 def rf_importance(spark, d):
     train, _ = sides(document_features(spark, d))
-    model = ML.random_forest(train, "quality", NUMERIC, ["lang"], trees=20, depth=5)
+    model = ML.random_forest(train, "quality", NUMERIC, ["lang"], trees=20, depth=5, row_id=["doc_id"])
     return rounded(ML.importances(model, train), "importance").filter("rank <= 5")
 
 
 @query("gbt_model")
 def gbt_model(spark, d):
     train, test = sides(document_features(spark, d))
-    model = ML.boosted_trees(train, "quality", NUMERIC, ["lang"], rounds=5)
+    model = ML.boosted_trees(train, "quality", NUMERIC, ["lang"], rounds=5, row_id=["doc_id"])
     out = ML.predictions(model, test, ["doc_id", "quality"])
     return rounded(M.roc_auc(out, "quality", "score"), "auc")
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -49,8 +50,8 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def staged(df: DataFrame) -> DataFrame:
-    """The same rows as a written table in the shared folder.
+def staged(df: DataFrame, order: Sequence[str] = ()) -> DataFrame:
+    """The same rows as a written table in the shared folder; ``order`` fixes their place in it.
 
     For inputs of iterative work and for collapsed tables that several passes read: every pass
     reads files instead of recomputing (and shipping) the whole plan, and a lost executor costs one
@@ -58,6 +59,8 @@ def staged(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = os.path.join(shared_dir(spark), "staged", spark.sparkContext.applicationId, uuid.uuid4().hex)
+    if order:
+        df = df.repartition(parallelism(spark), *order).sortWithinPartitions(*order)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
