@@ -9,7 +9,7 @@ from ..operators import features as P
 from ..operators import metrics as M
 from ..operators import models as ML
 from ..operators import sampling
-from ..operators.regression import dummies, levels_of
+from ..operators.regression import dummies
 from ..sources.readers import table
 from .inference import rounded
 from .registry import query

@@ -305,3 +305,31 @@ def test_conversion_stream_feeds_peeking(spark, tmp_path):
     q = q.option("checkpointLocation", str(tmp_path / "cp")).start()
     q.awaitTermination()
     assert spark.table("daily_conv").agg(F.sum("n_a") + F.sum("n_b")).first()[0] == 72
+
+
+def test_small_side_is_local_only_within_the_limit(spark):
+    from corrobora.session import small_side
+
+    df = spark.range(50).withColumn("a", F.array(F.col("id")))
+    few, many = small_side(df, 50), small_side(df, 49)
+    plan = lambda x: x._jdf.queryExecution().optimizedPlan().toString()
+    assert "LocalRelation" in plan(few) and "LocalRelation" not in plan(many)
+    assert few.exceptAll(df).count() == 0 and few.count() == many.count() == 50
+
+
+def test_hot_key_history_is_spread(spark):
+    """One key holds 90 % of the rows: no (key, bucket) cell may hold more than a small part of them."""
+    from corrobora.operators import scan
+
+    df = spark.range(4000).select("id", F.when(F.col("id") % 10 == 0, F.lit("b")).otherwise(F.lit("a")).alias("k"), (F.col("id") / 3).alias("x"))
+    cells = scan.range_buckets(df, "id", 16).groupBy("k", "_bucket").count()
+    assert cells.agg(F.max("count")).first()[0] < 400
+    out = merge.step_changes(df, "k", ["id"], ["x"])
+    assert out.count() == 4000 and out.filter("k = 'a' AND delta_x = 0").count() == 1
+
+
+def test_tree_fit_does_not_depend_on_partitioning(spark):
+    df = spark.range(300).select("id", F.sin("id").alias("a"), F.cos(F.col("id") * 3).alias("b"), (F.sin("id") > 0.2).cast("int").alias("y"))
+    fits = [models.random_forest(x, "y", ["a", "b"], trees=5, depth=3, row_id=["id"]) for x in (df, df.repartition(5), df.orderBy(F.desc("id")))]
+    weights = [tuple(round(float(v), 9) for v in m.stages[-1].featureImportances.toArray()) for m in fits]
+    assert len(set(weights)) == 1
