@@ -8,6 +8,8 @@ prefix_sums     running sums: window inside (key, bucket) plus the offset of ear
 with_halo       equal-sized chunks of a dense row index, each with copies of its neighbours'
                 edge rows, so that lag / moving-average frames never look outside a chunk
 
+Key columns given as ``by`` must not be NULL: offsets meet the rows in an equi-join.
+
 Buckets depend only on the data (bounds become literals of the plan), never on physical
 partition ids, so a lost executor recomputes the same answer.
 """
