@@ -11,12 +11,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from corrobora.llm import language, quality
-from corrobora.llm.common import stage, table
+from corrobora.llm import language, mixing, near_copies, pieces, quality
+from corrobora.llm.common import stage, table, text_of
+from corrobora.llm.queries import tokenizer_path
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: Documents of these languages stay; ``und`` is no language.
-LANGUAGES = ("de", "en", "es", "fr")
+#: A language with a smaller share of the probability is no answer.
+LEAST_SHARE = 0.5
+MODEL = "piece_bpe_32k.model"
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
@@ -27,13 +29,39 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in one of ``LANGUAGES``; lang becomes the predicted language."""
+    """Documents whose language is known; lang becomes the predicted one. Texts without a letter go."""
     tables = language.learn(docs.select("doc_id", "text", "lang"))
-    found = language.identify(docs, tables, carry=COLUMNS)
-    return found.filter(F.col("lang_pred").isin(*LANGUAGES)).withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
+    found = language.identify(docs, tables, carry=COLUMNS).filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SHARE))
+    return found.withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
 
 
-STAGES: list[tuple[str, Stage]] = [("quality rules", quality_rules), ("language ID", language_id)]
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near copies, the one with the smallest id."""
+    classes = near_copies.near_copies(docs)
+    chosen = classes.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("chosen")).distinct()
+    kept = docs.join(chosen, F.col("doc_id").eqNullSafe(F.col("chosen")), "left_semi")
+    return kept.select(*COLUMNS).dropDuplicates(["doc_id", "text"])
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it: not at all, once or twice."""
+    taken = mixing.mix(docs).filter("copies > 0").groupBy("doc_id", "source", "print").agg(F.sum("copies").alias("copies"))
+    taken = taken.withColumnsRenamed({"doc_id": "t_id", "source": "t_source"})
+    same = F.col("doc_id").eqNullSafe(F.col("t_id")) & F.col("source").eqNullSafe(F.col("t_source")) & (F.md5(text_of()) == F.col("print"))
+    met = docs.join(taken, same)
+    return met.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies")))).select(*COLUMNS)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, lang, source and the piece ids of every document that is left."""
+    encoded = pieces.encode(docs, tokenizer_path(MODEL), carry=("doc_id", "lang", "source"))
+    return encoded.withColumn("n_pieces", F.size("ids").cast("bigint"))
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("quality rules", quality_rules), ("language ID", language_id), ("MinHash near-dedup", near_dedup),
+    ("mixing sources to target weights", mixed), ("SentencePiece encoding", tokens),
+]
 #: The first two stages are models and the last a lattice: no SQL says what they keep.
 ORACLE_SQL = None
 

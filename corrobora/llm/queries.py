@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import html_text, language, mixing, quality, sharding, token_files
-from .common import id_fold, table
+from . import html_text, language, mixing, near_copies, pieces, pitman_yor, quality, sharding, token_files, weighted_prints
+from .common import id_fold, table, text_of
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -39,6 +39,18 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op2_pieces")
+def op2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = tokenizer_path("piece_bpe_32k.model")
+    # a literal space mark in a text cannot be told from a space after encoding
+    text = F.replace(text_of(), F.lit(pieces.SPACE), F.lit(" "))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.md5(text).alias("text_md5"))
+    encoded = pieces.encode(docs, model, carry=("doc_id", "text_md5"))
+    back = pieces.decode(encoded, model, carry=("doc_id", "text_md5"))
+    same = F.md5(F.replace("text", F.lit(pieces.SPACE), F.lit(" "))) == F.col("text_md5")
+    return back.select("doc_id", "ids", F.size("ids").cast("bigint").alias("n_pieces"), same.alias("round_trip"))
+
+
 @query(
     "op3_mixing",
     r"""
@@ -78,6 +90,27 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+@query("op4_weighted_prints")
+def op4_weighted_prints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weighted_prints.fingerprints(table(spark, sf_dir, "documents"))
+
+
+@query("op5_pitman_yor")
+def op5_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = id_fold(F.col("doc_id"), 5) == 1
+    model, totals, tokens = pitman_yor.train(docs.filter(~held_out))
+    found = pitman_yor.score(docs, model, totals, tokens)
+    return found.select(
+        "doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(tokens).cast("bigint").alias("train_tokens"), "base_score", "score"
+    )
+
+
+@query("op6_near_copies")
+def op6_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_copies.near_copies(table(spark, sf_dir, "documents"))
+
+
 @query("op7_html_text")
 def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
