@@ -4,18 +4,15 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
-from statistics import NormalDist
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
-from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
-from ..functions.tails import chi2_pvalue, f_pvalue, normal_pvalue, t_pvalue
-from ..session import small_side
+from ..functions.tails import chi2_pvalue, f_pvalue, normal_pvalue, normal_tail, t_pvalue
+from ..session import staged
+from .features import normal_score
 from .moments import group_moments
 from .order_stats import exact_median
-from .scan import collapsed_buckets, mid_ranks, prefix_sums
+from .scan import collapsed_buckets, mid_ranks, prefix_sums, with_row_index
 
 
 # ---- two samples -------------------------------------------------------------------------
@@ -135,7 +132,7 @@ def welch_anova(df: DataFrame, value: str, group: str, by: Sequence[str] = ()) -
 def levene(df: DataFrame, value: str, group: str, n_buckets: int | None = None) -> DataFrame:
     """Equal-variance test on absolute deviations from the exact group median."""
     medians = exact_median(df, value, [group], n_buckets).select(group, "median")
-    dev = df.select(group, value).join(small_side(medians), group).withColumn("_dev", F.abs(F.col(value) - F.col("median")))
+    dev = df.select(group, value).join(medians, group).withColumn("_dev", F.abs(F.col(value) - F.col("median")))
     return anova(dev, "_dev", group)
 
 
@@ -161,42 +158,33 @@ def kruskal(df: DataFrame, value: str, group: str, n_buckets: int | None = None)
 
 
 def pairwise_mann_whitney(
-    df: DataFrame, value: str, group: str, groups: Sequence, n_buckets: int | None = None
+    df: DataFrame, value: str, group: str, groups: Sequence | None = None, n_buckets: int | None = None
 ) -> DataFrame:
-    """Two-sided U test for every pair of ``groups`` from one ordered pass over the value counts.
+    """Two-sided U test for every pair of groups, those named or all that occur.
 
-    Each pair needs only, per distinct value, how many rows of b lie below it: running counts per
-    group give all pairs at once, so the table is not re-ranked per pair.
+    The table is collapsed to counts per (value, group). Each of these meets the other groups, so a pair
+    is a key with its own running counts; no list of groups is held outside the plan's data.
     """
-    groups = sorted(groups)
-    k = len(groups)
-    wide = (
-        df.filter(F.col(group).isin(list(groups)) & F.col(value).isNotNull())
-        .groupBy(value)
-        .agg(*[F.count_if(F.col(group) == g).alias(f"c{i}") for i, g in enumerate(groups)])
-    )
-    cells = prefix_sums(
-        collapsed_buckets(wide, value, n_buckets), [value], {f"u{i}": F.col(f"c{i}") for i in range(k)}
-    )
-    pairs = [(i, j) for i in range(k) for j in range(i + 1, k)]
-    c = lambda i: F.col(f"c{i}").cast("double")
-    aggs = [F.sum(c(i)).alias(f"n{i}") for i in range(k)]
-    for i, j in pairs:
-        aggs.append(F.sum(c(i) * (F.col(f"u{j}") - c(j) / 2)).alias(f"w{i}_{j}"))
-        tie = c(i) + c(j)
-        aggs.append(F.sum(tie * tie * tie - tie).alias(f"t{i}_{j}"))
-    one = cells.agg(*aggs)
-    rows = F.array(
-        *[
-            F.struct(
-                F.lit(groups[i]).alias("a"), F.lit(groups[j]).alias("b"),
-                F.col(f"n{i}").alias("n_a"), F.col(f"n{j}").alias("n_b"),
-                F.col(f"w{i}_{j}").alias("u"), F.col(f"t{i}_{j}").alias("ties"),
-            )
-            for i, j in pairs
-        ]
+    rows = df.filter(F.col(group).isNotNull() & F.col(value).isNotNull())
+    if groups is not None:
+        rows = rows.filter(F.col(group).isin(list(groups)))
+    counts = staged(rows.groupBy(F.col(group).alias("_g"), F.col(value).alias("_x")).agg(F.count("*").alias("_c")))
+    # one array of group names; the result has a row for each two of them
+    names = counts.agg(F.collect_set("_g")).scalar()
+    each = counts.withColumn("_all", names).withColumn("_o", F.explode("_all")).filter(F.col("_o") != F.col("_g"))
+    first = F.col("_g") < F.col("_o")
+    sided = each.select(
+        F.least("_g", "_o").alias("a"), F.greatest("_g", "_o").alias("b"), "_x",
+        F.when(first, F.col("_c")).otherwise(0).alias("ca"), F.when(first, 0).otherwise(F.col("_c")).alias("cb"),
+    )
+    cells = sided.groupBy("a", "b", "_x").agg(F.sum("ca").alias("ca"), F.sum("cb").alias("cb"))
+    upto = prefix_sums(collapsed_buckets(cells, "_x", n_buckets), ["_x"], {"ub": F.col("cb")}, ["a", "b"])
+    ca, cb = F.col("ca").cast("double"), F.col("cb").cast("double")
+    tie = ca + cb
+    flat = upto.groupBy("a", "b").agg(
+        F.sum(ca).alias("n_a"), F.sum(cb).alias("n_b"), F.sum(ca * (F.col("ub") - cb / 2)).alias("u"),
+        F.sum(tie * tie * tie - tie).alias("ties"),
     )
-    flat = one.select(F.explode(rows).alias("r")).select("r.*")
     n1, n2 = F.col("n_a"), F.col("n_b")
     n = n1 + n2
     sd = F.sqrt(n1 * n2 / 12 * ((n + 1) - F.col("ties") / (n * (n - 1))))
@@ -344,78 +332,65 @@ _C4 = [1.3822, -0.77857, 0.062767, -0.0020322]
 _C5 = [-1.5861, -0.31082, -0.083751, 0.0038915]
 _C6 = [-0.4803, -0.082676, 0.0030302]
 _G = [-2.273, 0.459]
-SHAPIRO_LIMIT = 5000
-
-
-def shapiro_wilk(sample: np.ndarray) -> tuple[float, float]:
-    """W and p of one sorted-or-not sample of 3 to 5000 values (Royston's approximation)."""
-    x = np.sort(np.asarray(sample, dtype=float))
-    n = len(x)
-    if n < 3 or x[-1] == x[0]:
-        return math.nan, math.nan
-    poly = lambda c, v: float(np.polyval(c[::-1], v))
-    inv = NormalDist().inv_cdf
-    if n == 3:
-        a = np.array([-math.sqrt(0.5), 0.0, math.sqrt(0.5)])
-    else:
-        m = np.array([inv((i - 0.375) / (n + 0.25)) for i in range(1, n + 1)])
-        ss = float(m @ m)
-        u = 1.0 / math.sqrt(n)
-        last = m[-1] / math.sqrt(ss) + poly(_C1, u)
-        a = np.empty(n)
-        if n > 5:
-            second = m[-2] / math.sqrt(ss) + poly(_C2, u)
-            phi = (ss - 2 * m[-1] ** 2 - 2 * m[-2] ** 2) / (1 - 2 * last**2 - 2 * second**2)
-            a[2:-2] = m[2:-2] / math.sqrt(phi)
-            a[1], a[-2] = -second, second
-        else:
-            phi = (ss - 2 * m[-1] ** 2) / (1 - 2 * last**2)
-            a[1:-1] = m[1:-1] / math.sqrt(phi)
-        a[0], a[-1] = -last, last
-    centred = x - x.mean()
-    w = float((a @ x) ** 2 / (centred @ centred))
-    w = min(w, 1.0)
-    if n == 3:
-        p = 6 / math.pi * (math.asin(math.sqrt(w)) - math.asin(math.sqrt(0.75)))
-        return w, max(p, 0.0)
-    tail = math.log1p(-w) if w < 1 else -math.inf
-    if n <= 11:
-        gamma = poly(_G, n)
-        if tail >= gamma:
-            return w, 1e-99
-        z = (-math.log(gamma - tail) - poly(_C3, n)) / math.exp(poly(_C4, n))
-    else:
-        ln = math.log(n)
-        z = (tail - poly(_C5, ln)) / math.exp(poly(_C6, ln))
-    return w, 0.5 * math.erfc(z / math.sqrt(2))
-
-
-def normality(df: DataFrame, value: str, group: str, limit: int = SHAPIRO_LIMIT) -> DataFrame:
-    """(group, n, test, statistic, p): Shapiro-Wilk up to ``limit`` rows, Jarque-Bera above.
-
-    Only groups small enough for the published approximation are gathered, so no task ever holds
-    more than ``limit`` values of a group; larger groups are tested in full by their moments.
+
+
+def _polynomial(c: Sequence[float], x: Column) -> Column:
+    out = F.lit(c[-1])
+    for v in reversed(c[:-1]):
+        out = out * x + F.lit(v)
+    return out
+
+
+def shapiro_wilk(df: DataFrame, value: str, group: str, n_buckets: int | None = None) -> DataFrame:
+    """(group, n, w, p) of Royston's approximation, for groups of any size; null below 3 rows and for flat groups.
+
+    The weights depend on the rank and n alone, so W is one aggregate over ranked rows: no group is
+    gathered. The published p-value was fitted up to 5000 rows; above, the same formula is carried on.
     """
-    if limit > SHAPIRO_LIMIT:
-        raise ValueError("the approximation is not valid above 5000 values")
-    rows = df.select(group, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
-    jb = jarque_bera(rows, "_v", [group])
-    small = jb.filter(F.col("n") <= limit).select(group)
-    key = rows.schema[group]
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        w, p = shapiro_wilk(pdf["_v"].to_numpy())
-        return pd.DataFrame({group: [pdf[group].iloc[0]], "n": [len(pdf)], "statistic": [w], "p": [p]})
-
-    schema = StructType(
-        [key, StructField("n", LongType()), StructField("statistic", DoubleType()), StructField("p", DoubleType())]
-    )
-    exact = rows.join(small_side(small), group, "left_semi").groupBy(group).applyInPandas(one, schema)
-    exact = exact.withColumn("test", F.lit("shapiro-wilk"))
-    large = jb.filter(F.col("n") > limit).select(
-        group, "n", F.col("jb").alias("statistic"), "p", F.lit("jarque-bera").alias("test")
-    )
-    return exact.unionByName(large)
+    rows = df.filter(F.col(group).isNotNull()).select(F.col(group).alias("_g"), F.col(value).cast("double").alias("_v")).filter("_v IS NOT NULL")
+    sizes = rows.groupBy("_g").agg(F.count("*").alias("n"), F.avg("_v").alias("_mean"))
+    placed = with_row_index(rows, ["_v"], ["_g"], n_buckets=n_buckets).join(sizes, "_g")
+    at = lambda i: normal_score((i - 0.375) / (F.col("n") + 0.25))
+    x = F.col("_v") - F.col("_mean")
+    m = at(F.col("_idx") + 1)
+    pick = lambda i: F.max(F.when(F.col("_idx") == i, x))
+    s = placed.groupBy("_g", "n").agg(
+        F.sum(m * m).alias("ss"), F.sum(m * x).alias("mx"), F.sum(x * x).alias("xx"), pick(F.lit(0)).alias("x1"), pick(F.lit(1)).alias("x2"),
+        pick(F.col("n") - 2).alias("y2"), pick(F.col("n") - 1).alias("y1"),
+    )
+    n, u = F.col("n").cast("double"), 1 / F.sqrt(F.col("n"))
+    m1, m2 = at(F.col("n")), at(F.col("n") - 1)
+    last = m1 / F.sqrt("ss") + _polynomial(_C1, u)
+    second = m2 / F.sqrt("ss") + _polynomial(_C2, u)
+    s = s.withColumns({"m1": m1, "m2": m2, "last": last, "second": second})
+    ends = F.col("m1") * (F.col("y1") - F.col("x1"))
+    near = F.col("m2") * (F.col("y2") - F.col("x2"))
+    outer = F.col("last") * (F.col("y1") - F.col("x1"))
+    long = (F.col("mx") - ends - near) / F.sqrt(
+        (F.col("ss") - 2 * F.col("m1") ** 2 - 2 * F.col("m2") ** 2) / (1 - 2 * F.col("last") ** 2 - 2 * F.col("second") ** 2)
+    ) + outer + F.col("second") * (F.col("y2") - F.col("x2"))
+    short = (F.col("mx") - ends) / F.sqrt((F.col("ss") - 2 * F.col("m1") ** 2) / (1 - 2 * F.col("last") ** 2)) + outer
+    three = F.sqrt(F.lit(0.5)) * (F.col("y1") - F.col("x1"))
+    top = F.when(F.col("n") == 3, three).when(F.col("n") > 5, long).otherwise(short)
+    flat = (F.col("n") < 3) | (F.col("x1") == F.col("y1"))
+    s = s.withColumn("w", F.when(~flat, F.least(F.lit(1.0), top * top / F.col("xx"))))
+    log_n, tail = F.log(n), F.log1p(-F.col("w"))
+    few = (-F.log(_polynomial(_G, n) - tail) - _polynomial(_C3, n)) / F.exp(_polynomial(_C4, n))
+    many = (tail - _polynomial(_C5, log_n)) / F.exp(_polynomial(_C6, log_n))
+    z = F.when(F.col("n") <= 11, few).otherwise(many)
+    beyond = (F.col("n") <= 11) & (tail >= _polynomial(_G, n))
+    exact = F.greatest(F.lit(0.0), 6 / math.pi * (F.asin(F.sqrt("w")) - math.asin(math.sqrt(0.75))))
+    p = F.when(F.col("n") == 3, exact).when(beyond, F.lit(1e-99)).when(F.col("w") < 1, F.col("_tail")).otherwise(1.0)
+    s = s.withColumn("_tail", normal_tail(F.when(F.col("w").isNotNull() & (F.col("n") > 3) & ~beyond & (F.col("w") < 1), z)))
+    return s.select(F.col("_g").alias(group), "n", "w", F.when(F.col("w").isNotNull(), p).alias("p"))
+
+
+def normality(df: DataFrame, value: str, group: str, n_buckets: int | None = None) -> DataFrame:
+    """(group, n, w, w_p, jb, jb_p): Shapiro-Wilk and the moment test side by side, the same at every size."""
+    rows = df.filter(F.col(group).isNotNull())
+    jb = jarque_bera(rows, value, [group]).select(group, "jb", F.col("p").alias("jb_p"))
+    w = shapiro_wilk(rows, value, group, n_buckets).select(group, "n", "w", F.col("p").alias("w_p"))
+    return w.join(jb, group, "left")
 
 
 def assumption_report(df: DataFrame, value: str, group: str, alpha: float = 0.05) -> DataFrame:
@@ -423,7 +398,7 @@ def assumption_report(df: DataFrame, value: str, group: str, alpha: float = 0.05
 
     Both omnibus tests are reported, so the effect of ignoring the assumptions is visible.
     """
-    norm = normality(df, value, group).agg(F.min("p").alias("normality_min_p"))
+    norm = shapiro_wilk(df, value, group).agg(F.min("p").alias("normality_min_p"))
     lev = levene(df, value, group).select(F.col("p").alias("levene_p"))
     para = anova(df, value, group).select(F.col("p").alias("anova_p"))
     rank = kruskal(df, value, group).select(F.col("p").alias("kruskal_p"))

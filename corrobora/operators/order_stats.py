@@ -13,7 +13,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..session import small_side
 from .scan import BUCKET, range_buckets
 
 
@@ -39,8 +38,6 @@ def exact_quantiles(
     wanted = wanted.filter((F.col("_k") >= F.col("_start")) & (F.col("_k") < F.col("_start") + F.col("_cnt")))
     wanted = wanted.select(*by, BUCKET, "prob", "n", "_pos", "_k", (F.col("_k") - F.col("_start")).alias("_local"))
 
-    # a few positions per group: known sizes let the filter below run without shuffling the table
-    wanted = small_side(wanted)
     needed = wanted.select(*by, BUCKET).distinct()
     cells = rows.join(needed, [*by, BUCKET], "left_semi").groupBy(*by, BUCKET, value).agg(F.count("*").alias("_c"))
     upto = F.sum("_c").over(

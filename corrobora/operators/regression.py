@@ -16,7 +16,7 @@ from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, Stru
 
 from ..functions.scalars import hash_order
 from ..functions.tails import chi2_pvalue, t_sf2
-from ..session import parallelism, small_side
+from ..session import parallelism
 from .moments import attach_fit, beside, coefficient_table, fit_linear, gram, predicted, solve
 from .scan import lagged, previous, with_halo, with_row_index
 
@@ -113,7 +113,7 @@ def residuals(df: DataFrame, xs: Sequence[str], y: str, by: Sequence[str] = (),
 
 def breusch_pagan(df: DataFrame, xs: Sequence[str], y: str, ridge_alpha: float = 0.0) -> DataFrame:
     """Lagrange-multiplier test of constant residual variance."""
-    fits = small_side(fit_linear(df, xs, y, ridge=ridge_alpha))
+    fits = fit_linear(df, xs, y, ridge=ridge_alpha)
     rows = residuals(df, xs, y, fits=fits).withColumn("_e2", F.col("resid") * F.col("resid"))
     aux = fit_linear(rows, xs, "_e2")
     out = aux.select("n", (F.col("n") * F.col("fit.r2")).alias("lm"), F.col("fit.f").alias("f"), F.col("fit.f_p").alias("f_p"))
@@ -140,7 +140,7 @@ def cooks_distance(df: DataFrame, xs: Sequence[str], y: str, fits: DataFrame | N
 
 def influence_refit(df: DataFrame, xs: Sequence[str], y: str) -> DataFrame:
     """Coefficients on all rows and without rows of Cook's distance above 4/n."""
-    first = small_side(fit_linear(df, xs, y))
+    first = fit_linear(df, xs, y)
     kept = cooks_distance(df, xs, y, first).filter(F.col("cooks_d") <= 4 / F.col("_n"))
     second = fit_linear(kept, xs, y)
 
@@ -164,7 +164,7 @@ def durbin_watson(
     df: DataFrame, xs: Sequence[str], y: str, order: Sequence[str], by: Sequence[str] = (), n_buckets: int | None = None
 ) -> DataFrame:
     """(by..., n, dw): near 2 without serial correlation, near 0 with strong positive one."""
-    rows = residuals(df.select(*dict.fromkeys([*by, *order, *xs, y])), xs, y, by, small_side(fit_linear(df, xs, y, by)))
+    rows = residuals(df.select(*dict.fromkeys([*by, *order, *xs, y])), xs, y, by, fit_linear(df, xs, y, by))
     e = previous(rows.drop("_fit"), {"_prev": "resid"}, order, by, n_buckets)
     step = F.col("resid") - F.col("_prev")
     return e.groupBy(*by).agg(
@@ -213,7 +213,7 @@ def newey_west(
     the number of columns does not grow with the number of lags.
     """
     size = len(xs) + 1
-    fits = small_side(fit_linear(df, xs, y, by))
+    fits = fit_linear(df, xs, y, by)
     if max_lags is None:
         # the series length decides the frame size; with several series the longest decides
         longest = fits.agg(F.max("fit.rows")).first()[0]

@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.scalars import hash_order, hash_unit
-from ..session import small_side
 from .order_stats import exact_quantiles
 from .scan import with_row_index
 
@@ -38,7 +37,6 @@ def stratified_split(
     """
     rows = df.withColumn("_u", hash_unit(*row_id, seed=seed))
     cuts = exact_quantiles(rows, "_u", [fraction], [label]).select(label, F.col("quantile").alias("_cut"))
-    cuts = small_side(cuts)
     tagged = rows.join(cuts, label, "left")
     side = F.when(F.col("_u") <= F.col("_cut"), F.lit("train")).otherwise(F.lit("test"))
     return tagged.withColumn(out, side).drop("_u", "_cut")

@@ -172,9 +172,7 @@ def mannwhitney(spark, d):
     SELECT a, b, na::BIGINT AS n_a, nb::BIGINT AS n_b, round(u::DOUBLE, 4) AS u, round(z, 6) AS z, round({K.normal_p2('z')}, 6) AS p FROM z""",
 )
 def pairwise_mannwhitney(spark, d):
-    e = table(spark, d, "events")
-    kinds = [r[0] for r in e.select("event_type").distinct().orderBy("event_type").limit(100).collect()]
-    return rounded(rounded(H.pairwise_mann_whitney(e, "value", "event_type", kinds), "z", "p"), "u", digits=4)
+    return rounded(rounded(H.pairwise_mann_whitney(table(spark, d, "events"), "value", "event_type"), "z", "p"), "u", digits=4)
 
 
 @query(
@@ -189,12 +187,53 @@ def normality_moments(spark, d):
     return rounded(H.jarque_bera(table(spark, d, "customer"), "c_acctbal", ["c_mktsegment"]), "skew", "kurt", "jb", "p")
 
 
-@query("shapiro_or_jb")
-def shapiro_or_jb(spark, d):
-    return rounded(H.normality(table(spark, d, "customer"), "c_acctbal", "c_mktsegment"), "statistic", "p")
+def _poly(c, x: str) -> str:
+    out = f"{c[-1]!r}"
+    for v in reversed(c[:-1]):
+        out = f"({out} * ({x}) + {v!r})"
+    return out
 
 
-@query("assumption_report")
+def _shapiro_ctes(source: str, value: str, group: str) -> str:
+    """sw: W and p per group of more than eleven values."""
+    last, second = f"(m1 / sqrt(ss) + {_poly(H._C1, 'u')})", f"(m2 / sqrt(ss) + {_poly(H._C2, 'u')})"
+    return f"""sr AS (SELECT {group} AS g, {value} - avg({value}) OVER (PARTITION BY {group}) AS x, row_number() OVER (PARTITION BY {group} ORDER BY {value}) AS i,
+      count(*) OVER (PARTITION BY {group}) AS n FROM {source} WHERE {value} IS NOT NULL),
+    sm AS (SELECT *, {K.normal_quantile('(i - 0.375) / (n + 0.25)')} AS m FROM sr),
+    sa AS (SELECT g, n, 1 / sqrt(n) AS u, sum(m * m) AS ss, max(m) AS m1, max(m) FILTER (WHERE i = n - 1) AS m2, sum(x * x) AS xx FROM sm GROUP BY g, n),
+    sb AS (SELECT *, {last} AS a1, {second} AS a2 FROM sa),
+    sc AS (SELECT *, sqrt((ss - 2 * m1 * m1 - 2 * m2 * m2) / (1 - 2 * a1 * a1 - 2 * a2 * a2)) AS phi FROM sb),
+    sd AS (SELECT g, n, xx, sum(x * CASE WHEN i = 1 THEN -a1 WHEN i = n THEN a1 WHEN i = 2 THEN -a2 WHEN i = n - 1 THEN a2 ELSE m / phi END) AS top FROM sm JOIN sc USING (g, n) GROUP BY g, n, xx),
+    sz AS (SELECT g, n, least(1.0, top * top / xx) AS w, (ln(1 - top * top / xx) - {_poly(H._C5, 'ln(n)')}) / exp({_poly(H._C6, 'ln(n)')}) AS z FROM sd),
+    sw AS (SELECT g, n, w, {K.normal_sf('z')} AS p FROM sz)"""
+
+
+@query(
+    "normality",
+    f"""WITH {_shapiro_ctes('customer', 'c_acctbal', 'c_mktsegment')},
+    m AS (SELECT c_mktsegment AS g, avg(c_acctbal) AS mu FROM customer GROUP BY 1),
+    c AS (SELECT g, count(*) AS n, avg(pow(c_acctbal - mu, 2)) AS m2, avg(pow(c_acctbal - mu, 3)) AS m3, avg(pow(c_acctbal - mu, 4)) AS m4 FROM customer JOIN m ON g = c_mktsegment GROUP BY g),
+    j AS (SELECT g, n / 6.0 * (pow(m3 / pow(m2, 1.5), 2) + pow(m4 / (m2 * m2) - 3, 2) / 4) AS jb FROM c)
+    SELECT g AS c_mktsegment, n, round(w, 6) AS w, round(p, 6) AS w_p, round(jb, 6) AS jb, round({K.chi2_p('jb', '2')}, 6) AS jb_p FROM sw JOIN j USING (g)""",
+)
+def normality(spark, d):
+    return rounded(H.normality(table(spark, d, "customer"), "c_acctbal", "c_mktsegment"), "w", "w_p", "jb", "jb_p")
+
+
+def _assumption_sql() -> str:
+    src = "src AS (SELECT c_mktsegment AS g, c_acctbal AS x FROM customer)"
+    dev = "dv AS (SELECT c_mktsegment AS seg, abs(c_acctbal - med) AS dev FROM customer JOIN (SELECT c_mktsegment AS s, median(c_acctbal) AS med FROM customer GROUP BY 1) ON s = c_mktsegment)"
+    kw = f"""{RANKED}, kp AS (SELECT g, count(*)::DOUBLE AS n, sum(rk) AS rs FROM r GROUP BY g), kt AS (SELECT sum(tie::DOUBLE * tie - 1) AS t3 FROM r),
+    ks AS (SELECT count(*) AS k, sum(n) AS n, sum(rs * rs / n) AS r2 FROM kp), kh AS (SELECT k, (12.0 / (n * (n + 1)) * r2 - 3 * (n + 1)) / (1 - t3 / (n * n * n - n)) AS h FROM ks, kt),
+    kr AS (SELECT round({K.chi2_p('h', 'k - 1')}, 6) AS p FROM kh)"""
+    parts = f"(SELECT p FROM (WITH {_anova_sql('dv', 'dev', 'seg')})) AS levene_p, (SELECT p FROM (WITH {_anova_sql('customer', 'c_acctbal', 'c_mktsegment')})) AS anova_p, (SELECT p FROM kr) AS kruskal_p"
+    return f"""WITH {src}, {dev}, {kw}, {_shapiro_ctes('customer', 'c_acctbal', 'c_mktsegment')},
+    a AS (SELECT (SELECT round(min(p), 6) FROM sw) AS normality_min_p, {parts}), b AS (SELECT *, normality_min_p < 0.05 AS normality_violated, levene_p < 0.05 AS equal_variance_violated FROM a)
+    SELECT *, CASE WHEN normality_violated OR equal_variance_violated THEN 'kruskal-wallis' ELSE 'anova' END AS test_used,
+      CASE WHEN normality_violated OR equal_variance_violated THEN kruskal_p ELSE anova_p END AS p FROM b"""
+
+
+@query("assumption_report", _assumption_sql())
 def assumption_report(spark, d):
     out = H.assumption_report(table(spark, d, "customer"), "c_acctbal", "c_mktsegment")
     return rounded(out, "normality_min_p", "levene_p", "anova_p", "kruskal_p", "p")
@@ -373,8 +412,8 @@ def ab_peeking_summary(spark, d):
 # ---- survival -----------------------------------------------------------------------------
 
 def shipments(spark, d):
-    """Days from order to shipment; line status F is the observed event, flags A and R the arms."""
-    li = table(spark, d, "lineitem").filter(F.col("l_returnflag").isin("A", "R")).select("l_orderkey", "l_shipdate", "l_linestatus", "l_returnflag")
+    """Days from order to shipment; line status F is the observed event, the return flag the arm."""
+    li = table(spark, d, "lineitem").select("l_orderkey", "l_shipdate", "l_linestatus", "l_returnflag")
     o = table(spark, d, "orders").select("o_orderkey", "o_orderdate")
     joined = li.join(o, F.col("l_orderkey") == F.col("o_orderkey"))
     days = F.date_diff("l_shipdate", "o_orderdate")
@@ -382,7 +421,7 @@ def shipments(spark, d):
 
 
 SHIP = """s AS (SELECT l_returnflag AS arm, (l_shipdate::DATE - o_orderdate::DATE)::INT AS t, (l_linestatus = 'F')::INT AS event
-  FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_returnflag IN ('A', 'R'))"""
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""
 KM = f"""{SHIP}, c AS (SELECT arm, t, sum(event)::BIGINT AS events, (count(*) - sum(event))::BIGINT AS censored, count(*) AS n FROM s GROUP BY ALL),
 r AS (SELECT *, (sum(n) OVER (PARTITION BY arm ORDER BY t ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::BIGINT AS at_risk FROM c),
 k AS (SELECT arm, t, events, censored, at_risk, CASE WHEN bool_or(events = at_risk) OVER w THEN 0.0
@@ -401,22 +440,22 @@ def median_survival(spark, d):
 
 @query(
     "logrank",
-    f"""WITH {SHIP}, c AS (SELECT t, sum(event) AS d, sum(event) FILTER (WHERE arm = 'A') AS da, count(*) AS c, count(*) FILTER (WHERE arm = 'A') AS ca FROM s GROUP BY t),
+    f"""WITH {SHIP}, c AS (SELECT t, sum(event) AS d, sum(event) FILTER (WHERE arm = 'A') AS da, count(*) AS c, count(*) FILTER (WHERE arm = 'A') AS ca FROM s WHERE arm IN ('A', 'R') GROUP BY t),
     r AS (SELECT d, coalesce(da, 0) AS da, sum(c) OVER w AS n, sum(ca) OVER w AS na FROM c WINDOW w AS (ORDER BY t ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
     q AS (SELECT sum(da) AS o, sum(d * na / n) AS e, sum(CASE WHEN n > 1 THEN d::DOUBLE * (na / n) * (1 - na / n) * (n - d) / (n - 1) ELSE 0 END) AS v, sum(d) AS d FROM r),
     x AS (SELECT *, pow(o - e, 2) / v AS chi2 FROM q)
     SELECT o::BIGINT AS observed_a, round(e, 6) AS expected_a, round(v, 6) AS variance, d::BIGINT AS events, round(chi2, 6) AS chi2, round({K.chi2_p('chi2', '1')}, 6) AS p FROM x""",
 )
 def logrank(spark, d):
-    return rounded(V.logrank(shipments(spark, d), "t", "event", "arm", "A", "R"), "expected_a", "variance", "chi2", "p")
+    return rounded(V.logrank(shipments(spark, d).filter("arm IN ('A', 'R')"), "t", "event", "arm", "A", "R"), "expected_a", "variance", "chi2", "p")
 
 
 @query(
     "censoring_rate",
-    f"""WITH {SHIP}, g AS (SELECT arm, count(*) AS n, 1 - avg(event) AS cr, avg(t) AS m, var_samp(t) AS v, quantile_cont(t, 0.5)::DOUBLE AS med FROM s GROUP BY arm),
+    f"""WITH {SHIP}, g AS (SELECT arm, count(*) AS n, 1 - avg(event) AS cr, avg(t) AS m, var_samp(t) AS v, quantile_cont(t, 0.5)::DOUBLE AS med FROM s WHERE arm IN ('A', 'R') GROUP BY arm),
     x AS (SELECT (a.m - b.m) / sqrt(((a.n - 1) * a.v + (b.n - 1) * b.v) / (a.n + b.n - 2) * (1.0 / a.n + 1.0 / b.n)) AS t, (a.n + b.n - 2)::DOUBLE AS df FROM g a, g b WHERE a.arm = 'A' AND b.arm = 'R'),
     p AS (SELECT {K.t_p('t', 'df')} AS p FROM x)
     SELECT arm, n, round(cr, 6) AS censoring_rate, round(m, 6) AS naive_mean, med AS naive_median, round(p, 6) AS naive_t_p FROM g, p""",
 )
 def censoring_rate(spark, d):
-    return rounded(V.censoring_contrast(shipments(spark, d), "t", "event", "arm", "A", "R"), "censoring_rate", "naive_mean", "naive_t_p")
+    return rounded(V.censoring_contrast(shipments(spark, d).filter("arm IN ('A', 'R')"), "t", "event", "arm", "A", "R"), "censoring_rate", "naive_mean", "naive_t_p")

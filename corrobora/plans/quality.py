@@ -44,25 +44,37 @@ def merge_report(spark, d):
     return checks.report()
 
 
-@query(
-    "expectations",
+CHECKS_SQL = (
     MERGED_SQL
-    + f""", c AS (SELECT count(*) AS n, count(*) - count(DISTINCT transaction_id) AS dup, count(*) FILTER (WHERE amount IS NULL OR amount <= 0) AS pos, count(*) FILTER (WHERE timestamp_utc IS NULL) AS nn,
+    + f""", co AS (SELECT string_agg(column_name, ',' ORDER BY column_index) AS names FROM (SELECT unnest(json_keys(to_json(m))) AS column_name, generate_subscripts(json_keys(to_json(m)), 1) AS column_index FROM (SELECT * FROM merged LIMIT 1) m)),
+    c AS (SELECT count(*) AS n, count(*) - count(DISTINCT transaction_id) AS dup, count(*) FILTER (WHERE amount IS NULL OR amount <= 0) AS pos, count(*) FILTER (WHERE timestamp_utc IS NULL) AS nn,
       count(*) FILTER (WHERE NOT coalesce(timestamp_utc LIKE '%+00:00', false)) AS utc, count(*) FILTER (WHERE source IN ('Q1', 'Q2') AND discount_code IS NOT NULL) AS nw,
       (SELECT count(*) FROM orders WHERE o_orderkey NOT IN (SELECT transaction_id FROM merged)) AS miss, count(*) FILTER (WHERE NOT amount BETWEEN 0 AND 10000000) AS btw,
-      count(*) FILTER (WHERE source NOT IN ('Q1', 'Q2', 'Q3')) AS dom, (SELECT count(DISTINCT o_orderkey) FROM orders) AS want, min(source) AS lo, max(source) AS hi FROM merged)
-    SELECT 1 AS seq, 'columns' AS "check", true AS ok, '{",".join(_COLS)}' AS detail FROM c
+      count(*) FILTER (WHERE source NOT IN ('Q1', 'Q2', 'Q3')) AS dom, (SELECT count(DISTINCT o_orderkey) FROM orders) AS want, min(source) AS lo, max(source) AS hi,
+      sum(amount) AS total, (SELECT sum(o_totalprice) FROM orders) AS want_total, avg((discount_code IS NOT NULL)::INT) AS urgent FROM merged),
+    checks AS (
+    SELECT 1 AS seq, 'columns' AS "check", names = '{",".join(_COLS)}' AS ok, names AS detail FROM co
     UNION ALL SELECT 2, 'row_count', n = want, n::VARCHAR FROM c UNION ALL SELECT 3, 'unique:transaction_id', dup = 0, dup::VARCHAR FROM c
     UNION ALL SELECT 4, 'positive:amount', pos = 0, pos::VARCHAR FROM c UNION ALL SELECT 5, 'not_null:timestamp_utc', nn = 0, nn::VARCHAR FROM c
     UNION ALL SELECT 6, 'utc:timestamp_utc', utc = 0, utc::VARCHAR FROM c UNION ALL SELECT 7, 'null_where:discount_code:Q1,Q2', nw = 0, nw::VARCHAR FROM c
     UNION ALL SELECT 8, 'has_keys:transaction_id', miss = 0, miss::VARCHAR FROM c UNION ALL SELECT 9, 'between:amount', btw = 0, btw::VARCHAR FROM c
-    UNION ALL SELECT 10, 'domain:source', dom = 0, dom::VARCHAR FROM c UNION ALL SELECT 11, 'not_constant:source', lo <> hi, lo FROM c""",
+    UNION ALL SELECT 10, 'domain:source', dom = 0, dom::VARCHAR FROM c UNION ALL SELECT 11, 'not_constant:source', lo <> hi, lo FROM c
+    UNION ALL SELECT 12, 'close:total_amount', abs(total - want_total) <= 1.0, NULL FROM c UNION ALL SELECT 13, 'band:urgent_share', urgent BETWEEN 0.0 AND 0.5, NULL FROM c)"""
 )
+
+
+@query("expectations", CHECKS_SQL + " SELECT * FROM checks")
 def expectations(spark, d):
-    return merge_report(spark, d).filter("seq <= 11")
+    out = merge_report(spark, d)
+    # the last two details are sums of floating point numbers; their verdict is compared
+    return out.withColumn("detail", F.when(F.col("seq") < 12, F.col("detail")))
 
 
-@query("expectation_verdict")
+@query(
+    "expectation_verdict",
+    CHECKS_SQL + """ SELECT count(*) FILTER (WHERE ok) AS passed, count(*) FILTER (WHERE NOT ok) AS failed, bool_and(ok)::INT AS reward,
+    arg_min("check" || ': ' || detail, seq) FILTER (WHERE NOT ok) AS reason FROM checks""",
+)
 def expectation_verdict(spark, d):
     return E.verdict(merge_report(spark, d))
 

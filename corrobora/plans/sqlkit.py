@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from ..operators.features import _A, _B, _C, _D, _E, _F
+
 PANELS = 2000
 Z975 = "1.959963984540054"
 
@@ -50,6 +52,23 @@ def normal_sf(z: str) -> str:
     return f"(CASE WHEN ({z}) >= 0 THEN {chi2_p(f'({z}) * ({z})', '1')} / 2 ELSE 1 - {chi2_p(f'({z}) * ({z})', '1')} / 2 END)"
 
 
+def _horner(c: Sequence[float], x: str) -> str:
+    out = repr(c[-1])
+    for v in reversed(c[:-1]):
+        out = f"({out} * ({x}) + {v!r})"
+    return out
+
+
+def normal_quantile(p: str) -> str:
+    """Rational approximation of the normal quantile, in three ranges."""
+    q, mid = f"(({p}) - 0.5)", f"(0.180625 - (({p}) - 0.5) * (({p}) - 0.5))"
+    r = f"sqrt(-ln(least(({p}), 1 - ({p}))))"
+    inner = f"{q} * {_horner(_A, mid)} / {_horner(_B, mid)}"
+    near = f"{_horner(_C, f'{r} - 1.6')} / {_horner(_D, f'{r} - 1.6')}"
+    far = f"{_horner(_E, f'{r} - 5.0')} / {_horner(_F, f'{r} - 5.0')}"
+    return f"(CASE WHEN abs({q}) <= 0.425 THEN {inner} ELSE sign({q}) * CASE WHEN {r} <= 5 THEN {near} ELSE {far} END END)"
+
+
 def gram_cte(name: str, source: str, xs: Sequence[str], y: str, by: Sequence[str] = ()) -> str:
     cols = [*xs, y]
     head = "".join(f"{b}, " for b in by)

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
+import shutil
+import tempfile
 import uuid
 from collections.abc import Sequence
 
@@ -19,6 +23,8 @@ def build_session(app: str = "corrobora", master: str | None = None, **conf: str
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        # a side that turns out small at run time is broadcast, whatever was estimated
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "10m",
         "spark.python.sql.dataFrameDebugging.enabled": "false",
         **{k.replace("__", "."): v for k, v in conf.items()},
     }
@@ -28,26 +34,31 @@ def build_session(app: str = "corrobora", master: str | None = None, **conf: str
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder all executors can reach: the cluster's checkpoint folder.
+    """Folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the cluster names none (single-machine tests) is one created.
+    Only a single-machine session without that setting gets a folder of its own, removed when Python ends. On a cluster a
+    local folder would be a different one on every machine, so the setting is required there.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
-    import tempfile
-
+    master = spark.conf.get("spark.master", "")
+    if not re.match(r"local(\[[^-]*\])?$", master):
+        raise ValueError(f"set spark.checkpoint.dir to a folder that all machines of {master} share")
     local = tempfile.mkdtemp(prefix="corrobora-checkpoint-")
+    atexit.register(shutil.rmtree, local, ignore_errors=True)
     spark.conf.set("spark.checkpoint.dir", local)
     return local
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: later stages restart from files, not from lost executors."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(os.path.join(shared_dir(df.sparkSession), "lineage"))
-    return df.checkpoint(eager=True)
+def drop_staged(spark: SparkSession) -> None:
+    """Delete all staged tables of this application; frames that read them cannot be used afterwards."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_staging_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _staging_dir(spark: SparkSession) -> str:
+    return os.path.join(shared_dir(spark), "staged", spark.sparkContext.applicationId)
 
 
 def staged(df: DataFrame, order: Sequence[str] = ()) -> DataFrame:
@@ -55,26 +66,15 @@ def staged(df: DataFrame, order: Sequence[str] = ()) -> DataFrame:
 
     For inputs of iterative work and for collapsed tables that several passes read: every pass
     reads files instead of recomputing (and shipping) the whole plan, and a lost executor costs one
-    re-read. Files lie under ``staged/<application id>`` and can go when the application is over.
+    re-read. Files lie under ``staged/<application id>``; ``drop_staged`` removes them.
     """
     spark = df.sparkSession
-    path = os.path.join(shared_dir(spark), "staged", spark.sparkContext.applicationId, uuid.uuid4().hex)
+    path = os.path.join(_staging_dir(spark), uuid.uuid4().hex)
     if order:
         df = df.repartition(parallelism(spark), *order).sortWithinPartitions(*order)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_side(df: DataFrame, limit: int = 10_000) -> DataFrame:
-    """A summary table as local rows if it has at most ``limit`` of them, else unchanged.
-
-    The planner knows the size of local rows, so a join with them needs no shuffle of the large
-    side; a summary that outgrew the limit joins the ordinary way. At most ``limit`` + 1 rows are
-    fetched to find out.
-    """
-    rows = df.limit(limit + 1).toArrow()
-    return df if rows.num_rows > limit else df.sparkSession.createDataFrame(rows, df.schema)
-
-
 def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))

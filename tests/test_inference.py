@@ -36,9 +36,14 @@ def test_normal_score_matches_inverse(spark):
         assert r.z == pytest.approx(NormalDist().inv_cdf(r.p), abs=1e-9)
 
 
-def test_shapiro_known_sample():
-    w, p = hypothesis.shapiro_wilk([148, 154, 158, 160, 161, 162, 166, 170, 182, 195, 236])
-    assert w == pytest.approx(0.78881, abs=2e-5) and p == pytest.approx(0.006704, abs=2e-5)
+def test_shapiro_known_sample(spark):
+    weights = [148.0, 154.0, 158.0, 160.0, 161.0, 162.0, 166.0, 170.0, 182.0, 195.0, 236.0]
+    rows = [("w", x) for x in weights] + [("flat", 1.0)] * 9 + [("two", 1.0), ("two", 2.0), ("three", 1.0), ("three", 2.0), ("three", 3.0)]
+    rows += [("line", float(i)) for i in range(20)]
+    out = {r.g: r for r in hypothesis.shapiro_wilk(spark.createDataFrame(rows, "g string, x double"), "x", "g").collect()}
+    assert out["w"].w == pytest.approx(0.78881, abs=2e-5) and out["w"].p == pytest.approx(0.006704, abs=2e-5)
+    assert out["flat"].w is None and out["two"].p is None and out["two"].n == 2
+    assert out["three"].w == pytest.approx(1.0) and out["line"].w == pytest.approx(0.9604, abs=1e-3)
 
 
 def groups(seed=0, n=300):
@@ -89,10 +94,22 @@ def test_holm_stops_at_first_failure(spark):
     assert out["a", "c"].p_bh == pytest.approx(0.02 * 4 / 3) and out["a", "b"].p_bonferroni == pytest.approx(0.004)
 
 
-def test_normality_keeps_large_groups_out_of_one_task(spark):
-    pdf = groups(2)
-    out = {r.g: r.test for r in hypothesis.normality(spark.createDataFrame(pdf), "x", "g", limit=100).collect()}
-    assert out == {"a": "jarque-bera", "b": "shapiro-wilk", "c": "shapiro-wilk"}
+def test_normality_is_one_test_for_all_sizes(spark):
+    rng = np.random.default_rng(2)
+    pdf = pd.DataFrame({"g": ["big"] * 9000 + ["small"] * 40, "x": np.concatenate([rng.normal(size=9000), rng.exponential(size=40)])})
+    out = {r.g: r for r in hypothesis.normality(spark.createDataFrame(pdf), "x", "g", n_buckets=5).collect()}
+    assert out["big"].w > 0.999 and out["big"].w_p > 0.01 and out["big"].jb_p > 0.01
+    assert out["small"].w_p < 0.01
+
+
+def test_pairwise_mann_whitney_has_no_list_of_groups(spark):
+    rows = [(f"g{i:03d}", float((i * 7 + j * 3) % 11)) for i in range(105) for j in range(3)]
+    df = spark.createDataFrame(rows + [(None, 1.0), ("g000", None)], "g string, x double")
+    out = hypothesis.pairwise_mann_whitney(df, "x", "g").cache()
+    assert out.count() == 105 * 104 // 2
+    r = out.filter("a = 'g003' AND b = 'g104'").first()
+    a, b = ([x for g, x in rows if g == k] for k in ("g003", "g104"))
+    assert r.u == sum((x > y) + 0.5 * (x == y) for x in a for y in b)
 
 
 def test_clusters(spark):
