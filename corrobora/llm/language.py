@@ -143,16 +143,18 @@ def identify(docs: DataFrame, tables: Tables | None, carry: tuple[str, ...] = ("
     shared = docs.sparkSession.sparkContext.broadcast(tables)
     fields = [docs.schema[c] for c in carry] + [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
     schema = T.StructType(fields)
+    # a carried text is read where it is, not sent twice
+    at = carry.index("text") if "text" in carry else len(carry)
 
     def batches(frames: Iterator) -> Iterator:
         import pyarrow as pa
 
         seen: dict[str, np.ndarray] = {}
         for batch in frames:
-            texts = batch.column(len(carry)).to_pylist()
+            texts = batch.column(at).to_pylist()
             found = [guess(shared.value, t, seen) for t in texts]
             new = [pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())]
             yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(len(carry))] + new, names=schema.names)
 
-    names = [F.col(c).alias(f"in_{i}") for i, c in enumerate(carry)]
-    return docs.select(*names, text_of().alias("text_in")).mapInArrow(batches, schema)
+    columns = [F.col(c).alias(f"in_{i}") for i, c in enumerate(carry)]
+    return docs.select(*columns, *([] if at < len(carry) else [text_of()])).mapInArrow(batches, schema)

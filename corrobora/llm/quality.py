@@ -197,13 +197,14 @@ def judge(docs: DataFrame, trees: Trees | None, threshold: float = 0.5, carry: t
         [docs.schema[c] for c in carry] + [T.StructField(c, T.LongType()) for c in BASE]
         + [T.StructField("base_failed", T.BooleanType()), T.StructField("score", T.DoubleType()), T.StructField("kept", T.BooleanType())]
     )
-    names = [f"in_{i}" for i in range(len(carry))]
+    # a carried text is read where it is, not sent twice
+    at = carry.index("text") if "text" in carry else len(carry)
 
     def batches(frames: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in frames:
-            texts = batch.column(batch.schema.names.index("text_in")).to_pylist()
+            texts = batch.column(at).to_pylist()
             both = [statistics(t) for t in texts]
             base = np.array([b for b, _ in both], np.int64).reshape(-1, len(BASE))
             stats = np.array([s for _, s in both], float).reshape(-1, len(FEATURES))
@@ -212,5 +213,5 @@ def judge(docs: DataFrame, trees: Trees | None, threshold: float = 0.5, carry: t
             new = [pa.array(base[:, i]) for i in range(len(BASE))] + [pa.array(failed), pa.array(score), pa.array(~failed & (score >= threshold))]
             yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(len(carry))] + new, names=list(schema.names))
 
-    slim = docs.select(*[F.col(c).alias(n) for c, n in zip(carry, names)], text_of().alias("text_in"))
-    return slim.mapInArrow(batches, schema)
+    columns = [F.col(c).alias(f"in_{i}") for i, c in enumerate(carry)]
+    return docs.select(*columns, *([] if at < len(carry) else [text_of()])).mapInArrow(batches, schema)
