@@ -49,3 +49,16 @@ def stage(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     path = scratch(df.sparkSession, name)
     df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def most_frequent(df: DataFrame, count: str, limit: int) -> DataFrame:
+    """The rows with the largest counts, ``limit`` at most: all above a count found from a histogram of fixed size."""
+    place = F.floor(F.log2(F.col(count).cast("double")) * 16).cast("int")
+    sizes = {r["b"]: r["n"] for r in df.groupBy(place.alias("b")).agg(F.count("*").alias("n")).collect()}
+    least, held = None, 0
+    for b in sorted(sizes, reverse=True):
+        held += sizes[b]
+        if held > limit:
+            break
+        least = b
+    return df.filter(F.lit(False) if least is None else place >= least)

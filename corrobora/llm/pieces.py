@@ -19,9 +19,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import zstandard
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from .common import stage, text_of
+from .common import most_frequent, stage, text_of
 
 SPACE = "▁"
 #: Parts sent to every task: at most so many, each of at most ``FREQUENT_CHARS`` characters.
@@ -185,7 +185,7 @@ def encode(docs: DataFrame, model: str, carry: tuple[str, ...] = ("doc_id",)) ->
     pieces = load(model)
     table = stage(encode_parts(part_counts(docs, pieces), pieces), "piece-parts")
     short = table.filter(F.length("part") <= FREQUENT_CHARS)
-    top = short.orderBy(F.desc("n"), "part").limit(FREQUENT).select("part", "ids").toArrow()
+    top = most_frequent(short, "n", FREQUENT).select("part", "ids").toArrow()
     frequent = spark.sparkContext.broadcast({p: _as_bytes(pieces, p, i) for p, i in zip(top["part"].to_pylist(), top["ids"].to_pylist())})
     names = [f"in_{i}" for i in range(len(carry))]
     kinds = ", ".join(f"{n} {docs.schema[c].dataType.simpleString()}" for n, c in zip(names, carry))
