@@ -20,7 +20,8 @@ HEADLINE = [
     "quarterly_revenue_left", "join_loss_audit", "etl_merge", "expectations", "group_profile", "simpson_check",
     "stratified_sample", "delta_features", "exact_quantiles", "t_tests", "kruskal", "pairwise_holm", "ab_peeking",
     "ols_report", "naive_vs_controlled", "newey_west", "bootstrap_ci", "kaplan_meier", "logrank", "change_point",
-    "seasonal_decompose", "daily_anomaly", "target_encode_oof", "pass_at_k",
+    "seasonal_decompose", "daily_anomaly", "target_encode_oof", "pass_at_k", "adf", "cooks", "breusch_pagan",
+    "pairwise_mannwhitney", "normality", "stratified_split", "chronological_split",
 ]
 
 

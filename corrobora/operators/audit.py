@@ -41,14 +41,17 @@ def join_loss_audit(fact: DataFrame, dim: DataFrame, key: str, measure: str) ->
 
 
 def left_report(
-    fact: DataFrame, period: Column, measure: Column, domain: Sequence, threshold: float = 0.9, orphan: Column | None = None
+    fact: DataFrame, period: Column, measure: Column, domain: Sequence, threshold: float = 0.9, orphan: Column | None = None,
+    rows: Column | None = None,
 ) -> DataFrame:
     """(period, total, orphan_rows, share_of_mean, underperforming) over a fixed list of periods.
 
-    Periods without rows count as 0, and the mean is over the whole list.
+    Periods without rows count as 0, and the mean is over the whole list. ``rows`` has the number of rows that a row of an already
+    summed table stands for.
     """
     orphan = F.lit(False) if orphan is None else orphan
-    sums = fact.groupBy(period.alias("period")).agg(F.sum(measure).alias("total"), F.count_if(orphan).alias("orphan_rows"))
+    weight = F.when(orphan, F.lit(1) if rows is None else rows)
+    sums = fact.groupBy(period.alias("period")).agg(F.sum(measure).alias("total"), F.coalesce(F.sum(weight), F.lit(0)).alias("orphan_rows"))
     listed = fact.sparkSession.range(1).select(F.explode(F.array(*[F.lit(d) for d in domain])).alias("period"))
     frame = listed.join(sums, "period", "left")
     frame = frame.fillna({"total": 0.0, "orphan_rows": 0})

@@ -16,7 +16,7 @@ from .features import class_weights
 
 
 def feature_stages(numeric: Sequence[str], nominal: Sequence[str] = (), drop_last: bool = False) -> list:
-    """Indexing, one-hot (unknown levels become all zeros) and assembly; learned from the rows given to fit."""
+    """Indexing, one-hot and assembly, learned from the rows given to fit; levels unknown then share a slot of their own."""
     stages: list = []
     inputs = list(numeric)
     if nominal:
@@ -62,7 +62,7 @@ def boosted_trees(train: DataFrame, label: str, numeric: Sequence[str], nominal:
 
 
 def linear(train: DataFrame, target: str, numeric: Sequence[str], nominal: Sequence[str] = ()) -> PipelineModel:
-    model = LinearRegression(featuresCol="features", labelCol=target, solver="normal", regParam=1e-9)
+    model = LinearRegression(featuresCol="features", labelCol=target, solver="normal", regParam=0.0)
     return fit_on(train, [*feature_stages(numeric, nominal), model])
 
 

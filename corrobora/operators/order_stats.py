@@ -4,7 +4,8 @@
 holds the wanted rank is found from counts, and only that bucket's distinct values are ordered:
 the shuffle carries counts plus about 1/n_buckets of the table.
 
-Three passes: bounds of the buckets, counts per bucket, values of the wanted buckets.
+Four passes: bounds of the buckets, counts per bucket, counts per part of the wanted buckets, values of
+the wanted parts.
 """
 
 from __future__ import annotations
@@ -16,45 +17,63 @@ from pyspark.sql import DataFrame, Window, functions as F
 from .scan import BUCKET, range_buckets
 
 
+PARTS = 1024
+
+
+def _spans(counts: DataFrame, part: str) -> DataFrame:
+    """Position of each part's first row within its key; one row per (key, part) meets in the window."""
+    walk = Window.partitionBy("_key").orderBy(part)
+    upto = F.sum("_cnt").over(walk.rowsBetween(Window.unboundedPreceding, 0))
+    return counts.withColumn("_start", upto - F.col("_cnt"))
+
+
+def _hits(spans: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The wanted positions next to the part that holds them, counted from its start."""
+    met = wanted.join(spans, "_key").filter((F.col("_local") >= F.col("_start")) & (F.col("_local") < F.col("_start") + F.col("_cnt")))
+    return met.withColumn("_local", F.col("_local") - F.col("_start")).drop("_start", "_cnt")
+
+
 def exact_quantiles(
     df: DataFrame, value: str, probs: Sequence[float], by: Sequence[str] = (), n_buckets: int | None = None
 ) -> DataFrame:
-    """Linear-interpolation quantiles: (by..., prob, quantile, n)."""
+    """Linear-interpolation quantiles: (by..., prob, quantile, n). Null is a group like any other.
+
+    The bucket that holds a wanted rank is cut once more into ``PARTS`` of equal width, and only the distinct values of
+    the part with the rank are ordered.
+    """
     by = list(by)
-    rows = range_buckets(df.select(*by, value).filter(F.col(value).isNotNull()), value, n_buckets)
-    per_bucket = rows.groupBy(*by, BUCKET).agg(F.count("*").alias("_cnt"))
-    walk = Window.partitionBy(*by).orderBy(BUCKET)
-    spans = per_bucket.select(
-        *by,
-        BUCKET,
-        F.sum("_cnt").over(Window.partitionBy(*by)).alias("n"),
-        (F.sum("_cnt").over(walk.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_cnt")).alias("_start"),
-        F.col("_cnt"),
-    )
+    # keys as one struct: structs with null fields are equal to each other in joins and groupings
+    key = F.struct(*[F.col(c) for c in by], F.lit(0).alias("_all")).alias("_key")
+    rows = range_buckets(df.select(key, F.col(value).alias("_v")).filter(F.col("_v").isNotNull()), "_v", n_buckets)
+    counts = rows.groupBy("_key", BUCKET).agg(F.count("*").alias("_cnt"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    sizes = counts.groupBy("_key").agg(F.sum("_cnt").alias("n"))
     # wanted 0-based positions: floor and ceiling of prob * (n - 1)
-    wanted = spans.withColumn("prob", F.explode(F.array(*[F.lit(float(p)) for p in probs])))
+    wanted = sizes.withColumn("prob", F.explode(F.array(*[F.lit(float(p)) for p in probs])))
     wanted = wanted.withColumn("_pos", F.col("prob") * (F.col("n") - 1))
-    wanted = wanted.withColumn("_k", F.explode(F.array_distinct(F.array(F.floor("_pos"), F.ceil("_pos")))))
-    wanted = wanted.filter((F.col("_k") >= F.col("_start")) & (F.col("_k") < F.col("_start") + F.col("_cnt")))
-    wanted = wanted.select(*by, BUCKET, "prob", "n", "_pos", "_k", (F.col("_k") - F.col("_start")).alias("_local"))
-
-    needed = wanted.select(*by, BUCKET).distinct()
-    cells = rows.join(needed, [*by, BUCKET], "left_semi").groupBy(*by, BUCKET, value).agg(F.count("*").alias("_c"))
-    upto = F.sum("_c").over(
-        Window.partitionBy(*by, BUCKET).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    )
-    placed = cells.withColumn("_upto", upto)
-    hit = placed.join(wanted, [*by, BUCKET]).filter(
-        (F.col("_local") < F.col("_upto")) & (F.col("_local") >= F.col("_upto") - F.col("_c"))
-    )
+    wanted = wanted.withColumn("_local", F.explode(F.array_distinct(F.array(F.floor("_pos"), F.ceil("_pos")))))
     share = F.when(F.floor("_pos") == F.ceil("_pos"), F.lit(1.0)).otherwise(
-        F.when(F.col("_k") == F.floor("_pos"), F.ceil("_pos") - F.col("_pos")).otherwise(
-            F.col("_pos") - F.floor("_pos")
-        )
+        F.when(F.col("_local") == F.floor("_pos"), F.ceil("_pos") - F.col("_pos")).otherwise(F.col("_pos") - F.floor("_pos"))
     )
-    return hit.groupBy(*by, "prob").agg(
-        F.sum(F.col(value) * share).alias("quantile"), F.max("n").alias("n")
+    wanted = wanted.withColumn("_share", share)
+    first = _hits(_spans(counts, BUCKET), wanted)
+
+    needed = first.select("_key", BUCKET, "_lo", "_hi").distinct()
+    width = F.col("_hi").cast("double") - F.col("_lo").cast("double")
+    place = (F.col("_v").cast("double") - F.col("_lo").cast("double")) / width * PARTS
+    part = F.when(width > 0, F.least(F.floor(place), F.lit(PARTS - 1))).otherwise(0)
+    near = rows.join(needed, ["_key", BUCKET]).withColumn("_part", part)
+    within = F.struct("_key", BUCKET).alias("_key")
+    parts = near.groupBy(within, "_part").agg(F.count("*").alias("_cnt"))
+    second = _hits(_spans(parts, "_part"), first.drop("_lo", "_hi").withColumn("_key", within).drop(BUCKET))
+
+    cells = near.select(within, "_part", "_v").join(second.select("_key", "_part").distinct(), ["_key", "_part"], "left_semi")
+    cells = cells.groupBy("_key", "_part", "_v").agg(F.count("*").alias("_c"))
+    upto = F.sum("_c").over(Window.partitionBy("_key", "_part").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
+    hit = cells.withColumn("_upto", upto).join(second, ["_key", "_part"]).filter(
+        (F.col("_local") < F.col("_upto")) & (F.col("_local") >= F.col("_upto") - F.col("_c"))
     )
+    out = hit.groupBy(F.col("_key._key").alias("_key"), "prob").agg(F.sum(F.col("_v") * F.col("_share")).alias("quantile"), F.max("n").alias("n"))
+    return out.select(*[F.col(f"_key.{c}").alias(c) for c in by], "prob", "quantile", "n")
 
 
 def exact_median(df: DataFrame, value: str, by: Sequence[str] = (), n_buckets: int | None = None) -> DataFrame:

@@ -6,13 +6,14 @@ more with the coefficients as literals of a scalar subquery. Only summary rows a
 
 from __future__ import annotations
 
+import hashlib
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
-from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, StructField, StructType
 
 from ..functions.scalars import hash_order
 from ..functions.tails import chi2_pvalue, t_sf2
@@ -204,7 +205,7 @@ def newey_west(
     order: Sequence[str],
     by: Sequence[str] = (),
     max_lags: int | None = None,
-    chunk_rows: int = 1 << 20,
+    chunk_rows: int | None = None,
     n_buckets: int | None = None,
 ) -> DataFrame:
     """Coefficients with plain and autocorrelation-robust errors (Bartlett kernel, L = ceil(n^(1/4))).
@@ -214,14 +215,18 @@ def newey_west(
     """
     size = len(xs) + 1
     fits = fit_linear(df, xs, y, by)
+    longest = fits.agg(F.max("fit.rows")).first()[0] or 1
     if max_lags is None:
         # the series length decides the frame size; with several series the longest decides
-        longest = fits.agg(F.max("fit.rows")).first()[0]
-        max_lags = math.ceil((longest or 1) ** 0.25)
+        max_lags = math.ceil(longest**0.25)
+    if chunk_rows is None:
+        # as many chunks as tasks, each much longer than the copies at its edges
+        chunk_rows = min(1 << 20, max(64 * max_lags, math.ceil(longest / parallelism(df.sparkSession))))
+    chunk_rows = max(chunk_rows, max_lags)
     rows = _ordered_residuals(df, fits, xs, y, order, by, n_buckets)
-    placed = with_halo(rows, "_idx", before=max_lags, chunk_rows=max(chunk_rows, max_lags))
+    placed = with_halo(rows, "_idx", before=max_lags, chunk_rows=chunk_rows)
     # position inside the chunk keeps the weights exact far into a long series
-    pos = (F.col("_idx") - F.col("_chunk") * max(chunk_rows, max_lags)).cast("double")
+    pos = (F.col("_idx") - F.col("_chunk") * chunk_rows).cast("double")
     scores = {"_u0": F.col("resid")}
     for i, x in enumerate(xs):
         scores[f"_u{i + 1}"] = (F.col(x).cast("double") - F.col("_fit.centre")[i]) * F.col("resid")
@@ -276,32 +281,47 @@ _TAU_SMALL = [2.1659, 1.4412, 0.038269]
 _TAU_LARGE = [1.7339, 0.93202, -0.12745, -0.010368]
 
 _ADF_TYPE = StructType(
-    [StructField("statistic", DoubleType()), StructField("p", DoubleType()), StructField("used_lag", LongType()), StructField("n_obs", LongType())]
+    [StructField("statistic", DoubleType()), StructField("p", DoubleType()), StructField("used_lag", LongType()), StructField("n_obs", LongType()), StructField("reason", StringType())]
 )
 
 
-def _adf_row(n: float, means: np.ndarray, sscp: np.ndarray, head: np.ndarray) -> tuple:
-    """Choose the lag order by AIC on the common sample, then refit on that order's own sample."""
+def _adf_row(n: float, means: np.ndarray, sscp: np.ndarray, head: np.ndarray, lags: int) -> tuple:
+    """Choose the lag order by AIC on the common sample, then refit on that order's own sample.
+
+    The statistics may have room for more lags than the series' own ``lags``; a series that cannot be tested gets a reason.
+    """
+    none = (None, None, None, None)
+    if lags < 0 or not n > 3:
+        return (*none, "too short")
     size = len(means)  # level, d_1 .. d_L, d_0
-    lags = size - 2
-    s = sscp.reshape(size, size)
+    own = [*range(lags + 1), size - 1]
+    s, means = sscp.reshape(size, size)[np.ix_(own, own)], means[own]
+    if not s[0, 0] > 0 or not s[-1, -1] > 0:
+        return (*none, "flat")
 
     def ols_t(count, mean, cells, order):
         keep = list(range(order + 1))
         sxx = cells[np.ix_(keep, keep)]
         sxy = cells[keep, -1]
         scale = np.sqrt(np.diag(sxx))
+        dof = count - order - 2
+        if dof <= 0 or not (scale > 0).all():
+            return None
         inv = np.linalg.pinv(sxx / np.outer(scale, scale), hermitian=True) / np.outer(scale, scale)
         b = inv @ sxy
         sse = float(cells[-1, -1] - b @ sxy)
-        dof = count - order - 2
+        if not sse > 1e-12 * cells[-1, -1]:
+            return None
         return b[0] / math.sqrt(sse / dof * inv[0, 0]), sse
 
-    aics = []
+    aics = {}
     for order in range(lags + 1):
-        _, sse = ols_t(n, means, s, order)
-        aics.append(n * (math.log(2 * math.pi) + math.log(sse / n) + 1) + 2 * (order + 2))
-    best = int(np.argmin(aics))
+        fit = ols_t(n, means, s, order)
+        if fit:
+            aics[order] = n * (math.log(2 * math.pi) + math.log(fit[1] / n) + 1) + 2 * (order + 2)
+    if not aics:
+        return (*none, "exact fit")
+    best = min(aics, key=lambda q: (aics[q], q))
     extra = lags - best
     if extra > 0:
         # rows the common sample gave up: differences number best+1 .. lags of the series head
@@ -317,7 +337,10 @@ def _adf_row(n: float, means: np.ndarray, sscp: np.ndarray, head: np.ndarray) ->
         gap = m2 - means
         s = s + s2 + np.outer(gap, gap) * n * extra / total
         means, n = (means * n + m2 * extra) / total, total
-    stat, _ = ols_t(n, means, s, best)
+    fit = ols_t(n, means, s, best)
+    if not fit:
+        return (*none, "exact fit")
+    stat = fit[0]
     if stat > _TAU_MAX:
         p = 1.0
     elif stat < _TAU_MIN:
@@ -326,16 +349,18 @@ def _adf_row(n: float, means: np.ndarray, sscp: np.ndarray, head: np.ndarray) ->
         poly = _TAU_SMALL if stat <= _TAU_STAR else _TAU_LARGE
         z = float(np.polyval(poly[::-1], stat))
         p = 0.5 * math.erfc(-z / math.sqrt(2))
-    return stat, p, best, int(n)
+    return stat, p, best, int(n), None
 
 
 @F.pandas_udf(_ADF_TYPE)
-def _adf(n: pd.Series, means: pd.Series, sscp: pd.Series, head: pd.Series) -> pd.DataFrame:
+def _adf(n: pd.Series, means: pd.Series, sscp: pd.Series, head: pd.Series, lags: pd.Series) -> pd.DataFrame:
     rows = [
-        _adf_row(float(a), np.asarray(b, float), np.asarray(c, float), np.asarray(d, float))
-        for a, b, c, d in zip(n, means, sscp, head)
-    ]
-    return pd.DataFrame(rows, columns=["statistic", "p", "used_lag", "n_obs"])
+        (None, None, None, None, "too short") if b is None or d is None or pd.isna(a)
+        else _adf_row(float(a), np.asarray(b, float), np.asarray(c, float), np.asarray(d, float), int(e))
+        for a, b, c, d, e in zip(n, means, sscp, head, lags)
+    ]
+    out = pd.DataFrame(rows, columns=["statistic", "p", "used_lag", "n_obs", "reason"])
+    return out.astype({"used_lag": "Int64", "n_obs": "Int64"})
 
 
 def adf(
@@ -346,26 +371,34 @@ def adf(
     max_lag: int | None = None,
     n_buckets: int | None = None,
 ) -> DataFrame:
-    """Unit-root test with a constant; lag order by AIC up to ceil(12 (n/100)^(1/4)).
+    """Unit-root test with a constant; lag order by AIC up to ceil(12 (n/100)^(1/4)), each series by its own length.
 
-    One pass yields the Gram statistics of level and lagged differences plus the first max_lag + 1
-    values of the series; order choice and refit happen on that one row per series.
+    One pass yields the Gram statistics of level and lagged differences plus the first values of the series; order choice and
+    refit happen on that one row per series. Every series has a row: one that is too short, flat or fitted exactly
+    has null results and a reason.
     """
     rows = df.select(*dict.fromkeys([*by, *order, value])).filter(F.col(value).isNotNull())
-    if max_lag is None:
-        longest = rows.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
-        max_lag = max(0, min(math.ceil(12 * (longest / 100) ** 0.25), longest // 2 - 2))
+    n = F.col("_n")
+    rule = F.ceil(12 * F.pow(n / 100, F.lit(0.25))) if max_lag is None else F.lit(max_lag)
+    lags = F.least(rule, F.floor(n / 2) - 2).cast("int")
+    sizes = rows.groupBy(*by).agg(F.count("*").alias("_n")).withColumn("_lags", lags)
+    max_lag = max(0, sizes.agg(F.max("_lags")).first()[0] or 0)
     placed = with_row_index(rows, order, by, n_buckets=n_buckets).withColumn("_x", F.col(value).cast("double"))
     shifted = lagged(placed, {f"_l{k}": ("_x", k) for k in range(1, max_lag + 2)}, by=by)
+    shifted = shifted.join(sizes.drop("_n"), list(by)) if by else shifted.withColumn("_lags", sizes.select("_lags").scalar())
     level = lambda k: F.col("_x") if k == 0 else F.col(f"_l{k}")
-    shifted = shifted.withColumns({f"_d{k}": level(k) - level(k + 1) for k in range(0, max_lag + 1)})
+    # beyond its own lags a series has zeros: its rows are complete as soon as its own lags are
+    shifted = shifted.withColumns({f"_d{k}": F.when(F.lit(k) <= F.col("_lags"), level(k) - level(k + 1)).otherwise(F.lit(0.0) if k else None) for k in range(0, max_lag + 1)})
     xs = ["_l1", *[f"_d{k}" for k in range(1, max_lag + 1)]]
     stats = gram(shifted, xs, "_d0", by)
-    first = F.when(F.col("_idx") <= max_lag, F.struct("_idx", "_x"))
+    first = F.when(F.col("_idx") <= F.col("_lags"), F.struct("_idx", "_x"))
     head = shifted.groupBy(*by).agg(F.sort_array(F.collect_list(first)).alias("_head"))
     head = head.withColumn("head", F.transform("_head", lambda h: h["_x"])).drop("_head")
-    both = beside(stats, head, by)
-    out = both.withColumn("_a", _adf(F.col("n").cast("double"), "means", "sscp", "head"))
+    if by:
+        both = sizes.join(stats, list(by), "left").join(head, list(by), "left")
+    else:
+        both = beside(beside(stats, head), sizes)
+    out = both.withColumn("_a", _adf(F.col("n").cast("double"), "means", "sscp", "head", "_lags"))
     return out.select(*by, *[F.col(f"_a.{f.name}").alias(f.name) for f in _ADF_TYPE.fields])
 
 
@@ -423,8 +456,8 @@ def bootstrap_ridge(
 ) -> DataFrame:
     """(rep, coef[]) of Poisson-bootstrap refits; predictors standardised on the full table.
 
-    Replicates are partial-aggregated before the shuffle: each task sends one Gram row per
-    replicate, whatever the number of table rows.
+    The draws are those of ``poisson_weights``; a batch of rows becomes a matrix of draws, and each task sends one Gram row
+    per replicate, whatever the number of table rows. Collinear predictors have the smallest of their solutions.
     """
     cols = [*xs, y]
     data = df.select(*row_id, *[F.col(c).cast("double").alias(c) for c in cols]).dropna(subset=cols)
@@ -442,15 +475,30 @@ def bootstrap_ridge(
     if centred.rdd.getNumPartitions() < cores:
         # each row is about to be drawn ``replicates`` times: a table with few splits is spread first
         centred = centred.repartition(cores)
-    drawn = poisson_weights(centred, row_id, replicates, seed)
-    w = F.col("w")
-    pairs = {(i, j): F.sum(w * F.col(cols[i]) * F.col(cols[j])) for i in range(size) for j in range(i, size)}
-    sums = drawn.groupBy("rep").agg(
-        F.sum(w).alias("n"),
-        F.array(*[F.sum(w * F.col(c)) for c in cols]).alias("s1"),
-        F.array(*[pairs[min(i, j), max(i, j)] for i in range(size) for j in range(size)]).alias("s2"),
-    )
-    return sums.select("rep", _boot_solve(F.col("n").cast("double"), "s1", "s2", F.lit(float(alpha))).alias("coef"))
+    slots = size + size * size + 1
+    steps = np.array([math.ceil(c * 2**32) for c in _POISSON_CDF if c * 2**32 <= 2**32 - 1], np.int64)
+
+    def weighted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Sums of the products, weighted by every replicate's draws: one matrix product per batch."""
+        total = np.zeros((replicates, slots))
+        blocks = [f"|{b}|{seed}" for b in range((replicates + 3) // 4)]
+        for frame in frames:
+            for part in np.array_split(frame, max(1, len(frame) // 2000)):
+                z = part[cols].to_numpy(float)
+                digests = b"".join(hashlib.md5((i + b).encode()).digest() for i in part["_id"] for b in blocks)
+                u = np.frombuffer(digests, ">u4").reshape(len(part), -1)[:, :replicates].astype(np.int64)
+                w = np.searchsorted(steps, u, side="right").astype(float)
+                products = np.hstack([np.ones((len(part), 1)), z, (z[:, :, None] * z[:, None, :]).reshape(len(part), -1)])
+                total += w.T @ products
+        yield pd.DataFrame({"rep": np.arange(replicates, dtype=np.int32), "sums": list(total)})
+
+    rows = centred.select(F.concat_ws("|", *[F.col(c).cast("string") for c in row_id]).alias("_id"), *cols)
+    # a row per replicate and task, whatever the number of table rows
+    flat = rows.mapInPandas(weighted, "rep int, sums array<double>").select("rep", F.posexplode("sums").alias("at", "x"))
+    sums = flat.groupBy("rep", "at").agg(F.sum("x").alias("x")).groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("at", "x"))).alias("a"))
+    sums = sums.select("rep", F.col("a.x").alias("a")).filter(F.element_at("a", 1) > 0)
+    parts = F.element_at("a", 1).alias("n"), F.slice("a", 2, size).alias("s1"), F.slice("a", 2 + size, size * size).alias("s2")
+    return sums.select("rep", *parts).select("rep", _boot_solve("n", "s1", "s2", F.lit(float(alpha))).alias("coef"))
 
 
 @F.pandas_udf(ArrayType(DoubleType()))
@@ -461,7 +509,7 @@ def _boot_solve(n: pd.Series, s1: pd.Series, s2: pd.Series, alpha: pd.Series) ->
         size = len(m)
         s = np.asarray(second, float).reshape(size, size) - count * np.outer(m, m)
         p = size - 1
-        out.append(np.linalg.solve(s[:p, :p] + penalty * np.eye(p), s[:p, p]))
+        out.append(np.linalg.lstsq(s[:p, :p] + penalty * np.eye(p), s[:p, p], rcond=1e-12)[0])
     return pd.Series(out)
 
 
@@ -521,12 +569,10 @@ def dummies(df: DataFrame, column: str, levels: Sequence, drop_first: bool = Tru
     return df.withColumns(names), list(names)
 
 
-def levels_of(df: DataFrame, column: str, limit: int = 1000) -> list:
-    """Distinct levels of a categorical predictor; refuses a column that is no category.
+def levels_of(df: DataFrame, column: str) -> list:
+    """Distinct levels of a categorical predictor.
 
-    Levels become columns of the design, so the list is small or the model is not the right one.
+    Each becomes a column of the design, so a column with very many is one to encode; pass the levels to
+    ``dummies`` where they are known.
     """
-    rows = df.select(column).filter(F.col(column).isNotNull()).distinct().limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"{column} has more than {limit} levels: encode it instead of one column per level")
-    return sorted(r[0] for r in rows)
+    return sorted(r[0] for r in df.select(column).filter(F.col(column).isNotNull()).distinct().collect())

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.scalars import hash_order, hash_unit
 from .order_stats import exact_quantiles
-from .scan import with_row_index
+from .scan import collapsed_buckets, prefix_sums, with_row_index
 
 
 def random_sample(df: DataFrame, row_id: Sequence[str], n: int, seed: int = 0) -> DataFrame:
@@ -37,23 +37,41 @@ def stratified_split(
     """
     rows = df.withColumn("_u", hash_unit(*row_id, seed=seed))
     cuts = exact_quantiles(rows, "_u", [fraction], [label]).select(label, F.col("quantile").alias("_cut"))
-    tagged = rows.join(cuts, label, "left")
+    cuts = cuts.withColumnRenamed(label, "_label")
+    tagged = rows.join(cuts, F.col(label).eqNullSafe(F.col("_label")), "left").drop("_label")
     side = F.when(F.col("_u") <= F.col("_cut"), F.lit("train")).otherwise(F.lit("test"))
     return tagged.withColumn(out, side).drop("_u", "_cut")
 
 
 def chronological_split(df: DataFrame, order: Sequence[str], fraction: float = 0.8, out: str = "split") -> DataFrame:
     """First ``fraction`` of the rows in time order train, the rest test; order must end in a unique id."""
-    placed = with_row_index(df, order)
     n = df.agg(F.count("*")).scalar()
-    side = F.when(F.col("_idx") < F.floor(n * fraction), F.lit("train")).otherwise(F.lit("test"))
-    return placed.withColumn(out, side).drop("_idx")
+    return _split_at(df, order, F.floor(n * fraction).cast("bigint"), out)
 
 
 def positional_split(df: DataFrame, order: Sequence[str], n_train: int, out: str = "split") -> DataFrame:
     """The first ``n_train`` rows in order train."""
-    placed = with_row_index(df, order)
-    return placed.withColumn(out, F.when(F.col("_idx") < n_train, F.lit("train")).otherwise(F.lit("test"))).drop("_idx")
+    return _split_at(df, order, F.lit(n_train).cast("bigint"), out)
+
+
+def _split_at(df: DataFrame, order: Sequence[str], position: Column, out: str) -> DataFrame:
+    """Rows before the one at ``position`` are train: that row is found by selection, the others are only compared with it.
+
+    Counts per value of the first order column lead to the value at the position; the other order columns rank the rows of
+    this value alone.
+    """
+    first, rest = order[0], list(order[1:])
+    wanted = df.agg(F.count("*").alias("n")).withColumn("k", F.least(position, F.col("n"))).select("k").scalar()
+    counts = collapsed_buckets(df.groupBy(F.col(first).alias("_v")).agg(F.count("*").alias("_c")), "_v")
+    upto = prefix_sums(counts, ["_v"], {"_upto": F.col("_c")})
+    hit = upto.filter((F.col("_upto") > wanted) & (F.col("_upto") - F.col("_c") <= wanted))
+    cut = hit.select(F.col("_v"), (wanted - (F.col("_upto") - F.col("_c"))).alias("_k"))
+    value = cut.select("_v").scalar()
+    ties = df.filter(F.col(first) == value).select(F.struct(*order).alias("_o"))
+    place = F.row_number().over(Window.orderBy("_o")) - 1
+    at = ties.withColumn("_p", place).filter(F.col("_p") == cut.select("_k").scalar()).select("_o").scalar()
+    mine = F.struct(*order)
+    return df.withColumn("_at", at).withColumn(out, F.when(F.col("_at").isNull() | (mine < F.col("_at")), F.lit("train")).otherwise(F.lit("test"))).drop("_at")
 
 
 def relative_position(df: DataFrame, order: Sequence[str], out: str = "position") -> DataFrame:

@@ -62,7 +62,8 @@ def change_point(
     df: DataFrame, order: Sequence[str], value: str, min_size: int = 60, by: Sequence[str] = (), n_buckets: int | None = None
 ) -> DataFrame:
     """Split with the largest mean shift; the first one wins a tie, the middle when none is admissible."""
-    scored = break_scores(df, order, value, min_size, by, n_buckets)
+    # a series without any shift has no break: the middle stands for it
+    scored = break_scores(df, order, value, min_size, by, n_buckets).filter("score > 0")
     best = scored.groupBy(*by).agg(
         F.max_by(
             F.struct("break_idx", F.col(order[0]).alias("break_at"), "left_mean", "right_mean", "score"),
@@ -249,10 +250,10 @@ def mape(pairs: DataFrame, actual: str, forecast: str, by: Sequence[str] = ()) -
     )
 
 
-def growth(df: DataFrame, period: Column, value: Column | str, first, second) -> DataFrame:
-    """(first_total, second_total, growth) between two periods, in one pass."""
+def growth(df: DataFrame, period: Column, value: Column | str, first, second, by: Sequence[Column | str] = ()) -> DataFrame:
+    """(by..., first_total, second_total, growth) between two periods, in one pass."""
     v = F.col(value) if isinstance(value, str) else value
     a, b = F.sum(F.when(period == F.lit(first), v)), F.sum(F.when(period == F.lit(second), v))
-    return df.agg(a.alias("first_total"), b.alias("second_total")).withColumn(
+    return df.groupBy(*by).agg(a.alias("first_total"), b.alias("second_total")).withColumn(
         "growth", (F.col("second_total") - F.col("first_total")) / F.col("first_total")
     )

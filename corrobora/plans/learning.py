@@ -11,6 +11,7 @@ from ..operators import models as ML
 from ..operators import sampling
 from ..operators.regression import dummies
 from ..sources.readers import table
+from . import sqlkit as K
 from .inference import rounded
 from .registry import query
 from .relational import unit
@@ -71,13 +72,17 @@ def onehot_minfreq(spark, d):
     return out.groupBy("split", "pooled").agg(F.count("*").alias("rows"))
 
 
+#: All levels of part.p_type.
+PART_TYPES = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
+
+
 @query(
     "onehot_columns",
-    """SELECT p_partkey, (p_type = 'ECONOMY')::INT::DOUBLE AS "type_ECONOMY", (p_type = 'PROMO')::INT::DOUBLE AS "type_PROMO", (p_type = 'STANDARD')::INT::DOUBLE AS "type_STANDARD" FROM part""",
+    "SELECT p_partkey, " + ", ".join(f"(p_type = '{t}')::INT::DOUBLE AS \"type_{t}\"" for t in PART_TYPES) + " FROM part",
 )
 def onehot_columns(spark, d):
-    rows, _ = dummies(table(spark, d, "part"), "p_type", ["ECONOMY", "PROMO", "STANDARD"], drop_first=False, prefix="type")
-    return rows.select("p_partkey", "type_ECONOMY", "type_PROMO", "type_STANDARD")
+    rows, names = dummies(table(spark, d, "part"), "p_type", PART_TYPES, drop_first=False, prefix="type")
+    return rows.select("p_partkey", *names)
 
 
 @query(
@@ -125,7 +130,17 @@ def binned_mi(spark, d):
     return rounded(P.mutual_information(rows, ["value_bin", "hour", "user_mod"], "y"), "mi", digits=8)
 
 
-@query("quantile_to_normal")
+_PROBS = [i / 99 for i in range(100)]
+
+
+@query(
+    "quantile_to_normal",
+    f"""WITH q AS (SELECT quantile_cont(o_totalprice, {_PROBS!r}) AS c FROM orders WHERE o_orderdate < TIMESTAMP '2000-01-01'),
+    k AS (SELECT unnest(range(0, 100)) AS i, unnest(c) AS x FROM q), n AS (SELECT a.i, a.x, b.x AS nx FROM k a LEFT JOIN k b ON b.i = a.i + 1),
+    r AS (SELECT o_orderkey, o_totalprice AS v, i, x, nx FROM orders ASOF LEFT JOIN n ON o_totalprice >= n.x),
+    p AS (SELECT o_orderkey, least(greatest(CASE WHEN i IS NULL THEN 0.0 WHEN nx IS NULL THEN 1.0 ELSE (i + (v - x) / (nx - x)) / 99 END, 1e-7), 1 - 1e-7) AS p FROM r)
+    SELECT o_orderkey, round({K.normal_quantile('p')}, 6) AS z FROM p""",
+)
 def quantile_to_normal(spark, d):
     o = table(spark, d, "orders").select("o_orderkey", "o_orderdate", "o_totalprice")
     out = P.quantile_to_normal(o, o.filter(F.col("o_orderdate") < "2000-01-01"), "o_totalprice", 100, "z")
@@ -223,14 +238,14 @@ def class_predictions(spark, d):
 @query("rf_importance")
 def rf_importance(spark, d):
     train, _ = sides(document_features(spark, d))
-    model = ML.random_forest(train, "quality", NUMERIC, ["lang"], trees=20, depth=5, row_id=["doc_id"])
+    model = ML.random_forest(train, "quality", NUMERIC, ["lang"], trees=200, depth=8, row_id=["doc_id"])
     return rounded(ML.importances(model, train), "importance").filter("rank <= 5")
 
 
 @query("gbt_model")
 def gbt_model(spark, d):
     train, test = sides(document_features(spark, d))
-    model = ML.boosted_trees(train, "quality", NUMERIC, ["lang"], rounds=5, row_id=["doc_id"])
+    model = ML.boosted_trees(train, "quality", NUMERIC, ["lang"], rounds=100, row_id=["doc_id"])
     out = ML.predictions(model, test, ["doc_id", "quality"])
     return rounded(M.roc_auc(out, "quality", "score"), "auc")
 

@@ -9,7 +9,7 @@ from ..operators import expectations as E
 from ..operators import runlogs as L
 from ..session import staged
 from ..sources.readers import table
-from ..sources.sinks import keyed_map, markdown_table, report_json
+from ..sources.sinks import keyed_map, markdown_lines, report_json
 from .inference import rounded
 from .registry import query
 from .relational import MERGE_COLUMNS, MERGED_SQL, merged_orders
@@ -160,10 +160,11 @@ def pass_at_k_macro(spark, d):
 
 @query(
     "pass_table_markdown",
-    f"""WITH {TRIALS} SELECT '| task | trials | pass_at_k |' || chr(10) || '|---|---|---|' || chr(10) || string_agg('| ' || task || ' | ' || trials || ' | ' || pass_at_k || ' |', chr(10) ORDER BY task) AS markdown FROM rt""",
+    f"""WITH {TRIALS} SELECT 0::BIGINT AS line, '| task | trials | pass_at_k |' AS text UNION ALL SELECT 1, '|---|---|---|'
+    UNION ALL SELECT 1 + row_number() OVER (ORDER BY task), '| ' || task || ' | ' || trials || ' | ' || pass_at_k || ' |' FROM rt""",
 )
 def pass_table_markdown(spark, d):
-    return markdown_table(rates(spark, d), ["task", "trials", "pass_at_k"], ["task"])
+    return markdown_lines(rates(spark, d), ["task", "trials", "pass_at_k"], ["task"])
 
 
 @query(

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.scalars import as_col
+from ..session import parallelism, staged
 
 
 def write_csv(df: DataFrame, path: str) -> None:
@@ -30,12 +31,20 @@ def keyed_map(key: str, value: Column | str) -> Column:
     return F.map_from_entries(pairs)
 
 
-def markdown_table(df: DataFrame, columns: Sequence[str], order: Sequence[str], limit: int = 10_000) -> DataFrame:
-    """One text value holding a Markdown table; refuses (NULL) a table too long for a report."""
+def markdown_lines(df: DataFrame, columns: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """(line, text): a Markdown table of any length, one row per line; the head is lines 0 and 1.
+
+    ``order`` has to end in a unique column and to begin with one that ``with_row_index`` can bucket, or with text.
+    """
     cells = F.concat(F.lit("| "), F.concat_ws(" | ", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]), F.lit(" |"))
     head = "| " + " | ".join(columns) + " |\n|" + "---|" * len(columns)
-    # one row beyond the limit is enough to know that the table is too long
-    lines = df.select(F.struct(*order).alias("o"), cells.alias("l")).orderBy("o").limit(limit + 1)
-    body = lines.agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("o", "l"))).alias("a"))
-    text = F.concat(F.lit(head + "\n"), F.array_join(F.transform("a", lambda s: s["l"]), "\n"))
-    return body.select(F.when(F.col("n") <= limit, text).alias("markdown"))
+    rows = df.select(*order, cells.alias("text"))
+    # sorted by ranges, so a partition's lines follow those of the partitions before it
+    ranged = rows.repartitionByRange(parallelism(df.sparkSession), *order).sortWithinPartitions(*order)
+    placed = staged(ranged.select("text", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("at")))
+    sizes = placed.groupBy("part").agg(F.count("*").alias("n"), F.min("at").alias("first"))
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
+    offsets = sizes.select("part", "first", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    body = placed.join(offsets, "part").select((F.col("at") - F.col("first") + F.col("before") + 2).cast("bigint").alias("line"), "text")
+    top = df.sparkSession.createDataFrame([(i, t) for i, t in enumerate(head.split("\n"))], "line bigint, text string")
+    return top.union(body)

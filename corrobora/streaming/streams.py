@@ -37,10 +37,17 @@ def conversion_stream(events: DataFrame, ts: str, variant: Column, converted: Co
     )
 
 
-def late_rows(arrived: DataFrame, closed_days: DataFrame, ts: str, key: str) -> DataFrame:
-    """Rows for days already reported: what a correction run has to add."""
-    day = arrived.withColumn("day", F.to_date(ts))
-    return day.join(closed_days.select("day").distinct(), "day", "left_semi").dropDuplicates([key])
+def late_rows(arrived: DataFrame, closed_days: DataFrame, ts: str, key: str, lateness: str = "1 day") -> DataFrame:
+    """Rows for days already reported, the earliest of each key: what a correction run has to add.
+
+    On a stream a key is remembered for ``lateness`` only, so the state is bounded; the first arrival counts there.
+    """
+    if arrived.isStreaming:
+        once = arrived.withWatermark(ts, lateness).dropDuplicatesWithinWatermark([key])
+        return once.withColumn("day", F.to_date(ts)).join(closed_days.select("day").distinct(), "day", "left_semi")
+    late = arrived.withColumn("day", F.to_date(ts)).join(closed_days.select("day").distinct(), "day", "left_semi")
+    first = late.groupBy(key).agg(F.min_by(F.struct(*late.columns), F.struct(ts, *[c for c in late.columns if c != ts])).alias("_r"))
+    return first.select("_r.*")
 
 
 def run_available(stream: DataFrame, path: str, mode: str = "append", name: str | None = None) -> StreamingQuery:

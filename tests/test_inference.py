@@ -214,6 +214,40 @@ def test_adf(spark, kind):
     assert (got.p > 0.05) == (kind == "walk")
 
 
+def test_adf_keeps_every_series(spark):
+    rng = np.random.default_rng(3)
+    walk, short = np.cumsum(rng.normal(size=150)), np.cumsum(rng.normal(size=60))
+    rows = [("walk", i, float(v)) for i, v in enumerate(walk)] + [("short", i, float(v)) for i, v in enumerate(short)]
+    rows += [("flat", i, 2.0) for i in range(50)] + [("line", i, float(i)) for i in range(50)]
+    rows += [("three", i, float(i * i)) for i in range(3)] + [("six", i, float(i % 3) + 0.1 * i * i) for i in range(6)]
+    df = spark.createDataFrame(rows, "g string, t int, x double")
+    out = {r.g: r for r in regression.adf(df, "x", ["t"], ["g"]).collect()}
+    assert set(out) == {"walk", "short", "flat", "line", "three", "six"}
+    for name, x in (("walk", walk), ("short", short)):
+        lag_rule = min(math.ceil(12 * (len(x) / 100) ** 0.25), len(x) // 2 - 2)
+        stat, lag, n = adf_numpy(x, lag_rule)
+        r = out[name]
+        assert r.statistic == pytest.approx(stat, rel=1e-6) and (r.used_lag, r.n_obs, r.reason) == (lag, n, None)
+    assert out["flat"].statistic is None and out["flat"].reason == "flat"
+    assert out["three"].reason == "too short" and out["three"].p is None
+    assert out["line"].reason in ("flat", "exact fit")
+
+
+def test_bootstrap_sums_use_the_fixed_weights(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=300)
+    pdf = pd.DataFrame({"id": np.arange(300), "x": x, "y": 2 * x + rng.normal(size=300)})
+    df = spark.createDataFrame(pdf).repartition(3)
+    got = {r.rep: r.coef[0] for r in regression.bootstrap_ridge(df, ["x"], "y", ["id"], 6, 1.0, seed=5).collect()}
+    w = regression.poisson_weights(df, ["id"], 6, 5).toPandas()
+    assert len(got) == 6
+    for rep, part in w.groupby("rep"):
+        z = (part.x - x.mean()) / x.std()
+        mz, my = np.average(z, weights=part.w), np.average(part.y, weights=part.w)
+        want = (part.w * (z - mz) * (part.y - my)).sum() / ((part.w * (z - mz) ** 2).sum() + 1.0)
+        assert got[rep] == pytest.approx(want, rel=1e-9)
+
+
 def test_bootstrap_weights_are_fixed_and_poisson(spark):
     df = spark.range(4000).withColumn("v", F.col("id") * 0.5)
     a = regression.poisson_weights(df, ["id"], 6, seed=1).groupBy("rep").agg(F.sum("w").alias("n"), F.sum(F.col("w") * F.col("v")).alias("s"))

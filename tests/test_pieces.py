@@ -2,6 +2,7 @@
 
 import datetime as dt
 import json
+import os
 
 import numpy as np
 import pandas as pd
@@ -185,6 +186,8 @@ def test_change_point_brute_force(spark):
     for n in (1, 8):
         r = timeseries.change_point(df, ["t"], "x", 30, n_buckets=n).first()
         assert r.break_idx == 30 + int(np.argmax(score)) and r.score == pytest.approx(max(score))
+    flat = timeseries.change_point(spark.range(20).select("id", F.lit(4.0).alias("x")), ["id"], "x", 3).first()
+    assert flat.break_idx == 10 and flat.score == 0 and flat.break_at is None
     short = timeseries.change_point(df.limit(20), ["t"], "x", 30).first()
     assert short.break_idx == 10 and short.score == 0
     assert timeseries.after_break(df, ["t"], "x", 30).count() == 250 - (30 + int(np.argmax(score)))
@@ -264,8 +267,8 @@ def test_log_tree(spark, tmp_path):
     assert (c.steps, c.agent_steps, c.tool_calls) == (3, 2, 2)
     assert t.select(runlogs.last_message_of("steps", "agent")).first()[0] == "done"
     assert runlogs.tool_usage(t, ["task", "trial"]).first().calls == 2
-    md = sinks.markdown_table(runlogs.pass_rates(all_), ["task", "trials"], ["task"]).first().markdown
-    assert md.splitlines() == ["| task | trials |", "|---|---|", "| easy | 3 |", "| hard | 4 |"]
+    md = sinks.markdown_lines(runlogs.pass_rates(all_), ["task", "trials"], ["task"]).orderBy("line").collect()
+    assert [r.text for r in md] == ["| task | trials |", "|---|---|", "| easy | 3 |", "| hard | 4 |"]
 
 
 def test_csv_round_trip(spark, tmp_path):
@@ -291,8 +294,11 @@ def test_streams(spark, tmp_path):
     streams.run_available(first, out + "2")
     assert spark.read.parquet(out + "2").select("k").distinct().count() == spark.read.parquet(out + "2").count() == 72
     assert shared_dir(spark)
-    late = streams.late_rows(spark.read.parquet(str(src)), spark.createDataFrame([(dt.date(2024, 1, 2),)], "day date"), "ts", "id")
-    assert late.count() == 24
+    late = streams.late_rows(spark.read.parquet(str(src)), spark.createDataFrame([(dt.date(2024, 1, 2),)], "day date"), "ts", "k")
+    assert late.count() == 12 and {r.id % 2 for r in late.collect()} == {0}
+    live_late = streams.late_rows(live, spark.createDataFrame([(dt.date(2024, 1, 2),)], "day date"), "ts", "id", "2 days")
+    streams.run_available(live_late, out + "3")
+    assert spark.read.parquet(out + "3").count() == 24
 
 
 def test_conversion_stream_feeds_peeking(spark, tmp_path):
@@ -307,14 +313,28 @@ def test_conversion_stream_feeds_peeking(spark, tmp_path):
     assert spark.table("daily_conv").agg(F.sum("n_a") + F.sum("n_b")).first()[0] == 72
 
 
-def test_small_side_is_local_only_within_the_limit(spark):
-    from corrobora.session import small_side
+def test_storage_is_shared_or_refused(spark):
+    from corrobora import session
 
-    df = spark.range(50).withColumn("a", F.array(F.col("id")))
-    few, many = small_side(df, 50), small_side(df, 49)
-    plan = lambda x: x._jdf.queryExecution().optimizedPlan().toString()
-    assert "LocalRelation" in plan(few) and "LocalRelation" not in plan(many)
-    assert few.exceptAll(df).count() == 0 and few.count() == many.count() == 50
+    class Cluster:
+        conf = {"spark.master": "spark://a:7077"}
+
+    with pytest.raises(ValueError):
+        session.shared_dir(Cluster())
+    with pytest.raises(ValueError):
+        Cluster.conf = {"spark.master": "local-cluster[3,2,1024]"}
+        session.shared_dir(Cluster())
+    df = session.staged(spark.range(50).repartition(4))
+    assert df.count() == 50 and os.listdir(session._staging_dir(spark))
+    session.drop_staged(spark)
+    assert not os.path.exists(session._staging_dir(spark))
+
+
+def test_pass_rates_with_a_hot_task(spark):
+    rows = spark.range(5000).select(F.when(F.col("id") % 10 == 0, F.lit("b")).otherwise(F.lit("a")).alias("task"), F.col("id").alias("trial"), (F.col("id") == 4).cast("double").alias("reward"))
+    out = {r.task: r for r in runlogs.pass_rates(rows, 3).collect()}
+    assert out["a"].trials == 4500 and out["a"].pass_at_k == 0 and out["b"].trials == 500
+    assert {r.task: r.pass_at_k for r in runlogs.pass_rates(rows, 4).collect()} == {"a": 1, "b": 0}
 
 
 def test_hot_key_history_is_spread(spark):

@@ -88,3 +88,17 @@ def test_empty_and_null(spark):
     assert scan.with_row_index(empty, ["t", "id"]).count() == 0
     some = spark.createDataFrame([(1, None), (2, 4.0)], "id bigint, x double")
     assert order_stats.exact_median(some, "x").first()["median"] == 4.0
+
+
+def test_quantiles_keep_the_null_group_and_split_a_hot_bucket(spark):
+    from corrobora.operators.order_stats import exact_quantiles
+
+    rng = np.random.default_rng(12)
+    pdf = pd.DataFrame({"g": [None] * 900 + ["a"] * 100, "x": np.concatenate([np.round(rng.exponential(size=900), 3), rng.normal(size=100)])})
+    df = spark.createDataFrame(pdf, "g string, x double").repartition(5)
+    for n in (1, 8):
+        out = {(r.g, r.prob): r.quantile for r in exact_quantiles(df, "x", [0.1, 0.5, 0.99], ["g"], n).collect()}
+        assert len(out) == 6
+        for g, part in (("a", pdf[pdf.g == "a"].x), (None, pdf[pdf.g.isna()].x)):
+            for p in (0.1, 0.5, 0.99):
+                assert out[g, p] == pytest.approx(np.quantile(part, p), abs=1e-12)
