@@ -73,12 +73,12 @@ def rebalanced(slot_map: DataFrame, sizes: DataFrame, shards: int, keep: float =
     return kept.union(moved).withColumn("version", F.col("version") + 1)
 
 
-def sized(docs: DataFrame) -> DataFrame:
+def sized(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
     """doc_id, size (UTF-8 bytes + 8), text_crc32, virtual_slot and nothing else of the text."""
     text = text_of()
     return docs.select(
         F.col("doc_id"), (F.octet_length(text) + 8).cast("bigint").alias("size"), F.crc32(text).alias("text_crc32"),
-        slot_of(F.col("doc_id")).alias("virtual_slot"),
+        slot_of(F.col("doc_id"), slots).alias("virtual_slot"),
     )
 
 
@@ -92,7 +92,7 @@ def shard_documents(docs: DataFrame, shards: int = 24, slots: int = SLOTS) -> tu
     no rows and a map that deals every slot. Columns of ``docs`` besides doc_id and text are ignored.
     """
     same = ["virtual_slot", "doc_id", "size", "text_crc32"]
-    rows = stage(sized(docs).groupBy(*same).agg(F.count("*").alias("copies")), "shard-rows")
+    rows = stage(sized(docs, slots).groupBy(*same).agg(F.count("*").alias("copies")), "shard-rows")
     whole = rows.groupBy("virtual_slot").agg(
         F.sum("copies").alias("rows"), F.sum(F.col("size") * F.col("copies")).alias("bytes")
     )
@@ -114,8 +114,8 @@ def shard_documents(docs: DataFrame, shards: int = 24, slots: int = SLOTS) -> tu
     return out, slot_map
 
 
-def write_shards(docs: DataFrame, slot_map: DataFrame, path: str) -> None:
-    """The documents as Parquet, one folder per shard, by the latest version of the map."""
+def write_shards(docs: DataFrame, slot_map: DataFrame, path: str, slots: int = SLOTS) -> None:
+    """The documents as Parquet, one folder per shard, by the latest version of the map of ``slots`` slots."""
     latest = slot_map.groupBy("virtual_slot").agg(F.max_by("shard", "version").alias("shard"))
-    placed = docs.withColumn("virtual_slot", slot_of(F.col("doc_id"))).join(F.broadcast(latest), "virtual_slot")
+    placed = docs.withColumn("virtual_slot", slot_of(F.col("doc_id"), slots)).join(F.broadcast(latest), "virtual_slot")
     placed.repartition("shard", "virtual_slot").write.partitionBy("shard").parquet(path)

@@ -61,7 +61,7 @@ def test_sharding(docs, empty, spark, tmp_path):
     versions = {(r.version, r.virtual_slot): r.shard for r in slot_map.collect()}
     assert len(versions) == 128
     assert sharding.shard_documents(empty, 4, 64)[0].count() == 0
-    sharding.write_shards(docs, slot_map, str(tmp_path / "shards"))
+    sharding.write_shards(docs.drop("shard"), slot_map, str(tmp_path / "shards"), 64)
     assert spark.read.parquet(str(tmp_path / "shards")).count() == docs.count()
 
 
