@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..operators.scan import previous
 from .common import stage, text_of
 
-SAMPLES = 16
+SAMPLES = 32
+BLOCK = 4
 SPLIT = r"[\x20\x09-\x0D]+"
 _LOW = 0xFFFFFFFF
 _BITS21 = (1 << 21) - 1
@@ -23,9 +24,9 @@ def _uniform(bits: Column, width: int) -> Column:
     return (bits.cast("double") + 0.5) / float(1 << width)
 
 
-def _race(term: Column, i: int) -> tuple[Column, Column, Column]:
-    """(r, beta, ln c) of a term in sample i: r and c are Gamma(2, 1), beta is uniform."""
-    first, second = F.xxhash64(term, F.lit(2 * i)), F.xxhash64(term, F.lit(2 * i + 1))
+def _race(term: Column, seed: Column) -> tuple[Column, Column, Column]:
+    """(r, beta, ln c) of a term in the sample of this seed: r and c are Gamma(2, 1), beta is uniform."""
+    first, second = F.xxhash64(term, seed), F.xxhash64(term, seed + 1)
     u1, u2, beta = (_uniform(F.shiftrightunsigned(first, s).bitwiseAND(F.lit(_BITS21)), 21) for s in (43, 22, 1))
     u3, u4 = _uniform(F.shiftrightunsigned(second, 32), 32), _uniform(second.bitwiseAND(F.lit(_LOW)), 32)
     return -F.log(u1 * u2), beta, F.log(-F.log(u3 * u4))
@@ -40,30 +41,34 @@ def _drawn(term: Column, log_weight: Column, r: Column, beta: Column, log_c: Col
     return F.shiftleft(place, 32).bitwiseOR(name)
 
 
-def samples(weights: DataFrame, keys: list[str], columns: dict[str, str], n: int = SAMPLES) -> DataFrame:
-    """One row per key with ``{prefix}_{i}``, the winners of sample i among the terms, for each weight column.
+def samples(weights: DataFrame, keys: list[str], columns: list[str], n: int = SAMPLES) -> DataFrame:
+    """One row per key and block of ``BLOCK`` samples: ``{weight}_{i}``, the winner of the block's sample i.
 
-    ``weights`` has one row per (keys, term) with positive or null weights; ``columns`` maps prefixes to weight columns. Any
-    partitioning by the keys is used as it is.
+    ``weights`` has one row per (keys, term) with positive or null weights. Any partitioning by the keys is used as it is. Samples are
+    drawn in blocks, a row each, because generated code for many at once grows beyond what the JVM compiles.
     """
-    out = weights
-    logs = {p: F.log(F.col(c).cast("double")) for p, c in columns.items()}
-    out = out.withColumns({f"_log_{p}": x for p, x in logs.items()})
+    if n % BLOCK:
+        raise ValueError(f"the number of samples must be a multiple of {BLOCK}")
+    block = F.explode(F.sequence(F.lit(0), F.lit(n // BLOCK - 1))).alias("block")
+    out = weights.select("*", block).withColumns({f"_log_{c}": F.log(F.col(c).cast("double")) for c in columns})
     races = {}
-    for i in range(n):
-        r, beta, log_c = _race(F.col("term"), i)
+    for i in range(BLOCK):
+        r, beta, log_c = _race(F.col("term"), (F.col("block") * BLOCK + i) * 2)
         races |= {f"_r_{i}": r, f"_b_{i}": beta, f"_c_{i}": log_c}
-    out = out.withColumns(races)
     drawn = [
-        F.min(_drawn(F.col("term"), F.col(f"_log_{p}"), F.col(f"_r_{i}"), F.col(f"_b_{i}"), F.col(f"_c_{i}"))).alias(f"{p}_{i}")
-        for p in columns for i in range(n)
+        F.min(_drawn(F.col("term"), F.col(f"_log_{c}"), F.col(f"_r_{i}"), F.col(f"_b_{i}"), F.col(f"_c_{i}"))).alias(f"{c}_{i}")
+        for c in columns for i in range(BLOCK)
     ]
-    return out.groupBy(*keys).agg(*drawn)
+    return out.withColumns(races).groupBy(*keys, "block").agg(*drawn)
 
 
-def signature(prefix: str, n: int = SAMPLES) -> Column:
-    """The samples' identities as text, 8 hexadecimal digits each; zeros for a text without words."""
-    return F.concat(*[F.lpad(F.lower(F.hex(F.coalesce(F.col(f"{prefix}_{i}"), F.lit(0)).bitwiseAND(F.lit(_LOW)))), 8, "0") for i in range(n)])
+def signatures(drawn: DataFrame, keys: list[str], columns: dict[str, str]) -> DataFrame:
+    """One row per key: the samples' identities of each weight column as text, 8 hexadecimal digits each."""
+    digits = lambda c: F.lpad(F.lower(F.hex(F.coalesce(F.col(c), F.lit(0)).bitwiseAND(F.lit(_LOW)))), 8, "0")
+    parts = {f"_{c}": F.concat(*[digits(f"{c}_{i}") for i in range(BLOCK)]) for c in columns}
+    rows = drawn.select(*keys, F.struct("block", *[x.alias(c) for c, x in parts.items()]).alias("part"))
+    whole = rows.groupBy(*keys).agg(F.array_sort(F.collect_list("part")).alias("parts"))
+    return whole.select(*keys, *[F.array_join(F.col(f"parts._{c}"), "").alias(name) for c, name in columns.items()])
 
 
 def likeness(a: Column, b: Column, n: int = SAMPLES) -> Column:
@@ -120,8 +125,7 @@ def fingerprints(docs: DataFrame, n: int = SAMPLES) -> DataFrame:
         F.sum("own").alias("own"), F.sum("edit").alias("edit")
     )
     weights = counts.select(*key, "term", F.when(F.col("own") > 0, F.col("own")).alias("own"), F.when(F.col("edit") > 0, F.col("edit")).alias("edit"))
-    drawn = samples(weights, key, {"own": "own", "edit": "edit"}, n)
-    prints = drawn.select(*key, signature("own", n).alias("fingerprint"), signature("edit", n).alias("edited_fingerprint"))
+    prints = signatures(samples(weights, key, ["own", "edit"], n), key, {"own": "fingerprint", "edit": "edited_fingerprint"})
     hashes = edited.select(*key, F.sha2(F.concat("kept", "head").cast("binary"), 256).alias("edited_sha256"))
     blank = F.lit("0" * 8 * n)
     whole = hashes.join(prints, key, "left").select(

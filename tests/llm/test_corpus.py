@@ -149,11 +149,9 @@ def test_collision_rate_is_generalised_jaccard(spark):
     n = 400
     rows = [(0, w, a[w] or None, b[w] or None) for w in a | b]
     weights = spark.createDataFrame(rows, "k int, w string, a int, b int").withColumn("term", F.xxhash64("w"))
-    found = 0
-    for part in range(4):  # several small plans, each with terms of their own
-        own = weights.withColumn("term", F.xxhash64("w", F.lit(part)))
-        r = weighted_prints.samples(own, ["k"], {"a": "a", "b": "b"}, n // 4).first()
-        found += sum((r[f"a_{i}"] & 0xFFFFFFFF) == (r[f"b_{i}"] & 0xFFFFFFFF) for i in range(n // 4))
+    rows = weighted_prints.samples(weights, ["k"], ["a", "b"], n).collect()
+    assert len(rows) == n // weighted_prints.BLOCK
+    found = sum((r[f"a_{i}"] & 0xFFFFFFFF) == (r[f"b_{i}"] & 0xFFFFFFFF) for r in rows for i in range(weighted_prints.BLOCK))
     assert abs(found / n - truth) < 4 * math.sqrt(truth * (1 - truth) / n)
 
 
