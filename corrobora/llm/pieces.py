@@ -21,11 +21,12 @@ import numpy as np
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
+from ..session import parallelism
 from .common import most_frequent, stage, text_of
 
 SPACE = "▁"
 #: Parts sent to every task: at most so many, each of at most ``FREQUENT_CHARS`` characters.
-FREQUENT = 1 << 18
+FREQUENT = 1 << 17
 FREQUENT_CHARS = 48
 #: As the library does: an unknown character costs this much more than the rarest piece.
 UNKNOWN_PENALTY = 10.0
@@ -85,7 +86,7 @@ def chunks(text: str | None) -> list[str]:
 class Cutter:
     """Parts of chunks: cut between two characters that no piece has side by side."""
 
-    def __init__(self, pieces: Pieces, size: int = 200_000) -> None:
+    def __init__(self, pieces: Pieces, size: int = 100_000) -> None:
         self.adjacent, self.size, self.known = pieces.adjacent, size, {}
 
     def __call__(self, chunk: str) -> tuple[str, ...]:
@@ -121,7 +122,9 @@ def part_counts(docs: DataFrame, pieces: Pieces) -> DataFrame:
             if parts:
                 yield pa.RecordBatch.from_arrays([pa.array(parts.keys(), pa.string()), pa.array(parts.values(), pa.int64())], ["part", "n"])
 
-    return docs.select(text_of().alias("text")).mapInArrow(batches, "part string, n bigint").groupBy("part").agg(F.sum("n").alias("n"))
+    rows = docs.select(text_of().alias("text")).mapInArrow(batches, "part string, n bigint")
+    # each part becomes some fifty substrings in the same task, so there are many small tasks
+    return rows.repartition(4 * parallelism(docs.sparkSession), "part").groupBy("part").agg(F.sum("n").alias("n"))
 
 
 def encode_parts(parts: DataFrame, pieces: Pieces) -> DataFrame:
@@ -160,6 +163,13 @@ def encode_parts(parts: DataFrame, pieces: Pieces) -> DataFrame:
     return best
 
 
+def _slices(batches: Iterator, rows: int = 500) -> Iterator:
+    """Arrow batches of at most so many rows: what Python holds of a batch is bounded by a few texts."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
 def _as_bytes(pieces: Pieces, part: str, ids: list[int]) -> list[int]:
     """Unknown characters (-1) replaced by their byte pieces."""
     if -1 not in ids:
@@ -186,7 +196,7 @@ def encode(docs: DataFrame, model: str, carry: tuple[str, ...] = ("doc_id",)) ->
     table = stage(encode_parts(part_counts(docs, pieces), pieces), "piece-parts")
     short = table.filter(F.length("part") <= FREQUENT_CHARS)
     top = most_frequent(short, "n", FREQUENT).select("part", "ids").toArrow()
-    frequent = spark.sparkContext.broadcast({p: _as_bytes(pieces, p, i) for p, i in zip(top["part"].to_pylist(), top["ids"].to_pylist())})
+    frequent = spark.sparkContext.broadcast({p: tuple(_as_bytes(pieces, p, i)) for p, i in zip(top["part"].to_pylist(), top["ids"].to_pylist())})
     names = [f"in_{i}" for i in range(len(carry))]
     kinds = ", ".join(f"{n} {docs.schema[c].dataType.simpleString()}" for n, c in zip(names, carry))
     digest = F.md5(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in carry], text_of()))
@@ -208,7 +218,7 @@ def encode(docs: DataFrame, model: str, carry: tuple[str, ...] = ("doc_id",)) ->
         import pyarrow as pa
 
         shut = zstandard.ZstdCompressor(level=3)
-        for batch in frames:
+        for batch in _slices(frames):
             last = batch.schema.names.index("text")
             small = pa.array([shut.compress(t.as_py().encode("utf-8", "surrogatepass")) for t in batch.column(last)], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(last)] + [small], names=[*names, "row", "packed"])
@@ -221,13 +231,13 @@ def encode(docs: DataFrame, model: str, carry: tuple[str, ...] = ("doc_id",)) ->
         import pyarrow as pa
 
         cut, known, wide = Cutter(pieces), frequent.value, zstandard.ZstdDecompressor()
-        for batch in frames:
-            n = len(carry)
+        n = len(carry)
+        for batch in _slices(frames):
             found = []
-            for text, rest in zip(batch.column(n).to_pylist(), batch.column(n + 1).to_pylist()):
-                own = {x["part"]: _as_bytes(pieces, x["part"], x["ids"]) for x in rest or ()}
+            for text, rest in zip(batch.column(n), batch.column(n + 1)):
+                own = {x["part"]: _as_bytes(pieces, x["part"], x["ids"]) for x in rest.as_py() or ()}
                 ids: list[int] = []
-                for chunk in chunks(wide.decompress(text).decode("utf-8", "surrogatepass")):
+                for chunk in chunks(wide.decompress(text.as_py()).decode("utf-8", "surrogatepass")):
                     for part in cut(chunk):
                         ids += known.get(part) or own[part]
                 found.append(np.array(ids, np.int32))
@@ -262,9 +272,9 @@ def decode(encoded: DataFrame, model: str, carry: tuple[str, ...] = ("doc_id",))
     def batches(frames: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for batch in frames:
-            last = len(carry)
-            texts = [decode_ids(pieces, ids or []) for ids in batch.column(last).to_pylist()]
+        last = len(carry)
+        for batch in _slices(frames):
+            texts = [decode_ids(pieces, ids.as_py() or []) for ids in batch.column(last)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*carry, "ids", "text"])
 
     fields = ", ".join(f"`{c}` {encoded.schema[c].dataType.simpleString()}" for c in carry)
