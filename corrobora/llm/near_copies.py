@@ -6,9 +6,9 @@ values and keeps them in text order; texts with an equal tuple are candidates, w
 order of the text and so to edits. Candidates are verified by a banded alignment of their shingle sequences:
 similarity is the length of the longest common subsequence over that of the union.
 
-Equal texts are one text from the start. Within a bucket of candidates each text meets a few
-leaders, and those that match none of them meet again with more leaders, until none is left: no bucket is
-expanded into all its pairs as long as its texts resemble each other.
+Equal texts are one text from the start. Within a bucket of candidates a few leaders meet all others, and the rest meet
+again as long as they are in different components: no bucket is expanded into all its pairs
+while its texts are connected.
 """
 
 from __future__ import annotations
@@ -27,6 +27,10 @@ TUPLE = 4
 SIMILARITY = 0.8
 #: Of ``SKETCHES`` first minima so many must agree before texts are aligned; at similarity 0.8 fewer do once in millions of pairs.
 AGREE = 8
+#: The smallest shingle hashes of a text that are kept to estimate similarity before texts are fetched, and how far (in standard
+#: deviations at similarity 0.8) an estimate may fall short.
+LOWEST = 128
+DEVIATIONS = 5.0
 LEADERS = 3
 _ODD = np.array([xxhash.xxh64_intdigest(b"order-minhash", seed=i) | 1 for i in range(SKETCHES)], np.uint64)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -125,43 +129,63 @@ def similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, node (digest of the text), n (shingles), keys, mins for every document, whole texts."""
+    """doc_id, node (digest of the text), n (shingles), keys, mins, low for every document, whole texts."""
 
     def batches(frames: Iterator) -> Iterator:
         import pyarrow as pa
 
         hashes = WordHashes()
         for batch in frames:
-            keys, mins, sizes = [], [], []
+            keys, mins, sizes, lows = [], [], [], []
             for text in batch.column(2):
                 seq = shingles(hashes(WORD_RE.findall(text.as_py())))
                 k, m = sketch(seq) if len(seq) else (np.zeros(0, np.int64), np.zeros(0, np.int32))
                 keys.append(k)
                 mins.append(m)
                 sizes.append(len(seq))
+                lows.append((np.sort(seq)[:LOWEST] >> np.uint64(32)).astype("<u4").tobytes())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(mins, pa.list_(pa.int32()))],
-                names=["doc_id", "node", "n", "keys", "mins"],
+                [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(mins, pa.list_(pa.int32())), pa.array(lows, pa.binary())],
+                names=["doc_id", "node", "n", "keys", "mins", "low"],
             )
 
     slim = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.md5(text_of()).alias("node"), text_of().alias("text"))
-    return slim.mapInArrow(batches, "doc_id bigint, node string, n bigint, keys array<bigint>, mins array<int>")
+    return slim.mapInArrow(batches, "doc_id bigint, node string, n bigint, keys array<bigint>, mins array<int>, low binary")
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """a, b, similarity of the pairs that pass the minima, and then the alignment of their whole texts."""
-    side = nodes.select("node", "n", "mins", "doc_id")
-    both = pairs.join(side.toDF("a", "n_a", "mins_a", "id_a"), "a").join(side.toDF("b", "n_b", "mins_b", "id_b"), "b")
+def likely(a: bytes, b: bytes, least: float = SIMILARITY) -> bool:
+    """Whether two texts can have this similarity, by their smallest shingle hashes.
+
+    Up to the smaller of the last values of cut lists both sets are known in full: an even sample of the union, or all of it.
+    """
+    x, y = np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4")
+    last = min((v[-1] for v in (x, y) if len(v) == LOWEST), default=None)
+    if last is not None:
+        x, y = x[x <= last], y[y <= last]
+    union = len(np.union1d(x, y))
+    slack = 0.01 if last is None else DEVIATIONS * np.sqrt(least * (1 - least) / max(1, union))
+    return len(np.intersect1d(x, y)) >= (least - slack) * union
+
+
+def _verified(pairs: DataFrame, sides: DataFrame, texts: DataFrame) -> DataFrame:
+    """a, b, similarity of the pairs that pass the minima and the smallest hashes, and then the alignment of their whole texts."""
+    spark = pairs.sparkSession
+    both = pairs.join(sides.toDF("a", "n_a", "mins_a", "low_a"), "a").join(sides.toDF("b", "n_b", "mins_b", "low_b"), "b")
     agree = F.size(F.filter(F.zip_with("mins_a", "mins_b", lambda x, y: x == y), lambda x: x))
-    near = both.filter(
-        (F.least("n_a", "n_b") >= SIMILARITY * F.greatest("n_a", "n_b")) & (agree >= AGREE)
-    ).select("a", "b", "id_a", "id_b")
-    near = stage(near, "near-candidates")
-    ends = near.select(F.col("a").alias("node"), F.col("id_a").alias("id")).union(near.select("b", "id_b")).distinct()
-    # one document stands for all with its text
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("id"), F.md5(text_of()).alias("digest"), text_of().alias("text"))
-    wanted = texts.withColumnRenamed("id", "own_id").join(ends, F.col("own_id").eqNullSafe(F.col("id")) & (F.col("digest") == F.col("node")))
-    wanted = wanted.select("node", "text").dropDuplicates(["node"])
+    near = both.filter((F.least("n_a", "n_b") >= SIMILARITY * F.greatest("n_a", "n_b")) & (agree >= AGREE)).select("a", "b", "low_a", "low_b")
+
+    def estimate(frames: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in frames:
+            keep = [likely(x.as_py(), y.as_py()) for x, y in zip(batch.column(2), batch.column(3))]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    near = stage(near.mapInArrow(estimate, "a string, b string"), "near-candidates")
+    if near.isEmpty():
+        return spark.createDataFrame([], "a string, b string, similarity double")
+    ends = near.select("a").union(near.select("b")).distinct().withColumnRenamed("a", "node")
+    wanted = texts.join(ends, "node", "left_semi")
 
     def align(frames: Iterator) -> Iterator:
         import pyarrow as pa
@@ -182,33 +206,46 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """a < b, similarity of different texts that are near copies, found through the leaders of their buckets."""
+    """a < b, similarity of different texts that are near copies: enough of them to connect all that are.
+
+    In each bucket the texts that meet most others come first, as the source of many copies does. The first few are compared
+    with all others of the bucket. What follows are the texts that are not connected yet: as long as a bucket holds
+    two components, its next texts are compared with those of other components.
+    """
     spread = nodes.filter("n > 0").select("node", F.posexplode("keys").alias("sketch", "key"))
-    spread = spread.select("node", "sketch", F.xxhash64("sketch", "key").alias("key"))
-    shared = spread.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1").select("key")
-    left = stage(spread.join(shared, "key"), "near-buckets")
+    spread = spread.select("node", F.xxhash64("sketch", "key").alias("key"))
+    shared = spread.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
+    met = stage(spread.join(shared, "key"), "near-buckets")
+    many = met.groupBy("node").agg(F.sum(F.col("size") - 1).alias("many"))
+    order = F.struct((-F.col("many")).alias("few"), "node")
+    # what the rounds need of the texts in buckets, fetched once
+    sides = stage(nodes.join(many, "node", "left_semi").select("node", "n", "mins", "low"), "near-sides")
+    ours = nodes.join(many, "node", "left_semi").select("node", F.col("doc_id").alias("id"))
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("own_id"), F.md5(text_of()).alias("digest"), text_of().alias("text"))
+    # one document stands for all with its text
+    met_texts = rows.join(ours, F.col("own_id").eqNullSafe(F.col("id")) & (F.col("digest") == F.col("node")))
+    texts = stage(met_texts.select("node", "text").dropDuplicates(["node"]), "near-texts")
+    left = stage(met.join(many, "node").select("key", order.alias("turn"), F.col("node").alias("root")), "near-ordered")
     found: list[DataFrame] = []
     leaders = LEADERS
     while not left.isEmpty():
-        # the order differs between sketches, so a text does not always meet the same leaders
-        turn = F.xxhash64("node", F.col("sketch") % 3)
-        ranked = left.withColumn("turn", turn)
-        first = Window.partitionBy("key").orderBy("turn", "node")
-        heads = ranked.withColumn("place", F.row_number().over(first)).filter(F.col("place") <= leaders)
-        heads = stage(heads.select("key", F.col("node").alias("head"), F.col("turn").alias("head_turn")), "near-leaders")
-        met = ranked.join(heads, "key").filter(F.struct("turn", "node") > F.struct("head_turn", "head"))
-        met = met.select("key", F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b"), "node")
-        pairs = met.select("a", "b").distinct()
+        first = Window.partitionBy("key").orderBy("turn")
+        heads = left.withColumn("place", F.row_number().over(first)).filter(F.col("place") <= leaders)
+        heads = stage(heads.select("key", F.col("turn").alias("head"), F.col("root").alias("head_root")), "near-leaders")
+        apart = (F.col("turn") > F.col("head")) & (F.col("root") != F.col("head_root"))
+        pairs = left.join(heads, "key").filter(apart).select(
+            F.least("turn.node", "head.node").alias("a"), F.greatest("turn.node", "head.node").alias("b")
+        )
+        pairs = pairs.distinct()
         for known in found:
             pairs = pairs.join(known.select("a", "b"), ["a", "b"], "left_anti")
-        new = stage(_verified(pairs, nodes, docs), "near-links")
-        found.append(new)
-        every = new if len(found) == 1 else _union(found)
-        settled = met.join(every.select("a", "b"), ["a", "b"], "left_semi").select("key", "node")
-        settled = settled.union(heads.select("key", "head")).distinct()
-        rest = left.join(settled, ["key", "node"], "left_anti")
-        again = rest.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1").select("key")
-        left = stage(rest.join(again, "key").select("node", "sketch", "key"), "near-rest")
+        found.append(stage(_verified(pairs, sides, texts), "near-links"))
+        roots = components(_union(found)).toDF("member", "found_root")
+        rest = left.join(heads.select("key", F.col("head").alias("turn")), ["key", "turn"], "left_anti")
+        rest = rest.join(roots, F.col("turn.node") == F.col("member"), "left")
+        rest = stage(rest.select("key", "turn", F.coalesce("found_root", "root").alias("root")), "near-rest")
+        apart_still = rest.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key")
+        left = stage(rest.join(apart_still, "key", "left_semi"), "near-left")
         leaders *= 4
     return _union(found).dropDuplicates(["a", "b"]) if found else docs.sparkSession.createDataFrame([], "a string, b string, similarity double")
 
@@ -244,14 +281,14 @@ def near_copies(docs: DataFrame) -> DataFrame:
     """doc_id, class_id, n_links, n_equal for every document.
 
     class_id is the smallest doc_id among all documents connected by equality or by links of similarity
-    0.8 or more; n_links counts the different texts that the document's text was found to be near, n_equal the documents with its text,
-    itself included. Null and empty texts, and texts of white space only, are in classes of their own. Repeated rows are
+    0.8 or more; n_links counts the different texts that the document's text was found to be near when the classes were
+    made, n_equal the documents with its text, itself included. Null and empty texts, and texts of white space only, are in classes of their own. Repeated rows are
     equal texts. Columns other than doc_id and text are ignored; an empty table gives no rows.
     """
     rows = stage(sketches(docs), "near-sketches")
     nodes = stage(
         rows.groupBy("node").agg(
-            F.min("doc_id").alias("doc_id"), F.count("*").alias("n_equal"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("mins").alias("mins")
+            F.min("doc_id").alias("doc_id"), F.count("*").alias("n_equal"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("mins").alias("mins"), F.first("low").alias("low"),
         ), "near-nodes",
     )
     edges = stage(links(docs, nodes), "near-all-links")

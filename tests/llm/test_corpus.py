@@ -193,6 +193,23 @@ def test_alignment_is_the_longest_common_subsequence():
         assert got == pytest.approx(want if want >= 0.8 else 0.0)
 
 
+def test_no_near_text_is_ruled_out_by_its_smallest_hashes():
+    rng = random.Random(13)
+    hashes = near_copies.WordHashes()
+    low = lambda seq: (np.sort(seq)[: near_copies.LOWEST] >> np.uint64(32)).astype("<u4").tobytes()
+    out = 0
+    for _ in range(150):
+        a = prose(rng, rng.randint(1, 900)).split()
+        b = list(a)
+        for _ in range(rng.randint(0, max(1, len(a) // 45))):
+            b[rng.randrange(len(b))] = "changed"
+        x, y = near_copies.shingles(hashes(a)), near_copies.shingles(hashes(b))
+        z = near_copies.shingles(hashes(prose(rng, 300).split()))
+        out += near_copies.similarity(x, y) > 0 and not near_copies.likely(low(x), low(y))
+        assert not near_copies.likely(low(x), low(z)) or len(a) < 20
+    assert out == 0
+
+
 def test_near_copies(spark, docs, empty):
     rng = random.Random(11)
     rows, label = [], {}
@@ -229,7 +246,8 @@ def test_a_large_group_of_near_copies_is_not_expanded(spark):
         rows.append((i, " ".join(text), None, None, 0, 0, 0, None))
     df = spark.createDataFrame(rows, SCHEMA)
     made = near_copies.sketches(df)
-    nodes = made.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("mins").alias("mins"))
+    first = [F.first(c).alias(c) for c in ("n", "keys", "mins", "low")]
+    nodes = made.groupBy("node").agg(F.min("doc_id").alias("doc_id"), *first)
     edges = near_copies.links(df, nodes.cache())
     assert edges.count() < 250 * 20
     assert near_copies.components(edges).select("root").distinct().count() == 1
