@@ -9,7 +9,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from corrobora.llm import language, mixing, near_copies, pieces, quality
 from corrobora.llm.common import stage, table, text_of
@@ -43,13 +43,19 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return kept.select(*COLUMNS).dropDuplicates(["doc_id", "text"])
 
 
+def _row_key(text_print: Column) -> Column:
+    """One text for a row's id, source and text, never null."""
+    parts = [F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("null")) for c in ("doc_id", "source")]
+    return F.md5(F.concat_ws("|", *parts, text_print))
+
+
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it: not at all, once or twice."""
-    taken = mixing.mix(docs).filter("copies > 0").groupBy("doc_id", "source", "print").agg(F.sum("copies").alias("copies"))
-    taken = taken.withColumnsRenamed({"doc_id": "t_id", "source": "t_source"})
-    same = F.col("doc_id").eqNullSafe(F.col("t_id")) & F.col("source").eqNullSafe(F.col("t_source")) & (F.md5(text_of()) == F.col("print"))
-    met = docs.join(taken, same)
-    return met.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies")))).select(*COLUMNS)
+    """Each document as often as the mix takes it: not at all, once or twice (a repeated row each time it is there)."""
+    taken = mixing.mix(docs).filter("copies > 0").groupBy(_row_key(F.col("print")).alias("key")).agg(F.sum("copies").alias("copies"))
+    # repeated rows are one row with their copies together; the join needs no further shuffle of the texts
+    rows = docs.select(*COLUMNS, _row_key(F.md5(text_of())).alias("key")).dropDuplicates(["key"])
+    each = F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies")))
+    return rows.join(taken, "key").withColumn("copy", each).select(*COLUMNS)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
