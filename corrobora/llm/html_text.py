@@ -66,6 +66,10 @@ class _Lines(HTMLParser):
         """Line numbers are of no use here."""
         return j
 
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        """Any ``<![...>`` is a comment up to the next ``>``, as in browsers; the standard parser raises on unknown names."""
+        return self.parse_bogus_comment(i, report)
+
     def _break(self) -> None:
         self.line = None
 
@@ -147,11 +151,8 @@ def main_text(html: str | None) -> str:
     Null and empty pages give an empty text. White space inside a block, line breaks too, becomes one space.
     """
     parser = _Lines()
-    try:
-        parser.feed(html or "")
-        parser.close()
-    except AssertionError:  # the parser's answer to some broken declarations; what it has read so far counts
-        pass
+    parser.feed(html or "")
+    parser.close()
     lines = []
     for line in parser.lines:
         line.text = _SPACE.sub(" ", "".join(line.parts)).strip()

@@ -346,6 +346,13 @@ def test_main_text():
     html_text.main_text("<![foo<!--" + "<div>" * 3000 + "x")
 
 
+@pytest.mark.parametrize("odd", ["<![x]>", "<![ if IE]>", "<![>", "<![endif]>", "<![if !IE]>", "<![CDATA[x]]>", "<![x<!--y>", "<![1]>"])
+def test_text_after_an_odd_declaration_is_kept(odd):
+    first, last = "first words of it " * 9, "last words of it " * 9
+    assert html_text.main_text(f"<article><p>{first}</p>{odd}<p>{last}</p></article>") == f"{first.strip()}\n{last.strip()}"
+    assert last.strip() in html_text.main_text(f"<p>{first}</p><![x {last}")
+
+
 def test_pages(spark):
     rows = [(1, "u", PAGE, 3), (1, "u", PAGE, 3), (None, None, None, None), (2, "v", "", 1)]
     out = html_text.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string, text int")).collect()
