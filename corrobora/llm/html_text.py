@@ -2,8 +2,8 @@
 
 The standard library's streaming parser gives events; every block of a page is a line with its text,
 its number of tags and the elements around it. Lines whose smoothed ratio of text to tags reaches the
-threshold form the content cluster, and the innermost element that holds nearly all of that
-cluster is the content region. All lines of the region that are not navigation, notices, adverts, forms or
+threshold form the content cluster, and the innermost element that holds all of that cluster is the content
+region, or the article or main element around it, or the container that adds but headings and paragraphs. All lines of the region that are not navigation, notices, adverts, forms or
 comments are the main text, so a short paragraph within an article is kept.
 """
 
@@ -25,6 +25,7 @@ BLOCKS = frozenset(
 )
 HIDDEN = frozenset("script style head title noscript template iframe object embed svg math canvas audio video select option datalist textarea button".split())
 ASIDE = frozenset("nav header footer aside form menu dialog search fieldset".split())
+PROSE = frozenset("h1 h2 h3 h4 h5 h6 p blockquote pre figcaption".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 # Words of class, id and role that mark what is not the main text.
 MARKS = frozenset(
@@ -40,13 +41,13 @@ _CAMEL = re.compile(r"([a-z])([A-Z])")
 #: An open <p> ends where one of these begins; likewise for list items, cells and rows.
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SIGMA = 1.0
-COVER = 0.9
 
 
 @dataclass
 class Line:
     path: tuple[int, ...]
     aside: bool
+    tag: str = ""
     parts: list[str] = field(default_factory=list)
     tags: int = 0
     text: str = ""
@@ -59,6 +60,7 @@ class _Lines(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.open: list[tuple[str, int, bool, bool]] = []  # tag, number, hidden, aside
         self.count = 0
+        self.articles: set[int] = set()  # numbers of article and main elements
         self.lines: list[Line] = []
         self.line: Line | None = None
 
@@ -75,8 +77,8 @@ class _Lines(HTMLParser):
 
     def _line(self) -> Line:
         if self.line is None:
-            path = tuple(number for tag, number, _, _ in self.open if tag in BLOCKS)
-            self.line = Line(path, bool(self.open) and self.open[-1][3])
+            blocks = [(number, tag) for tag, number, _, _ in self.open if tag in BLOCKS]
+            self.line = Line(tuple(n for n, _ in blocks), bool(self.open) and self.open[-1][3], blocks[-1][1] if blocks else "")
             self.lines.append(self.line)
         return self.line
 
@@ -96,6 +98,8 @@ class _Lines(HTMLParser):
         if tag not in VOID:
             self.count += 1
             self.open.append((tag, self.count, hidden, aside))
+            if tag in ("article", "main"):
+                self.articles.add(self.count)
         elif tag == "br" and not hidden:
             self._line().parts.append(" ")
         if tag in BLOCKS:
@@ -166,15 +170,16 @@ def main_text(html: str | None) -> str:
     smooth = _smooth(ratio)
     threshold = smooth.std()
     cluster = [x for x, s in zip(lines, smooth) if s >= threshold and not x.aside] or body
-    whole = sum(len(x.text) for x in cluster)
-    held: dict[int, int] = {}
-    for x in cluster:
-        for number in x.path:
-            held[number] = held.get(number, 0) + len(x.text)
-    # numbers grow along a page, so the largest is the innermost; one block alone is no region
-    own = {x.path[-1] for x in body if x.path}
-    regions = [n for n, size in held.items() if size >= COVER * whole and (n not in own or sum(n in x.path for x in body) > 1)]
-    region = max(regions, default=None)
+    # the elements around all of the cluster, the outermost first; one block alone is no region
+    around = [n for n in cluster[0].path if all(n in x.path for x in cluster)]
+    regions = [n for n in around if sum(n in x.path for x in body) > 1]
+    # a part of an article stands for the whole article
+    articles = [n for n in around if n in parser.articles]
+    region = max(articles or regions, default=None)
+    # a container whose other blocks are headings and paragraphs is the wider article
+    for n in reversed([] if articles or region is None else around[: around.index(region)]):
+        if all(x.tag in PROSE for x in body if n in x.path and region not in x.path):
+            region = n
     return "\n".join(x.text for x in body if region is None or region in x.path)
 
 

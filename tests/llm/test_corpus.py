@@ -353,6 +353,15 @@ def test_text_after_an_odd_declaration_is_kept(odd):
     assert last.strip() in html_text.main_text(f"<p>{first}</p><![x {last}")
 
 
+@pytest.mark.parametrize("outer", ["article", "main", "div"])
+@pytest.mark.parametrize("inner", ["div class=body", "section", "blockquote"])
+def test_blocks_around_a_nested_body_are_kept(outer, inner):
+    body = [("word " * n).strip() for n in (60, 50, 70, 55)]
+    nested = "".join(f"<p>{x}</p>" for x in body)
+    page = f"<body><nav><a href=x>menu</a></nav><div><a href=y>odd</a><a href=z>links</a></div><{outer}><h1>Title</h1><p>by me</p><p>The lead.</p><{inner}>{nested}</{inner.split()[0]}><p>The end.</p><p>Last.</p></{outer}></body>"
+    assert html_text.main_text(page) == "\n".join(["Title", "by me", "The lead.", *body, "The end.", "Last."])
+
+
 def test_pages(spark):
     rows = [(1, "u", PAGE, 3), (1, "u", PAGE, 3), (None, None, None, None), (2, "v", "", 1)]
     out = html_text.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string, text int")).collect()
