@@ -36,11 +36,10 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near copies, the one with the smallest id."""
-    classes = near_copies.near_copies(docs)
-    chosen = classes.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("chosen")).distinct()
-    kept = docs.join(chosen, F.col("doc_id").eqNullSafe(F.col("chosen")), "left_semi")
-    return kept.select(*COLUMNS).dropDuplicates(["doc_id", "text"])
+    """One document of each class of near copies, the one with the smallest id; null ids last, then by the text's digest."""
+    chosen = near_copies.survivors(docs).toDF("chosen", "node")
+    same = F.col("doc_id").cast("bigint").eqNullSafe(F.col("chosen")) & (F.md5(text_of()) == F.col("node"))
+    return docs.join(chosen, same, "left_semi").select(*COLUMNS).dropDuplicates(["doc_id", "text"])
 
 
 def _row_key(text_print: Column) -> Column:

@@ -277,14 +277,8 @@ def components(edges: DataFrame) -> DataFrame:
             return roots
 
 
-def near_copies(docs: DataFrame) -> DataFrame:
-    """doc_id, class_id, n_links, n_equal for every document.
-
-    class_id is the smallest doc_id among all documents connected by equality or by links of similarity
-    0.8 or more; n_links counts the different texts that the document's text was found to be near when the classes were
-    made, n_equal the documents with its text, itself included. Null and empty texts, and texts of white space only, are in classes of their own. Repeated rows are
-    equal texts. Columns other than doc_id and text are ignored; an empty table gives no rows.
-    """
+def _placed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(sketches of all documents; node, doc_id, n_equal, n, root, n_links of every different text)."""
     rows = stage(sketches(docs), "near-sketches")
     nodes = stage(
         rows.groupBy("node").agg(
@@ -296,6 +290,18 @@ def near_copies(docs: DataFrame) -> DataFrame:
     degree = edges.select("a").union(edges.select("b")).groupBy("a").agg(F.count("*").alias("n_links")).withColumnRenamed("a", "node")
     placed = nodes.select("node", "doc_id", "n_equal", "n").join(roots, "node", "left").join(degree, "node", "left")
     placed = placed.withColumn("root", F.coalesce("root", "node"))
+    return rows, placed
+
+
+def near_copies(docs: DataFrame) -> DataFrame:
+    """doc_id, class_id, n_links, n_equal for every document.
+
+    class_id is the smallest doc_id among all documents connected by equality or by links of similarity
+    0.8 or more; n_links counts the different texts that the document's text was found to be near when the classes were
+    made, n_equal the documents with its text, itself included. Null and empty texts, and texts of white space only, are in classes of their own. Repeated rows are
+    equal texts. Columns other than doc_id and text are ignored; an empty table gives no rows.
+    """
+    rows, placed = _placed(docs)
     smallest = placed.groupBy("root").agg(F.min("doc_id").alias("class_id"))
     of_node = placed.join(smallest, "root").select("node", "class_id", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), "n_equal")
     of_node = stage(of_node, "near-classes")
@@ -305,3 +311,15 @@ def near_copies(docs: DataFrame) -> DataFrame:
         "doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), "n_links",
         F.when(alone, F.lit(1)).otherwise(F.col("n_equal")).cast("bigint").alias("n_equal"),
     )
+
+
+def survivors(docs: DataFrame) -> DataFrame:
+    """doc_id, node: one document of each class, the one with the smallest id and then the smallest digest of its text.
+
+    Null ids come last, so one of them survives only where a class has no other. Texts without a word are in
+    classes of their own. Rows equal in id and text are one document.
+    """
+    rows, placed = _placed(docs)
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")
+    leads = placed.filter("n > 0").groupBy("root").agg(F.min(order).alias("lead")).select("lead.doc_id", "lead.node")
+    return leads.union(rows.filter("n = 0").select("doc_id", "node").distinct())
