@@ -506,3 +506,34 @@ def test_rare_words_are_joined(spark, monkeypatch):
     for r in parts:
         assert r.score == pytest.approx(whole[r.doc_id].score, rel=1e-5) and r.n_known == whole[r.doc_id].n_known
         assert r.base_score == pytest.approx(whole[r.doc_id].base_score)
+
+
+def test_word_pairs_of_one_class_are_told_apart(spark, monkeypatch):
+    rng = random.Random(8)
+    # the previous words share their last two characters, so they are of one class
+    firsts = [f"{x}{y}ka" for x in "bdfgl" for y in "aeiou"]
+    after = {w: f"x{i}" for i, w in enumerate(firsts)}
+    rows = [(i, " ".join(f"{w} {after[w]}" for w in rng.choices(firsts, k=20)), None, None, 0, 0, 0, None) for i in range(80)]
+    seen, unseen = "baka " + after["baka"], "baka " + after["luka"]
+    trained = pitman_yor.train(spark.createDataFrame(rows, SCHEMA))
+    df = spark.createDataFrame([(1, seen, *rows[0][2:]), (2, unseen, *rows[0][2:]), (3, "never seen words", *rows[0][2:])], SCHEMA)
+    out = {r.doc_id: r.score for r in pitman_yor.score(df, *trained).collect()}
+    assert out[1] > out[2] + 1
+    monkeypatch.setattr(pitman_yor, "FREQUENT", 3)
+    monkeypatch.setattr(pitman_yor, "FREQUENT_PAIRS", 3)
+    again = {r.doc_id: r.score for r in pitman_yor.score(df, *trained).collect()}
+    assert again == pytest.approx(out, rel=1e-5)
+
+
+def test_every_previous_word_has_a_restaurant(spark):
+    counts = []
+    for n in (50, 500):
+        rng = random.Random(n)
+        rows = [(i, " ".join(f"w{rng.randrange(n)}" for _ in range(50)), None, None, 0, 0, 0, None) for i in range(100)]
+        _, totals, _ = pitman_yor.train(spark.createDataFrame(rows, SCHEMA))
+        contexts = totals.contexts.collect()
+        pairs = totals.pairs.collect()
+        assert sum(c.c for c in contexts) == sum(p.n for p in pairs) == 100 * 51
+        assert all(1 <= c.t <= c.c for c in contexts)
+        counts.append(len(contexts))
+    assert counts == [51, 501]
