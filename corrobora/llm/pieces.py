@@ -3,7 +3,8 @@
 The normalised text is cut wherever no piece of the model spans the cut, so a best segmentation of
 the parts is one of the text. Each distinct part is encoded once: its substrings up to the longest piece are
 exploded and joined to the piece table, the matches are the edges of a lattice, and a fold over the
-part's positions keeps the best way to each (Viterbi). Characters outside the table become byte pieces.
+part's positions keeps the best way to each (Viterbi). The lattice of a part has many rows with the part as their key, so
+parts longer than a bound, such as a run of one letter, are folded within a task, with the scores of the last positions only. Characters outside the table become byte pieces.
 
 A part's ids meet the documents again in two ways: the most frequent parts, a bounded number, are sent to all
 tasks; the others are joined on the part.
@@ -14,6 +15,7 @@ from __future__ import annotations
 import functools
 import math
 import re
+from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,6 +30,8 @@ SPACE = "▁"
 #: Parts sent to every task: at most so many, each of at most ``FREQUENT_CHARS`` characters.
 FREQUENT = 1 << 17
 FREQUENT_CHARS = 48
+#: Longer parts are folded within a task, position by position.
+LATTICE_CHARS = 48
 #: As the library does: an unknown character costs this much more than the rarest piece.
 UNKNOWN_PENALTY = 10.0
 
@@ -99,7 +103,10 @@ class Cutter:
                 if chunk[i - 1 : i + 1] not in adjacent:
                     parts.append(chunk[start:i])
                     start = i
-            found = self.known[chunk] = (*parts, chunk[start:])
+            found = (*parts, chunk[start:])
+            # a long chunk is not remembered
+            if len(chunk) <= 1000:
+                self.known[chunk] = found
         return found
 
 
@@ -123,17 +130,51 @@ def part_counts(docs: DataFrame, pieces: Pieces) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(parts.keys(), pa.string()), pa.array(parts.values(), pa.int64())], ["part", "n"])
 
     rows = docs.select(text_of().alias("text")).mapInArrow(batches, "part string, n bigint")
-    # each part becomes some fifty substrings in the same task, so there are many small tasks
-    return rows.repartition(4 * parallelism(docs.sparkSession), "part").groupBy("part").agg(F.sum("n").alias("n"))
+    return rows.groupBy("part").agg(F.sum("n").alias("n"))
+
+
+def fold_part(pieces: Pieces, part: str) -> np.ndarray:
+    """Ids of the best segmentation, -1 for a character without a piece, as the lattice gives them.
+
+    Time grows with the length; the scores of the last ``longest`` positions are all that is carried on.
+    """
+    normal, unknown, longest = pieces.normal, (-1, pieces.unknown), pieces.longest
+    sizes, ids = np.zeros(len(part), np.int32), np.zeros(len(part), np.int32)
+    scores = deque([0.0], maxlen=longest)
+    for end in range(1, len(part) + 1):
+        best, at, last = -math.inf, 0, 0
+        for size in range(1, len(scores) + 1):
+            hit = normal.get(part[end - size : end], unknown if size == 1 else None)
+            if hit is not None and scores[-size] + hit[1] > best:
+                best, at, last = scores[-size] + hit[1], size, hit[0]
+        scores.append(best)
+        sizes[end - 1], ids[end - 1] = at, last
+    out, at = [], len(part)
+    while at:
+        out.append(ids[at - 1])
+        at -= sizes[at - 1]
+    return np.array(out[::-1], np.int32)
 
 
 def encode_parts(parts: DataFrame, pieces: Pieces) -> DataFrame:
     """Add ids, the best segmentation of each distinct part.
 
-    The table of pieces is as large as the model file, so it is broadcast. A table that comes from a
-    grouping by part stays where it is: the lattice is grouped by part again. Ties go to the shorter last piece, then the smaller id.
+    The table of pieces is as large as the model file, so it is broadcast. The parts of the lattice are dealt out by part
+    and stay where they are: the lattice is grouped by part again. Ties go to the shorter last piece, then the smaller id.
     """
     spark = parts.sparkSession
+    counted = stage(parts.select("part", "n"), "piece-counts")
+
+    def folded(frames: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in _slices(frames, 50):
+            ids = [fold_part(pieces, p.as_py()) for p in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.list_(pa.int32()))], ["part", "n", "ids"])
+
+    long = counted.filter(F.length("part") > LATTICE_CHARS).repartition(parallelism(spark), "part").mapInArrow(folded, "part string, n bigint, ids array<int>")
+    # each part becomes some fifty substrings in the same task, so there are many small tasks
+    parts = counted.filter(F.length("part") <= LATTICE_CHARS).repartition(4 * parallelism(spark), "part")
     rows = [(p, i, s) for p, (i, s) in pieces.normal.items()]
     lookup = F.broadcast(spark.createDataFrame(rows, "piece string, id int, score double"))
     start = F.expr(f"explode(sequence(1, length(part)))")
@@ -160,7 +201,7 @@ def encode_parts(parts: DataFrame, pieces: Pieces) -> DataFrame:
         'ids', concat(acc.ids, array(-element_at(ways, acc.at).id)))),
       acc -> reverse(acc.ids))"""
     best = words.select("part", "n", F.expr(fold).alias("ways")).select("part", "n", F.expr(walk).alias("ids"))
-    return best
+    return best.union(long)
 
 
 def _slices(batches: Iterator, rows: int = 500) -> Iterator:

@@ -424,6 +424,22 @@ def test_pieces_agree_with_the_library(spark, docs):
     assert same >= 0.95 * len(out)
 
 
+def test_long_runs(spark, monkeypatch):
+    table = pieces.load(tokenizer_path(MODEL))
+    rng = random.Random(12)
+    runs = ["a" * 100_000, " " * 100_000, "".join(rng.choice("abcdefghiklmnoprstu") for _ in range(100_000)), "-." * 50_000]
+    df = spark.createDataFrame([(i, t, "", "", 0, 0, 0, "") for i, t in enumerate([*runs, "a short text"])], SCHEMA)
+    out = {r.doc_id: r.ids for r in pieces.encode(df, tokenizer_path(MODEL)).collect()}
+    assert len(out) == 5 and all(pieces.decode_ids(table, out[i]) == t for i, t in enumerate(runs))
+    # short parts get the same ids in a task as in the lattice
+    parts = ["internationalisation", "qzxé\u1234qq", *(runs[2][i : i + 30] for i in range(0, 600, 30))]
+    short = spark.createDataFrame([(p, 1) for p in parts], "part string, n bigint")
+    lattice = {r.part: r.ids for r in pieces.encode_parts(short, table).collect()}
+    monkeypatch.setattr(pieces, "LATTICE_CHARS", 0)
+    assert {r.part: r.ids for r in pieces.encode_parts(short, table).collect()} == lattice
+    assert lattice == {p: pieces.fold_part(table, p).tolist() for p in parts}
+
+
 # ---- token files
 
 def test_blocks_round_trip():
