@@ -483,7 +483,7 @@ def bootstrap_ridge(
         total = np.zeros((replicates, slots))
         blocks = [f"|{b}|{seed}" for b in range((replicates + 3) // 4)]
         for frame in frames:
-            for part in np.array_split(frame, max(1, len(frame) // 2000)):
+            for part in np.array_split(frame, max(1, len(frame) * replicates // 400_000)):
                 z = part[cols].to_numpy(float)
                 digests = b"".join(hashlib.md5((i + b).encode()).digest() for i in part["_id"] for b in blocks)
                 u = np.frombuffer(digests, ">u4").reshape(len(part), -1)[:, :replicates].astype(np.int64)

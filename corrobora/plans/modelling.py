@@ -300,7 +300,7 @@ def stationarity_report(spark, d):
     return rounded(G.stationarity_report(monthly_orders(spark, d), ["orders", "revenue"], ["month"], n_buckets=1), "statistic", "p")
 
 
-REPS = 200
+REPS = 3000
 
 
 def _boot_sql() -> str:

@@ -1,5 +1,6 @@
 """Tests, tails and regressions against independent computations on small data."""
 
+import tempfile
 import math
 
 import numpy as np
@@ -295,3 +296,14 @@ def test_power_and_decision(spark):
     assert out.power == pytest.approx(power(150), rel=1e-9)
     assert power(out.n_required) >= 0.8 > power(out.n_required - 1)
     assert out.ci_low < 0 < out.ci_high
+
+
+def test_bootstrap_draws_as_often_as_the_reference(spark):
+    import __spark_entry__ as contract
+
+    rows = [(i, 1, float(i % 7), (i % 5) / 10.0, 100.0 + 3 * (i % 7) + i % 11) for i in range(300)]
+    schema = "l_orderkey bigint, l_linenumber int, l_quantity double, l_tax double, l_extendedprice double"
+    root = tempfile.mkdtemp(prefix="run-")
+    spark.createDataFrame(rows, schema).write.parquet(f"{root}/lineitem.parquet")
+    out = {r.term: r for r in contract.queries()["bootstrap_ci"](spark, root).collect()}
+    assert set(out) == {"l_quantity", "l_tax"} and all(r.replicates == 3000 and r.ci_low < r.coef_std < r.ci_high for r in out.values())
