@@ -4,8 +4,8 @@ Known words score by their log frequency in each language. A word outside the ta
 character n-grams, the longest first: n-grams of ``LONGEST`` characters if any of the word's are
 known, else one shorter, down to single letters.
 
-The tables are learned from a bounded sample of labelled documents (``TRAIN_DOCS``) and hold at most
-``TOP_WORDS`` words and ``TOP_GRAMS`` n-grams per language, so they can be sent to every task.
+The tables are learned from a bounded sample of the labelled documents of each language (``TRAIN_DOCS``), so every labelled
+language is learned, and hold at most ``TOP_WORDS`` words and ``TOP_GRAMS`` n-grams per language, so they can be sent to every task.
 """
 
 from __future__ import annotations
@@ -20,10 +20,10 @@ from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from .common import text_of
 
+#: Documents of each language that are learned from.
 TRAIN_DOCS = 20_000
 TOP_WORDS = 30_000
 TOP_GRAMS = 10_000
-LANGUAGES = 200
 LONGEST = 4
 _TOKEN = re.compile(r"[^\W\d_]+")
 
@@ -43,15 +43,25 @@ def _grams(word: str, n: int) -> list[str]:
 
 
 def learn(docs: DataFrame, sample: int = TRAIN_DOCS, words: int = TOP_WORDS, grams: int = TOP_GRAMS) -> Tables | None:
-    """Tables from at most ``sample`` documents with text and lang, those with the smallest hash of their id.
+    """Tables from at most ``sample`` documents of each language with text and lang, those with the smallest hash of their id.
 
-    Words and n-grams are counted in Spark; only the most frequent of each language, of at most ``LANGUAGES``
-    languages, reach the driver. None if no document has a language and a letter.
+    Words and n-grams are counted in Spark; only the most frequent of each language reach the driver. What a language's
+    sample holds counts for all its documents in the prior. None if no document has a language and a letter.
     """
     known = docs.filter("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "lang", "text")
-    # ids first: only they are ordered; a bounded table, broadcast to pick the texts
-    ids = known.select(F.col("doc_id").alias("id")).distinct().orderBy(F.xxhash64("id"), "id").limit(sample)
-    picked = known.join(F.broadcast(ids), F.col("doc_id").eqNullSafe(F.col("id"))).select("lang", "text")
+    # hashes first: the ones that can be among the smallest are a bounded number; their last one is the cut of the language
+    hashes = known.select("lang", F.xxhash64("doc_id").alias("hash")).distinct()
+    docs_of = hashes.groupBy("lang").agg(F.count("*").alias("docs"))
+    share = F.col("hash").cast("double") / float(1 << 64) + 0.5
+    low = hashes.join(F.broadcast(docs_of), "lang").filter(share * F.col("docs") <= sample + 8 * math.sqrt(sample) + 20)
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("hash"))
+    first = low.withColumn("place", place).filter(F.col("place") <= sample)
+    found = first.groupBy("lang").agg(F.max("hash").alias("cut"), (F.max("docs") / F.max("place")).alias("times")).collect()
+    if not found:
+        return None
+    cuts = docs.sparkSession.createDataFrame([(r["lang"], r["cut"]) for r in found], "lang string, cut bigint")
+    times = {r["lang"]: r["times"] for r in found}
+    picked = known.join(F.broadcast(cuts), "lang").filter(F.xxhash64("doc_id") <= F.col("cut")).select("lang", "text")
 
     def tokens(frames: Iterator) -> Iterator:
         import pyarrow as pa
@@ -78,7 +88,8 @@ def learn(docs: DataFrame, sample: int = TRAIN_DOCS, words: int = TOP_WORDS, gra
     rows = tops.toPandas().sort_values(["lang", "kind", "place"])
     if not len(rows):
         return None
-    sizes = rows[rows["kind"] == 0].groupby("lang")["total"].first().sort_values(ascending=False, kind="stable")[:LANGUAGES]
+    sizes = rows[rows["kind"] == 0].groupby("lang")["total"].first()
+    sizes = sizes * sizes.index.map(times)
     langs = sorted(sizes.index)
     prior = np.log(np.array([sizes[x] for x in langs], float) / sizes[langs].sum())
 

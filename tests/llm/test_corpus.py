@@ -272,6 +272,20 @@ def test_language(spark, docs, empty):
     assert {r.lang_pred for r in language.identify(docs, None).collect()} == {"und"}
 
 
+def test_every_labelled_language_is_learned(spark):
+    rng = random.Random(4)
+    rows = [(i, prose(rng, 30, "ka ko ki ku".split()), "aa", None, 0, 0, 0, None) for i in range(600)]
+    rows += [(600 + i, prose(rng, 30, "zu zo zi ze".split()), "bb", None, 0, 0, 0, None) for i in range(2)]
+    rows += [(1000 + i, f"{chr(0x4E00 + i)} " * 9, f"l{i}", None, 0, 0, 0, None) for i in range(210)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    tables = language.learn(df, sample=20)
+    assert set(tables.langs) == {r[2] for r in rows}
+    assert language.guess(tables, "zuzo zizezuzo", {})[0] == "bb"
+    # the prior is that of all documents, not of the equal samples
+    prior = dict(zip(tables.langs, np.exp(tables.prior)))
+    assert sum(prior.values()) == pytest.approx(1) and prior["aa"] == pytest.approx(600 * 30 / (602 * 30 + 210 * 9), rel=1e-6)
+
+
 # ---- quality
 
 def brute_counts(text):

@@ -1,7 +1,7 @@
 """Tests, tails and regressions against independent computations on small data."""
 
-import tempfile
 import math
+import tempfile
 
 import numpy as np
 import pandas as pd
