@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import re
 import uuid
+from collections.abc import Iterator
+from typing import AnyStr
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -51,6 +53,18 @@ def stage(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def slices(text: AnyStr, edge: re.Pattern, size: int = 1 << 20) -> Iterator[AnyStr]:
+    """The text in slices of about ``size``, each cut before a match of ``edge``, so that a long text is never one list of words."""
+    at = 0
+    while len(text) - at > size:
+        found = edge.search(text, at + size)
+        if found is None:
+            break
+        yield text[at : found.start()]
+        at = found.start()
+    yield text[at:] if at else text
+
+
 def most_frequent(df: DataFrame, count: str, limit: int) -> DataFrame:
     """The rows with the largest counts, ``limit`` at most: all above a count found from a histogram of fixed size."""
     place = F.floor(F.log2(F.col(count).cast("double")) * 16).cast("int")

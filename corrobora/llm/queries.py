@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import html_text, language, mixing, near_copies, pieces, pitman_yor, quality, sharding, token_files, weighted_prints
+from . import html_text, language, mixing, near_copies, packing, pieces, pitman_yor, quality, sharding, token_files, weighted_prints
 from .common import id_fold, table, text_of
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -133,3 +133,8 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality.judge(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+
+
+@query("op12_packing")
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
