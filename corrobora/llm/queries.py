@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import html_text, language, lexical, mixing, near_copies, packing, pieces, pitman_yor, quality, sharding, token_files, weighted_prints
+from . import html_text, language, lexical, mixing, near_copies, packing, pieces, pitman_yor, quality, sharding, spelling, token_files, weighted_prints
 from .common import id_fold, table, text_of
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -168,3 +168,43 @@ QUALIFY rank <= 10
 )
 def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query(
+    "op13_spelling",
+    r"""
+WITH RECURSIVE steps AS MATERIALIZED (  -- the table of the checksum: eight shifts of every byte
+  SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i)) AS t),
+runs AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{C0}-\x{FF}]+')) AS run
+  FROM documents),
+counted AS (SELECT doc_id, run, count(*) AS n FROM runs WHERE length(run) >= 7 GROUP BY doc_id, run),
+bytes AS (
+  SELECT doc_id, run, n, flatten(list_transform(string_split(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run, ''),
+    lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)::BIGINT] ELSE [192 + (unicode(c)::BIGINT >> 6), 128 + (unicode(c)::BIGINT & 63)] END)) AS b
+  FROM counted),
+sums AS (
+  SELECT run, n, xor(list_reduce(b, lambda c, x: xor(c >> 8, t[xor(c & 255, x) + 1]), 4294967295), 4294967295) AS h
+  FROM bytes, steps),
+words AS (
+  SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, CAST(h % length(run) AS BIGINT)) || substr(run, CAST(h % length(run) AS BIGINT) + 2) ELSE run END AS word, n FROM sums),
+v AS MATERIALIZED (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM words WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+gone AS MATERIALIZED (  -- every word with one letter left out: next to it, or behind a mark of its place
+  SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v)),
+pairs AS (
+  SELECT DISTINCT g.word, g.n, v.word AS near, v.n AS near_n FROM gone g JOIN v ON v.word = g.rest
+  UNION ALL SELECT DISTINCT v.word, v.n, g.word, g.n FROM gone g JOIN v ON v.word = g.rest
+  UNION ALL SELECT a.word, a.n, b.word, b.n FROM gone a JOIN gone b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word),
+best AS (SELECT word, count(*) AS n_near, min(row(-near_n, near)) AS b FROM pairs GROUP BY word),
+forms AS MATERIALIZED (
+  SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN -b[1] >= 10 * v.n THEN b[2] END AS form, CASE WHEN -b[1] >= 10 * v.n THEN -b[1] END AS form_n
+  FROM v LEFT JOIN best USING (word)),
+chain AS (
+  SELECT word, word AS root, 0 AS step FROM forms
+  UNION ALL SELECT c.word, f.form, step + 1 FROM chain c JOIN forms f ON f.word = c.root WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, r.root, f.n, f.n_near, f.form_n
+FROM forms f JOIN (SELECT word, max_by(root, step) AS root FROM chain GROUP BY word) r USING (word)
+""",
+)
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_spellings(table(spark, sf_dir, "documents"))
