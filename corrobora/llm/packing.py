@@ -26,7 +26,7 @@ from .common import slices, stage
 CAPACITY = 4096
 END_ID = 1
 #: Bytes of words and their ids that a Python process remembers.
-MEMORY = 160 << 20
+MEMORY = 256 << 20
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
 #: A piece's number among the pieces of its length stays below 2^48.
 _RANK_BITS = 48
@@ -49,22 +49,31 @@ class IdBytes:
     def __init__(self, path: str) -> None:
         self.tokenizer = _tokenizer(path)
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
         self.held = 0
 
     def _learn(self, words: list[bytes]) -> None:
-        if self.held > MEMORY:
-            self.known.clear()
-            self.held = 0
-        new = list(set(words).difference(self.known))
-        one = self.tokenizer.encode([w.decode("utf-8", "replace") for w in new], is_pretokenized=True, add_special_tokens=False)
+        if self.held > MEMORY // 2:
+            # words not met again while the next half fills are forgotten
+            self.older, self.known, self.held = self.known, {}, 0
+        missing = set(words).difference(self.known)
+        met = missing & self.older.keys()
+        self.known.update((w, self.older[w]) for w in met)
+        new = list(missing - met)
+        texts = [w.decode("utf-8", "replace") for w in new]
+        # one text of all new words is encoded in half the time of a list; offsets say which word a token is from
+        one = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
+        first = np.cumsum([0] + [len(t) + 1 for t in texts[:-1]])
+        offsets = np.fromiter((start for start, _ in one.offsets), np.int64, len(one.ids))
+        of = np.searchsorted(first, offsets, "right") - 1
         raw = np.array(one.ids, "<u4").tobytes()
-        ends = np.cumsum(np.bincount(np.array(one.word_ids, np.int64), minlength=len(new))) * 4
+        ends = np.cumsum(np.bincount(of, minlength=len(new))) * 4
         at = 0
         for word, end in zip(new, ends.tolist()):
             self.known[word] = raw[at:end]
             at = end
         # a key, a value and their place in the table take about 200 bytes beside what they hold
-        self.held += sum(map(len, new)) + len(raw) + 200 * len(new)
+        self.held += sum(len(w) + len(self.known[w]) + 200 for w in missing)
 
     def encode(self, text: bytes) -> Iterator[bytes]:
         """The ids of a text in turn, a megabyte of it at a time."""
