@@ -353,3 +353,38 @@ def test_tree_fit_does_not_depend_on_partitioning(spark):
     fits = [models.random_forest(x, "y", ["a", "b"], trees=5, depth=3, row_id=["id"]) for x in (df, df.repartition(5), df.orderBy(F.desc("id")))]
     weights = [tuple(round(float(v), 9) for v in m.stages[-1].featureImportances.toArray()) for m in fits]
     assert len(set(weights)) == 1
+
+
+def test_replayed_streams(spark):
+    base = dt.datetime(2024, 1, 1)
+    rows = [(i, base + dt.timedelta(hours=2 * i), float(i), base + dt.timedelta(hours=2 * i + 1)) for i in range(12 * 20)]
+    rows += [(i, t, v, a + dt.timedelta(hours=5)) for i, t, v, a in rows if i % 7 == 0]  # again, in time
+    rows += [(i, t, v, a + dt.timedelta(days=9)) for i, t, v, a in rows[:240] if i % 11 == 0]  # again, when the day is reported
+    rows += [(1000 + i, base + dt.timedelta(days=i, hours=3), 0.5, base + dt.timedelta(days=i + 8)) for i in range(12)]  # late for the first time
+    rows += [(1000, base, 9.0, base + dt.timedelta(days=19)), (None, base, 1.0, base), (2000, None, 1.0, base)]
+    log = spark.createDataFrame(rows, "id bigint, ts timestamp, v double, arrived timestamp")
+    late = lambda s: streams.late_arrivals_stream(s, "id", "ts", "arrived", dt.timedelta(days=2), buckets=3)
+    first = lambda s: streams.first_wins_stream(s.filter("id IS NOT NULL AND ts IS NOT NULL"), "id", "ts", "2 days")
+    got, kept = (f.collect() for f in streams.replay(log, "arrived", dt.timedelta(days=5), [late, first]))
+    assert sorted((r.id, r.v) for r in got) == [(1000 + i, 0.5) for i in range(12)]
+    assert sorted(r.id for r in kept if r.id < 1000) == list(range(240))
+    none = streams.replay(log.limit(0), "arrived", dt.timedelta(days=2), [late, first])
+    assert [f.count() for f in none] == [0, 0] and none[0].schema == log.schema
+
+
+def test_stream_goes_on_after_a_failure(spark, tmp_path):
+    """A run that dies leaves the sink as it was; the next one under its name neither loses nor repeats rows."""
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+    base = dt.datetime(2024, 1, 1)
+    part = lambda a, b: spark.createDataFrame([(i, base + dt.timedelta(minutes=i)) for i in range(a, b)], "id bigint, ts timestamp")
+    part(0, 50).write.mode("append").parquet(src)
+    live = spark.readStream.schema("id bigint, ts timestamp").parquet(src)
+    name = os.path.basename(str(tmp_path))
+    streams.run_available(streams.first_wins_stream(live, "id", "ts"), out, name=name)
+    part(40, 90).write.mode("append").parquet(src)
+    broken = live.withColumn("id", F.when(F.col("id") == 60, F.raise_error("lost").cast("bigint")).otherwise(F.col("id")))
+    with pytest.raises(Exception, match="lost"):
+        streams.run_available(streams.first_wins_stream(broken, "id", "ts"), out, name=name)
+    assert spark.read.parquet(out).count() == 50
+    streams.run_available(streams.first_wins_stream(live, "id", "ts"), out, name=name)
+    assert sorted(r.id for r in spark.read.parquet(out).collect()) == list(range(90))
