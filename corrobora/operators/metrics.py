@@ -27,6 +27,15 @@ def classification(df: DataFrame, label: str, prediction: str, by: Sequence[str]
     )
 
 
+def matched_accuracy(predicted: DataFrame, prediction: str, labelled: DataFrame, label: str, key: str) -> DataFrame:
+    """Predictions joined to labels by key: rows on both sides, on one side only, and the accuracy of the matched ones."""
+    both = predicted.select(key, F.col(prediction).alias("_p"), F.lit(True).alias("_l")).join(labelled.select(key, F.col(label).alias("_y"), F.lit(True).alias("_r")), key, "full")
+    return both.agg(
+        F.count_if(F.col("_l") & F.col("_r")).alias("matched"), F.count_if(F.col("_l").isNull()).alias("unpredicted"),
+        F.count_if(F.col("_r").isNull()).alias("unlabelled"), F.avg((F.col("_p") == F.col("_y")).cast("int")).alias("accuracy"),
+    )
+
+
 def roc_auc(df: DataFrame, label: str, score: str) -> DataFrame:
     """Area under the curve as the normalised rank sum of class 1 (ties count half)."""
     ranks = mid_ranks(df.filter(F.col(label).isNotNull()), score, label)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import hash_unit
 from ..operators import features as P
+from ..operators import logit as LG
 from ..operators import metrics as M
 from ..operators import models as ML
 from ..operators import sampling
@@ -219,20 +220,80 @@ def sides(rows):
     return rows.filter("split = 'train'"), rows.filter("split = 'test'")
 
 
-@query("logreg_balanced")
-def logreg_balanced(spark, d):
+LANGS = ["de", "en", "es", "fr"]
+#: Labelled documents with the features as x1, x2, ..., in the order of the fit, and the side of the split.
+LABELLED = rf"""lb AS MATERIALIZED (SELECT doc_id, quality, lang, ln(1 + n_chars) AS x1, ln(1 + len(regexp_split_to_array(text, '[ 	
+]+'))) AS x2,
+      ln(1 + len(string_split(text, chr(10)))) AS x3, {unit('doc_id', 6)} AS u FROM documents JOIN labels USING (doc_id)),
+    lc AS (SELECT quality, quantile_cont(u, 0.8) AS cut, count(*) FILTER (WHERE u IS NOT NULL) AS n FROM lb GROUP BY quality),
+    ls AS MATERIALIZED (SELECT lb.*, CASE WHEN u <= cut THEN 'train' ELSE 'test' END AS split FROM lb JOIN lc USING (quality))"""
+_HOT = ", ".join(f"(lang IS NOT DISTINCT FROM '{v}')::INT::DOUBLE AS x{i}" for i, v in enumerate(LANGS, 4))
+LOGIT = [
+    LABELLED,
+    f"hot AS MATERIALIZED (SELECT *, {_HOT} FROM ls)",
+    "cw AS (SELECT quality, sum(count(*)) OVER () / (count(*) OVER () * count(*)) AS w FROM ls WHERE split = 'train' GROUP BY quality)",
+    "tr AS MATERIALIZED (SELECT hot.*, quality::DOUBLE AS y, w FROM hot JOIN cw USING (quality) WHERE split = 'train')",
+    *K.newton_ctes("nt", "tr", 3 + len(LANGS), 9),
+    "pr AS MATERIALIZED (SELECT doc_id, quality, 1 / (1 + exp(-(b0 + " + " + ".join(f"b{i} * x{i}" for i in range(1, 4 + len(LANGS))) + "))) AS score FROM hot, nt WHERE split = 'test')",
+]
+
+
+def balanced_logit(spark, d):
+    """Fit on the training side, and the rows of the test side."""
     train, test = sides(document_features(spark, d))
-    model = ML.logistic(train, "quality", NUMERIC, ["lang"], balanced=True)
-    out = ML.predictions(model, test, ["doc_id", "quality"])
+    return LG.fit_logistic(train, "quality", NUMERIC, ["lang"], balanced=True), test
+
+
+@query(
+    "logreg_balanced",
+    K.with_ctes(
+        [*LOGIT, """c AS (SELECT count(*) AS n, count(*) FILTER (WHERE quality = 1 AND score > 0.5) AS tp, count(*) FILTER (WHERE quality = 0 AND score > 0.5) AS fp,
+          count(*) FILTER (WHERE quality = 1 AND score <= 0.5) AS fn, count(*) FILTER (WHERE quality = 0 AND score <= 0.5) AS tn FROM pr)"""],
+        """SELECT n, tp, fp, fn, tn, round((tp + tn) / n, 6) AS accuracy, round(CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END, 6) AS "precision",
+        round(CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END, 6) AS recall, round(CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0 END, 6) AS f1,
+        (tp + fp = 0) OR (fn + tn = 0) AS constant_prediction FROM c""",
+    ),
+)
+def logreg_balanced(spark, d):
+    model, test = balanced_logit(spark, d)
+    out = model.predict(test, ["doc_id", "quality"])
     return rounded(M.classification(out, "quality", "prediction"), "accuracy", "precision", "recall", "f1")
 
 
-@query("class_predictions")
+@query("class_predictions", K.with_ctes(LOGIT, "SELECT doc_id, (score > 0.5)::INT AS predicted_class, round(score, 6) AS score FROM pr"))
 def class_predictions(spark, d):
-    train, test = sides(document_features(spark, d))
-    model = ML.logistic(train, "quality", NUMERIC, ["lang"], balanced=True)
-    out = ML.predictions(model, test, ["doc_id"])
-    return out.select("doc_id", F.col("prediction").cast("int").alias("predicted_class"))
+    model, test = balanced_logit(spark, d)
+    out = model.predict(test, ["doc_id"])
+    return rounded(out.select("doc_id", F.col("prediction").cast("int").alias("predicted_class"), "score"), "score")
+
+
+@query(
+    "logreg_terms",
+    K.with_ctes(LOGIT, " UNION ALL ".join(f"SELECT '{t}' AS term, round(b{i}, 6) AS coef FROM nt" for i, t in enumerate(["const", *NUMERIC, *(f"lang_{v}" for v in LANGS)]))),
+)
+def logreg_terms(spark, d):
+    """The fitted numbers themselves."""
+    model, _ = balanced_logit(spark, d)
+    return rounded(spark.createDataFrame(list(zip(model.terms, model.coef)), "term string, coef double"), "coef")
+
+
+@query(
+    "predictions_to_labels",
+    K.with_ctes(
+        [*LOGIT, "sent AS (SELECT doc_id, (score > 0.5)::INT AS predicted FROM pr WHERE doc_id % 10 <> 3 UNION ALL SELECT -1 - doc_id, 1 FROM pr WHERE doc_id % 10 = 3)",
+         "tst AS (SELECT doc_id, quality FROM ls WHERE split = 'test')",
+         "j AS (SELECT predicted, quality FROM sent FULL JOIN tst USING (doc_id))"],
+        """SELECT count(*) FILTER (WHERE predicted IS NOT NULL AND quality IS NOT NULL) AS matched, count(*) FILTER (WHERE predicted IS NULL) AS unpredicted,
+        count(*) FILTER (WHERE quality IS NULL) AS unlabelled, round(avg((predicted = quality)::INT), 6) AS accuracy FROM j""",
+    ),
+)
+def predictions_to_labels(spark, d):
+    """A delivered prediction file against the labels: some rows are missing, some name ids that no label has."""
+    model, test = balanced_logit(spark, d)
+    lost = F.col("doc_id") % 10 == 3
+    out = model.predict(test, ["doc_id"]).withColumn("prediction", F.when(lost, 1.0).otherwise(F.col("prediction")))
+    sent = out.select(F.when(lost, -1 - F.col("doc_id")).otherwise(F.col("doc_id")).alias("doc_id"), "prediction")
+    return rounded(M.matched_accuracy(sent, "prediction", test.select("doc_id", "quality"), "quality", "doc_id"), "accuracy")
 
 
 @query("rf_importance")

@@ -113,6 +113,40 @@ def sweep_ctes(name: str, source: str, p: int, by: Sequence[str] = (), diag_add:
     return out
 
 
+def newton_ctes(name: str, source: str, p: int, steps: int, penalty: float = 1.0) -> list[str]:
+    """Logistic regression of y on x1..xp with weight w: coefficients b0..bp in ``name`` after so many Newton steps from 0."""
+    size = p + 1
+    x = ["1.0", *(f"x{i}" for i in range(1, size))]
+    cells = [(i, j) for i in range(size) for j in range(i, size + 1)]
+    cell = lambda i, j: f"a{min(i, j)}_{max(i, j)}"
+    out = [f"{name}_b0 AS MATERIALIZED (SELECT " + ", ".join(f"0.0::DOUBLE AS b{i}" for i in range(size)) + ")"]
+    for s in range(1, steps + 1):
+        eta = " + ".join(f"b{i} * {x[i]}" for i in range(size))
+        out.append(f"{name}_p{s} AS (SELECT *, 1 / (1 + exp(-({eta}))) AS p FROM {source}, {name}_b{s - 1})")
+        sums = []
+        for i, j in cells:
+            if j < size:
+                sums.append(f"sum(w * p * (1 - p) * {x[i]} * {x[j]}) + {penalty if i == j and i else 0.0} AS a{i}_{j}")
+            else:
+                sums.append(f"sum(w * (y - p) * {x[i]}) - {penalty if i else 0.0} * any_value(b{i}) AS a{i}_{j}")
+        out.append(f"{name}_{s}_s0 AS MATERIALIZED (SELECT {', '.join(sums)} FROM {name}_p{s})")
+        for k in range(size):
+            cols = []
+            for i, j in cells:
+                if i == k and j == k:
+                    e = f"-1.0 / a{k}_{k}"
+                elif i == k or j == k:
+                    e = f"a{i}_{j} / a{k}_{k}"
+                else:
+                    e = f"a{i}_{j} - {cell(i, k)} * {cell(k, j)} / a{k}_{k}"
+                cols.append(f"{e} AS a{i}_{j}")
+            out.append(f"{name}_{s}_s{k + 1} AS MATERIALIZED (SELECT {', '.join(cols)} FROM {name}_{s}_s{k})")
+        last = name if s == steps else f"{name}_b{s}"
+        moved = ", ".join(f"b{i} + a{i}_{size} AS b{i}" for i in range(size))
+        out.append(f"{last} AS MATERIALIZED (SELECT {moved} FROM {name}_{s}_s{size}, {name}_b{s - 1})")
+    return out
+
+
 def ols_ctes(name: str, source: str, xs: Sequence[str], y: str, by: Sequence[str] = ()) -> list[str]:
     return [gram_cte(f"{name}_g", source, xs, y, by), *sweep_ctes(name, f"{name}_g", len(xs), by)]
 
