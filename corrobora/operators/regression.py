@@ -6,7 +6,6 @@ more with the coefficients as literals of a scalar subquery. Only summary rows a
 
 from __future__ import annotations
 
-import hashlib
 import math
 from collections.abc import Iterator, Sequence
 
@@ -15,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, StructField, StructType
 
-from ..functions.scalars import hash_order
+from ..functions.draws import POISSON_TABLE, draw16, draws16, poisson_count, row_state
 from ..functions.tails import chi2_pvalue, t_sf2
 from ..session import parallelism
 from .moments import attach_fit, beside, coefficient_table, fit_linear, gram, predicted, solve
@@ -419,36 +418,15 @@ def stationarity_report(
 
 # ---- resampling ---------------------------------------------------------------------------
 
-# Cumulative Poisson(1) probabilities P(W <= k), k = 0, 1, 2 ...; a draw of 32 bits is compared in
-# hexadecimal, where text of equal length sorts like the number
-_POISSON_CDF = [sum(math.exp(-1) / math.factorial(i) for i in range(k + 1)) for k in range(9)]
-
-
 def poisson_weights(df: DataFrame, row_id: Sequence[str], replicates: int, seed: int = 0) -> DataFrame:
     """Each row once per replicate in which it is drawn: columns ``rep`` and ``w`` (w >= 1).
 
-    The weight is a function of (row id, seed, replicate), so a recomputed task draws the same
-    sample. One md5 serves four replicates.
+    The weight is a function of (row id, seed, replicate), so a recomputed task draws the same sample. Poisson(1)
+    probabilities are kept to 2^-16.
     """
-    blocks = (replicates + 3) // 4
-    spread = df.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    spread = spread.withColumn("_h", hash_order(*row_id, F.col("_block"), seed=seed))
-    draws = F.array(
-        *[
-            F.struct(
-                (F.col("_block") * 4 + i).alias("rep"),
-                F.substring("_h", 1 + 8 * i, 8).alias("u"),
-            )
-            for i in range(4)
-        ]
-    )
-    flat = spread.withColumn("_r", F.explode(draws)).withColumns({"rep": F.col("_r.rep"), "_u": F.col("_r.u")})
-    steps = [f"{math.ceil(c * 2**32):08x}" for c in _POISSON_CDF if c * 2**32 <= 2**32 - 1]
-    drawn = flat.filter((F.col("_u") >= steps[0]) & (F.col("rep") < replicates))
-    weight = F.lit(1)
-    for s in steps[1:]:
-        weight = weight + (F.col("_u") >= s).cast("int")
-    return drawn.withColumn("w", weight).drop("_block", "_h", "_r", "_u")
+    stated = df.withColumn("_s", row_state(*row_id, seed=seed))
+    drawn = stated.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+    return drawn.withColumn("w", poisson_count(draw16(F.col("_s"), F.col("rep")))).filter("w > 0").drop("_s")
 
 
 def bootstrap_ridge(
@@ -456,7 +434,7 @@ def bootstrap_ridge(
 ) -> DataFrame:
     """(rep, coef[]) of Poisson-bootstrap refits; predictors standardised on the full table.
 
-    The draws are those of ``poisson_weights``; a batch of rows becomes a matrix of draws, and each task sends one Gram row
+    The draws are those of ``poisson_weights``, made as arrays; a block of rows becomes a matrix of draws, and each task sends one Gram row
     per replicate, whatever the number of table rows. Collinear predictors have the smallest of their solutions.
     """
     cols = [*xs, y]
@@ -476,23 +454,22 @@ def bootstrap_ridge(
         # each row is about to be drawn ``replicates`` times: a table with few splits is spread first
         centred = centred.repartition(cores)
     slots = size + size * size + 1
-    steps = np.array([math.ceil(c * 2**32) for c in _POISSON_CDF if c * 2**32 <= 2**32 - 1], np.int64)
 
     def weighted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Sums of the products, weighted by every replicate's draws: one matrix product per batch."""
+        """Sums of the products, weighted by every replicate's draws: one matrix product per block of rows."""
         total = np.zeros((replicates, slots))
-        blocks = [f"|{b}|{seed}" for b in range((replicates + 3) // 4)]
         for frame in frames:
-            for part in np.array_split(frame, max(1, len(frame) * replicates // 400_000)):
-                z = part[cols].to_numpy(float)
-                digests = b"".join(hashlib.md5((i + b).encode()).digest() for i in part["_id"] for b in blocks)
-                u = np.frombuffer(digests, ">u4").reshape(len(part), -1)[:, :replicates].astype(np.int64)
-                w = np.searchsorted(steps, u, side="right").astype(float)
-                products = np.hstack([np.ones((len(part), 1)), z, (z[:, :, None] * z[:, None, :]).reshape(len(part), -1)])
+            states = np.array(frame["_s"].tolist(), np.int64).reshape(-1, 2)
+            values = frame[cols].to_numpy(float)
+            step = max(1, 400_000 // replicates)
+            for at in range(0, len(frame), step):
+                z = values[at : at + step]
+                w = POISSON_TABLE.take(draws16(states[at : at + step, 0], states[at : at + step, 1], replicates))
+                products = np.hstack([np.ones((len(z), 1)), z, (z[:, :, None] * z[:, None, :]).reshape(len(z), -1)])
                 total += w.T @ products
         yield pd.DataFrame({"rep": np.arange(replicates, dtype=np.int32), "sums": list(total)})
 
-    rows = centred.select(F.concat_ws("|", *[F.col(c).cast("string") for c in row_id]).alias("_id"), *cols)
+    rows = centred.select(row_state(*row_id, seed=seed).alias("_s"), *cols)
     # a row per replicate and task, whatever the number of table rows
     flat = rows.mapInPandas(weighted, "rep int, sums array<double>").select("rep", F.posexplode("sums").alias("at", "x"))
     sums = flat.groupBy("rep", "at").agg(F.sum("x").alias("x")).groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("at", "x"))).alias("a"))

@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import functions as F
 
+from ..functions.draws import sql_draws, sql_poisson, sql_state
 from ..operators import features as P
 from ..operators import regression as G
 from ..sources.readers import table
@@ -304,15 +303,14 @@ REPS = 3000
 
 
 def _boot_sql() -> str:
-    cdf = [sum(math.exp(-1) / math.factorial(i) for i in range(k + 1)) for k in range(9)]
-    w = " + ".join(f"(u >= {c!r})::INT" for c in cdf)
     xs = ["l_quantity", "l_tax"]
     ctes = [
         K.gram_cte("g", _TWIN, xs, "log_y"),
         *K.sweep_ctes("f", "g", 2, diag_add=[f"5.0 * a{i}_{i} / n" for i in range(2)]),
-        f"z AS MATERIALIZED (SELECT l_orderkey, l_linenumber, (l_quantity - m0) / sqrt(a0_0 / n) AS x0, (l_tax - m1) / sqrt(a1_1 / n) AS x1, log_y - m2 AS y FROM {_TWIN}, g)",
-        f"r AS (SELECT rep, x0, x1, y, ('0x' || substr(md5(l_orderkey || '|' || l_linenumber || '|' || (rep // 4) || '|9'), (1 + 8 * (rep % 4))::BIGINT, 8))::BIGINT / 4294967296.0 AS u FROM z, range(0, {REPS}) t(rep))",
-        f"wt AS (SELECT rep, x0, x1, y, {w} AS w FROM r)",
+        f"z AS MATERIALIZED (SELECT {sql_state(['l_orderkey', 'l_linenumber'], 9)}, (l_quantity - m0) / sqrt(a0_0 / n) AS x0, (l_tax - m1) / sqrt(a1_1 / n) AS x1, log_y - m2 AS y FROM {_TWIN}, g)",
+        f"rz AS (SELECT z.*, rep FROM z, range(0, {REPS}) t(rep))",
+        *sql_draws("dr", "rz", "rep", "x0, x1, y"),
+        f"wt AS (SELECT rep, x0, x1, y, {sql_poisson('draw')} AS w FROM dr)",
         """s AS MATERIALIZED (SELECT rep, sum(w)::DOUBLE AS n, sum(w * x0) AS p0, sum(w * x1) AS p1, sum(w * y) AS py, sum(w * x0 * x0) AS q00, sum(w * x0 * x1) AS q01,
              sum(w * x1 * x1) AS q11, sum(w * x0 * y) AS q0y, sum(w * x1 * y) AS q1y FROM wt GROUP BY rep)""",
         "c AS (SELECT rep, q00 - p0 * p0 / n + 5.0 AS a, q01 - p0 * p1 / n AS b, q11 - p1 * p1 / n + 5.0 AS c, q0y - p0 * py / n AS d, q1y - p1 * py / n AS e FROM s)",

@@ -62,3 +62,23 @@ def test_matched_accuracy_counts_both_sides(spark):
     held = spark.createDataFrame([(1, 1), (2, 1), (3, 1), (4, 0), (5, 0)], "id int, y int")
     r = metrics.matched_accuracy(sent, "p", held, "y", "id").first()
     assert (r.matched, r.unpredicted, r.unlabelled, r.accuracy) == (3, 2, 1, pytest.approx(2 / 3))
+
+
+def test_draws_are_even_and_the_same_as_columns_and_arrays(spark):
+    from pyspark.sql import functions as F
+
+    from corrobora.functions import draws
+
+    df = spark.range(3000).select("id", draws.row_state("id", seed=3).alias("s"))
+    rows = df.select("id", "s", F.transform(F.sequence(F.lit(0), F.lit(40)), lambda k: draws.draw16(F.col("s"), k)).alias("d")).orderBy("id").collect()
+    state = np.array([r.s for r in rows])
+    got = draws.draws16(state[:, 0], state[:, 1], 41)
+    assert (got == np.array([r.d for r in rows])).all()
+    counts = np.histogram(got, 16, (0, 65536))[0] / got.size
+    assert np.abs(counts - 1 / 16).max() < 0.004
+    # neither neighbouring draws nor neighbouring rows go together
+    centred = got - 32767.5
+    for a, b in ((centred[:, :-1], centred[:, 1:]), (centred[:, :-2], centred[:, 2:]), (centred[:-1], centred[1:])):
+        assert abs((a * b).mean() / (centred**2).mean()) < 0.015
+    poisson = draws.POISSON_TABLE[got]
+    assert abs(poisson.mean() - 1) < 0.01 and abs(poisson.var() - 1) < 0.02
