@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.draws import sql_draws, sql_poisson, sql_state
 from ..functions.scalars import hash_unit
 from ..operators import features as P
 from ..operators import logit as LG
 from ..operators import metrics as M
 from ..operators import models as ML
 from ..operators import sampling
+from ..operators import trees as TR
 from ..operators.regression import dummies
 from ..sources.readers import table
 from . import sqlkit as K
@@ -223,7 +225,8 @@ def sides(rows):
 LANGS = ["de", "en", "es", "fr"]
 #: Labelled documents with the features as x1, x2, ..., in the order of the fit, and the side of the split.
 LABELLED = rf"""lb AS MATERIALIZED (SELECT doc_id, quality, lang, ln(1 + n_chars) AS x1, ln(1 + len(regexp_split_to_array(text, '[ 	
-]+'))) AS x2,
+
+]+'))) AS x2,
       ln(1 + len(string_split(text, chr(10)))) AS x3, {unit('doc_id', 6)} AS u FROM documents JOIN labels USING (doc_id)),
     lc AS (SELECT quality, quantile_cont(u, 0.8) AS cut, count(*) FILTER (WHERE u IS NOT NULL) AS n FROM lb GROUP BY quality),
     ls AS MATERIALIZED (SELECT lb.*, CASE WHEN u <= cut THEN 'train' ELSE 'test' END AS split FROM lb JOIN lc USING (quality))"""
@@ -296,6 +299,71 @@ def predictions_to_labels(spark, d):
     return rounded(M.matched_accuracy(sent, "prediction", test.select("doc_id", "quality"), "quality", "doc_id"), "accuracy")
 
 
+FOREST = [*NUMERIC, *(f"lang_{v}" for v in LANGS)]
+_TREES, _BINS = 3, 8
+
+
+def _forest_sql() -> list[str]:
+    """Three bagged trees of depth 2 from the same histograms: bins, draws, two levels of cuts, then a value per row and tree."""
+    probs = [k / _BINS for k in range(1, _BINS)]
+    cuts = ", ".join(f"list_distinct(quantile_cont(x{i}, {probs})) AS c{i}" for i in (1, 2, 3))
+    bins = [f"len(list_filter(c{i}, lambda q: q <= x{i}))" for i in (1, 2, 3)] + [f"(x{i} >= 1)::INT" for i in range(4, 4 + len(LANGS))]
+    out = [
+        *LOGIT[:2],
+        f"fq AS (SELECT {cuts} FROM ls WHERE split = 'train')",
+        f"fr AS MATERIALIZED (SELECT doc_id, split, quality, [{', '.join(b + '::BIGINT' for b in bins)}] AS bins, {sql_state(['doc_id'], 12)} FROM hot, fq)",
+        f"ft AS (SELECT doc_id, t, high, low FROM fr, range(0, {_TREES}) r(t))",
+        *sql_draws("dr", "ft", "t", "doc_id"),
+        f"f0 AS MATERIALIZED (SELECT t, doc_id, split, quality::DOUBLE AS y, bins, {sql_poisson('draw')} AS w, 0 AS node, 0.0::DOUBLE AS v FROM fr JOIN dr USING (doc_id))",
+    ]
+    for k in (0, 1):
+        out += [
+            f"h{k} AS (SELECT t, node, f, bin, sum(w * y) AS g, sum(w)::DOUBLE AS h FROM (SELECT t, node, y, w, unnest(range({len(FOREST)})) AS f, unnest(bins) AS bin FROM f{k} WHERE split = 'train' AND w > 0) GROUP BY ALL)",
+            f"s{k} AS (SELECT *, sum(g) OVER b AS gl, sum(h) OVER b AS hl, sum(g) OVER e AS gt, sum(h) OVER e AS ht FROM h{k} WINDOW b AS (PARTITION BY t, node, f ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), e AS (PARTITION BY t, node, f))",
+            f"c{k} AS (SELECT *, CASE WHEN hl >= 1 AND ht - hl >= 1 THEN gl * gl / hl + (gt - gl) * (gt - gl) / (ht - hl) - gt * gt / ht END AS gain FROM s{k})",
+            f"m{k} AS MATERIALIZED (SELECT * FROM c{k} WHERE gain > 1e-9 QUALIFY row_number() OVER (PARTITION BY t, node ORDER BY gain DESC, f, bin) = 1)",
+            f"""f{k + 1} AS MATERIALIZED (SELECT r.t, doc_id, split, y, bins, w, CASE WHEN m.f IS NULL THEN r.node ELSE 2 * r.node + 1 + (bins[m.f + 1] >= m.bin)::INT END AS node,
+              CASE WHEN m.f IS NULL THEN v WHEN bins[m.f + 1] >= m.bin THEN (gt - gl) / (ht - hl) ELSE gl / hl END AS v FROM f{k} r LEFT JOIN m{k} m ON m.t = r.t AND m.node = r.node)""",
+        ]
+    return out
+
+
+def small_forest(spark, d):
+    """Three trees of depth 2 over the training side, and the rows of the test side."""
+    rows, names = dummies(document_features(spark, d), "lang", LANGS, drop_first=False, prefix="lang")
+    train, test = sides(rows)
+    return TR.bagged_forest(train, "quality", [*NUMERIC, *names], ["doc_id"], trees=_TREES, depth=2, bins=_BINS, indicators=names, seed=12), test
+
+
+@query(
+    "forest_importance",
+    K.with_ctes(
+        [*_forest_sql(), "a AS (SELECT t, f, gain FROM m0 UNION ALL SELECT t, f, gain FROM m1)", "p AS (SELECT t, f, sum(gain) / sum(sum(gain)) OVER (PARTITION BY t) AS part FROM a GROUP BY t, f)",
+         f"nm AS (SELECT unnest(range({len(FOREST)})) AS f, unnest({FOREST!r}) AS feature)", f"i AS (SELECT feature, coalesce(sum(part), 0) / {_TREES} AS importance FROM nm LEFT JOIN p USING (f) GROUP BY feature)"],
+        "SELECT feature, round(importance, 6) AS importance, row_number() OVER (ORDER BY importance DESC, feature)::INT AS rank FROM i",
+    ),
+)
+def forest_importance(spark, d):
+    model, test = small_forest(spark, d)
+    return rounded(TR.importance_table(model, test), "importance")
+
+
+@query(
+    "forest_auc",
+    K.with_ctes(
+        [*_forest_sql(), "sc AS (SELECT doc_id, any_value(y) AS quality, sum(v) / count(*) AS score FROM f2 WHERE split = 'test' GROUP BY doc_id)",
+         "r AS (SELECT quality, rank() OVER (ORDER BY round(score, 9)) + (count(*) OVER (PARTITION BY round(score, 9)) - 1) / 2.0 AS rk FROM sc)",
+         "a AS (SELECT count(*) FILTER (WHERE quality = 1) AS p, count(*) FILTER (WHERE quality = 0) AS q, sum(rk) FILTER (WHERE quality = 1) AS rs FROM r)"],
+        "SELECT p AS n_pos, q AS n_neg, round((rs - p * (p + 1) / 2) / (p * q), 6) AS auc FROM a",
+    ),
+)
+def forest_auc(spark, d):
+    model, test = small_forest(spark, d)
+    # sums of three shares in another order differ in the last digit, which must not break a tie
+    out = model.predict(test, ["quality"]).withColumn("score", F.round("score", 9))
+    return rounded(M.roc_auc(out, "quality", "score"), "auc")
+
+
 @query("rf_importance")
 def rf_importance(spark, d):
     train, _ = sides(document_features(spark, d))

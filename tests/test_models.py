@@ -82,3 +82,77 @@ def test_draws_are_even_and_the_same_as_columns_and_arrays(spark):
         assert abs((a * b).mean() / (centred**2).mean()) < 0.015
     poisson = draws.POISSON_TABLE[got]
     assert abs(poisson.mean() - 1) < 0.01 and abs(poisson.var() - 1) < 0.02
+
+
+def grow_by_hand(x, g, h, cuts, depth, penalty, least):
+    """One tree on plain arrays: every node tries every cut."""
+    out = {}
+
+    def node(i, rows, level):
+        out[i] = g[rows].sum() / (h[rows].sum() + penalty) if h[rows].sum() + penalty else 0.0
+        if level == depth:
+            return
+        best = None
+        gain_of = lambda r: g[r].sum() ** 2 / (h[r].sum() + penalty)
+        for f, c in enumerate(cuts):
+            for cut in c:
+                left, right = rows[~(x[rows, f] >= cut)], rows[x[rows, f] >= cut]
+                if min(h[left].sum(), h[right].sum()) >= least and h[left].sum() > 0 and h[right].sum() > 0:
+                    gain = gain_of(left) + gain_of(right) - gain_of(rows)
+                    if gain > 1e-9 and (best is None or gain > best[0] + 1e-12):
+                        best = gain, left, right
+        if best:
+            node(2 * i + 1, best[1], level + 1)
+            node(2 * i + 2, best[2], level + 1)
+
+    node(0, np.arange(len(g)), 0)
+    return out
+
+
+def labelled(n, seed):
+    rng = random.Random(seed)
+    rows = []
+    for i in range(n):
+        a, b, c = rng.gauss(0, 1), rng.uniform(0, 3), float(rng.random() < 0.3)
+        rows.append((i, None if i % 97 == 0 else a, b, c, int(rng.random() < 1 / (1 + np.exp(-2 * (a > 0.3) - 1.5 * c + 1.2)))))
+    return rows
+
+
+def test_boosted_trees_follow_the_plain_computation(spark):
+    from corrobora.operators import trees
+
+    rows = labelled(900, 3)
+    df = spark.createDataFrame(rows, "id int, a double, b double, c double, y int").repartition(5)
+    model = trees.boosted_forest(df, "y", ["a", "b", "c"], ["id"], rounds=3, depth=2, step=0.3, bins=6, indicators=["c"])
+    x = np.array([[np.nan if v is None else v for v in r[1:4]] for r in rows])
+    y = np.array([r[4] for r in rows], float)
+    cuts = [np.unique(np.nanquantile(x[:, f], [k / 6 for k in range(1, 6)])) for f in (0, 1)] + [np.array([1.0])]
+    total = np.full(len(y), np.log(y.mean() / (1 - y.mean())))
+    for tree in model.trees:
+        p = 1 / (1 + np.exp(-total))
+        want = grow_by_hand(x, y - p, p * (1 - p), cuts, 2, 1.0, 1e-3)
+        at = tree.nodes(x)
+        assert set(at) <= set(want)
+        assert np.allclose(tree.value[at], [0.3 * want[i] for i in at], atol=1e-9)
+        total += tree.value[at]
+    got = {r.id: r.score for r in model.predict(df, ["id"]).collect()}
+    assert np.allclose([got[r[0]] for r in rows], 1 / (1 + np.exp(-total)))
+
+
+def test_bagged_forest(spark, monkeypatch):
+    from corrobora.operators import trees
+
+    rows = labelled(3000, 5)
+    df = spark.createDataFrame(rows, "id int, a double, b double, c double, y int")
+    fit = lambda d, **k: trees.bagged_forest(d, "y", ["a", "b", "c"], ["id"], trees=12, depth=4, bins=12, indicators=["c"], **k)
+    model = fit(df.repartition(4), some=2)
+    again = fit(df.orderBy("b").repartition(7), some=2)
+    assert all((s.feature == t.feature).all() and np.allclose(s.value, t.value) for s, t in zip(model.trees, again.trees))
+    monkeypatch.setattr(trees, "CELLS", 1000)  # a few trees at a time
+    fewer = fit(df.repartition(4), some=2)
+    assert all((s.feature == t.feature).all() and np.allclose(s.value, t.value) for s, t in zip(model.trees, fewer.trees))
+    names = [n for n, _, _ in model.importances()]
+    assert names[-1] == "b" and sum(v for _, v, _ in model.importances()) == pytest.approx(1.0)
+    assert metrics.roc_auc(model.predict(df, ["y"]), "y", "score").first().auc > 0.75
+    none = trees.bagged_forest(df.limit(0), "y", ["a"], ["id"], trees=2, depth=2)
+    assert none.score(np.zeros((3, 1))).tolist() == [0, 0, 0]
