@@ -168,7 +168,8 @@ def mutual_information(df: DataFrame, features: Sequence[str], target: str) -> D
     n, all_ = F.col("n"), F.col("total")
     mi = F.sum(n / all_ * F.log(n * all_ / (F.col("nx") * F.col("ny"))))
     table = both.groupBy("feature").agg(mi.alias("mi"))
-    return table.withColumn("rank", F.row_number().over(Window.orderBy(F.col("mi").desc(), "feature")))
+    # equal counts summed in another order differ in the last digit: that is a tie, and ties go to the first name
+    return table.withColumn("rank", F.row_number().over(Window.orderBy(F.round("mi", 12).desc(), "feature")))
 
 
 def impute(df: DataFrame, train: DataFrame, column: str, how: str = "mean") -> DataFrame:

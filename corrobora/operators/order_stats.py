@@ -72,7 +72,9 @@ def exact_quantiles(
     hit = cells.withColumn("_upto", upto).join(second, ["_key", "_part"]).filter(
         (F.col("_local") < F.col("_upto")) & (F.col("_local") >= F.col("_upto") - F.col("_c"))
     )
-    out = hit.groupBy(F.col("_key._key").alias("_key"), "prob").agg(F.sum(F.col("_v") * F.col("_share")).alias("quantile"), F.max("n").alias("n"))
+    # between two equal values lies that value and not a rounded sum of its shares
+    between = F.when(F.min("_v") == F.max("_v"), F.max("_v").cast("double")).otherwise(F.sum(F.col("_v") * F.col("_share")))
+    out = hit.groupBy(F.col("_key._key").alias("_key"), "prob").agg(between.alias("quantile"), F.max("n").alias("n"))
     return out.select(*[F.col(f"_key.{c}").alias(c) for c in by], "prob", "quantile", "n")
 
 

@@ -11,8 +11,10 @@ from ..operators import logit as LG
 from ..operators import metrics as M
 from ..operators import models as ML
 from ..operators import sampling
+from ..operators import selection as SL
 from ..operators import trees as TR
 from ..operators.regression import dummies
+from ..session import staged
 from ..sources.readers import table
 from . import sqlkit as K
 from .inference import rounded
@@ -364,6 +366,48 @@ def forest_auc(spark, d):
     return rounded(M.roc_auc(out, "quality", "score"), "auc")
 
 
+#: Size features that say something, and eight columns of noise that say nothing.
+CANDIDATES = [*NUMERIC, *(f"noise{i}" for i in range(8))]
+_CAND = [*(f"x{i}" for i in (1, 2, 3)), *(unit("doc_id", 100 + i) for i in range(8))]
+
+
+def _mi_sql(name: str, where: str) -> list[str]:
+    probs = [k / 10 for k in range(1, 10)]
+    cuts = ", ".join(f"list_distinct(quantile_cont({c}, {probs})) AS c{i}" for i, c in enumerate(CANDIDATES))
+    bins = " UNION ALL ".join(f"SELECT '{c}' AS feature, quality AS y, len(list_filter(c{i}, lambda q: q <= {c})) AS v FROM cd, {name}_q WHERE {where}" for i, c in enumerate(CANDIDATES))
+    return [
+        f"{name}_q AS MATERIALIZED (SELECT {cuts} FROM cd WHERE {where})",
+        f"{name}_j AS (SELECT feature, v, y, count(*) AS n FROM ({bins}) GROUP BY ALL)",
+        f"{name}_x AS (SELECT feature, n, sum(n) OVER (PARTITION BY feature, v) AS nx, sum(n) OVER (PARTITION BY feature, y) AS ny, sum(n) OVER (PARTITION BY feature) AS t FROM {name}_j)",
+        f"{name}_m AS (SELECT feature, sum(n / t * ln(n::DOUBLE * t / (nx * ny))) AS mi FROM {name}_x GROUP BY feature)",
+        f"{name} AS (SELECT feature, mi, row_number() OVER (ORDER BY round(mi, 12) DESC, feature)::INT AS place FROM {name}_m)",
+    ]
+
+
+def candidates(spark, d):
+    rows = document_features(spark, d)
+    return staged(rows.withColumns({f"noise{i}": hash_unit("doc_id", seed=100 + i) for i in range(8)}))
+
+
+def chooser(spark, d):
+    return SL.BestColumns(inputCols=CANDIDATES, labelCol="quality", k=3)
+
+
+@query(
+    "selection_contrast",
+    K.with_ctes(
+        [LABELLED, "cd AS MATERIALIZED (SELECT doc_id, quality, split, " + ", ".join(f"{e} AS {c}" for c, e in zip(CANDIDATES, _CAND)) + " FROM ls)", *_mi_sql("tn", "split = 'train'"), *_mi_sql("al", "true")],
+        "SELECT feature, round(tn.mi, 8) AS mi_train, tn.place AS rank_train, tn.place <= 3 AS chosen, round(al.mi, 8) AS mi_all, al.place AS rank_all, al.place <= 3 AS chosen_leaky FROM tn JOIN al USING (feature)",
+    ),
+)
+def selection_contrast(spark, d):
+    """Columns chosen on the training side, next to what a look at all rows would have chosen."""
+    rows, choose = candidates(spark, d), chooser(spark, d)
+    seen = choose.scores(sides(rows)[0]).select("feature", F.col("mi").alias("mi_train"), F.col("rank").alias("rank_train"), (F.col("rank") <= 3).alias("chosen"))
+    leaky = choose.scores(rows).select("feature", F.col("mi").alias("mi_all"), F.col("rank").alias("rank_all"), (F.col("rank") <= 3).alias("chosen_leaky"))
+    return rounded(seen.join(leaky, "feature"), "mi_train", "mi_all", digits=8)
+
+
 @query("rf_importance")
 def rf_importance(spark, d):
     train, _ = sides(document_features(spark, d))

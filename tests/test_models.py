@@ -156,3 +156,38 @@ def test_bagged_forest(spark, monkeypatch):
     assert metrics.roc_auc(model.predict(df, ["y"]), "y", "score").first().auc > 0.75
     none = trees.bagged_forest(df.limit(0), "y", ["a"], ["id"], trees=2, depth=2)
     assert none.score(np.zeros((3, 1))).tolist() == [0, 0, 0]
+
+
+def test_selection_pipeline_learns_from_train_only_and_can_be_saved(spark, tmp_path):
+    from pyspark.ml import Pipeline, PipelineModel
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.functions import vector_to_array
+    from pyspark.sql import functions as F
+
+    from corrobora.operators import selection
+
+    rng = random.Random(8)
+    rows = []
+    for i in range(800):
+        y = rng.randint(0, 1)
+        # tells the label on the test side only: a choice that looked there would take it
+        rows.append((i, 3 * y + rng.gauss(0, 1), y + rng.gauss(0, 1), rng.gauss(0, 1), float(y) if i >= 600 else rng.random(), 7.0, y))
+    df = spark.createDataFrame(rows, "id int, a double, b double, c double, leak double, flat double, y int")
+    train, test = df.filter("id < 600"), df.filter("id >= 600")
+    columns = ["a", "b", "c", "leak", "flat"]
+    scaled = [f"{c}_s" for c in columns]
+    stages = [selection.Scaler(inputCols=columns, outputCols=scaled), selection.BestColumns(inputCols=scaled, labelCol="y", k=2), LogisticRegression(labelCol="y")]
+    model = Pipeline(stages=stages).fit(train)
+    assert model.stages[1].getOrDefault("chosen") == ["a_s", "b_s"]
+    x = np.array([r[1:6] for r in rows[:600]])
+    assert np.allclose(model.stages[0].getOrDefault("means"), x.mean(0)) and np.allclose(model.stages[0].getOrDefault("deviations"), x.std(0))
+    leaky = Pipeline(stages=stages[:2]).fit(df)
+    assert "leak_s" in leaky.stages[1].getOrDefault("chosen")
+    model.write().overwrite().save(str(tmp_path / "model"))
+    again = PipelineModel.load(str(tmp_path / "model"))
+    scored = lambda m: [tuple(r) for r in m.transform(test).select("id", vector_to_array("probability")[1].alias("p")).orderBy("id").collect()]
+    assert scored(again) == scored(model)
+    hit = model.transform(test).agg(F.avg((F.col("prediction") == F.col("y")).cast("int"))).first()[0]
+    assert hit > 0.85
+    # a row with nothing to scale is left out, not guessed
+    assert model.transform(spark.createDataFrame([(1, None, 1.0, 1.0, 1.0, 7.0, 1)], df.schema)).count() == 0
