@@ -212,11 +212,13 @@ NUMERIC = ["log_chars", "words", "lines"]
 
 def document_features(spark, d):
     """Labelled documents with size features and a train / test side stratified by label."""
-    docs = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id")
-    rows = docs.select(
-        "doc_id", "lang", "source", "quality", F.log1p("n_chars").alias("log_chars"),
+    # features first: the join shuffles a few numbers per document and not the texts
+    sizes = table(spark, d, "documents").select(
+        "doc_id", "lang", "source", F.log1p("n_chars").alias("log_chars"),
         F.log1p(F.size(F.split("text", r"\s+"))).alias("words"), F.log1p(F.size(F.split("text", "\n"))).alias("lines"),
     )
+    labels = table(spark, d, "labels").select("doc_id", "quality")
+    rows = staged(sizes.join(labels, "doc_id"))
     return sampling.stratified_split(rows, "quality", ["doc_id"], 0.8, seed=6)
 
 
