@@ -157,7 +157,11 @@ def cohort_profile(df: DataFrame, cohort: Column, label: str = "cohort") -> Data
 
 def drift(df: DataFrame, target: str, position: Column, parts: int = 5) -> DataFrame:
     """(part, n, rate, shift): target rate in equal slices of a 0..1 position; shift is last minus first."""
-    part = F.least(F.floor(position * parts), F.lit(parts - 1)).cast("int")
+    return drift_of_parts(df, target, F.least(F.floor(position * parts), F.lit(parts - 1)).cast("int"))
+
+
+def drift_of_parts(df: DataFrame, target: str, part: Column) -> DataFrame:
+    """(part, n, rate, shift) for parts that are numbered already, such as those of ``sampling.equal_parts``."""
     table = df.groupBy(part.alias("part")).agg(F.count("*").alias("n"), F.avg(F.col(target).cast("double")).alias("rate"))
     ends = table.agg(F.max_by("rate", "part") - F.min_by("rate", "part")).scalar()
     return table.withColumn("shift", ends)

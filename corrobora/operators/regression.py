@@ -15,8 +15,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, StructField, StructType
 
 from ..functions.draws import POISSON_TABLE, draw16, draws16, poisson_count, row_state
-from ..functions.tails import chi2_pvalue, t_sf2
-from ..session import parallelism
+from ..functions.tails import chi2_pvalue, t_pvalue, t_sf2
+from ..session import parallelism, staged
 from .moments import attach_fit, beside, coefficient_table, fit_linear, gram, predicted, solve
 from .scan import lagged, previous, with_halo, with_row_index
 
@@ -197,6 +197,9 @@ def _sandwich(meat: pd.Series, fit: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["coef", "se_ols", "p_ols", "se", "t", "p"])
 
 
+_STRETCH = 1 << 40
+
+
 def newey_west(
     df: DataFrame,
     xs: Sequence[str],
@@ -207,49 +210,51 @@ def newey_west(
     chunk_rows: int | None = None,
     n_buckets: int | None = None,
 ) -> DataFrame:
-    """Coefficients with plain and autocorrelation-robust errors (Bartlett kernel, L = ceil(n^(1/4))).
+    """Coefficients with plain and autocorrelation-robust errors (Bartlett kernel, L = ceil(n^(1/4)) of each series).
 
     With linear kernel weights the whole lag sum of a row is two moving sums (of u and of s*u), so
-    the number of columns does not grow with the number of lags.
+    the number of columns does not grow with the number of lags. A series' own lag is the width of one frame of fixed
+    range over positions that are stretched by it.
     """
     size = len(xs) + 1
     fits = fit_linear(df, xs, y, by)
     longest = fits.agg(F.max("fit.rows")).first()[0] or 1
-    if max_lags is None:
-        # the series length decides the frame size; with several series the longest decides
-        max_lags = math.ceil(longest**0.25)
+    reach = max_lags if max_lags is not None else math.ceil(longest**0.25)
     if chunk_rows is None:
         # as many chunks as tasks, each much longer than the copies at its edges
-        chunk_rows = min(1 << 20, max(64 * max_lags, math.ceil(longest / parallelism(df.sparkSession))))
-    chunk_rows = max(chunk_rows, max_lags)
+        chunk_rows = min(1 << 20, max(64 * reach, math.ceil(longest / parallelism(df.sparkSession))))
+    chunk_rows = max(chunk_rows, reach)
     rows = _ordered_residuals(df, fits, xs, y, order, by, n_buckets)
-    placed = with_halo(rows, "_idx", before=max_lags, chunk_rows=chunk_rows)
+    rows = rows.withColumn("_lags", F.ceil(F.pow("_fit.rows", F.lit(0.25))) if max_lags is None else F.lit(max_lags).cast("bigint"))
+    placed = with_halo(rows, "_idx", before=reach, chunk_rows=chunk_rows)
     # position inside the chunk keeps the weights exact far into a long series
     pos = (F.col("_idx") - F.col("_chunk") * chunk_rows).cast("double")
     scores = {"_u0": F.col("resid")}
     for i, x in enumerate(xs):
         scores[f"_u{i + 1}"] = (F.col(x).cast("double") - F.col("_fit.centre")[i]) * F.col("resid")
-    placed = placed.withColumn("_pos", pos).withColumns(scores)
-    frame = Window.partitionBy(*by, "_chunk").orderBy("_idx").rowsBetween(-max_lags, -1)
-    moving = {}
+    # the _lags rows before a row, and no other, are at most _STRETCH away
+    stretched = (F.col("_idx") - F.col("_chunk") * chunk_rows) * F.floor(F.lit(_STRETCH) / F.col("_lags"))
+    placed = placed.withColumns({"_pos": pos, "_place": stretched}).withColumns(scores)
+    frame = Window.partitionBy(*by, "_chunk").orderBy("_place").rangeBetween(-_STRETCH, -1)
+    moving, lags = {}, F.col("_lags")
     for i in range(size):
         a, b = F.sum(f"_u{i}").over(frame), F.sum(F.col("_pos") * F.col(f"_u{i}")).over(frame)
-        moving[f"_q{i}"] = F.coalesce(a * (1 - F.col("_pos") / (max_lags + 1)) + b / (max_lags + 1), F.lit(0.0))
+        moving[f"_q{i}"] = F.coalesce(a * (1 - F.col("_pos") / (lags + 1)) + b / (lags + 1), F.lit(0.0))
     lagsum = placed.withColumns(moving).filter(~F.col("_halo"))
     u, q = (lambda i: F.col(f"_u{i}")), (lambda i: F.col(f"_q{i}"))
     cells = {
         (i, j): F.sum(u(i) * u(j) + u(i) * q(j) + q(i) * u(j)) for i in range(size) for j in range(i, size)
     }
     meat = lagsum.groupBy(*by).agg(
-        F.array(*[cells[min(i, j), max(i, j)] for i in range(size) for j in range(size)]).alias("meat")
+        F.array(*[cells[min(i, j), max(i, j)] for i in range(size) for j in range(size)]).alias("meat"), F.max("_lags").cast("int").alias("max_lags")
     )
     joined = beside(meat, fits.select(*by, F.col("fit").alias("_fit")), by)
     solved = joined.withColumn("_h", _sandwich("meat", "_fit"))
     names = F.array(*[F.lit(x) for x in ["const", *xs]])
     cols = [f.name for f in _HAC_TYPE.fields]
     zipped = F.arrays_zip(names.alias("term"), *[F.col(f"_h.{c}").alias(c) for c in cols])
-    return solved.select(*by, F.explode(zipped).alias("r")).select(
-        *by, *[F.col("r").getField(c).alias(c) for c in ["term", *cols]], F.lit(max_lags).alias("max_lags")
+    return solved.select(*by, "max_lags", F.explode(zipped).alias("r")).select(
+        *by, *[F.col("r").getField(c).alias(c) for c in ["term", *cols]], "max_lags"
     )
 
 
@@ -553,3 +558,48 @@ def levels_of(df: DataFrame, column: str) -> list:
     ``dummies`` where they are known.
     """
     return sorted(r[0] for r in df.select(column).filter(F.col(column).isNotNull()).distinct().collect())
+
+
+def factor_regression(df: DataFrame, factor: str, y: str, xs: Sequence[str] = (), prefix: str | None = None) -> DataFrame:
+    """(term, coef, se, t, p) of y ~ 1 + dummies of a factor + xs, for any number of levels.
+
+    The dummies' block of the normal equations is diagonal, so it is solved apart: the slopes of ``xs`` come from the cross
+    products within levels, added up, and each level's constant from its own means. What is solved has the size of ``xs``;
+    levels stay rows of a table and are never collected. The smallest level is the reference, whose row is ``const``. Rows
+    with a null in the factor, a predictor or y are left out.
+    """
+    p = len(xs)
+    size = p + 1
+    levels = staged(gram(df.filter(F.col(factor).isNotNull()), xs, y, [factor]))
+    pooled = levels.agg(
+        F.sum("n").alias("n"), F.count("*").alias("levels"), F.min_by(F.struct("n", "means"), factor).alias("ref"), F.min(factor).alias("first"),
+        F.array(*[F.lit(0.0)] * size).alias("means"), F.array(*[F.sum(F.col("sscp")[i]) for i in range(size * size)]).alias("sscp"),
+    )
+    # one row, written: its fit meets the levels as a table of known size
+    one = staged(solve(pooled).select("n", "levels", "ref", "first", "fit"))
+    slope = [F.col("fit.coef")[i + 1] for i in range(p)]
+    inverse = [[F.col("fit.xtx_inv")[(i + 1) * size + j + 1] for j in range(p)] for i in range(p)]
+    left = F.col("n") - F.col("levels") - p
+    base = one.withColumns({"_df": F.when(left > 0, left).cast("double")}).withColumn("_s2", F.col("fit.sse") / F.col("_df"))
+    base = base.withColumn("_level", F.col("ref.means")[p] - sum((b * F.col("ref.means")[i] for i, b in enumerate(slope)), F.lit(0.0)))
+
+    def spread(away: list[Column], rows: Column) -> Column:
+        return sum((away[i] * inverse[i][j] * away[j] for i in range(p) for j in range(p)), rows)
+
+    facts = base.select("fit", "first", "ref", "_df", "_s2", "_level")
+    key = F.pmod(F.hash("_n"), F.lit(1))
+    mine = levels.select(F.col(factor).alias("_f"), F.col("n").alias("_n"), F.col("means").alias("_m")).withColumn("_one", key)
+    met = mine.join(facts.withColumn("_one", F.pmod(F.hash("_df"), F.lit(1))), "_one")
+    is_ref = F.col("_f") == F.col("first")
+    own = F.col("_m")[p] - sum((b * F.col("_m")[i] for i, b in enumerate(slope)), F.lit(0.0))
+    away = [F.col("_m")[i] - F.when(is_ref, 0.0).otherwise(F.col("ref.means")[i]) for i in range(p)]
+    rows = 1.0 / F.col("_n") + F.when(is_ref, 0.0).otherwise(1.0 / F.col("ref.n"))
+    terms = met.select(
+        F.when(is_ref, "const").otherwise(F.concat(F.lit(f"{prefix or factor}_"), F.col("_f").cast("string"))).alias("term"),
+        F.when(is_ref, F.col("_level")).otherwise(own - F.col("_level")).alias("coef"),
+        F.sqrt(F.col("_s2") * spread(away, rows)).alias("se"), "_df",
+    )
+    if xs:
+        cells = [F.struct(F.lit(x).alias("term"), slope[i].alias("coef"), F.sqrt(F.col("_s2") * inverse[i][i]).alias("se")) for i, x in enumerate(xs)]
+        terms = terms.union(facts.select(F.explode(F.array(*cells)).alias("c"), "_df").select("c.*", "_df"))
+    return terms.withColumn("t", F.col("coef") / F.col("se")).select("term", "coef", "se", "t", t_pvalue(F.col("t"), F.col("_df")).alias("p"))

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.scalars import hash_order, hash_unit
-from .order_stats import exact_quantiles
-from .scan import collapsed_buckets, prefix_sums, with_row_index
+from .order_stats import before_row, exact_quantiles, rows_at
 
 
 def random_sample(df: DataFrame, row_id: Sequence[str], n: int, seed: int = 0) -> DataFrame:
@@ -45,39 +45,36 @@ def stratified_split(
 
 def chronological_split(df: DataFrame, order: Sequence[str], fraction: float = 0.8, out: str = "split") -> DataFrame:
     """First ``fraction`` of the rows in time order train, the rest test; order must end in a unique id."""
-    n = df.agg(F.count("*")).scalar()
-    return _split_at(df, order, F.floor(n * fraction).cast("bigint"), out)
+    return _split_at(df, order, math.floor(df.count() * fraction), out)
 
 
 def positional_split(df: DataFrame, order: Sequence[str], n_train: int, out: str = "split") -> DataFrame:
     """The first ``n_train`` rows in order train."""
-    return _split_at(df, order, F.lit(n_train).cast("bigint"), out)
+    return _split_at(df, order, n_train, out)
 
 
-def _split_at(df: DataFrame, order: Sequence[str], position: Column, out: str) -> DataFrame:
-    """Rows before the one at ``position`` are train: that row is found by selection, the others are only compared with it.
+def _split_at(df: DataFrame, order: Sequence[str], position: int, out: str) -> DataFrame:
+    """Rows before the one at ``position`` are train: that row is found by counting, the others are only compared with it.
 
-    Counts per value of the first order column lead to the value at the position; the other order columns rank the rows of
-    this value alone.
+    Beyond the last row all are train. Rows that tie with the cut in the whole order are test.
     """
-    first, rest = order[0], list(order[1:])
-    wanted = df.agg(F.count("*").alias("n")).withColumn("k", F.least(position, F.col("n"))).select("k").scalar()
-    counts = collapsed_buckets(df.groupBy(F.col(first).alias("_v")).agg(F.count("*").alias("_c")), "_v")
-    upto = prefix_sums(counts, ["_v"], {"_upto": F.col("_c")})
-    hit = upto.filter((F.col("_upto") > wanted) & (F.col("_upto") - F.col("_c") <= wanted))
-    cut = hit.select(F.col("_v"), (wanted - (F.col("_upto") - F.col("_c"))).alias("_k"))
-    value = cut.select("_v").scalar()
-    ties = df.filter(F.col(first) == value).select(F.struct(*order).alias("_o"))
-    place = F.row_number().over(Window.orderBy("_o")) - 1
-    at = ties.withColumn("_p", place).filter(F.col("_p") == cut.select("_k").scalar()).select("_o").scalar()
-    mine = F.struct(*order)
-    return df.withColumn("_at", at).withColumn(out, F.when(F.col("_at").isNull() | (mine < F.col("_at")), F.lit("train")).otherwise(F.lit("test"))).drop("_at")
-
-
-def relative_position(df: DataFrame, order: Sequence[str], out: str = "position") -> DataFrame:
-    """0 <= position < 1 along the order."""
-    n = df.agg(F.count("*")).scalar()
-    return with_row_index(df, order).withColumn(out, F.col("_idx") / n).drop("_idx")
+    numbers, found = rows_at(df, order, [position])
+    side = before_row(numbers, found[position]) if found else F.lit(position > 0)
+    return df.withColumn(out, F.when(side, F.lit("train")).otherwise(F.lit("test")))
+
+
+def equal_parts(df: DataFrame, order: Sequence[str], parts: int, out: str = "part") -> DataFrame:
+    """Part 0 to ``parts`` - 1 of each row: part i begins at the row at position ceil(i * n / parts) along the order.
+
+    The first rows of the parts are found by counting, all in the same rounds.
+    """
+    n = df.count()
+    numbers, found = rows_at(df, order, sorted({-(-i * n // parts) for i in range(1, parts)}))
+    part = F.lit(parts - 1)
+    for i in range(parts - 1, 0, -1):
+        cut = -(-i * n // parts)
+        part = F.when(before_row(numbers, found[cut]), i - 1).otherwise(part) if cut in found else F.lit(i - 1)
+    return df.withColumn(out, part.cast("int"))
 
 
 def split_report(df: DataFrame, split: str, target: Column | str) -> DataFrame:

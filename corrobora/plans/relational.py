@@ -457,10 +457,11 @@ def source_contradiction(spark, d):
     """
     WITH t AS (
       SELECT (event_type = 'purchase')::INT AS y, CASE WHEN event_type = 'purchase' THEN value END AS purchase_value,
-             CASE WHEN event_id % 3 = 0 THEN NULL ELSE user_id END AS user_ref, json_extract_string(props, '$.k')::INT AS k FROM events)
-    SELECT 'purchase_value' AS "column", avg((purchase_value IS NULL)::INT) FILTER (WHERE y = 0)::DOUBLE AS null_rate_0, avg((purchase_value IS NULL)::INT) FILTER (WHERE y = 1)::DOUBLE AS null_rate_1, true AS leaky FROM t
-    UNION ALL SELECT 'user_ref', round(avg((user_ref IS NULL)::INT) FILTER (WHERE y = 0), 6), round(avg((user_ref IS NULL)::INT) FILTER (WHERE y = 1), 6), false FROM t
-    UNION ALL SELECT 'k', round(avg((k IS NULL)::INT) FILTER (WHERE y = 0), 6), round(avg((k IS NULL)::INT) FILTER (WHERE y = 1), 6), false FROM t
+             CASE WHEN event_id % 3 = 0 THEN NULL ELSE user_id END AS user_ref, json_extract_string(props, '$.k')::INT AS k FROM events),
+    nulls AS (SELECT y, 'purchase_value' AS "column", (purchase_value IS NULL)::INT AS gone FROM t
+              UNION ALL SELECT y, 'user_ref', (user_ref IS NULL)::INT FROM t UNION ALL SELECT y, 'k', (k IS NULL)::INT FROM t),
+    r AS (SELECT "column", avg(gone) FILTER (WHERE y = 0)::DOUBLE AS r0, avg(gone) FILTER (WHERE y = 1)::DOUBLE AS r1 FROM nulls GROUP BY 1)
+    SELECT "column", round(r0, 6) AS null_rate_0, round(r1, 6) AS null_rate_1, coalesce((r0 = 1 AND r1 < 0.99) OR (r1 = 1 AND r0 < 0.99), false) AS leaky FROM r
     """,
 )
 def leak_columns(spark, d):
@@ -529,8 +530,8 @@ def cohort_profile(spark, d):
 )
 def drift(spark, d):
     o = table(spark, d, "orders").select("o_orderkey", "o_orderdate", (F.col("o_orderstatus") == "F").cast("int").alias("y"))
-    placed = sampling.relative_position(o, ["o_orderdate", "o_orderkey"])
-    out = audit.drift(placed, "y", F.col("position"))
+    placed = sampling.equal_parts(o, ["o_orderdate", "o_orderkey"], 5)
+    out = audit.drift_of_parts(placed, "y", F.col("part"))
     return out.withColumns({"rate": F.round("rate", 6), "shift": F.round("shift", 6)})
 
 
