@@ -118,8 +118,3 @@ def hash_unit(*parts: Column | str, seed: int | str = 0) -> Column:
 def hash_order(*parts: Column | str, seed: int | str = 0) -> Column:
     """md5 text to order rows at random but reproducibly."""
     return F.md5(F.concat_ws("|", *[as_col(p).cast("string") for p in parts], F.lit(str(seed))))
-
-
-def nan_to_null(c: Column | str) -> Column:
-    c = as_col(c)
-    return F.when(~F.isnan(c), c)

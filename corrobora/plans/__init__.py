@@ -1,4 +1,4 @@
 """Named queries over the standard tables."""
 
-from . import arrivals, inference, learning, modelling, quality, relational, series  # noqa: F401
+from . import arrivals, files, inference, learning, modelling, quality, relational, series  # noqa: F401
 from .registry import ORACLE, QUERIES  # noqa: F401

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..functions.scalars import p_text, pair_key
 from ..operators import experiment as X
 from ..operators import hypothesis as H
 from ..operators import survival as V
@@ -159,22 +160,44 @@ def mannwhitney(spark, d):
     return rounded(rounded(H.mann_whitney(events_by_arm(spark, d), "value", "arm", "A", "B"), "z", "p"), "u", digits=4)
 
 
-@query(
-    "pairwise_mannwhitney",
-    f"""WITH v AS (SELECT event_type AS g, value AS x, count(*) AS c FROM events GROUP BY ALL),
+RANK_PAIRS = f"""WITH v AS (SELECT event_type AS g, value AS x, count(*) AS c FROM events GROUP BY ALL),
     c AS (SELECT g, x, c, sum(c) OVER (PARTITION BY g ORDER BY x) AS cum FROM v),
     n AS (SELECT g, sum(c)::DOUBLE AS n FROM v GROUP BY g),
     pr AS (SELECT a.g AS a, b.g AS b, a.n AS na, b.n AS nb FROM n a JOIN n b ON a.g < b.g),
     xs AS (SELECT a, b, na, nb, x, sum(c) FILTER (WHERE g = a) AS ca, sum(c) FILTER (WHERE g = b) AS cb FROM pr JOIN v ON g = a OR g = b GROUP BY ALL),
     rn AS (SELECT *, coalesce(sum(coalesce(cb, 0)) OVER (PARTITION BY a, b ORDER BY x), 0) AS cumb FROM xs),
     u AS (SELECT a, b, na, nb, sum(coalesce(ca, 0) * (cumb - coalesce(cb, 0) / 2.0)) AS u, sum(pow(coalesce(ca, 0) + coalesce(cb, 0), 3) - coalesce(ca, 0) - coalesce(cb, 0)) AS t3 FROM rn GROUP BY ALL),
-    z AS (SELECT *, greatest((abs(u - na * nb / 2) - 0.5) / sqrt(na * nb / 12 * ((na + nb + 1) - t3 / ((na + nb) * (na + nb - 1)))), 0) AS z FROM u)
+    z AS (SELECT *, greatest((abs(u - na * nb / 2) - 0.5) / sqrt(na * nb / 12 * ((na + nb + 1) - t3 / ((na + nb) * (na + nb - 1)))), 0) AS z FROM u)"""
+
+
+@query(
+    "pairwise_mannwhitney",
+    f"""{RANK_PAIRS}
     SELECT a, b, na::BIGINT AS n_a, nb::BIGINT AS n_b, round(u::DOUBLE, 4) AS u, round(z, 6) AS z, round({K.normal_p2('z')}, 6) AS p FROM z""",
 )
 def pairwise_mannwhitney(spark, d):
     return rounded(rounded(H.pairwise_mann_whitney(table(spark, d, "events"), "value", "event_type"), "z", "p"), "u", digits=4)
 
 
+@query(
+    "pairwise_ranks",
+    f"""{RANK_PAIRS},
+    pv AS (SELECT a, b, {K.normal_p2('z')} AS p FROM z), r AS (SELECT *, count(*) OVER () AS m, row_number() OVER (ORDER BY p, a, b) AS rank FROM pv),
+    h AS (SELECT *, bool_and(p < 0.05 / (m - rank + 1)) OVER (ORDER BY rank) AS sig FROM r),
+    md AS (SELECT event_type AS g, median(value) AS med FROM events GROUP BY 1)
+    SELECT [h.a, h.b] AS pair, round(p, 6) AS p, CASE WHEN p < 0.0001 THEN '<0.0001' ELSE printf('%.4f', p) END AS p_text, rank::INT AS rank,
+           round(0.05 / (m - rank + 1), 6) AS holm_threshold, sig AS sig_holm, CASE WHEN x.med > y.med THEN h.a || '>' || h.b ELSE h.b || '>' || h.a END AS direction
+    FROM h JOIN md x ON x.g = h.a JOIN md y ON y.g = h.b""",
+)
+def pairwise_ranks(spark, d):
+    """Rank tests of all pairs, stepped down, each with its direction by the exact medians."""
+    e = table(spark, d, "events")
+    pairs = H.adjust(H.pairwise_mann_whitney(e, "value", "event_type"), order=["a", "b"])
+    out = H.with_direction(pairs, exact_median(e, "value", ["event_type"]), "event_type")
+    out = out.select(pair_key("a", "b").alias("pair"), "p", p_text(F.col("p")).alias("p_text"), "rank", "holm_threshold", "sig_holm", "direction")
+    return rounded(out, "p", "holm_threshold")
+
+
 @query(
     "normality_moments",
     f"""WITH m AS (SELECT c_mktsegment, count(*) AS n, avg(c_acctbal) AS mu FROM customer GROUP BY 1),

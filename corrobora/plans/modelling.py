@@ -359,9 +359,26 @@ _DX = [f"s{i}" for i in range(4)]
     ),
 )
 def dummy_regression(spark, d):
-    c = table(spark, d, "customer")
-    rows, names = G.dummies(c, "c_mktsegment", G.levels_of(c, "c_mktsegment"), prefix="seg")
-    return coef_rounded(G.significant_terms(G.ols(rows, names, "c_acctbal")))
+    return coef_rounded(G.significant_terms(G.factor_regression(table(spark, d, "customer"), "c_mktsegment", "c_acctbal", prefix="seg")))
+
+
+@query(
+    "factor_regression",
+    f"""WITH li AS (SELECT 'p' || l_partkey AS g, l_discount AS x, l_extendedprice AS y FROM lineitem),
+    lv AS (SELECT g, count(*) AS n, avg(x) AS mx, avg(y) AS my, covar_pop(x, x) * count(*) AS sxx, covar_pop(x, y) * count(*) AS sxy, covar_pop(y, y) * count(*) AS syy FROM li GROUP BY 1),
+    w AS (SELECT sum(n) AS n, count(*) AS k, sum(sxx) AS sxx, sum(sxy) / sum(sxx) AS b, sum(syy) - sum(sxy) * sum(sxy) / sum(sxx) AS sse,
+          min(g) AS first, arg_min(n, g) AS rn, arg_min(mx, g) AS rx, arg_min(my, g) AS ry FROM lv),
+    f AS (SELECT *, (n - k - 1)::DOUBLE AS df, sse / (n - k - 1) AS s2, ry - b * rx AS a0 FROM w),
+    tr AS (SELECT 'const' AS term, a0 AS coef, sqrt(s2 * (1.0 / rn + rx * rx / sxx)) AS se, df FROM f
+      UNION ALL SELECT 'part_' || g, my - b * mx - a0, sqrt(s2 * (1.0 / lv.n + 1.0 / rn + (mx - rx) * (mx - rx) / f.sxx)), df FROM lv, f WHERE g <> first
+      UNION ALL SELECT 'l_discount', b, sqrt(s2 / sxx), df FROM f),
+    te AS (SELECT *, coef / se AS t FROM tr)
+    SELECT term, round(coef, 4) AS coef, round(se, 4) AS se, round(t, 4) AS t, round({K.t_p('t', 'df')}, 6) AS p FROM te""",
+)
+def factor_regression(spark, d):
+    """A constant for every part, all of them at once."""
+    rows = table(spark, d, "lineitem").withColumn("part", F.concat(F.lit("p"), F.col("l_partkey").cast("string")))
+    return coef_rounded(G.factor_regression(rows, "part", "l_extendedprice", ["l_discount"]))
 
 
 # ---- missing values -----------------------------------------------------------------------

@@ -79,6 +79,42 @@ def expectation_verdict(spark, d):
     return E.verdict(merge_report(spark, d))
 
 
+@query(
+    "check_kinds",
+    """WITH n AS (SELECT count(*) FILTER (WHERE NOT coalesce(starts_with(p_name, 'a'), false)) AS pre, count(*) FILTER (WHERE p_type IS NOT NULL AND TRY_CAST(p_type AS DOUBLE) IS NULL) AS num,
+      count(*) FILTER (WHERE p_brand IN ('Brand#1', 'Brand#2', 'Brand#3')) AS hits, count(*) AS n, sum(p_size) AS size, (SELECT count(*) * 20 FROM part) AS base,
+      count(*) FILTER (WHERE NOT coalesce(starts_with(upper(trim(p_brand)), 'BRAND#'), false)) AS brand FROM part)
+    SELECT 1 AS seq, 'prefix:p_name' AS "check", pre = 0 AS ok, pre::VARCHAR AS detail FROM n
+    UNION ALL SELECT 2, 'numeric:p_type', num = 0, num::VARCHAR FROM n
+    UNION ALL SELECT 3, 'recall:p_brand', hits >= 1 AND n BETWEEN 1 AND 150, hits || '/' || n FROM n
+    UNION ALL SELECT 4, 'ratio:size', size <= 1.5 * base, NULL FROM n
+    UNION ALL SELECT 5, 'prefix:brand', brand = 0, brand::VARCHAR FROM n""",
+)
+def check_kinds(spark, d):
+    """Prefix, strict numbers, recall of known items and a ratio to a recomputed baseline, passed and failed alike."""
+    part = table(spark, d, "part").withColumn("brand", S.normal_text("p_brand"))
+    checks = (
+        E.Expectations(part)
+        .prefix("p_name", "a")
+        .numeric("p_type")
+        .recall("p_brand", ["Brand#1", "Brand#2", "Brand#3"], 1, (1, 150))
+        .at_most_ratio("size", F.sum("p_size"), part.agg(F.count("*") * 20), 1.5)
+        .prefix("brand", "BRAND#")
+    )
+    return checks.report().withColumn("detail", F.when(F.col("seq") != 4, F.col("detail")))
+
+
+@query(
+    "keyword_check",
+    """SELECT p_partkey, regexp_matches(lower(p_name), 'a|e') AND NOT regexp_matches(lower(p_name), 'red|1') AS ok,
+       coalesce(regexp_matches(lower(p_name), 'a|e'), false)::INT AS accepted FROM part""",
+)
+def keyword_check(spark, d):
+    part = table(spark, d, "part").select("p_partkey", "p_name")
+    out = E.keyword_check(part, "p_name", ["A", "e"], ["red", "1"])
+    return out.select("p_partkey", "ok", S.indicator(S.contains_any("p_name", ["a", "E"])).alias("accepted"))
+
+
 @query(
     "json_report_checks",
     """SELECT event_id, [x FOR x IN ['k', 'w'] IF NOT list_contains(json_keys(props), x)] AS missing_keys, try_cast(json_extract_string(props, '$.k') AS DOUBLE) IS NULL AS k_bad FROM events""",

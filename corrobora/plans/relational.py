@@ -585,6 +585,33 @@ def int_categoricals(spark, d):
     return audit.integer_categoricals(table(spark, d, "part"), max_levels=50).select("column", "categorical")
 
 
+_SUMMARY = ("c_mktsegment", "c_nationkey", "c_name")
+
+
+@query(
+    "table_profile",
+    " UNION ALL ".join(
+        f"""SELECT '{c}' AS "column", '{kind}' AS type, (SELECT count(*) FROM customer) AS rows, (SELECT count(*) FROM customer WHERE {c} IS NULL) AS missing,
+        (SELECT count(DISTINCT {c}) FROM customer) AS distinct_values, top_value, top_rows
+        FROM (SELECT {c}::VARCHAR AS top_value, count(*) AS top_rows FROM customer WHERE {c} IS NOT NULL GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 1)"""
+        for c, kind in zip(_SUMMARY, ("string", "int", "string"))
+    ),
+)
+def table_profile(spark, d):
+    return audit.column_summary(table(spark, d, "customer"), _SUMMARY)
+
+
+@query(
+    "integer_levels",
+    " UNION ALL ".join(
+        f"""SELECT '{c}' AS "column", CASE WHEN count(DISTINCT {c}) <= 50 THEN count(DISTINCT {c}) END AS levels, count(DISTINCT {c}) <= 50 AS categorical FROM lineitem"""
+        for c in ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
+    ),
+)
+def integer_levels(spark, d):
+    return audit.integer_levels(table(spark, d, "lineitem"), max_levels=50)
+
+
 @query(
     "rare_categories",
     """

@@ -30,6 +30,18 @@ def read_csv(
     return reader.csv(path)
 
 
+def read_csv_kept(
+    spark: SparkSession, path: str | list[str], schema: str, date_format: str | None = None, timestamp_format: str | None = None
+) -> DataFrame:
+    """As ``read_csv``, with the whole line of a record that does not fit the schema in ``bad_record``; null where it fits."""
+    rows = spark.read.schema(f"{schema}, bad_record string").options(header=True, mode="PERMISSIVE", columnNameOfCorruptRecord="bad_record")
+    if date_format:
+        rows = rows.option("dateFormat", date_format)
+    if timestamp_format:
+        rows = rows.option("timestampFormat", timestamp_format).option("timestampNTZFormat", timestamp_format)
+    return rows.csv(path)
+
+
 def read_csv_text(spark: SparkSession, path: str | list[str], columns: list[str]) -> DataFrame:
     """CSV with every column as text, for sources whose types drift; cast in the canonical projection."""
     return read_csv(spark, path, ", ".join(f"`{c}` string" for c in columns))

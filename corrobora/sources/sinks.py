@@ -15,6 +15,17 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 
 
+def write_documents(df: DataFrame, path: str, keys: Sequence[str], text: Column | str, file_keys: Sequence[str] = ()) -> None:
+    """Text files in a tree of folders ``<key>=<value>``, a file per row of equal ``keys`` and ``file_keys``.
+
+    A file holds the lines of its rows in no stated order; rows of one file meet in one task.
+    """
+    rows = df.select(*keys, *file_keys, as_col(text).cast("string").alias("value"))
+    name = [F.concat_ws("-", *[F.col(k).cast("string") for k in file_keys]).alias("file")] if file_keys else []
+    parts = [*keys, *(["file"] if file_keys else [])]
+    rows.select(*keys, *name, "value").repartition(parallelism(df.sparkSession), *parts).write.partitionBy(*parts).text(path)
+
+
 def report_json(df: DataFrame) -> DataFrame:
     """Each row as one JSON text, nested structs, maps and arrays included."""
     return df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("report"))

@@ -93,3 +93,53 @@ def test_splits_need_no_sort(spark):
     # rows that tie with the cut in the whole order are test
     tied = sampling.positional_split(spark.createDataFrame([(1,), (2,), (2,), (2,), (3,)], "x int"), ["x"], 2)
     assert sorted((r.x, r.split) for r in tied.collect()) == [(1, "train"), (2, "test"), (2, "test"), (2, "test"), (3, "test")]
+
+
+def test_lag_of_each_series(spark):
+    """Two series of different length beside each other give what each gives alone."""
+    from corrobora.operators.regression import newey_west
+
+    rng = np.random.default_rng(5)
+    rows = []
+    for name, n in (("long", 700), ("short", 40)):
+        e = 0.0
+        for i in range(n):
+            e = 0.6 * e + rng.normal()
+            x = rng.normal()
+            rows.append((name, i, float(x), float(2 + 3 * x + e)))
+    df = spark.createDataFrame(rows, "s string, i int, x double, y double")
+    both = {(r.s, r.term): r for r in newey_west(df, ["x"], "y", ["i"], ["s"], chunk_rows=64).collect()}
+    for name, lags in (("long", 6), ("short", 3)):
+        for r in newey_west(df.filter(F.col("s") == name), ["x"], "y", ["i"]).collect():
+            got = both[name, r.term]
+            assert got.max_lags == r.max_lags == lags
+            assert math.isclose(got.se, r.se, rel_tol=1e-9) and math.isclose(got.coef, r.coef, rel_tol=1e-9)
+
+
+def test_factor_regression(spark):
+    """Against least squares with a column per level; null levels are left out."""
+    from corrobora.operators.regression import factor_regression
+
+    rng = np.random.default_rng(6)
+    pdf = pd.DataFrame({"g": rng.choice(list("badc"), 200), "x": rng.normal(size=200), "z": rng.normal(size=200)})
+    pdf["y"] = pdf.x * 2 - pdf.z + pdf.g.map({"a": 0, "b": 1, "c": 5, "d": -2}) + rng.normal(size=200)
+    odd = spark.createDataFrame([(None, 1.0, 1.0, 9e9)], "g string, x double, z double, y double")
+    out = {r.term: r for r in factor_regression(spark.createDataFrame(pdf).union(odd), "g", "y", ["x", "z"]).collect()}
+    design = np.column_stack([np.ones(200), *[(pdf.g == v).astype(float) for v in "bcd"], pdf.x, pdf.z])
+    beta, sse, _, _ = np.linalg.lstsq(design, pdf.y, rcond=None)
+    se = np.sqrt(np.diag(np.linalg.inv(design.T @ design)) * sse[0] / (200 - 6))
+    for name, b, s in zip(["const", "g_b", "g_c", "g_d", "x", "z"], beta, se):
+        assert math.isclose(out[name].coef, b, rel_tol=1e-9, abs_tol=1e-12) and math.isclose(out[name].se, s, rel_tol=1e-9)
+    assert len(out) == 6
+
+
+def test_column_summary(spark):
+    from corrobora.operators.audit import column_summary, integer_levels
+
+    df = spark.createDataFrame([("b", 1, None), ("a", 1, None), ("b", 2, None), ("a", None, None)], "t string, n int, e double")
+    got = {r.column: r[1:] for r in column_summary(df, ["t", "n", "e"]).collect()}
+    assert got == {"t": ("string", 4, 0, 2, "a", 2), "n": ("int", 4, 1, 2, "1", 2), "e": ("double", 4, 4, 0, None, None)}
+    assert [r[2:] for r in column_summary(df.limit(0), ["t"]).collect()] == [(0, 0, 0, None, None)]
+    many = spark.range(20000).select((F.col("id") % 5000).alias("a"), (F.col("id") % 50).alias("b"), (F.col("id") % 51).alias("c"))
+    levels = {r.column: (r.levels, r.categorical) for r in integer_levels(many).collect()}
+    assert levels == {"a": (None, False), "b": (50, True), "c": (None, False)}
