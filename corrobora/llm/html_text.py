@@ -3,13 +3,20 @@
 The standard library's streaming parser gives events; every block of a page is a line with its text,
 its number of tags and the elements around it. Lines whose smoothed ratio of text to tags reaches the
 threshold form the content cluster, and the innermost element that holds all of that cluster is the content
-region, or the article or main element around it, or the container that adds but headings and paragraphs. All lines of the region that are not navigation, notices, adverts, forms or
-comments are the main text, so a short paragraph within an article is kept.
+region, or the article or main element around it, or the container that adds but headings and paragraphs. All lines of the
+region that are not navigation, notices, adverts, forms or comments are the main text, so a short paragraph within an article
+is kept. Words of class, id and role mark an element only if a name consists of nothing but such words (``ad-box``, not
+``side-by-side``); other names that hold one count at the edges of a region that no article or main element bounds. Ids never
+mark headings and paragraphs. Lists and lines of short links are menus wherever they stand.
+
+Elements are numbered as they open and know the last number inside them, so what lies in an element is a range of numbers and
+a page takes time in proportion to its length, whatever the depth.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
@@ -35,6 +42,14 @@ MARKS = frozenset(
     "header masthead footer colophon copyright disclaimer comment comments commentlist disqus respond reply replies reviews "
     "complementary contentinfo search toolbar skip".split()
 )
+# Words that go with those and say nothing by themselves.
+NEUTRAL = frozenset(
+    "area bar block bottom box button buttons center col column container content cta form global group header holder inner item items "
+    "left link links list local main module outer page pane panel post posts primary right row section secondary site slot small sticky "
+    "tertiary title top unit wrap wrapper".split()
+)
+_OWN = frozenset("entry post article story content title".split())  # what stands before the header of an article itself
+_RIGHTS = re.compile(r"(©|\(c\)|copyright\b)(?=.*(\d{4}|reserved))|all rights reserved", re.I)
 _SPACE = re.compile(r"\s+")
 _PART = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"([a-z])([A-Z])")
@@ -45,21 +60,38 @@ SIGMA = 1.0
 
 @dataclass
 class Line:
-    path: tuple[int, ...]
+    element: int  # innermost block
     aside: bool
+    doubtful: bool
     tag: str = ""
     parts: list[str] = field(default_factory=list)
     tags: int = 0
+    links: int = 0
+    linked: int = 0  # characters within links
     text: str = ""
 
 
+@dataclass
+class _Open:
+    tag: str
+    number: int
+    hidden: bool
+    aside: bool
+    doubtful: bool
+    block: int
+    block_tag: str
+
+
 class _Lines(HTMLParser):
     """Collects the lines of one page."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, int, bool, bool]] = []  # tag, number, hidden, aside
-        self.count = 0
+        self.root = _Open("", 0, False, False, False, 0, "")
+        self.open: list[_Open] = []
+        self.kinds: Counter[str] = Counter()  # open elements by tag
+        self.parent = [0]  # block around each element
+        self.last = [0]  # last number within each element
         self.articles: set[int] = set()  # numbers of article and main elements
         self.lines: list[Line] = []
         self.line: Line | None = None
@@ -72,59 +104,82 @@ class _Lines(HTMLParser):
         """Any ``<![...>`` is a comment up to the next ``>``, as in browsers; the standard parser raises on unknown names."""
         return self.parse_bogus_comment(i, report)
 
+    def _top(self) -> _Open:
+        return self.open[-1] if self.open else self.root
+
     def _break(self) -> None:
         self.line = None
 
     def _line(self) -> Line:
         if self.line is None:
-            blocks = [(number, tag) for tag, number, _, _ in self.open if tag in BLOCKS]
-            self.line = Line(tuple(n for n, _ in blocks), bool(self.open) and self.open[-1][3], blocks[-1][1] if blocks else "")
+            top = self._top()
+            self.line = Line(top.block, top.aside, top.doubtful, top.block_tag)
             self.lines.append(self.line)
         return self.line
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in BLOCKS:
-            if self.open and any(x[0] == "p" for x in self.open):
+            if self.kinds["p"]:
                 self._close("p", until=BLOCKS - {"p"})
             for other in _CLOSES.get(tag, ()):
                 self._close(other, until={"ul", "ol", "dl", "table", "select"})
             self._break()
-        hidden, aside = (self.open[-1][2], self.open[-1][3]) if self.open else (False, False)
+        top = self._top()
+        hidden, aside, doubtful = top.hidden, top.aside, top.doubtful
         if not aside and not hidden:
-            aside = tag in ASIDE or self._marked(tag, attrs)
+            marked, maybe = self._marked(tag, attrs)
+            aside, doubtful = tag in ASIDE or marked, doubtful or maybe
         hidden = hidden or tag in HIDDEN
         if not hidden:
-            self._line().tags += 1
+            line = self._line()
+            line.tags += 1
+            line.links += tag == "a"
         if tag not in VOID:
-            self.count += 1
-            self.open.append((tag, self.count, hidden, aside))
+            number = len(self.last)
+            block = (number, tag) if tag in BLOCKS else (top.block, top.block_tag)
+            self.open.append(_Open(tag, number, hidden, aside, doubtful, *block))
+            self.parent.append(top.block)
+            self.last.append(number)
+            self.kinds[tag] += 1
             if tag in ("article", "main"):
-                self.articles.add(self.count)
+                self.articles.add(number)
         elif tag == "br" and not hidden:
             self._line().parts.append(" ")
         if tag in BLOCKS:
             self._break()
 
-    def _marked(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
+    def _marked(self, tag: str, attrs: list[tuple[str, str | None]]) -> tuple[bool, bool]:
+        """Whether the element is marked as no part of the text, and whether it may be."""
         if tag in ("html", "body", "main", "article"):
-            return False
+            return False, False
+        maybe = False
         for name, value in attrs:
             if name == "hidden" or (name == "aria-hidden" and value == "true"):
-                return True
-            if value and name in ("class", "id", "role"):
-                if MARKS.intersection(_PART.findall(_CAMEL.sub(r"\1 \2", value).lower())):
-                    return True
-        return False
+                return True, False
+            if value and (name in ("class", "role") or (name == "id" and tag not in PROSE)):
+                for token in _CAMEL.sub(r"\1-\2", value).lower().split():
+                    words = set(_PART.findall(token))
+                    if words & MARKS:
+                        own = "header" in words and words & _OWN and not words & (MARKS - {"header"})
+                        if words <= MARKS | NEUTRAL and not own:
+                            return True, False
+                        maybe = maybe or not own
+        return False, maybe and tag not in PROSE
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
 
     def _close(self, tag: str, until: frozenset[str] | set[str] = frozenset()) -> None:
+        if not self.kinds[tag]:
+            return
         for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i][0] == tag:
+            if self.open[i].tag == tag:
+                for x in self.open[i:]:
+                    self.last[x.number] = len(self.last) - 1
+                    self.kinds[x.tag] -= 1
                 del self.open[i:]
                 return
-            if self.open[i][0] in until:
+            if self.open[i].tag in until:
                 return
 
     def handle_endtag(self, tag: str) -> None:
@@ -135,8 +190,16 @@ class _Lines(HTMLParser):
         self._close(tag, stop)
 
     def handle_data(self, data: str) -> None:
-        if not (self.open and self.open[-1][2]):
-            self._line().parts.append(data)
+        if not self._top().hidden:
+            line = self._line()
+            line.parts.append(data)
+            if self.kinds["a"]:
+                line.linked += len(_SPACE.sub(" ", data).strip())
+
+    def close(self) -> None:
+        super().close()
+        for x in self.open:
+            self.last[x.number] = len(self.last) - 1
 
 
 _REACH = 2
@@ -149,10 +212,55 @@ def _smooth(values: np.ndarray) -> np.ndarray:
     return np.convolve(values, _KERNEL)[_REACH : _REACH + n] / np.convolve(np.ones(n), _KERNEL)[_REACH : _REACH + n]
 
 
+#: Characters of a link in a menu, on the mean, and the share of a menu's characters that are in links.
+MENU_LINK, MENU_SHARE = 40, 0.8
+
+
+def _menus(lines: list[Line], parent: list[int]) -> set[int]:
+    """Ids of the lines that make menus: lists, and single lines other than headings and paragraphs, of short links."""
+    groups: dict[tuple[bool, int], list[Line]] = {}
+    for i, x in enumerate(lines):
+        if x.links and x.tag not in PROSE or x.tag == "li":
+            groups.setdefault((True, parent[x.element]) if x.tag == "li" else (False, i), []).append(x)
+    out = set()
+    for group in groups.values():
+        size, links, linked = (sum(v) for v in zip(*((len(x.text), x.links, x.linked) for x in group)))
+        if links > 1 and links >= len(group) and linked >= MENU_SHARE * size and linked <= MENU_LINK * links:
+            out.update(id(x) for x in group)
+    return out
+
+
+def _region(parser: _Lines, body: list[Line], cluster: list[Line]) -> int:
+    """Number of the element that holds the main text; 0 for the whole page."""
+    first, last = min(x.element for x in cluster), max(x.element for x in cluster)
+    # the elements around all of the cluster, the innermost first
+    around, n = [], cluster[0].element
+    while n:
+        if n <= first and last <= parser.last[n]:
+            around.append(n)
+        n = parser.parent[n]
+    every = np.sort([x.element for x in body])
+    other = np.sort([x.element for x in body if x.tag not in PROSE])
+    inside = lambda at, n: int(np.searchsorted(at, parser.last[n], "right") - np.searchsorted(at, n))
+    # a part of an article stands for the whole article
+    for n in around:
+        if n in parser.articles:
+            return n
+    # one block alone is no region
+    region = next((n for n in around if inside(every, n) > 1), 0)
+    # a container whose other blocks are headings and paragraphs is the wider article
+    for n in around[around.index(region) + 1 :] if region else ():
+        if inside(other, n) > inside(other, region):
+            break
+        region = n
+    return region
+
+
 def main_text(html: str | None) -> str:
     """The main text of one page: blocks in page order, one per line; empty if there is none.
 
-    Null and empty pages give an empty text. White space inside a block, line breaks too, becomes one space.
+    Null and empty pages give an empty text. White space inside a block, line breaks too, becomes one space. Time and memory
+    grow with the length of the page, for very long and very deep ones too.
     """
     parser = _Lines()
     parser.feed(html or "")
@@ -162,25 +270,23 @@ def main_text(html: str | None) -> str:
         line.text = _SPACE.sub(" ", "".join(line.parts)).strip()
         if line.text:
             lines.append(line)
-    body = [x for x in lines if not x.aside]
+    menus = _menus(lines, parser.parent)
+    body = [x for x in lines if not x.aside and id(x) not in menus]
     if not body:
         return ""
     # a line that is left out has no text; it still parts what is before it from what is after
-    ratio = np.array([0.0 if x.aside else len(x.text) / max(1, x.tags) for x in lines])
+    ratio = np.array([0.0 if x.aside or id(x) in menus else len(x.text) / max(1, x.tags) for x in lines])
     smooth = _smooth(ratio)
     threshold = smooth.std()
-    cluster = [x for x, s in zip(lines, smooth) if s >= threshold and not x.aside] or body
-    # the elements around all of the cluster, the outermost first; one block alone is no region
-    around = [n for n in cluster[0].path if all(n in x.path for x in cluster)]
-    regions = [n for n in around if sum(n in x.path for x in body) > 1]
-    # a part of an article stands for the whole article
-    articles = [n for n in around if n in parser.articles]
-    region = max(articles or regions, default=None)
-    # a container whose other blocks are headings and paragraphs is the wider article
-    for n in reversed([] if articles or region is None else around[: around.index(region)]):
-        if all(x.tag in PROSE for x in body if n in x.path and region not in x.path):
-            region = n
-    return "\n".join(x.text for x in body if region is None or region in x.path)
+    cluster = [x for x, s in zip(lines, smooth) if s >= threshold and not x.aside and id(x) not in menus] or body
+    region = _region(parser, body, cluster)
+    found = [x for x in body if not region or region <= x.element <= parser.last[region]]
+    where = {id(x): i for i, x in enumerate(found)}
+    start, end = where[id(cluster[0])], where[id(cluster[-1])]
+    if region not in parser.articles:
+        # at the edges doubtful names decide, and a notice of rights may follow the text
+        found = [x for i, x in enumerate(found) if start <= i <= end or not (x.doubtful or i > end and _RIGHTS.match(x.text))]
+    return "\n".join(x.text for x in found)
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -65,6 +65,16 @@ def test_sharding(docs, empty, spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "shards")).count() == docs.count()
 
 
+def test_rows_without_ids_are_spread(spark):
+    """Half of the rows have no id: their texts decide, and the shards stay near equal."""
+    rows = [(None if i % 2 else i, f"text {i} " * 20, None, None, 0, 0, 0, None) for i in range(4000)]
+    out, _ = sharding.shard_documents(spark.createDataFrame(rows, SCHEMA))
+    sizes = sorted(r[1] for r in out.groupBy("shard").agg(F.sum("size")).collect())
+    assert len(sizes) == 24 and sizes[-1] < 1.25 * sizes[0]
+    none = out.filter("doc_id IS NULL").groupBy("virtual_slot").count().agg(F.max("count")).first()[0]
+    assert none < 20
+
+
 def test_shards_are_near_equal_and_edits_are_few(spark):
     rng = random.Random(1)
     rows = [(i, "x" * rng.randint(1, 400), None, None, 0, 0, 0, None) for i in range(3000)]
@@ -272,6 +282,32 @@ def test_language(spark, docs, empty):
     assert {r.lang_pred for r in language.identify(docs, None).collect()} == {"und"}
 
 
+def test_words_of_any_length_are_learned(spark):
+    rows = [(i, f"{'ab' * 23} {'c' * 41} zo", "aa", None, 0, 0, 0, None) for i in range(20)]
+    rows += [(100 + i, f"{'xy' * 4000} zo", "bb", None, 0, 0, 0, None) for i in range(20)]
+    tables = language.learn(spark.createDataFrame(rows, SCHEMA))
+    assert set(tables.words) == {"ab" * 23, "c" * 41, "xy" * 4000, "zo"}
+    assert language.guess(tables, "c" * 41, {})[0] == "aa" and language.guess(tables, "yxyx", {})[0] == "bb"
+
+
+def test_grams_of_distinct_words_count_every_word(spark):
+    """The tables against counts over all words of all texts."""
+    rng = random.Random(11)
+    rows = [(i, prose(rng, 30, "ka ko Ki kuka".split()), "aa", None, 0, 0, 0, None) for i in range(40)]
+    tables = language.learn(spark.createDataFrame(rows, SCHEMA))
+    counts = [collections.Counter() for _ in range(5)]
+    for r in rows:
+        for w in re.findall(r"[^\W\d_]+", r[1].lower()):
+            counts[0][w] += 1
+            for n in range(1, 5):
+                counts[n].update(language._grams(f" {w} " if n > 1 else w, n))
+    for kind, own in enumerate(counts):
+        total, kinds = sum(own.values()), len(own)
+        for term, n in own.items():
+            log = tables.word_logs[tables.words[term], 0] if kind == 0 else tables.gram_logs[tables.grams[term], 0]
+            assert log == pytest.approx(math.log((n + 0.5) / (total + 0.5 * kinds)))
+
+
 def test_every_labelled_language_is_learned(spark):
     rng = random.Random(4)
     rows = [(i, prose(rng, 30, "ka ko ki ku".split()), "aa", None, 0, 0, 0, None) for i in range(600)]
@@ -376,6 +412,83 @@ def test_blocks_around_a_nested_body_are_kept(outer, inner):
     assert html_text.main_text(page) == "\n".join(["Title", "by me", "The lead.", *body, "The end.", "Last."])
 
 
+def test_marks_in_an_article():
+    """Names that only contain a marking word drop nothing of an article; names made of such words do."""
+    long, more = ("word " * 50).strip(), ("other " * 40).strip()
+    page = f"""<body><nav><a href=x>m</a></nav><article><div class="entry-header"><h1>Title</h1></div><p>{long}</p>
+    <div class="side-by-side">Both sides</div><h2 id="social-policy">Social policy</h2><p id="reviews-of-literature">{more}</p>
+    <div class="ad-box">Buy now</div><div class="commentList"><p>{long}</p></div><div class="post-footer">tags</div></article></body>"""
+    assert html_text.main_text(page) == f"Title\n{long}\nBoth sides\nSocial policy\n{more}"
+
+
+def test_unmarked_menus_and_rights():
+    long = ("word " * 50).strip()
+    menu = "<ul>" + "".join(f"<li><a href=x>{n}</a></li>" for n in ("Home", "News", "Contact")) + "</ul>"
+    page = f"<body><div>{menu}<h1>T</h1><p>{long}</p><p>{long}</p><ul><li>one</li><li>two <a href=q>x</a></li></ul><p>End.</p><p>© 2024 Foo. All rights reserved.</p></div></body>"
+    assert html_text.main_text(page) == f"T\n{long}\n{long}\none\ntwo x\nEnd."
+    said = f"<article><p>Copyright 1709 was the first of its kind. {long}</p><p>{long}</p></article>"
+    assert html_text.main_text(said).count("\n") == 1
+    # what an article element holds is the article, a last line on rights too
+    assert html_text.main_text(f"<article><p>{long}</p><p>All rights reserved.</p></article><p>© 2024 Foo</p>") == f"{long}\nAll rights reserved."
+
+
+def test_deep_and_long_pages():
+    """Time grows with the page: thousands of nested elements and of blocks."""
+    import time
+
+    n = 5000
+    blocks = [f"{'word ' * 12}{i}" for i in range(n)]
+    pages = [
+        "<div>" * n + "".join(f"<p>{b}</p>" for b in blocks) + "</div>" * n,
+        "".join(f"<div><p>{b}</p>" for b in blocks),
+        "".join(f"<div class=a id=b{i}><section><p>{b}" for i, b in enumerate(blocks)),
+    ]
+    start = time.perf_counter()
+    for page in pages:
+        assert html_text.main_text(page) == "\n".join(blocks)
+    assert time.perf_counter() - start < 15
+
+
+def test_region_against_plain_search():
+    """The chosen element against a search over the sets of lines below every element."""
+    rng = random.Random(4)
+
+    def tree(depth):
+        out = []
+        for _ in range(rng.randint(1, 4)):
+            if depth and rng.random() < 0.5:
+                tag = rng.choice(["div", "div", "section", "article", "main"])
+                out.append(f"<{tag}>{tree(depth - 1)}</{tag}>")
+            else:
+                tag = rng.choice(["p", "p", "h2", "div", "ul"])
+                text = "word " * rng.choice([1, 3, 40, 60])
+                out.append(f"<ul><li>{text}</li></ul>" if tag == "ul" else f"<{tag}>{text}</{tag}>")
+        return "".join(out)
+
+    for _ in range(150):
+        parser = html_text._Lines()
+        parser.feed("<body>" + tree(4) + "</body>")
+        parser.close()
+        lines = [x for x in parser.lines if "".join(x.parts).strip()]
+        path = {}
+        for x in lines:
+            n, path[id(x)] = x.element, []
+            while n:
+                path[id(x)].append(n)
+                n = parser.parent[n]
+        cluster = [x for x in lines if rng.random() < 0.3] or lines
+        around = [n for n in path[id(cluster[0])] if all(n in path[id(x)] for x in cluster)]
+        below = {n: [x for x in lines if n in path[id(x)]] for n in around}
+        want = next((n for n in around if n in parser.articles), None)
+        if want is None:
+            want = next((n for n in around if len(below[n]) > 1), 0)
+            for n in around[around.index(want) + 1 :] if want else ():
+                if any(x.tag not in html_text.PROSE for x in below[n] if x not in below[want]):
+                    break
+                want = n
+        assert html_text._region(parser, lines, cluster) == want
+
+
 def test_pages(spark):
     rows = [(1, "u", PAGE, 3), (1, "u", PAGE, 3), (None, None, None, None), (2, "v", "", 1)]
     out = html_text.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string, text int")).collect()
