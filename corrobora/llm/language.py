@@ -12,13 +12,14 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from .common import text_of
+from .common import stage, text_of
 
 #: Documents of each language that are learned from.
 TRAIN_DOCS = 20_000
@@ -63,24 +64,34 @@ def learn(docs: DataFrame, sample: int = TRAIN_DOCS, words: int = TOP_WORDS, gra
     times = {r["lang"]: r["times"] for r in found}
     picked = known.join(F.broadcast(cuts), "lang").filter(F.xxhash64("doc_id") <= F.col("cut")).select("lang", "text")
 
-    def tokens(frames: Iterator) -> Iterator:
+    def counted(found: Counter, schema: list[str]) -> Iterator:
         import pyarrow as pa
-        from collections import Counter
 
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*found)] + [pa.array(list(found.values()), pa.int64())], schema)
+
+    def cut_words(frames: Iterator) -> Iterator:
         for batch in frames:
             found: Counter = Counter()
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 for word, n in Counter(_TOKEN.findall(text.lower())).items():
-                    if len(word) <= 40:
-                        found[lang, 0, word] += n
-                    for size in range(1, LONGEST + 1):
-                        for gram in _grams(f" {word} " if size > 1 else word, size):
-                            found[lang, size, gram] += n
-            if found:
-                lang, kind, term = zip(*found)
-                yield pa.RecordBatch.from_arrays([pa.array(lang), pa.array(kind, pa.int32()), pa.array(term), pa.array(list(found.values()), pa.int64())], ["lang", "kind", "term", "n"])
-
-    counts = picked.mapInArrow(tokens, "lang string, kind int, term string, n bigint").groupBy("lang", "kind", "term").agg(F.sum("n").alias("n"))
+                    found[lang, word] += n
+            yield from counted(found, ["lang", "term", "n"])
+
+    def cut_grams(frames: Iterator) -> Iterator:
+        for batch in frames:
+            found: Counter = Counter()
+            for lang, word, n in zip(*(c.to_pylist() for c in batch.columns)):
+                for size in range(1, LONGEST + 1):
+                    for gram in _grams(f" {word} " if size > 1 else word, size):
+                        found[lang, size, gram] += n
+            yield from counted(found, ["lang", "kind", "term", "n"])
+
+    # n-grams are cut from the distinct words of a language, whose counts they carry
+    seen = picked.mapInArrow(cut_words, "lang string, term string, n bigint").groupBy("lang", "term").agg(F.sum("n").alias("n"))
+    seen = stage(seen, "language-words")
+    cut = seen.mapInArrow(cut_grams, "lang string, kind bigint, term string, n bigint").groupBy("lang", "kind", "term").agg(F.sum("n").alias("n"))
+    counts = seen.select("lang", F.lit(0).cast("bigint").alias("kind"), "term", "n").union(cut)
     best = Window.partitionBy("lang", "kind").orderBy(F.desc("n"), "term")
     total = F.sum("n").over(Window.partitionBy("lang", "kind"))
     limit = F.when(F.col("kind") == 0, words).otherwise(grams)

@@ -1,6 +1,6 @@
 """Shards through fixed virtual slots.
 
-A record's slot is a hash of its id, so it never changes. What changes is the versioned map from
+A record's slot is a hash of its id (of its text where the id is null), so it never changes. What changes is the versioned map from
 slots to shards: the first version deals the slots evenly by number, every further version is an
 edit of the one before it, made from the bytes counted per slot. Only slots leave a shard that
 holds more than its share, so a rebalance moves few records.
@@ -15,9 +15,10 @@ from .common import stage, text_of
 SLOTS = 4096
 
 
-def slot_of(key: Column, slots: int = SLOTS) -> Column:
-    """Virtual slot of a key; null keys share the slot of the empty text."""
-    return F.pmod(F.xxhash64(F.coalesce(key.cast("string"), F.lit(""))), F.lit(slots)).cast("int")
+def slot_of(key: Column, slots: int = SLOTS, text: Column | None = None) -> Column:
+    """Virtual slot of a key; a null key has the slot of its text's digest, so that rows without ids are spread too."""
+    instead = F.lit("") if text is None else F.sha2(text, 256)
+    return F.pmod(F.xxhash64(F.coalesce(key.cast("string"), instead)), F.lit(slots)).cast("int")
 
 
 def slot_bytes(records: DataFrame, slots: int = SLOTS) -> DataFrame:
@@ -78,7 +79,7 @@ def sized(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
     text = text_of()
     return docs.select(
         F.col("doc_id"), (F.octet_length(text) + 8).cast("bigint").alias("size"), F.crc32(text).alias("text_crc32"),
-        slot_of(F.col("doc_id"), slots).alias("virtual_slot"),
+        slot_of(F.col("doc_id"), slots, text).alias("virtual_slot"),
     )
 
 
@@ -117,5 +118,5 @@ def shard_documents(docs: DataFrame, shards: int = 24, slots: int = SLOTS) -> tu
 def write_shards(docs: DataFrame, slot_map: DataFrame, path: str, slots: int = SLOTS) -> None:
     """The documents as Parquet, one folder per shard, by the latest version of the map of ``slots`` slots."""
     latest = slot_map.groupBy("virtual_slot").agg(F.max_by("shard", "version").alias("shard"))
-    placed = docs.withColumn("virtual_slot", slot_of(F.col("doc_id"), slots)).join(F.broadcast(latest), "virtual_slot")
+    placed = docs.withColumn("virtual_slot", slot_of(F.col("doc_id"), slots, text_of())).join(F.broadcast(latest), "virtual_slot")
     placed.repartition("shard", "virtual_slot").write.partitionBy("shard").parquet(path)
