@@ -191,3 +191,18 @@ def test_selection_pipeline_learns_from_train_only_and_can_be_saved(spark, tmp_p
     assert hit > 0.85
     # a row with nothing to scale is left out, not guessed
     assert model.transform(spark.createDataFrame([(1, None, 1.0, 1.0, 1.0, 7.0, 1)], df.schema)).count() == 0
+
+
+def test_bootstrap_draws_keep_32_bits_of_a_digest_per_four_replicates():
+    import hashlib
+
+    from corrobora.functions import draws
+
+    for ids in (["17|1", "18|2"], ["1234567890123|4", "1234567890124|4"], ["x" * 60]):
+        want = [[int(hashlib.md5(f"{i}|{r // 4}|9".encode()).hexdigest()[8 * (r % 4) :][:8], 16) for r in range(1002)] for i in ids]
+        assert (draws.digest_draws(ids, 1002, 9) == np.array(want)).all()
+    # a count of eight has a probability below 2^-16; sixteen bits never draw it
+    assert draws.poisson_counts(np.array([0, 2**32 - 1], np.uint32)).tolist() == [0, 9]
+    from corrobora.plans import ORACLE
+
+    assert "rep // 4" in ORACLE["bootstrap_ci"] and "65535" not in ORACLE["bootstrap_ci"]
