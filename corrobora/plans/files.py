@@ -7,7 +7,7 @@ import uuid
 
 from pyspark.sql import SparkSession, functions as F
 
-from ..session import shared_dir
+from ..session import shared_dir, staged
 from ..sources import readers as R
 from ..sources import sinks as W
 from ..sources.readers import table
@@ -60,8 +60,10 @@ def json_documents(spark, d):
     rows = table(spark, d, "supplier").join(nation, "s_nationkey")
     doc = F.to_json(F.struct(F.col("s_suppkey").alias("supplier"), F.struct("name", codes.alias("codes")).alias("nation"), F.col("s_acctbal").alias("balance")))
     path = _folder(spark)
-    W.write_documents(rows.select(F.floor(F.col("s_suppkey") / 100).alias("shelf"), "s_suppkey", doc.alias("text")), path, ["shelf"], "text", ["s_suppkey"])
-    read = R.read_json_documents(spark, f"{path}/*/*", "supplier bigint, nation struct<name: string, codes: array<int>>, balance double")
+    W.write_documents(rows.select(F.floor(F.col("s_suppkey") / 100).alias("shelf"), "s_suppkey", doc.alias("text")), path, ["shelf"], "text", ["s_suppkey"], single=True)
+    read = staged(
+        R.read_json_documents(spark, path, "supplier bigint, nation struct<name: string, codes: array<int>>, balance double", below=True), ["supplier"]
+    )  # every file is opened once
     files = read.groupBy("supplier").agg(F.countDistinct("file_path").alias("files"))
     lines = read.select("supplier", F.col("nation.name").alias("nation"), F.explode("nation.codes").alias("code"), F.round("balance", 2).alias("balance"))
     return lines.join(files, "supplier")
@@ -79,7 +81,7 @@ def log_tree(spark, d):
     path = _folder(spark)
     lines = table(spark, d, "events").select(*keys, F.floor(F.col("event_id") / 10_000).alias("part"), F.concat_ws(" ", "event_type", "value").alias("line"))
     W.write_documents(lines, path, ["task", "trial"], "line", ["part"])
-    logs = R.read_text_tree(spark, f"{path}/*/*/*", {"task": r"/task=([^/]+)/", "trial": r"/trial=([^/]+)/"})
+    logs = R.read_text_tree(spark, path, {"task": r"/task=([^/]+)/", "trial": r"/trial=([^/]+)/"}, below=True)
     read = logs.select("task", "trial", F.explode(F.filter(F.split("text", "\n"), lambda x: x != "")).alias("line"))
     parts = F.split("line", " ")
     return read.groupBy("task", "trial").agg(

@@ -15,12 +15,20 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 
 
-def write_documents(df: DataFrame, path: str, keys: Sequence[str], text: Column | str, file_keys: Sequence[str] = ()) -> None:
+def write_documents(
+    df: DataFrame, path: str, keys: Sequence[str], text: Column | str, file_keys: Sequence[str] = (), single: bool = False
+) -> None:
     """Text files in a tree of folders ``<key>=<value>``, a file per row of equal ``keys`` and ``file_keys``.
 
-    A file holds the lines of its rows in no stated order; rows of one file meet in one task.
+    A file holds the lines of its rows in no stated order; rows of one file meet in one task. With ``single`` every row is a
+    file of its own, spread by ``file_keys``: the files lie side by side in the folder of their ``keys``, without a folder each,
+    and tasks put their files in place themselves instead of leaving all of them to the driver.
     """
     rows = df.select(*keys, *file_keys, as_col(text).cast("string").alias("value"))
+    if single:
+        files = rows.repartition(parallelism(df.sparkSession), *keys, *file_keys).select(*keys, "value").write.partitionBy(*keys)
+        files.options(**{"maxRecordsPerFile": 1, "mapreduce.fileoutputcommitter.algorithm.version": 2}).text(path)
+        return
     name = [F.concat_ws("-", *[F.col(k).cast("string") for k in file_keys]).alias("file")] if file_keys else []
     parts = [*keys, *(["file"] if file_keys else [])]
     rows.select(*keys, *name, "value").repartition(parallelism(df.sparkSession), *parts).write.partitionBy(*parts).text(path)

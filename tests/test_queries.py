@@ -64,3 +64,19 @@ def test_query(spark, sql, name):
 def test_entry(spark):
     assert contract.entry(spark).count() == 4
     assert set(contract.oracle_sql()) <= set(contract.queries())
+
+
+def test_json_documents_lie_side_by_side(spark, tmp_path):
+    from corrobora.session import shared_dir
+
+    root = str(tmp_path)
+    spark.createDataFrame([(i, i % 3, i / 4) for i in range(250)], "s_suppkey bigint, s_nationkey int, s_acctbal double").write.parquet(f"{root}/supplier.parquet")
+    spark.createDataFrame([(i, f"N{i}") for i in range(3)], "n_nationkey int, n_name string").write.parquet(f"{root}/nation.parquet")
+    trees = lambda: set(glob.glob(f"{shared_dir(spark)}/staged/{spark.sparkContext.applicationId}/files-*"))
+    before = trees()
+    out = contract.queries()["json_documents"](spark, root).collect()
+    assert sorted(tuple(r) for r in out) == sorted((i, f"N{i % 3}", i % 3 * 10 + k, i / 4, 1) for i in range(250) for k in (1, 2, 3))
+    (tree,) = trees() - before
+    # a file per supplier and a folder per shelf, none per file
+    assert len(glob.glob(f"{tree}/*/")) == 3
+    assert len(glob.glob(f"{tree}/*/*.txt")) == 250
