@@ -41,6 +41,23 @@ def two_sample(
         F.count(va).alias("n_a"), F.avg(va).alias("mean_a"), F.var_samp(va).alias("var_a"),
         F.count(vb).alias("n_b"), F.avg(vb).alias("mean_b"), F.var_samp(vb).alias("var_b"),
     )
+    return _two_sample_row(row)
+
+
+def two_sample_counted(df: DataFrame, value: str, times: str, arm: str, a, b) -> DataFrame:
+    """``two_sample`` of a table that is already counted: ``times`` says how often a row's value occurs."""
+    rows = df.select(F.col(value).cast("double").alias("v"), F.col(times).alias("w"), F.col(arm).alias("g")).filter("v IS NOT NULL")
+    w = {"a": F.when(F.col("g") == F.lit(a), F.col("w")), "b": F.when(F.col("g") == F.lit(b), F.col("w"))}
+    means = rows.agg(*[x for k, c in w.items() for x in (F.coalesce(F.sum(c), F.lit(0)).alias(f"n_{k}"), (F.sum(c * F.col("v")) / F.sum(c)).alias(f"mean_{k}"))])
+    # centred before squaring, as the mean may be large against the spread
+    centred = rows.withColumn("_m", means.select(F.struct("*")).scalar())
+    n, gap = {k: F.max(f"_m.n_{k}") for k in w}, {k: F.col("v") - F.col(f"_m.mean_{k}") for k in w}
+    parts = [(n[k].alias(f"n_{k}"), F.max(f"_m.mean_{k}").alias(f"mean_{k}"), F.when(n[k] > 1, F.sum(w[k] * gap[k] * gap[k]) / (n[k] - 1)).alias(f"var_{k}")) for k in w]
+    return _two_sample_row(centred.agg(*parts[0], *parts[1]))
+
+
+def _two_sample_row(row: DataFrame) -> DataFrame:
+    """Student, Welch and effect sizes from the moments of both arms."""
     parts = [F.col(c) for c in ("n_a", "mean_a", "var_a", "n_b", "mean_b", "var_b")]
     t, d = student(*parts)
     tw, dw = welch(*parts)

@@ -35,21 +35,23 @@ def sortable_bits(v: Column) -> Column:
 
 
 def exact_quantiles(
-    df: DataFrame, value: str, probs: Sequence[float], by: Sequence[str] = (), n_buckets: int | None = None
+    df: DataFrame, value: str, probs: Sequence[float], by: Sequence[str] = (), n_buckets: int | None = None, times: str | None = None
 ) -> DataFrame:
     """Linear-interpolation quantiles: (by..., prob, quantile, n). Null is a group like any other; null values are no rows.
 
     ``n_buckets`` is taken for the sake of callers that hand one number to several operators; counting needs no buckets.
 
     A round reads the value and the keys, joins them to the cells that hold a wanted rank (a written table of a row per key
-    and cell, so Spark broadcasts it while it is small) and sends counts. NaN counts as the largest value.
+    and cell, so Spark broadcasts it while it is small) and sends counts. NaN counts as the largest value. In a table that is
+    already counted, ``times`` says how often a row's value occurs (whole numbers from 1).
     """
     by = list(by)
     # keys as one struct: structs with null fields are equal to each other in joins and groupings
     key = F.struct(*[F.col(c) for c in by], F.lit(0).alias("_all")).alias("_key")
-    rows = df.select(key, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
+    often = F.lit(1) if times is None else F.col(times).cast("bigint")
+    rows = df.select(key, F.col(value).cast("double").alias("_v"), often.alias("_times")).filter(F.col("_v").isNotNull())
     rows = rows.withColumn("_bits", sortable_bits(F.col("_v")))
-    cells = [F.count("*").alias("_cnt"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")]
+    cells = [(F.count("*") if times is None else F.sum("_times")).alias("_cnt"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")]
 
     counts = staged(rows.groupBy("_key", F.shiftright("_bits", 64 - _DIGIT).alias("_cell")).agg(*cells))
     sizes = counts.groupBy("_key").agg(F.sum("_cnt").alias("n"))
@@ -93,9 +95,11 @@ def _hits(counts: DataFrame, wanted: DataFrame, inside: list[str]) -> DataFrame:
     return met.groupBy("_key", "_cell", "_lo", "_hi").agg(F.collect_list(target).alias("_targets"))
 
 
-def exact_median(df: DataFrame, value: str, by: Sequence[str] = (), n_buckets: int | None = None) -> DataFrame:
+def exact_median(
+    df: DataFrame, value: str, by: Sequence[str] = (), n_buckets: int | None = None, times: str | None = None
+) -> DataFrame:
     """(by..., median, n)."""
-    out = exact_quantiles(df, value, [0.5], by, n_buckets)
+    out = exact_quantiles(df, value, [0.5], by, n_buckets, times)
     return out.select(*by, F.col("quantile").alias("median"), "n")
 
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.tails import chi2_pvalue
-from .hypothesis import two_sample
+from ..session import staged
+from .hypothesis import two_sample_counted
 from .order_stats import exact_median
 from .scan import collapsed_buckets, prefix_sums
 
@@ -72,11 +73,16 @@ def logrank(df: DataFrame, time: str, event: str, arm: str, a, b, n_buckets: int
 
 
 def censoring_contrast(df: DataFrame, time: str, event: str, arm: str, a, b) -> DataFrame:
-    """What an analysis that ignores censoring reports: rates, naive medians, naive t test."""
-    rate = df.groupBy(arm).agg(
-        F.count("*").alias("n"), (1 - F.avg(F.col(event).cast("double"))).alias("censoring_rate"),
-        F.avg(F.col(time).cast("double")).alias("naive_mean"),
+    """What an analysis that ignores censoring reports: rates, naive medians, naive t test.
+
+    The rows are read once, to be counted by arm, time and event; all figures come from the staged counts.
+    """
+    counts = staged(df.groupBy(arm, time, event).agg(F.count("*").alias("_n")))
+    n, e, t = F.col("_n"), F.col(event).cast("double"), F.col(time).cast("double")
+    known = lambda x: F.sum(F.when(x.isNotNull(), n))
+    rate = counts.groupBy(arm).agg(
+        F.sum(n).alias("n"), (1 - F.sum(n * e) / known(e)).alias("censoring_rate"), (F.sum(n * t) / known(t)).alias("naive_mean")
     )
-    med = exact_median(df, time, [arm]).select(arm, F.col("median").alias("naive_median"))
-    naive = two_sample(df, time, arm, a, b).select("p")
+    med = exact_median(counts, time, [arm], times="_n").select(arm, F.col("median").alias("naive_median"))
+    naive = two_sample_counted(counts, time, "_n", arm, a, b).select("p")
     return rate.join(med, arm).withColumn("naive_t_p", naive.scalar())

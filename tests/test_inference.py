@@ -307,3 +307,29 @@ def test_bootstrap_draws_as_often_as_the_reference(spark):
     spark.createDataFrame(rows, schema).write.parquet(f"{root}/lineitem.parquet")
     out = {r.term: r for r in contract.queries()["bootstrap_ci"](spark, root).collect()}
     assert set(out) == {"l_quantity", "l_tax"} and all(r.replicates == 3000 and r.ci_low < r.coef_std < r.ci_high for r in out.values())
+
+
+def test_censoring_contrast_reads_its_rows_once(spark):
+    from corrobora.operators import hypothesis
+
+    rows = [("a", None if i % 50 == 0 else float(1e6 + i % 9), i % 2) for i in range(400)] + [("b", float(1e6 + i % 11), None if i % 40 == 0 else i % 3 // 2) for i in range(300)]
+    plain = spark.createDataFrame(rows, "arm string, t double, e int")
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def seen(t):
+        read.add(1)
+        return t
+
+    out = {r.arm: r for r in survival.censoring_contrast(plain.withColumn("t", seen("t")), "t", "e", "arm", "a", "b").collect()}
+    assert read.value == len(rows)
+    pdf = plain.toPandas()
+    p = hypothesis.two_sample(plain, "t", "arm", "a", "b").first()
+    for arm, part in pdf.groupby("arm"):
+        r = out[arm]
+        assert (r.n, r.naive_median) == (len(part), part.t.median())
+        assert r.censoring_rate == pytest.approx(1 - part.e.mean()) and r.naive_mean == pytest.approx(part.t.mean(), rel=1e-12)
+        assert r.naive_t_p == pytest.approx(p.p, rel=1e-6)
+    counts = plain.groupBy("arm", "t").agg(F.count("*").alias("n"))
+    q = hypothesis.two_sample_counted(counts, "t", "n", "arm", "a", "b").first()
+    assert all(q[c] == pytest.approx(p[c], rel=1e-6) for c in ("n_a", "mean_a", "var_a", "n_b", "mean_b", "var_b", "t", "df", "p", "t_welch", "df_welch", "p_welch", "cohens_d"))
