@@ -131,3 +131,20 @@ def test_forgotten_words_are_learned_again(monkeypatch):
     for k in range(30):
         text = " ".join(f"word{k + i} common" for i in range(40))
         assert np.frombuffer(b"".join(encode.encode(text.encode())), "<u4").tolist() == encoded(text)[:-1]
+
+
+def test_short_texts_share_a_call_for_their_new_words(monkeypatch):
+    monkeypatch.setattr(packing, "TOGETHER", 2000)
+    texts = [" ".join(f"word{i}x{j} é{j}." for j in range(20)).encode() for i in range(40)] + [b"", b" \n ", b"again " * 900, b"last one"]
+    encode, calls = packing.IdBytes(PATH), []
+    tokenizer = encode.tokenizer
+
+    class Counted:
+        def encode(self, text, **options):
+            calls.append(text)
+            return tokenizer.encode(text, **options)
+
+    encode.tokenizer = Counted()
+    got = [b"".join(ids) for ids in encode.encode_all(texts)]
+    assert got == [np.array(tokenizer.encode(t.decode(), add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert len(calls) < len(texts) / 3
