@@ -6,9 +6,9 @@ values and keeps them in text order; texts with an equal tuple are candidates, w
 order of the text and so to edits. Candidates are verified by a banded alignment of their shingle sequences:
 similarity is the length of the longest common subsequence over that of the union.
 
-Equal texts are one text from the start. Within a bucket of candidates a few leaders meet all others, and the rest meet
-again as long as they are in different components: no bucket is expanded into all its pairs
-while its texts are connected.
+Equal texts are one text from the start. Within a bucket of candidates a few leaders meet all others. What then is left of
+buckets that are not connected meets by rare shingles: texts as alike as asked share one among their rarest, so texts
+that have only a common passage in common never meet, however many they are.
 """
 
 from __future__ import annotations
@@ -209,8 +209,8 @@ def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """a < b, similarity of different texts that are near copies: enough of them to connect all that are.
 
     In each bucket the texts that meet most others come first, as the source of many copies does. The first few are compared
-    with all others of the bucket. What follows are the texts that are not connected yet: as long as a bucket holds
-    two components, its next texts are compared with those of other components.
+    with all others of the bucket. What follows are the texts of buckets that still hold two components: those of different
+    components that share one of their rarest shingles are compared.
     """
     spread = nodes.filter("n > 0").select("node", F.posexplode("keys").alias("sketch", "key"))
     spread = spread.select("node", F.xxhash64("sketch", "key").alias("key"))
@@ -225,36 +225,61 @@ def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     # one document stands for all with its text
     met_texts = rows.join(ours, F.col("own_id").eqNullSafe(F.col("id")) & (F.col("digest") == F.col("node")))
     texts = stage(met_texts.select("node", "text").dropDuplicates(["node"]), "near-texts")
-    left = stage(met.join(many, "node").select("key", order.alias("turn"), F.col("node").alias("root")), "near-ordered")
-    found: list[DataFrame] = []
-    leaders = LEADERS
-    while not left.isEmpty():
-        first = Window.partitionBy("key").orderBy("turn")
-        heads = left.withColumn("place", F.row_number().over(first)).filter(F.col("place") <= leaders)
-        heads = stage(heads.select("key", F.col("turn").alias("head"), F.col("root").alias("head_root")), "near-leaders")
-        apart = (F.col("turn") > F.col("head")) & (F.col("root") != F.col("head_root"))
-        pairs = left.join(heads, "key").filter(apart).select(
-            F.least("turn.node", "head.node").alias("a"), F.greatest("turn.node", "head.node").alias("b")
-        )
-        pairs = pairs.distinct()
-        for known in found:
-            pairs = pairs.join(known.select("a", "b"), ["a", "b"], "left_anti")
-        found.append(stage(_verified(pairs, sides, texts), "near-links"))
-        roots = components(_union(found)).toDF("member", "found_root")
-        rest = left.join(heads.select("key", F.col("head").alias("turn")), ["key", "turn"], "left_anti")
-        rest = rest.join(roots, F.col("turn.node") == F.col("member"), "left")
-        rest = stage(rest.select("key", "turn", F.coalesce("found_root", "root").alias("root")), "near-rest")
-        apart_still = rest.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key")
-        left = stage(rest.join(apart_still, "key", "left_semi"), "near-left")
-        leaders *= 4
-    return _union(found).dropDuplicates(["a", "b"]) if found else docs.sparkSession.createDataFrame([], "a string, b string, similarity double")
-
-
-def _union(frames: list[DataFrame]) -> DataFrame:
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.union(f)
-    return out
+    left = stage(met.join(many, "node").select("key", order.alias("turn")), "near-ordered")
+    first = Window.partitionBy("key").orderBy("turn")
+    heads = left.withColumn("place", F.row_number().over(first)).filter(F.col("place") <= LEADERS)
+    heads = stage(heads.select("key", F.col("turn").alias("head")), "near-leaders")
+    pairs = left.join(heads, "key").filter(F.col("turn") > F.col("head")).select(
+        F.least("turn.node", "head.node").alias("a"), F.greatest("turn.node", "head.node").alias("b")
+    )
+    led = stage(_verified(pairs.distinct(), sides, texts), "near-links")
+    rest = left.join(heads.select("key", F.col("head").alias("turn")), ["key", "turn"], "left_anti").select("key", F.col("turn.node").alias("node"))
+    rest = stage(rest.join(components(led), "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")), "near-rest")
+    apart = rest.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key")
+    open_ = stage(rest.join(apart, "key", "left_semi").select("node", "root").distinct(), "near-left")
+    if open_.isEmpty():
+        return led
+    others = _verified(rare_pairs(open_, texts), sides, texts)
+    return led.union(stage(others, "near-links")).dropDuplicates(["a", "b"])
+
+
+def rare_pairs(open_: DataFrame, texts: DataFrame) -> DataFrame:
+    """a < b: every pair of these texts (node, root) of different roots whose shingle sets can be similar, once.
+
+    Sets as similar as ``SIMILARITY`` share one of their rarest elements, among a fifth of the larger set and a ninth of the
+    smaller one, and the first that they share leaves enough behind it in both (prefix and position filter of
+    set joins, without loss). Shingles of a passage that many texts have are not rare, so they pair no one unless they are most of both.
+    """
+
+    def sets(frames: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        hashes = WordHashes()
+        for batch in frames:
+            # the list of a text at a time: what a task holds is bounded by its longest text
+            for i, text in enumerate(batch.column(1)):
+                seq = shingles(hashes(WORD_RE.findall(text.as_py()))).view(np.int64)
+                mine = [pa.array([batch.column(0)[i].as_py()] * len(seq), pa.int64()), pa.array([len(seq)] * len(seq), pa.int64()), pa.array(seq)]
+                yield pa.RecordBatch.from_arrays(mine, names=["id", "n", "shingle"])
+
+    ours = open_.select("node", "root", F.xxhash64("node").alias("id"))
+    spread = texts.join(ours, "node").select("id", "text").mapInArrow(sets, "id bigint, n bigint, shingle bigint")
+    held = spread.withColumn("df", F.count("*").over(Window.partitionBy("shingle"))).filter("df > 1")
+    # what a text has alone is rarest of all: it takes the first places
+    of_text = held.groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "shingle"))).alias("shared"))
+    alone = F.col("n") - F.size("shared")
+    longest = F.col("n") - F.ceil(SIMILARITY * F.col("n") - 1e-9) + 1 - alone
+    near_first = of_text.filter(longest > 0).select("id", "n", alone.alias("alone"), "shared", longest.cast("int").alias("longest"))
+    firsts = near_first.select("id", "n", "alone", F.posexplode(F.slice("shared", 1, F.col("longest"))).alias("at", "it"))
+    firsts = firsts.select("id", "n", (F.col("n") - F.col("alone") - F.col("at")).alias("behind"), F.col("it.shingle").alias("shingle"))
+    firsts = stage(firsts.join(ours, "id").select("node", "root", "n", "behind", "shingle"), "near-rare")
+    small, large = (firsts.select("shingle", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "root", "n", "behind")]) for x in "sl")
+    needed = SIMILARITY / (1 + SIMILARITY)
+    small = small.filter(F.col("behind_s") >= 2 * needed * F.col("n_s") - 1e-9)
+    sizes = (F.struct("n_s", "node_s") < F.struct("n_l", "node_l")) & (F.col("n_s") >= SIMILARITY * F.col("n_l") - 1e-9)
+    enough = F.least("behind_s", "behind_l") >= needed * (F.col("n_s") + F.col("n_l")) - 1e-9
+    met = small.join(large, "shingle").filter(sizes & enough & (F.col("root_s") != F.col("root_l")))
+    return met.select(F.least("node_s", "node_l").alias("a"), F.greatest("node_s", "node_l").alias("b")).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -263,6 +263,32 @@ def test_a_large_group_of_near_copies_is_not_expanded(spark):
     assert near_copies.components(edges).select("root").distinct().count() == 1
 
 
+def test_texts_with_a_common_passage_meet_few_others(spark, monkeypatch):
+    rng = random.Random(4)
+    base = prose(rng, 150)
+    texts = [f"{base} {prose(rng, 30)}" for i in range(240)]
+    # near copies that have the passage too
+    copies = {200 + i: i for i in range(20)}
+    for i, of in copies.items():
+        words = texts[of].split()
+        words[160 + of % 9] = f"n{i}"
+        texts[i] = " ".join(words)
+    met = []
+    verified = near_copies._verified
+    monkeypatch.setattr(near_copies, "_verified", lambda pairs, *rest: met.append(pairs.count()) or verified(pairs, *rest))
+    df = spark.createDataFrame([(i, t, None, None, 0, 0, 0, None) for i, t in enumerate(texts)], SCHEMA)
+    out = {r.doc_id: r.class_id for r in near_copies.near_copies(df).collect()}
+    assert sum(met) < 8000
+    seqs = [near_copies.shingles(near_copies.WordHashes()(t.split())) for t in texts]
+    near = {(a, b) for a in range(240) for b in range(a + 1, 240) if near_copies.similarity(seqs[a], seqs[b])}
+    assert {(of, i) for i, of in copies.items()} <= near
+    assert all(out[a] == out[b] for a, b in near)
+    # by rare shingles alone, without leaders: no similar pair is lost
+    nodes = spark.createDataFrame([(f"{i:03}", t, f"{i:03}") for i, t in enumerate(texts)], "node string, text string, root string")
+    pairs = {(int(r.a), int(r.b)) for r in near_copies.rare_pairs(nodes.select("node", "root"), nodes.select("node", "text")).collect()}
+    assert near <= pairs and len(pairs) < 240
+
+
 # ---- language
 
 def test_language(spark, docs, empty):
