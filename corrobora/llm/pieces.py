@@ -6,8 +6,8 @@ exploded and joined to the piece table, the matches are the edges of a lattice,
 part's positions keeps the best way to each (Viterbi). The lattice of a part has many rows with the part as their key, so
 parts longer than a bound, such as a run of one letter, are folded within a task, with the scores of the last positions only. Characters outside the table become byte pieces.
 
-A part's ids meet the documents again in two ways: the most frequent parts, a bounded number, are sent to all
-tasks; the others are joined on the part.
+The lattice is made of the most frequent parts, a bounded number, and their ids are sent to all tasks. A task folds the other
+parts where they occur, by the same rules, so neither texts nor parts cross a shuffle to meet their ids.
 """
 
 from __future__ import annotations
@@ -15,12 +15,11 @@ from __future__ import annotations
 import functools
 import math
 import re
-from collections import deque
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import parallelism
@@ -32,6 +31,8 @@ FREQUENT = 1 << 17
 FREQUENT_CHARS = 48
 #: Longer parts are folded within a task, position by position.
 LATTICE_CHARS = 48
+#: Bytes of words and their ids that a Python process remembers.
+MEMORY = 96 << 20
 #: As the library does: an unknown character costs this much more than the rarest piece.
 UNKNOWN_PENALTY = 10.0
 
@@ -53,6 +54,11 @@ class Pieces:
         ids = [i for i, k in enumerate(self.kinds) if k == "n"]
         return {self.names[i]: (i, self.score(place)) for place, i in enumerate(ids)}
 
+    @functools.cached_property
+    def starts(self) -> dict[str, tuple[int, float] | None]:
+        """Every beginning of a normal piece; its id and score where it is one."""
+        return {p[:i]: None for p in self.normal for i in range(1, len(p))} | self.normal
+
     @functools.cached_property
     def unknown(self) -> float:
         return min(s for _, s in self.normal.values()) - UNKNOWN_PENALTY
@@ -87,6 +93,15 @@ def chunks(text: str | None) -> list[str]:
     return _CHUNK.findall(SPACE + text.replace(" ", SPACE)) if text else []
 
 
+def words_of(text: str | None) -> list[str]:
+    """The chunks without the space mark that each of them begins with."""
+    if not text:
+        return []
+    if "  " in text or SPACE in text or text[0] == " ":
+        return [c[1:] for c in chunks(text)]
+    return text.split(" ")
+
+
 class Cutter:
     """Parts of chunks: cut between two characters that no piece has side by side."""
 
@@ -121,10 +136,10 @@ def part_counts(docs: DataFrame, pieces: Pieces) -> DataFrame:
         for batch in frames:
             found: Counter = Counter()
             for text in batch.column(0):
-                found.update(chunks(text.as_py()))
+                found.update(words_of(text.as_py()))
             parts: Counter = Counter()
-            for chunk, n in found.items():
-                for part in cut(chunk):
+            for word, n in found.items():
+                for part in cut(SPACE + word):
                     parts[part] += n
             if parts:
                 yield pa.RecordBatch.from_arrays([pa.array(parts.keys(), pa.string()), pa.array(parts.values(), pa.int64())], ["part", "n"])
@@ -136,23 +151,30 @@ def part_counts(docs: DataFrame, pieces: Pieces) -> DataFrame:
 def fold_part(pieces: Pieces, part: str) -> np.ndarray:
     """Ids of the best segmentation, -1 for a character without a piece, as the lattice gives them.
 
-    Time grows with the length; the scores of the last ``longest`` positions are all that is carried on.
+    Time grows with the length; ties go to the shorter last piece, as the later starts are tried later.
     """
-    normal, unknown, longest = pieces.normal, (-1, pieces.unknown), pieces.longest
-    sizes, ids = np.zeros(len(part), np.int32), np.zeros(len(part), np.int32)
-    scores = deque([0.0], maxlen=longest)
-    for end in range(1, len(part) + 1):
-        best, at, last = -math.inf, 0, 0
-        for size in range(1, len(scores) + 1):
-            hit = normal.get(part[end - size : end], unknown if size == 1 else None)
-            if hit is not None and scores[-size] + hit[1] > best:
-                best, at, last = scores[-size] + hit[1], size, hit[0]
-        scores.append(best)
-        sizes[end - 1], ids[end - 1] = at, last
-    out, at = [], len(part)
+    known, unknown, n = pieces.starts.get, (-1, pieces.unknown), len(part)
+    scores, sizes, ids = array("d", [-math.inf]) * (n + 1), array("i", [0]) * (n + 1), array("i", [0]) * (n + 1)
+    scores[0] = 0.0
+    for start in range(n):
+        so_far, end = scores[start], start + 1
+        hit = known(part[start:end], unknown)
+        deeper = hit is not unknown
+        if hit is None:
+            hit = unknown
+        while True:
+            if hit is not None and so_far + hit[1] >= scores[end]:
+                scores[end], sizes[end], ids[end] = so_far + hit[1], end - start, hit[0]
+            end += 1
+            if not deeper or end > n:
+                break
+            hit = known(part[start:end], unknown)
+            if hit is unknown:
+                break
+    out, at = [], n
     while at:
-        out.append(ids[at - 1])
-        at -= sizes[at - 1]
+        out.append(ids[at])
+        at -= sizes[at]
     return np.array(out[::-1], np.int32)
 
 
@@ -226,65 +248,62 @@ def _as_bytes(pieces: Pieces, part: str, ids: list[int]) -> list[int]:
     return out
 
 
+class IdsOfWords:
+    """Little-endian 32-bit ids of texts; each word's are remembered while memory lasts. ``frequent``: ids of parts at hand."""
+
+    def __init__(self, pieces: Pieces, frequent: dict[str, bytes]) -> None:
+        self.pieces, self.frequent, self.cut = pieces, frequent, Cutter(pieces, 0)
+        self.known: dict[str, bytes] = {}
+        self.held = 0
+
+    def _part(self, part: str) -> bytes:
+        return np.array(_as_bytes(self.pieces, part, fold_part(self.pieces, part).tolist()), "<i4").tobytes()
+
+    def _learn(self, words: set[str]) -> None:
+        at_hand, fold, known = self.frequent.get, self._part, self.known
+        for word in words:
+            ids = b"".join([at_hand(p) or fold(p) for p in self.cut(SPACE + word)])
+            known[word] = ids
+            # a key, a value and their place in the table take about 200 bytes beside what they hold
+            self.held += 4 * len(word) + len(ids) + 200
+
+    def __call__(self, text: str | None) -> bytes:
+        words = words_of(text)
+        try:
+            return b"".join(map(self.known.__getitem__, words))
+        except KeyError:
+            if self.held > MEMORY:
+                self.known.clear()
+                self.held = 0
+            self._learn(set(words).difference(self.known))
+            return b"".join(map(self.known.__getitem__, words))
+
+
 def encode(docs: DataFrame, model: str, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``carry`` columns and ids (array of int) of every whole text; null and empty texts have no ids.
 
-    ``carry`` may not include the text. A row is told from its equals by its place in the input, so repeated rows and ids are
-    kept. The texts cross the shuffle compressed, once, to meet the ids of their rare parts. An empty table gives no rows.
+    ``carry`` may not include the text. Repeated rows and ids are kept, as every row is encoded where it is; the texts cross no
+    shuffle. An empty table gives no rows.
     """
     spark = docs.sparkSession
     pieces = load(model)
-    table = stage(encode_parts(part_counts(docs, pieces), pieces), "piece-parts")
-    short = table.filter(F.length("part") <= FREQUENT_CHARS)
-    top = most_frequent(short, "n", FREQUENT).select("part", "ids").toArrow()
-    frequent = spark.sparkContext.broadcast({p: tuple(_as_bytes(pieces, p, i)) for p, i in zip(top["part"].to_pylist(), top["ids"].to_pylist())})
-    names = [f"in_{i}" for i in range(len(carry))]
-    kinds = ", ".join(f"{n} {docs.schema[c].dataType.simpleString()}" for n, c in zip(names, carry))
-    digest = F.md5(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in carry], text_of()))
-    slim = docs.select(*[F.col(c).alias(n) for c, n in zip(carry, names)], digest.alias("row"), text_of().alias("text"))
-
-    def rare(frames: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        cut, known = Cutter(pieces), frequent.value
-        for batch in frames:
-            rows, parts = [], []
-            for row, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                own = {p for c in set(chunks(text.as_py())) for p in cut(c) if p not in known}
-                rows += [row] * len(own)
-                parts += own
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.string()), pa.array(parts, pa.string())], ["row", "part"])
-
-    def packed(frames: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        shut = zstandard.ZstdCompressor(level=3)
-        for batch in _slices(frames):
-            last = batch.schema.names.index("text")
-            small = pa.array([shut.compress(t.as_py().encode("utf-8", "surrogatepass")) for t in batch.column(last)], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(last)] + [small], names=[*names, "row", "packed"])
-
-    needed = slim.select("row", "text").mapInArrow(rare, "row string, part string").distinct()
-    met = needed.join(table.select("part", "ids"), "part").groupBy("row").agg(F.collect_list(F.struct("part", "ids")).alias("rare"))
-    whole = slim.mapInArrow(packed, f"{kinds}, row string, packed binary").join(met, "row", "left").select(*names, "packed", "rare")
+    counts = stage(part_counts(docs, pieces), "piece-all-counts")
+    top = encode_parts(most_frequent(counts.filter(F.length("part") <= FREQUENT_CHARS), "n", FREQUENT), pieces).select("part", "ids").toArrow()
+    at_hand = zip(top["part"].to_pylist(), top["ids"].to_pylist())
+    frequent = spark.sparkContext.broadcast({p: np.array(_as_bytes(pieces, p, i), "<i4").tobytes() for p, i in at_hand})
 
     def assemble(frames: Iterator) -> Iterator:
         import pyarrow as pa
 
-        cut, known, wide = Cutter(pieces), frequent.value, zstandard.ZstdDecompressor()
-        n = len(carry)
+        ids_of, n = IdsOfWords(pieces, frequent.value), len(carry)
         for batch in _slices(frames):
-            found = []
-            for text, rest in zip(batch.column(n), batch.column(n + 1)):
-                own = {x["part"]: _as_bytes(pieces, x["part"], x["ids"]) for x in rest.as_py() or ()}
-                ids: list[int] = []
-                for chunk in chunks(wide.decompress(text.as_py()).decode("utf-8", "surrogatepass")):
-                    for part in cut(chunk):
-                        ids += known.get(part) or own[part]
-                found.append(np.array(ids, np.int32))
-            yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(n)] + [pa.array(found, pa.list_(pa.int32()))], names=[*carry, "ids"])
+            found = [ids_of(text.as_py()) for text in batch.column(n)]
+            ends = np.cumsum([0] + [len(ids) // 4 for ids in found]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(found), "<i4")))
+            yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(n)] + [lists], names=[*carry, "ids"])
 
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
+    whole = docs.select(*[F.col(c).alias(f"in_{i}") for i, c in enumerate(carry)], text_of().alias("text"))
     return whole.mapInArrow(assemble, f"{fields}, ids array<int>")
 
 

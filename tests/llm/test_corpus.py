@@ -593,6 +593,25 @@ def test_long_runs(spark, monkeypatch):
     assert lattice == {p: pieces.fold_part(table, p).tolist() for p in parts}
 
 
+def test_texts_are_encoded_where_they_are(spark, monkeypatch):
+    path = tokenizer_path(MODEL)
+    docs = spark.createDataFrame(awkward(), SCHEMA)
+    out = pieces.encode(docs, path, ("doc_id", "extra"))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+    with_lattice = collections.Counter((r.doc_id, r.extra, tuple(r.ids)) for r in out.collect())
+    # no part at hand and no memory: the same ids
+    monkeypatch.setattr(pieces, "FREQUENT", 0)
+    monkeypatch.setattr(pieces, "MEMORY", 0)
+    again = pieces.encode(docs, path, ("doc_id", "extra")).collect()
+    assert collections.Counter((r.doc_id, r.extra, tuple(r.ids)) for r in again) == with_lattice
+
+
+def test_words_are_the_chunks():
+    texts = ["a b", " a  b ", "a ", " ", "  ", "a\nb c\n", "▁a b▁", "a▁▁ b", "\n", "a  b", ""]
+    assert all([pieces.SPACE + w for w in pieces.words_of(t)] == pieces.chunks(t) for t in [*texts, None])
+
+
 # ---- token files
 
 def test_blocks_round_trip():
