@@ -68,6 +68,12 @@ class Pieces:
         found = {int(n[3:5], 16): i for i, (n, k) in enumerate(zip(self.names, self.kinds)) if k == "b"}
         return [found[b] for b in range(256)]
 
+    @functools.cached_property
+    def told(self) -> tuple[list[str], np.ndarray]:
+        """(what each id stands for by itself, the byte of each byte piece, -1 for others)."""
+        codes = np.array([int(n[3:5], 16) if k == "b" else -1 for n, k in zip(self.names, self.kinds)], np.int16)
+        return [n if k == "n" else chr(c) if 0 <= c < 0x80 else "" for n, k, c in zip(self.names, self.kinds, codes.tolist())], codes
+
     @functools.cached_property
     def adjacent(self) -> frozenset[str]:
         return frozenset(p[i : i + 2] for p in self.normal for i in range(len(p) - 1))
@@ -307,21 +313,19 @@ def encode(docs: DataFrame, model: str, carry: tuple[str, ...] = ("doc_id",)) ->
     return whole.mapInArrow(assemble, f"{fields}, ids array<int>")
 
 
-def decode_ids(pieces: Pieces, ids: list[int]) -> str:
+def decode_ids(pieces: Pieces, ids: list[int] | np.ndarray) -> str:
     """Text of ids: pieces side by side, bytes as UTF-8, space marks as spaces, without the leading one."""
-    names, kinds = pieces.names, pieces.kinds
+    told, codes = pieces.told
+    ids = np.asarray(ids, np.int64)
+    high = np.flatnonzero(codes[ids] >= 0x80)
     out: list[str] = []
-    raw = bytearray()
-    for i in ids:
-        if kinds[i] == "b":
-            raw.append(int(names[i][3:5], 16))
-            continue
-        if raw:
-            out.append(raw.decode("utf-8", "replace"))
-            raw.clear()
-        if kinds[i] == "n":
-            out.append(names[i])
-    out.append(raw.decode("utf-8", "replace"))
+    at = 0
+    # bytes beyond ASCII are read together with their neighbours, all else stands for itself
+    for run in np.split(high, np.flatnonzero(np.diff(high) > 1) + 1) if len(high) else ():
+        out += map(told.__getitem__, ids[at : run[0]].tolist())
+        out.append(codes[ids[run]].astype(np.uint8).tobytes().decode("utf-8", "replace"))
+        at = run[-1] + 1
+    out += map(told.__getitem__, ids[at:].tolist())
     return "".join(out).replace(SPACE, " ")[1:]
 
 
@@ -334,7 +338,7 @@ def decode(encoded: DataFrame, model: str, carry: tuple[str, ...] = ("doc_id",))
 
         last = len(carry)
         for batch in _slices(frames):
-            texts = [decode_ids(pieces, ids.as_py() or []) for ids in batch.column(last)]
+            texts = [decode_ids(pieces, ids.values.to_numpy()) if ids.is_valid else "" for ids in batch.column(last)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*carry, "ids", "text"])
 
     fields = ", ".join(f"`{c}` {encoded.schema[c].dataType.simpleString()}" for c in carry)

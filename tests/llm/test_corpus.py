@@ -607,6 +607,23 @@ def test_texts_are_encoded_where_they_are(spark, monkeypatch):
     assert collections.Counter((r.doc_id, r.extra, tuple(r.ids)) for r in again) == with_lattice
 
 
+def test_any_ids_decode_as_bytes_between_pieces():
+    table = pieces.load(tokenizer_path(MODEL))
+    rng = random.Random(3)
+    for _ in range(300):
+        ids = [rng.choice([rng.choice(table.byte_ids[:255]), rng.randrange(len(table.names)), *table.byte_ids[0xE2:0xE3], table.byte_ids[0x82]]) for _ in range(rng.randrange(30))]
+        raw = b"".join(bytes([min(int(table.names[i][3:5], 16), 0xFE)]) if table.kinds[i] == "b" else b"\xff|" + (table.names[i].encode() if table.kinds[i] == "n" else b"") + b"|\xff" for i in ids)
+        # a byte that is never valid stands for the border of a piece
+        want = "".join(x if k % 2 else x.decode("utf-8", "replace") for k, x in enumerate(split_pieces(raw)))
+        assert pieces.decode_ids(table, ids) == want.replace("▁", " ")[1:]
+
+
+def split_pieces(raw):
+    """Bytes and, at odd places, the text of a piece between them."""
+    parts = re.split(rb"\xff\|(.*?)\|\xff", raw, flags=re.S)
+    return [x.decode() if k % 2 else x for k, x in enumerate(parts)]
+
+
 def test_words_are_the_chunks():
     texts = ["a b", " a  b ", "a ", " ", "  ", "a\nb c\n", "▁a b▁", "a▁▁ b", "\n", "a  b", ""]
     assert all([pieces.SPACE + w for w in pieces.words_of(t)] == pieces.chunks(t) for t in [*texts, None])
