@@ -7,23 +7,24 @@ part's positions keeps the best way to each (Viterbi). The lattice of a part has
 parts longer than a bound, such as a run of one letter, are folded within a task, with the scores of the last positions only. Characters outside the table become byte pieces.
 
 The lattice is made of the most frequent parts, a bounded number, and their ids are sent to all tasks. A task folds the other
-parts where they occur, by the same rules, so neither texts nor parts cross a shuffle to meet their ids.
+parts where they occur, by the same rules and many of them side by side, so neither texts nor parts cross a shuffle to meet their ids.
 """
 
 from __future__ import annotations
 
 import functools
+import hashlib
 import math
 import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import parallelism
-from .common import most_frequent, stage, text_of
+from .common import kept, most_frequent, stage, text_of
 
 SPACE = "▁"
 #: Parts sent to every task: at most so many, each of at most ``FREQUENT_CHARS`` characters.
@@ -32,7 +33,11 @@ FREQUENT_CHARS = 48
 #: Longer parts are folded within a task, position by position.
 LATTICE_CHARS = 48
 #: Bytes of words and their ids that a Python process remembers.
-MEMORY = 96 << 20
+MEMORY = 48 << 20
+#: Characters of texts whose new words are learned together.
+TOGETHER = 1 << 19
+#: Words that are cut, and parts that are folded, side by side.
+SIDE_BY_SIDE = 1 << 14
 #: As the library does: an unknown character costs this much more than the rarest piece.
 UNKNOWN_PENALTY = 10.0
 
@@ -45,6 +50,10 @@ class Pieces:
     kinds: str
     longest: int
 
+    def __reduce__(self) -> tuple:
+        # what can be derived does not travel with the tasks
+        return Pieces, (self.names, self.kinds, self.longest)
+
     def score(self, place: int) -> float:
         """Log-probability of the place-th normal piece, by Zipf's law for a table in order of frequency."""
         return -math.log(place + 2.0)
@@ -57,6 +66,9 @@ class Pieces:
     @functools.cached_property
     def starts(self) -> dict[str, tuple[int, float] | None]:
         """Every beginning of a normal piece; its id and score where it is one."""
+        return self.beginnings()
+
+    def beginnings(self) -> dict[str, tuple[int, float] | None]:
         return {p[:i]: None for p in self.normal for i in range(1, len(p))} | self.normal
 
     @functools.cached_property
@@ -75,8 +87,8 @@ class Pieces:
         return [n if k == "n" else chr(c) if 0 <= c < 0x80 else "" for n, k, c in zip(self.names, self.kinds, codes.tolist())], codes
 
     @functools.cached_property
-    def adjacent(self) -> frozenset[str]:
-        return frozenset(p[i : i + 2] for p in self.normal for i in range(len(p) - 1))
+    def key(self) -> str:
+        return hashlib.md5("\0".join((*self.names, self.kinds)).encode("utf-8", "surrogatepass")).hexdigest()
 
 
 @functools.lru_cache(2)
@@ -108,27 +120,111 @@ def words_of(text: str | None) -> list[str]:
     return text.split(" ")
 
 
-class Cutter:
-    """Parts of chunks: cut between two characters that no piece has side by side."""
-
-    def __init__(self, pieces: Pieces, size: int = 100_000) -> None:
-        self.adjacent, self.size, self.known = pieces.adjacent, size, {}
-
-    def __call__(self, chunk: str) -> tuple[str, ...]:
-        found = self.known.get(chunk)
-        if found is None:
-            if len(self.known) >= self.size:
-                self.known.clear()
-            adjacent, start, parts = self.adjacent, 0, []
-            for i in range(1, len(chunk)):
-                if chunk[i - 1 : i + 1] not in adjacent:
-                    parts.append(chunk[start:i])
-                    start = i
-            found = (*parts, chunk[start:])
-            # a long chunk is not remembered
-            if len(chunk) <= 1000:
-                self.known[chunk] = found
-        return found
+def _code_points(texts: Iterable[str]) -> np.ndarray:
+    return np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4")
+
+
+class Trie:
+    """The beginnings of the normal pieces as numbered states: cuts words and folds parts, many side by side."""
+
+    def __init__(self, pieces: Pieces) -> None:
+        self.pieces = pieces
+        starts = pieces.beginnings()
+        # states that lead on come first; 0 is none, and no beginning
+        inner = {p[:-1] for p in starts if len(p) > 1}
+        state = {p: i for i, p in enumerate([*inner, *(p for p in starts if p not in inner)], 1)}
+        self.inner = len(inner) + 1
+        letters = sorted({c for p in inner for c in p} | {p[-1] for p in starts if len(p) > 1})
+        place = {c: i for i, c in enumerate(letters, 1)}
+        self.letters = np.zeros(0x110000, np.uint16)
+        self.letters[[ord(c) for c in letters]] = np.arange(1, len(letters) + 1)
+        number = np.min_scalar_type(len(state))
+        self.first = np.zeros(0x110000, number)
+        self.next = np.zeros((self.inner, len(letters) + 1), number)
+        self.beside = np.zeros((len(letters) + 1, len(letters) + 1), bool)
+        self.ids = np.full(len(state) + 1, -1, np.int32)
+        self.scores = np.full(len(state) + 1, pieces.unknown)
+        for p, i in state.items():
+            if len(p) == 1:
+                self.first[ord(p)] = i
+            else:
+                self.next[state[p[:-1]], place[p[-1]]] = i
+                self.beside[place[p[-2]], place[p[-1]]] = True
+            if starts[p] is not None:
+                self.ids[i], self.scores[i] = starts[p]
+
+    def cut(self, words: list[str]) -> tuple[list[str], np.ndarray]:
+        """(parts of all words behind a space mark, how many of each): cut between characters that no piece has side by side."""
+        chunks = [SPACE + w for w in words]
+        sizes = np.fromiter(map(len, chunks), np.int64, len(chunks))
+        ends = np.cumsum(sizes)
+        letters = self.letters[_code_points(chunks)]
+        new = np.ones(len(letters) + 1, bool)
+        new[1:-1] = ~self.beside[letters[:-1], letters[1:]]
+        new[ends - sizes] = True
+        at = np.flatnonzero(new)
+        edges, text = at.tolist(), "".join(chunks)
+        return [text[a:b] for a, b in zip(edges, edges[1:])], np.diff(np.searchsorted(at, np.append(0, ends)))
+
+    def fold(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all parts in turn, how many of each), as ``fold_part`` gives them; one position of all parts per step."""
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+        text = _code_points(parts)
+        letters = self.letters[text]
+        # the longest first, so that the parts that reach a position are the first ones
+        order = np.argsort(-sizes, kind="stable")
+        size = sizes[order]
+        char = (np.cumsum(sizes) - sizes)[order]
+        node = char + order
+        scores = np.full(len(text) + len(parts), -np.inf)
+        back, ids = np.zeros(len(scores), np.int32), np.zeros(len(scores), np.int32)
+        scores[node] = 0.0
+
+        def offer(ends: np.ndarray, score: np.ndarray, depth: int, state: np.ndarray) -> None:
+            better = score >= scores[ends]
+            ends = ends[better]
+            scores[ends], back[ends], ids[ends] = score[better], depth, self.ids[state[better]]
+
+        for k in range(int(size[0]) if len(parts) else 0):
+            reached = int(np.searchsorted(-size, -k))
+            at, to, left = char[:reached] + k, node[:reached] + k, size[:reached] - k
+            so_far, state = scores[to], self.first[text[at]]
+            offer(to + 1, so_far + self.scores[state], 1, state)
+            depth = 1
+            while True:
+                on = np.flatnonzero((state > 0) & (state < self.inner) & (left > depth))
+                if not len(on):
+                    break
+                at, to, left, so_far = at[on], to[on], left[on], so_far[on]
+                state = self.next[state[on], letters[at + depth]]
+                depth += 1
+                hit = np.flatnonzero(self.ids[state] >= 0)
+                offer(to[hit] + depth, so_far[hit] + self.scores[state[hit]], depth, state[hit])
+        # the ways back, the last piece of every part first
+        rows, begin, to, steps = order, node, node + size, []
+        while len(rows):
+            steps.append((rows, ids[to]))
+            to = to - back[to]
+            on = np.flatnonzero(to > begin)
+            rows, begin, to = rows[on], begin[on], to[on]
+        counts = np.zeros(len(parts), np.int64)
+        for rows, _ in steps:
+            counts[rows] += 1
+        last = np.cumsum(counts) - 1
+        out = np.zeros(int(counts.sum()), np.int32)
+        for k, (rows, found) in enumerate(steps):
+            out[last[rows] - k] = found
+        return out, counts
+
+
+def trie(pieces: Pieces) -> Trie:
+    """The trie of this Python process."""
+    return kept(f"trie {pieces.key}", lambda: Trie(pieces))
+
+
+def _some(items: list, size: int) -> Iterator[list]:
+    for start in range(0, len(items), size):
+        yield items[start : start + size]
 
 
 def part_counts(docs: DataFrame, pieces: Pieces) -> DataFrame:
@@ -138,15 +234,18 @@ def part_counts(docs: DataFrame, pieces: Pieces) -> DataFrame:
         import pyarrow as pa
         from collections import Counter
 
-        cut = Cutter(pieces)
-        for batch in frames:
+        cut = trie(pieces).cut
+        # counts of few texts at a time: Spark adds them up before the shuffle
+        for batch in _slices(frames, 2500):
             found: Counter = Counter()
             for text in batch.column(0):
                 found.update(words_of(text.as_py()))
-            parts: Counter = Counter()
-            for word, n in found.items():
-                for part in cut(SPACE + word):
-                    parts[part] += n
+            parts: dict[str, int] = {}
+            so_far = parts.get
+            for words in _some(list(found), SIDE_BY_SIDE):
+                cuts, of = cut(words)
+                for part, n in zip(cuts, np.repeat([found[w] for w in words], of).tolist()):
+                    parts[part] = so_far(part, 0) + n
             if parts:
                 yield pa.RecordBatch.from_arrays([pa.array(parts.keys(), pa.string()), pa.array(parts.values(), pa.int64())], ["part", "n"])
 
@@ -258,31 +357,66 @@ class IdsOfWords:
     """Little-endian 32-bit ids of texts; each word's are remembered while memory lasts. ``frequent``: ids of parts at hand."""
 
     def __init__(self, pieces: Pieces, frequent: dict[str, bytes]) -> None:
-        self.pieces, self.frequent, self.cut = pieces, frequent, Cutter(pieces, 0)
+        self.trie, self.frequent = trie(pieces), frequent
+        self.pieces = self.trie.pieces
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.held = 0
 
-    def _part(self, part: str) -> bytes:
-        return np.array(_as_bytes(self.pieces, part, fold_part(self.pieces, part).tolist()), "<i4").tobytes()
+    def _fold(self, parts: list[str]) -> Iterator[bytes]:
+        """Ids of parts; long ones are folded one by one."""
+        short = [p for p in parts if len(p) <= LATTICE_CHARS]
+        flat, counts = self.trie.fold(short)
+        raw, ends = flat.astype("<i4").tobytes(), np.cumsum(counts)
+        odd = set(np.searchsorted(ends, np.flatnonzero(flat < 0), "right").tolist())
+        starts, ends, at = (4 * (ends - counts)).tolist(), (4 * ends).tolist(), 0
+        for part in parts:
+            if len(part) > LATTICE_CHARS:
+                yield self._bytes(part, fold_part(self.pieces, part))
+                continue
+            ids = raw[starts[at] : ends[at]]
+            yield self._bytes(part, np.frombuffer(ids, "<i4")) if at in odd else ids
+            at += 1
+
+    def _bytes(self, part: str, ids: np.ndarray) -> bytes:
+        return np.array(_as_bytes(self.pieces, part, ids.tolist()), "<i4").tobytes()
 
     def _learn(self, words: set[str]) -> None:
-        at_hand, fold, known = self.frequent.get, self._part, self.known
-        for word in words:
-            ids = b"".join([at_hand(p) or fold(p) for p in self.cut(SPACE + word)])
-            known[word] = ids
-            # a key, a value and their place in the table take about 200 bytes beside what they hold
-            self.held += 4 * len(word) + len(ids) + 200
-
-    def __call__(self, text: str | None) -> bytes:
-        words = words_of(text)
-        try:
-            return b"".join(map(self.known.__getitem__, words))
-        except KeyError:
-            if self.held > MEMORY:
-                self.known.clear()
-                self.held = 0
-            self._learn(set(words).difference(self.known))
-            return b"".join(map(self.known.__getitem__, words))
+        if self.held > MEMORY // 2:
+            # words not met again while the next half fills are forgotten
+            self.older, self.known, self.held = self.known, {}, 0
+        known, at_hand, join = self.known, self.frequent.get, b"".join
+        missing = list(words.difference(known))
+        met = list(map(self.older.get, missing))
+        known.update((w, ids) for w, ids in zip(missing, met) if ids is not None)
+        for new in _some([w for w, ids in zip(missing, met) if ids is None], SIDE_BY_SIDE):
+            parts, counts = self.trie.cut(new)
+            ids = list(map(at_hand, parts))
+            rare = list(dict.fromkeys(p for p, i in zip(parts, ids) if i is None))
+            folded = dict(zip(rare, self._fold(rare)))
+            ids = [folded[p] if i is None else i for p, i in zip(parts, ids)]
+            edges = [0, *np.cumsum(counts).tolist()]
+            known.update(zip(new, [join(ids[a:b]) for a, b in zip(edges, edges[1:])]))
+        # a key, a value and their place in the table take about 220 bytes beside what they hold
+        self.held += 4 * sum(map(len, missing)) + 220 * len(missing)
+
+    def encode_all(self, texts: Iterable[str | None]) -> Iterator[bytes]:
+        """The ids of every text in turn; short texts learn their new words together."""
+        held: list[list[str]] = []
+        size = 0
+        for text in texts:
+            held.append(words_of(text))
+            size += len(text or "")
+            if size > TOGETHER:
+                yield from self._together(held)
+                held, size = [], 0
+        yield from self._together(held)
+
+    def _together(self, lists: list[list[str]]) -> Iterator[bytes]:
+        self._learn(set().union(*lists))
+        ids = self.known.__getitem__
+        for words in lists:
+            yield b"".join(map(ids, words))
 
 
 def encode(docs: DataFrame, model: str, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -301,9 +435,9 @@ def encode(docs: DataFrame, model: str, carry: tuple[str, ...] = ("doc_id",)) ->
     def assemble(frames: Iterator) -> Iterator:
         import pyarrow as pa
 
-        ids_of, n = IdsOfWords(pieces, frequent.value), len(carry)
+        words, n = IdsOfWords(pieces, frequent.value), len(carry)
         for batch in _slices(frames):
-            found = [ids_of(text.as_py()) for text in batch.column(n)]
+            found = list(words.encode_all(text.as_py() for text in batch.column(n)))
             ends = np.cumsum([0] + [len(ids) // 4 for ids in found]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(found), "<i4")))
             yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(n)] + [lists], names=[*carry, "ids"])

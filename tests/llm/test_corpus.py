@@ -607,6 +607,31 @@ def test_texts_are_encoded_where_they_are(spark, monkeypatch):
     assert collections.Counter((r.doc_id, r.extra, tuple(r.ids)) for r in again) == with_lattice
 
 
+def test_rare_parts_are_folded_side_by_side(monkeypatch):
+    table = pieces.load(tokenizer_path(MODEL))
+    rng = random.Random(8)
+    letters = "abcdefghinorstuäöüß.,-▁é\n\u1234\U0001d11e"
+    words = ["".join(rng.choice(letters) for _ in range(rng.randrange(30))) for _ in range(400)] + ["", "x" * 48, "internationalisation"]
+    parts, counts = pieces.trie(table).cut(words)
+    beside = {p[i : i + 2] for p in table.normal for i in range(len(p) - 1)}
+    want = [pieces.SPACE + w for w in words]
+    plain = [[i for i in range(len(c)) if i == 0 or c[i - 1 : i + 1] not in beside] for c in want]
+    assert parts == [c[a:b] for c, at in zip(want, plain) for a, b in zip(at, [*at[1:], len(c)])]
+    assert counts.tolist() == [len(at) for at in plain]
+    parts += ["".join(rng.choice(letters) for _ in range(rng.randrange(1, 49))) for _ in range(200)]
+    ids, counts = pieces.trie(table).fold(parts)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [pieces.fold_part(table, p).tolist() for p in parts]
+    assert [len(x) for x in pieces.trie(table).fold([])] == [0, 0]
+    # one by one are only the long ones, and words are learned once
+    alone, fold = [], pieces.fold_part
+    monkeypatch.setattr(pieces, "fold_part", lambda t, p: alone.append(p) or fold(t, p))
+    known = pieces.IdsOfWords(table, {})
+    texts = ["qzxv vzqqx\n\u1234", None, "x" * 100, "qzxv " + "x" * 100, ""]
+    found = [np.frombuffer(x, "<i4") for x in known.encode_all(texts)]
+    assert [pieces.decode_ids(table, x) for x in found] == [t or "" for t in texts]
+    assert alone == [pieces.SPACE + "x" * 100]
+
+
 def test_any_ids_decode_as_bytes_between_pieces():
     table = pieces.load(tokenizer_path(MODEL))
     rng = random.Random(3)
