@@ -17,6 +17,7 @@ import hashlib
 import math
 import re
 from array import array
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -120,27 +121,28 @@ def words_of(text: str | None) -> list[str]:
     return text.split(" ")
 
 
-def _code_points(texts: Iterable[str]) -> np.ndarray:
-    return np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4")
-
-
 class Trie:
-    """The beginnings of the normal pieces as numbered states: cuts words and folds parts, many side by side."""
+    """The beginnings of the normal pieces as numbered states: cuts words and folds parts, many side by side.
+
+    Holds arrays only, a few megabytes, as a Python process keeps it from task to task.
+    """
 
     def __init__(self, pieces: Pieces) -> None:
-        self.pieces = pieces
         starts = pieces.beginnings()
-        # states that lead on come first; 0 is none, and no beginning
-        inner = {p[:-1] for p in starts if len(p) > 1}
-        state = {p: i for i, p in enumerate([*inner, *(p for p in starts if p not in inner)], 1)}
-        self.inner = len(inner) + 1
+        # states that lead on come first, those that do to several at the front; 0 is none, and no beginning
+        inner = Counter(p[:-1] for p in starts if len(p) > 1)
+        state = {p: i for i, p in enumerate(sorted(starts, key=lambda p: -min(inner[p], 2)), 1)}
+        self.inner, self.forks = len(inner) + 1, sum(n > 1 for n in inner.values()) + 1
         letters = sorted({c for p in inner for c in p} | {p[-1] for p in starts if len(p) > 1})
         place = {c: i for i, c in enumerate(letters, 1)}
-        self.letters = np.zeros(0x110000, np.uint16)
+        # characters beyond the last one in a piece are as good as that place
+        self.end = max(ord(p[-1]) for p in starts) + 1
+        self.letters = np.zeros(self.end + 1, np.uint16)
         self.letters[[ord(c) for c in letters]] = np.arange(1, len(letters) + 1)
         number = np.min_scalar_type(len(state))
-        self.first = np.zeros(0x110000, number)
-        self.next = np.zeros((self.inner, len(letters) + 1), number)
+        self.first = np.zeros(self.end + 1, number)
+        self.next = np.zeros((self.forks, len(letters) + 1), number)
+        self.only, self.after = np.zeros(self.inner, np.uint16), np.zeros(self.inner, number)
         self.beside = np.zeros((len(letters) + 1, len(letters) + 1), bool)
         self.ids = np.full(len(state) + 1, -1, np.int32)
         self.scores = np.full(len(state) + 1, pieces.unknown)
@@ -148,17 +150,27 @@ class Trie:
             if len(p) == 1:
                 self.first[ord(p)] = i
             else:
-                self.next[state[p[:-1]], place[p[-1]]] = i
+                if (before := state[p[:-1]]) < self.forks:
+                    self.next[before, place[p[-1]]] = i
+                else:
+                    self.only[before], self.after[before] = place[p[-1]], i
                 self.beside[place[p[-2]], place[p[-1]]] = True
             if starts[p] is not None:
                 self.ids[i], self.scores[i] = starts[p]
 
+    def _follow(self, state: np.ndarray, letter: np.ndarray) -> np.ndarray:
+        fork = state < self.forks
+        return np.where(fork, self.next[state * fork, letter], self.after[state] * (self.only[state] == letter))
+
+    def _places(self, texts: list[str]) -> np.ndarray:
+        return np.minimum(np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4"), self.end)
+
     def cut(self, words: list[str]) -> tuple[list[str], np.ndarray]:
         """(parts of all words behind a space mark, how many of each): cut between characters that no piece has side by side."""
         chunks = [SPACE + w for w in words]
         sizes = np.fromiter(map(len, chunks), np.int64, len(chunks))
         ends = np.cumsum(sizes)
-        letters = self.letters[_code_points(chunks)]
+        letters = self.letters[self._places(chunks)]
         new = np.ones(len(letters) + 1, bool)
         new[1:-1] = ~self.beside[letters[:-1], letters[1:]]
         new[ends - sizes] = True
@@ -169,7 +181,7 @@ class Trie:
     def fold(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all parts in turn, how many of each), as ``fold_part`` gives them; one position of all parts per step."""
         sizes = np.fromiter(map(len, parts), np.int64, len(parts))
-        text = _code_points(parts)
+        text = self._places(parts)
         letters = self.letters[text]
         # the longest first, so that the parts that reach a position are the first ones
         order = np.argsort(-sizes, kind="stable")
@@ -196,7 +208,7 @@ class Trie:
                 if not len(on):
                     break
                 at, to, left, so_far = at[on], to[on], left[on], so_far[on]
-                state = self.next[state[on], letters[at + depth]]
+                state = self._follow(state[on], letters[at + depth])
                 depth += 1
                 hit = np.flatnonzero(self.ids[state] >= 0)
                 offer(to[hit] + depth, so_far[hit] + self.scores[state[hit]], depth, state[hit])
@@ -232,7 +244,6 @@ def part_counts(docs: DataFrame, pieces: Pieces) -> DataFrame:
 
     def batches(frames: Iterator) -> Iterator:
         import pyarrow as pa
-        from collections import Counter
 
         cut = trie(pieces).cut
         # counts of few texts at a time: Spark adds them up before the shuffle
@@ -357,8 +368,7 @@ class IdsOfWords:
     """Little-endian 32-bit ids of texts; each word's are remembered while memory lasts. ``frequent``: ids of parts at hand."""
 
     def __init__(self, pieces: Pieces, frequent: dict[str, bytes]) -> None:
-        self.trie, self.frequent = trie(pieces), frequent
-        self.pieces = self.trie.pieces
+        self.pieces, self.frequent, self.trie = pieces, frequent, trie(pieces)
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.held = 0
