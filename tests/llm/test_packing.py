@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark import cloudpickle
 from tokenizers import Tokenizer
 
 from corrobora.llm import packing
@@ -148,3 +149,34 @@ def test_short_texts_share_a_call_for_their_new_words(monkeypatch):
     got = [b"".join(ids) for ids in encode.encode_all(texts)]
     assert got == [np.array(tokenizer.encode(t.decode(), add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
     assert len(calls) < len(texts) / 3
+
+
+def test_plain_words_have_the_tokenizers_ids():
+    encode = packing.IdBytes(PATH)
+    assert encode.model is not None
+    signs = [chr(c) for c in [*range(1, 0x250), 0x301, 0x3A3, 0x2019, 0x2028, 0x20AC, 0xFB01, 0xFFFD, 0x1F600]]
+    texts = [f"{c} a{c}B 'S{c}1{c}! {c}{c}'ll É{c}" for c in signs] + ["DON'T we'Re x<|endoftext|>y 42nd ''s", " \x0b\x1c a\xa0b ", "\u0130\u0178"]
+    got = [b"".join(ids) for ids in encode.encode_all(t.encode() for t in texts)]
+    assert [np.frombuffer(ids, "<u4").tolist() for ids in got] == [encode.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_a_part_is_given_to_the_model_once():
+    encode, asked = packing.IdBytes(PATH), []
+    model, whole = encode.model, encode.tokenizer
+
+    class Counted:
+        def tokenize(self, text):
+            asked.append(text)
+            return model.tokenize(text)
+
+    encode.model, encode.tokenizer = Counted(), None
+    text = "Word word, (word) word's wörd. WÖRD! 77"
+    assert np.frombuffer(b"".join(encode.encode(text.encode())), "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids
+    assert len(asked) == len(set(asked)) == 9
+
+
+def test_tasks_of_a_process_share_an_encoder():
+    # tasks get the library by value
+    other = cloudpickle.loads(cloudpickle.dumps(packing.encoder))
+    assert other is not packing.encoder
+    assert other(PATH) is packing.encoder(PATH)
