@@ -671,6 +671,21 @@ def test_blocks_round_trip():
         token_files.decode_blocks(bytes(broken), sizes, sums, len(ids), 49408)
 
 
+def test_blocks_take_the_bits_of_the_frequencies():
+    rng = np.random.default_rng(2)
+    shares = 1 / np.arange(1, 3001)
+    shares /= shares.sum()
+    ids = rng.permutation(49408)[rng.choice(3000, 200_000, p=shares)]
+    payload, sizes, sums = token_files.encode_blocks(ids, 49408)
+    assert len(payload) * 8 < 1.05 * 200_000 * -(shares * np.log2(shares)).sum()
+    assert (token_files.decode_blocks(payload, sizes, sums, len(ids), 49408) == ids).all()
+    for at in (0, 3, 9, len(payload) // 2):
+        broken = bytearray(payload)
+        broken[at] ^= 255
+        with pytest.raises(ValueError):
+            token_files.decode_blocks(bytes(broken), sizes, sums, len(ids), 49408)
+
+
 def test_token_files(spark, docs, empty):
     from tokenizers import Tokenizer
 
