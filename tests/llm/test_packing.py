@@ -1,6 +1,7 @@
 """Packing against a plain piece-by-piece greedy, and the contents of the sequences."""
 
 import collections
+import json
 import random
 import zlib
 
@@ -180,3 +181,19 @@ def test_tasks_of_a_process_share_an_encoder():
     other = cloudpickle.loads(cloudpickle.dumps(packing.encoder))
     assert other is not packing.encoder
     assert other(PATH) is packing.encoder(PATH)
+
+
+@pytest.mark.parametrize("change", ["cutting", "added"])
+def test_other_tokenizers_are_asked_for_whole_words(tmp_path, change):
+    made = json.loads(Tokenizer.from_file(PATH).to_str())
+    if change == "cutting":
+        made["pre_tokenizer"]["pretokenizers"][0]["pattern"] = {"Regex": "[\\p{L}\\p{N}]+|[^\\s\\p{L}\\p{N}]+"}
+    else:
+        made["added_tokens"][0] |= {"content": "<|start|>", "special": False, "normalized": True}
+    path = tmp_path / "other.json"
+    path.write_text(json.dumps(made))
+    encode = packing.IdBytes(str(path))
+    text = "a1b22 don't <|START|> über 2nd"
+    ids = Tokenizer.from_file(str(path)).encode(text, add_special_tokens=False).ids
+    assert encode.model is None
+    assert np.frombuffer(b"".join(encode.encode(text.encode())), "<u4").tolist() == ids != encoded(text)[:-1]
