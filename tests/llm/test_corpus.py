@@ -686,6 +686,26 @@ def test_blocks_take_the_bits_of_the_frequencies():
             token_files.decode_blocks(bytes(broken), sizes, sums, len(ids), 49408)
 
 
+def test_blocks_mix_three_predictions():
+    rng = np.random.default_rng(3)
+
+    def bits(ids):
+        payload, sizes, sums = token_files.encode_blocks(ids, 49408)
+        assert (token_files.decode_blocks(payload, sizes, sums, len(ids), 49408) == ids).all()
+        return len(payload) * 8 / len(ids)
+
+    # every second id follows from the one before it (order 1), seldom from the two before it
+    first = rng.integers(0, 60, 50_000)
+    pairs = np.stack([first, 30_000 + 7 * first], 1).ravel()
+    assert bits(pairs) < 0.75 * np.log2(120)
+    # a block keeps to its group of ids, which the frequencies of the segment do not tell
+    groups = rng.integers(0, 2, 100) * 20_000
+    assert bits((groups[:, None] + rng.integers(0, 1000, (100, 1024))).ravel()) < np.log2(2000) - 0.5
+    # order 2 alone: a long tape that is played twice within a block
+    tape = rng.integers(0, 30, (100, 512))
+    assert bits(np.hstack([tape, tape]).ravel()) < 0.9 * np.log2(30)
+
+
 def test_token_files(spark, docs, empty):
     from tokenizers import Tokenizer
 
