@@ -206,3 +206,34 @@ def test_bootstrap_draws_keep_32_bits_of_a_digest_per_four_replicates():
     from corrobora.plans import ORACLE
 
     assert "rep // 4" in ORACLE["bootstrap_ci"] and "65535" not in ORACLE["bootstrap_ci"]
+
+
+def test_bootstrap_counts_are_those_of_the_digests(spark):
+    import hashlib
+
+    from corrobora.functions import draws
+    from corrobora.operators import regression
+
+    start = draws._MD5_START.copy()
+    for ids in (["7"], ["17|1", "18|2"], ["12345678|4", "12345679|4"], ["x" * 60]):
+        for blocks in (1, 7, 130):
+            raw = [[np.frombuffer(hashlib.md5(f"{i}|{b}|s".encode()).digest(), ">u4") for b in range(blocks)] for i in ids]
+            want = draws.poisson_counts(np.array(raw).astype(np.uint32))
+            found = draws.Digests(blocks, "s").counts(ids)
+            assert all((found[k] == want[:, :, k]).all() for k in range(4))
+    assert (draws._MD5_START == start).all()
+    # all rows in one of many partitions, ids of several lengths, replicates that are no multiple of four
+    rng = np.random.default_rng(5)
+    rows = [(10 ** (k % 4) + k, *map(float, rng.normal(size=3))) for k in range(300)]
+    df = spark.createDataFrame(rows, "id long, a double, b double, y double").coalesce(1)
+    df = df.union(spark.createDataFrame([], df.schema).repartition(40))
+    found = {r["rep"]: r["coef"] for r in regression.bootstrap_ridge(df, ["a", "b"], "y", ["id"], 6, 2.0, 9).collect()}
+    x = np.array([r[1:] for r in rows])
+    z = (x - x.mean(0)) / np.append(x[:, :2].std(0), 1.0)
+    w = draws.poisson_counts(np.vstack([draws.digest_draws([str(r[0])], 6, 9) for r in rows])).astype(float)
+    assert sorted(found) == list(range(6))
+    for rep in range(6):
+        c = z - np.average(z, axis=0, weights=w[:, rep])
+        s = (c * w[:, rep : rep + 1]).T @ c
+        assert np.allclose(found[rep], np.linalg.solve(s[:2, :2] + 2 * np.eye(2), s[:2, 2]))
+    assert regression.bootstrap_ridge(df, ["a"], "y", ["id"], 5, 0.0, 9).count() == 5
