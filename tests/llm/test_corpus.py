@@ -704,6 +704,10 @@ def test_blocks_mix_three_predictions():
     # order 2 alone: a long tape that is played twice within a block
     tape = rng.integers(0, 30, (100, 512))
     assert bits(np.hstack([tape, tape]).ravel()) < 0.9 * np.log2(30)
+    # many groups of ids
+    ids = rng.integers(0, 600_000, 5000)
+    payload, sizes, sums = token_files.encode_blocks(ids, 600_000)
+    assert (token_files.decode_blocks(payload, sizes, sums, 5000, 600_000) == ids).all()
 
 
 def test_token_files(spark, docs, empty):
