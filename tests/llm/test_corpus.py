@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import math
+import os
 import random
 import re
 import zlib
@@ -794,6 +795,34 @@ def test_word_pairs_of_one_class_are_told_apart(spark, monkeypatch):
     assert again == pytest.approx(out, rel=1e-5)
 
 
+def test_scoring_by_slices_of_words(spark, monkeypatch):
+    import glob
+
+    from corrobora.llm.common import scratch
+
+    rng = random.Random(8)
+    rows = [(i, prose(rng, 30), None, None, 0, 0, 0, None) for i in range(30)]
+    df = spark.createDataFrame(rows + rows[:2] + [(99, "never seen words", *rows[0][2:]), (98, None, *rows[0][2:])], SCHEMA)
+    monkeypatch.setattr(pitman_yor, "FREQUENT", 5)
+    monkeypatch.setattr(pitman_yor, "FREQUENT_PAIRS", 5)
+    folder = os.path.dirname(scratch(spark, "x")).removeprefix("file:")
+    held = lambda name: len(glob.glob(f"{folder}/{name}-*"))
+    seats, singles, contexts, sums = held("lm-seats"), held("lm-singles"), held("lm-contexts"), held("lm-sums")
+    trained = pitman_yor.train(df.filter("doc_id < 20"))
+    # of the training, only what scoring reads stays on disk
+    assert (held("lm-seats"), held("lm-singles"), held("lm-contexts")) == (seats, singles, contexts + 1)
+    whole = pitman_yor.score(df, *trained).collect()
+    assert held("lm-sums") == sums + 1
+    monkeypatch.setattr(pitman_yor, "SLICE_ROWS", 1)
+    parts = pitman_yor.score(df, *trained).collect()
+    assert held("lm-sums") == sums + 1 + pitman_yor.SLICES
+    key = lambda r: (r.doc_id, r.score)
+    assert len(whole) == len(parts) == 34
+    for a, b in zip(sorted(whole, key=key), sorted(parts, key=key)):
+        assert (a.doc_id, a.n_tokens, a.n_known) == (b.doc_id, b.n_tokens, b.n_known)
+        assert (a.score, a.base_score) == pytest.approx((b.score, b.base_score))
+
+
 def test_every_previous_word_has_a_restaurant(spark):
     counts = []
     for n in (50, 500):
